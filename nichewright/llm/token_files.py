@@ -19,6 +19,7 @@ an id keep one entry each, ordered by a hash of the text and the text; an empty
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 import uuid
@@ -49,7 +50,7 @@ class WordCachedEncoder:
     Texts in which such a cut isn't certain, or that hold a special token's string, go to the library whole.
     """
 
-    def __init__(self, tokenizer_file: str, most_chunks: int = 300_000):
+    def __init__(self, tokenizer_file: str, most_chunks: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -96,6 +97,12 @@ class WordCachedEncoder:
         return [self._whole(t) if s is None else b"".join(map(get, s))[width:] for t, s in zip(texts, split, strict=True)]
 
 
+@functools.cache
+def encoder_of(tokenizer_file: str) -> WordCachedEncoder:
+    """One encoder for each Python worker, so that what it has learned serves its later tasks too."""
+    return WordCachedEncoder(tokenizer_file)
+
+
 def _paths(root: str, shard: int) -> dict[str, str]:
     return {kind: f"{root}/shard-{shard:06d}.{kind}" for kind in ("ids", "off", "doc")}
 
@@ -119,7 +126,7 @@ def write_token_files(documents: DataFrame, root: str, tokenizer_file: str, end_
         encoder, sizes, n_docs = None, [np.zeros(1, "<u8")], 0
         with store.open_output_stream(f"{final['ids']}.{mark}") as ids_out, store.open_output_stream(f"{final['doc']}.{mark}") as doc_out:
             for batch in batches:
-                encoder = encoder or WordCachedEncoder(tokenizer_file)
+                encoder = encoder or encoder_of(tokenizer_file)
                 end = np.array([end_id], encoder.dtype).tobytes()
                 texts = batch.column("text")
                 for start in range(0, batch.num_rows, 256):
