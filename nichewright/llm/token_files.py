@@ -89,7 +89,7 @@ class WordCachedEncoder:
             safe = text and not _UNSAFE.search(led) and not any(s in text for s in self.special)
             split.append(led.replace("\n", " \n").split(" ")[1:] if safe else None)
         seen = set().union(*(s for s in split if s))
-        missing = [c for c in seen if c not in self.cache]
+        missing = list(seen.difference(self.cache))
         if missing and len(self.cache) + len(missing) > self.most_chunks:
             self.cache, missing = {}, list(seen)
         self._learn(missing)
