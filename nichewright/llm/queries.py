@@ -19,6 +19,12 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from nichewright.llm.simhash import simhash_components
+
+    return simhash_components(table(spark, sf_dir, "documents"), threshold=4)
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from nichewright.llm.toxicity import toxicity_scores
 
@@ -31,5 +37,5 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_files, op7_toxicity, op8_quality)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_files, op3_simhash, op7_toxicity, op8_quality)}
 ORACLE_SQL: dict[str, str] = {}
