@@ -37,5 +37,11 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_files, op3_simhash, op7_toxicity, op8_quality)}
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from nichewright.llm.minhash import edited_fingerprints
+
+    return edited_fingerprints(table(spark, sf_dir, "documents"), slots=64, width=5)
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_files, op3_simhash, op7_toxicity, op8_quality, op10_minhash)}
 ORACLE_SQL: dict[str, str] = {}
