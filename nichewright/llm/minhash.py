@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from nichewright.llm.shared import materialise, partitions
+from nichewright.llm.shared import materialise, partitions, text_batches
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -95,7 +95,7 @@ def edited_fingerprints(documents: DataFrame, slots: int = 64, width: int = 5) -
     spark = documents.sparkSession
     order = [F.col("doc_id").desc_nulls_last(), F.col("tie")]
     walked = (
-        documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+        text_batches(documents).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
         .withColumn("tie", F.xxhash64("text"))
         .repartitionByRange(partitions(spark), *order)
         .sortWithinPartitions(*order, "text")
@@ -184,4 +184,4 @@ def near_copies(documents: DataFrame, threshold: float = 0.8, slots: int = 64, b
 def text_classes(documents: DataFrame) -> DataFrame:
     """(doc_id, id, text): ``id`` is the SHA-256 of the text, which exact copies share."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return documents.select("doc_id", F.sha2(text, 256).alias("id"), text.alias("text"))
+    return text_batches(documents).select("doc_id", F.sha2(text, 256).alias("id"), text.alias("text"))

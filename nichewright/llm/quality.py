@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from nichewright.llm.shared import materialise, text_batches
 from nichewright.llm.text_features import SHAPE, collect_features, fold, hashed_sample, score_texts, shape, training_labels
 
 #: ``predicted`` is 1 from this score on; the quantile cut is mapped to it.
@@ -76,6 +77,7 @@ def fit_pairs(good: np.ndarray, poor: np.ndarray, pairs: int = 40000, rounds: in
 
 def train(documents: DataFrame, labels: DataFrame, most_each: int = 5000) -> PairModel:
     """Fits the weights on a bounded sample of labelled documents outside fold 0; ``cut`` is still open."""
+    documents = text_batches(documents)
     known = training_labels(labels, "quality")
     of = documents.select("doc_id").distinct().join(known, "doc_id")
     ids = [hashed_sample(of.where(F.col("label") == k).select("doc_id"), most_each, 3).withColumn("group", F.lit(k)) for k in (1, 0)]
@@ -118,8 +120,6 @@ def score(raw: Column, model: PairModel) -> Column:
 
 def quality_scores(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every document; the texts are scored once."""
-    from nichewright.llm.shared import materialise
-
     model = train(documents, labels)
     raw = materialise(raw_scores(documents, model), "quality-scores")
     model = with_cut(model, raw, labels)

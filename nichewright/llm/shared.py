@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from nichewright.plans.storage import materialise, work_dir
 
-__all__ = ["ascii_lower", "materialise", "partitions", "table", "work_dir"]
+__all__ = ["ascii_lower", "materialise", "partitions", "table", "text_batches", "work_dir"]
 
 #: Words are runs of anything but space, tab, line feed, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -28,3 +28,14 @@ def ascii_lower(column: Column) -> Column:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def text_batches(documents: DataFrame, most: int = 1000) -> DataFrame:
+    """The documents, after their session's Arrow batches were set to ``most`` rows at most.
+
+    The default of 10,000 rows counts rows, not bytes, and whole texts of that many can outgrow a Python worker's memory.
+    """
+    conf, key = documents.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= most:
+        conf.set(key, most)
+    return documents

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nichewright.llm.shared import materialise
+from nichewright.llm.shared import materialise, text_batches
 from nichewright.operators.components import connected_components
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -205,7 +205,7 @@ def roots(prints: DataFrame, threshold: int, block: int = 8192, g: int | None =
 
 def simhash_components(documents: DataFrame, threshold: int = 4, block: int = 8192, g: int | None = None) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row; the texts are read once and never shuffled."""
-    prints = materialise(documents.select("doc_id", fingerprints(F.col("text")).alias("fp")), "simhash")
+    prints = materialise(text_batches(documents).select("doc_id", fingerprints(F.col("text")).alias("fp")), "simhash")
     placed = roots(prints, threshold, block, g).join(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "fp")
     least = placed.groupBy("root").agg(F.min("first").alias("component_id"))
     of_print = placed.join(least, "root").select("fp", "component_id")
@@ -219,7 +219,7 @@ def drop_near_copies(documents: DataFrame, threshold: int = 4) -> DataFrame:
     The texts are shuffled once, to meet the list of those that stay.
     """
     keys = ["__nw_id", "__nw_fp", "__nw_text"]
-    keyed = documents.withColumns(
+    keyed = text_batches(documents).withColumns(
         {"__nw_id": F.coalesce(documents["doc_id"].cast("string"), F.lit("")), "__nw_fp": fingerprints(documents["text"]), "__nw_text": F.xxhash64(F.coalesce(documents["text"], F.lit("")))}
     )
     prints = materialise(keyed.select("doc_id", *keys).withColumnRenamed("__nw_fp", "fp"), "simhash")

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from nichewright.llm.shared import partitions, work_dir
+from nichewright.llm.shared import partitions, text_batches, work_dir
 
 NULL_ID = -(2**63)
 MANIFEST = "shard int, n_docs long, n_tokens long"
@@ -111,7 +111,7 @@ def write_token_files(documents: DataFrame, root: str, tokenizer_file: str, end_
     """Encodes ``documents`` (doc_id, text) and writes a token set to ``root``; returns its manifest."""
     spark = documents.sparkSession
     ordered = (
-        documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+        text_batches(documents).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
         .withColumn("tie", F.xxhash64("text"))
         .repartitionByRange(shards or partitions(spark), F.col("doc_id").asc_nulls_first(), "tie")
         .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie", "text")

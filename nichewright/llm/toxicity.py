@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from nichewright.llm.shared import text_batches
 from nichewright.llm.text_features import HashedWords, collect_features, fold, hashed_sample, score_texts, training_labels
 
 BITS = 18
@@ -89,6 +90,7 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds:
 
 def train(documents: DataFrame, labels: DataFrame, positives: int = 4000, unlabelled: int = 10000, features: int = 1024) -> WordModel:
     """Fits on the labels of ``column`` toxic outside fold 0 and on unlabelled text outside fold 0."""
+    documents = text_batches(documents)
     known = training_labels(labels, "toxic")
     shares = {r.label: r["count"] for r in known.groupBy("label").count().collect()}
     if not shares.get(1):
