@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from nichewright.llm import mixing
 from nichewright.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,11 +38,15 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_plan(table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, most_repeats=2)
+
+
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from nichewright.llm.minhash import edited_fingerprints
 
     return edited_fingerprints(table(spark, sf_dir, "documents"), slots=64, width=5)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_files, op3_simhash, op7_toxicity, op8_quality, op10_minhash)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_files, op3_simhash, op7_toxicity, op8_quality, op9_mixing, op10_minhash)}
+ORACLE_SQL: dict[str, str] = {"op9_mixing": mixing.oracle_sql()}
