@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nichewright.llm import mixing
+from nichewright.llm import licenses, mixing, url_filter
 from nichewright.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,12 +20,20 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.filter_urls(table(spark, sf_dir, "pages"), url_filter.RULES)
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from nichewright.llm.simhash import simhash_components
 
     return simhash_components(table(spark, sf_dir, "documents"), threshold=4)
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from nichewright.llm.toxicity import toxicity_scores
 
@@ -48,5 +56,5 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(table(spark, sf_dir, "documents"), slots=64, width=5)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_files, op3_simhash, op7_toxicity, op8_quality, op9_mixing, op10_minhash)}
-ORACLE_SQL: dict[str, str] = {"op9_mixing": mixing.oracle_sql()}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_files, op2_url_filter, op3_simhash, op6_licenses, op7_toxicity, op8_quality, op9_mixing, op10_minhash)}
+ORACLE_SQL: dict[str, str] = {"op2_url_filter": url_filter.oracle_sql(), "op6_licenses": licenses.oracle_sql(), "op9_mixing": mixing.oracle_sql()}
