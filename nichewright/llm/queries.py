@@ -30,6 +30,22 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"), threshold=4)
 
 
+def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from nichewright.llm.pieces import round_trip
+
+    return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), dropout=0.1, variants=4)
+
+
+def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from nichewright.llm.ann import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, F.col("embedding"), k=5)
+
+
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -56,5 +72,5 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(table(spark, sf_dir, "documents"), slots=64, width=5)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_files, op2_url_filter, op3_simhash, op6_licenses, op7_toxicity, op8_quality, op9_mixing, op10_minhash)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_files, op2_url_filter, op3_simhash, op4_pieces, op5_nearest, op6_licenses, op7_toxicity, op8_quality, op9_mixing, op10_minhash)}
 ORACLE_SQL: dict[str, str] = {"op2_url_filter": url_filter.oracle_sql(), "op6_licenses": licenses.oracle_sql(), "op9_mixing": mixing.oracle_sql()}
