@@ -25,7 +25,6 @@ from array import array
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -47,7 +46,7 @@ PLACES = 1 << 12
 class PieceCoder:
     """Encodes and decodes with one model; equal parts of a variant are merged once while they are kept."""
 
-    def __init__(self, model_file: str, dropout: float = 0.1, seed: int = 23, most_parts: int = 800_000):
+    def __init__(self, model_file: str, dropout: float = 0.1, seed: int = 23, most_parts: int = 300_000):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=model_file)
@@ -169,11 +168,13 @@ def variant_of(doc_id: Column, variants: int, seed: int) -> Column:
 def encode_documents(documents: DataFrame, model_file: str, dropout: float = 0.1, variants: int = 4, seed: int = 23) -> DataFrame:
     """The documents with a column ``piece_ids``; a column of that name is replaced."""
 
-    @F.pandas_udf("array<int>")
-    def encoded(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<int>")
+    def encoded(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         coder = coder_of(model_file, dropout, seed)
         for texts, chosen in batches:
-            yield pd.Series([coder.encode(t, v) for t, v in zip(texts, chosen, strict=True)])
+            ids = [coder.encode(t.as_py(), v.as_py()) for t, v in zip(texts, chosen, strict=True)]
+            offsets = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+            yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))
 
     return text_batches(documents).withColumn("piece_ids", encoded(F.coalesce(documents["text"], F.lit("")), variant_of(documents["doc_id"], variants, seed)))
 

@@ -23,7 +23,6 @@ import itertools
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -57,9 +56,9 @@ def fingerprint(raw: bytes, words: int = 4, seed: int = 42) -> int:
 
 
 def fingerprints(text: Column, words: int = 4, seed: int = 42) -> Column:
-    @F.pandas_udf("long")
-    def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([fingerprint(x, words, seed) for x in texts], dtype="int64")
+    @F.arrow_udf("long")
+    def of(texts: pa.Array) -> pa.Array:
+        return pa.array((fingerprint(x.as_py(), words, seed) for x in texts), pa.int64(), size=len(texts))
 
     return of(F.coalesce(text, F.lit("")).cast("binary"))
 

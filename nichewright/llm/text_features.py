@@ -7,7 +7,6 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,7 +23,7 @@ def words(raw: bytes) -> list[bytes]:
 class HashedWords:
     """The distinct hashed words of a text as feature indices; the hashes of recent words are kept."""
 
-    def __init__(self, bits: int = 18, most: int = 400_000):
+    def __init__(self, bits: int = 18, most: int = 100_000):
         self.mask, self.most, self.cache = (1 << bits) - 1, most, {}
 
     def __call__(self, raw: bytes) -> np.ndarray:
@@ -130,10 +129,10 @@ def collect_features(documents: DataFrame, ids: DataFrame, featurise, value_type
 
 def score_texts(texts: Column, scorer) -> Column:
     """A double for each text by ``scorer()(raw bytes)``; null counts as empty."""
-    @F.pandas_udf("double")
-    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         score = scorer()
         for batch in batches:
-            yield pd.Series([score(x) for x in batch], dtype="float64")
+            yield pa.array((score(x.as_py()) for x in batch), pa.float64(), size=len(batch))
 
     return scored(F.coalesce(texts, F.lit("")).cast("binary"))
