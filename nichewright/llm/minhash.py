@@ -40,7 +40,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 class MinHasher:
     """Signatures of UTF-8 texts; the hashes of recent words are kept."""
 
-    def __init__(self, slots: int = 64, width: int = 5, seed: int = 11, most_words: int = 300_000):
+    def __init__(self, slots: int = 64, width: int = 5, seed: int = 11, most_words: int = 150_000):
         rng = np.random.default_rng(seed)
         draw = lambda n: rng.integers(0, 2**64, n, np.uint64, endpoint=False) | np.uint64(1)
         self.place, self.a, self.b = draw(width), draw(slots)[:, None], draw(slots)[:, None]

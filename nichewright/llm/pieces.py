@@ -41,12 +41,14 @@ _LINE_PARTS = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
 
 NEVER = 1 << 40
 PLACES = 1 << 12
+#: Last slot of the table that tells parts met before from new ones; most parts are met once and aren't kept.
+DOOR = (1 << 23) - 1
 
 
 class PieceCoder:
     """Encodes and decodes with one model; equal parts of a variant are merged once while they are kept."""
 
-    def __init__(self, model_file: str, dropout: float = 0.1, seed: int = 23, most_parts: int = 300_000):
+    def __init__(self, model_file: str, dropout: float = 0.1, seed: int = 23, most_parts: int = 500_000):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=model_file)
@@ -72,7 +74,7 @@ class PieceCoder:
         self.of_place, self.of_rank = (rng.integers(0, 1 << 30, n).tolist() for n in (PLACES, len(place)))
         self.kept: dict[int, dict[str, bytes]] = {}
         self.older: dict[int, dict[str, bytes]] = {}
-        self.n_kept = 0
+        self.n_kept, self.door = 0, bytearray(DOOR + 1)
 
     def _merge(self, part: str, variant: int) -> list[str]:
         """The pieces of a part by its agenda."""
@@ -139,16 +141,31 @@ class PieceCoder:
             text = text.replace(MARK, OWN_MARK)
         parts = self.cut.findall(MARK + text.replace(" ", MARK))
         kept = self.kept.setdefault(variant, {})
+        once: dict[str, bytes] = {}
         new = set(parts).difference(kept)
         if new:
             if self.n_kept + len(new) > self.most_parts // 2:  # what was asked for since the last time stays within reach
                 self.older, self.n_kept, new = self.kept, 0, set(parts)
                 self.kept = {variant: (kept := {})}
-            older = self.older.get(variant, {})
+            older, door = self.older.get(variant, {}), self.door
             for part in new:
-                kept[part] = older.get(part) or self._part_ids(part, variant)
-            self.n_kept += len(new)
-        return np.frombuffer(b"".join(map(kept.__getitem__, parts)), np.int32)
+                if found := older.get(part):
+                    kept[part] = found
+                    self.n_kept += 1
+                    continue
+                found = self._part_ids(part, variant)
+                slot = hash((part, variant)) & DOOR
+                if door[slot]:  # met before: it is likely to come again
+                    kept[part] = found
+                    self.n_kept += 1
+                else:
+                    door[slot] = 1
+                    once[part] = found
+        kept.update(once)
+        ids = np.frombuffer(b"".join(map(kept.__getitem__, parts)), np.int32)
+        for part in once:
+            del kept[part]
+        return ids
 
     def decode(self, ids) -> str:
         """The text of a whole text's ids."""
@@ -165,7 +182,7 @@ def variant_of(doc_id: Column, variants: int, seed: int) -> Column:
     return F.when(doc_id.isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(doc_id, F.lit(seed)), F.lit(variants))).cast("int")
 
 
-def encode_documents(documents: DataFrame, model_file: str, dropout: float = 0.1, variants: int = 4, seed: int = 23) -> DataFrame:
+def encode_documents(documents: DataFrame, model_file: str, dropout: float = 0.1, variants: int = 2, seed: int = 23) -> DataFrame:
     """The documents with a column ``piece_ids``; a column of that name is replaced."""
 
     @F.arrow_udf("array<int>")
@@ -179,7 +196,7 @@ def encode_documents(documents: DataFrame, model_file: str, dropout: float = 0.1
     return text_batches(documents).withColumn("piece_ids", encoded(F.coalesce(documents["text"], F.lit("")), variant_of(documents["doc_id"], variants, seed)))
 
 
-def round_trip(documents: DataFrame, model_file: str, dropout: float = 0.1, variants: int = 4, seed: int = 23) -> DataFrame:
+def round_trip(documents: DataFrame, model_file: str, dropout: float = 0.1, variants: int = 2, seed: int = 23) -> DataFrame:
     """(doc_id, variant, n_pieces, ids_crc32, decoded_sha256, lossless) for every document: its ids and what they decode to."""
     rows = text_batches(documents).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), variant_of(F.col("doc_id"), variants, seed).alias("variant"))
 
