@@ -39,7 +39,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model"), dropout=0.1, variants=4)
+    return encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model"), dropout=0.1, variants=2)
 
 
 STAGES = [("toxicity", toxicity), ("quality", quality), ("near_copies", near_copies), ("mixing", mixing), ("pieces", pieces)]
