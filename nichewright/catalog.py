@@ -1,10 +1,678 @@
-"""The registered queries of the library's own operators and their SQL."""
+"""The registered queries of the library's own operators and their SQL.
+
+Every query runs over its whole tables.  Doubles are rounded to six decimals on both sides; queries without SQL are those whose
+result no plain SQL gives in reasonable time, and the tests hold them against brute force.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from nichewright import views
+from nichewright.functions.portable import uniform_sql
+from nichewright.operators import assignment, clustering, features, graphs, measures, metrics, neighbors, pooling, structures, transport
+from nichewright.plans.storage import materialise
+from nichewright.views import POINT_RADIUS, RADIUS, TRANSPORT_RADIUS, Z, cells, counts, labels, points, table, vectors, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+#: The transport queries: two z, weights of the token components, and a kernel of few sweeps that SQL can unroll.
+TZ = range(3, 5)
+TOKEN = (10.0, 0.25, 0.1)
+EPSILON, SWEEPS = 0.5, 3
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def r6(column: Column | str) -> Column:
+    return F.round(F.col(column) if isinstance(column, str) else column, 6) + F.lit(0.0)
+
+
+def s6(expression: str) -> str:
+    return f"(round({expression}, 6) + 0.0::DOUBLE)"
+
+
+def rounded(df: DataFrame) -> DataFrame:
+    """The same rows with every double rounded."""
+    return df.select(*(r6(c).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes))
+
+
+# Pooling ------------------------------------------------------------------------------------------------------------------
+
+
+@query(with_views("cells") + f"SELECT sample_id, COUNT(*) AS n_cells, {', '.join(f'{s6(f'{m}({a})')} AS {m}_{a}' for a in 'xy' for m in ('min', 'max'))} FROM cells GROUP BY sample_id")
+def pool_sample_summary(spark, d):
+    return rounded(pooling.sample_summary(cells(spark, d)))
+
+
+@query(
+    with_views(
+        "cells",
+        "s AS (SELECT sample_id, min(x) AS ax, max(x) AS bx, min(y) AS ay, max(y) AS by_ FROM cells GROUP BY sample_id)",
+        "g AS (SELECT *, row_number() OVER (ORDER BY sample_id) - 1 AS at_, ceil(sqrt(COUNT(*) OVER ())) AS cols, max(bx - ax) OVER () AS w, max(by_ - ay) OVER () AS h FROM s)",
+        "t AS (SELECT *, CAST(at_ % CAST(cols AS BIGINT) AS INTEGER) AS c, CAST(floor(at_ / cols) AS INTEGER) AS r, greatest(10000.0::DOUBLE, 10.0::DOUBLE * greatest(w, h)) AS gap FROM g)",
+    )
+    + f"SELECT row_idx, sample_id, c AS layout_col, r AS layout_row, {s6('x + c * (greatest(w, 1.0::DOUBLE) + gap) - ax')} AS pooled_x, {s6('y + r * (greatest(h, 1.0::DOUBLE) + gap) - ay')} AS pooled_y FROM cells JOIN t USING (sample_id)"
+)
+def pool_tiles(spark, d):
+    own = cells(spark, d)
+    moved = pooling.translate(own, pooling.tile_layout(pooling.sample_summary(own)))
+    return rounded(moved.select("row_idx", "sample_id", "layout_col", "layout_row", "pooled_x", "pooled_y"))
+
+
+@query("""SELECT 'a' AS sample_id, 'a:' || c_custkey AS pooled_id, CAST(c_custkey AS BIGINT) AS cell_id, c_acctbal AS x, CAST(c_nationkey AS DOUBLE) AS y, c_acctbal AS original_x, c_mktsegment AS segment FROM customer
+UNION ALL SELECT 'b', 'b:' || s_suppkey, CAST(s_suppkey AS BIGINT), s_acctbal, CAST(s_nationkey AS DOUBLE), s_acctbal, NULL FROM supplier""")
+def pool_union_tagged(spark, d):
+    a = table(spark, d, "customer").select(F.col("c_custkey").alias("cell_id"), F.col("c_acctbal").alias("x"), F.col("c_nationkey").cast("double").alias("y"), F.col("c_mktsegment").alias("segment"))
+    b = table(spark, d, "supplier").select(F.col("s_suppkey").alias("cell_id"), F.col("s_acctbal").alias("x"), F.col("s_nationkey").cast("double").alias("y"))
+    return pooling.pool([("a", a), ("b", b)]).select("sample_id", "pooled_id", "cell_id", "x", "y", "original_x", "segment")
+
+
+@query(r"""SELECT p_partkey, upper(regexp_replace(regexp_replace(regexp_replace(regexp_replace('in/dir/xenium_' || p_brand || '_processed.h5ad', '^.*/', ''), '\.[^.]*$', ''), '^xenium_', ''), '_processed$', '')) AS sample_id FROM part""")
+def sample_id_from_filename(spark, d):
+    name = F.concat(F.lit("in/dir/xenium_"), F.col("p_brand"), F.lit("_processed.h5ad"))
+    return table(spark, d, "part").select("p_partkey", pooling.sample_id(name, "xenium_", "_processed", "upper").alias("sample_id"))
+
+
+@query("SELECT o.o_orderkey, o.o_custkey, c.c_mktsegment AS feature FROM orders o JOIN customer c ON c.c_custkey = o.o_custkey")
+def distribute_features_by_key(spark, d):
+    pooled = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("feature"))
+    return pooling.distribute(pooled, table(spark, d, "orders").select("o_orderkey", "o_custkey"), ("o_custkey",), check=False)
+
+
+@query("""SELECT s_nationkey AS k, 'missing' AS problem FROM supplier WHERE s_nationkey NOT IN (SELECT c_nationkey FROM customer)
+UNION ALL SELECT c_nationkey, 'repeated in pooled' FROM customer GROUP BY 1 HAVING COUNT(*) > 1
+UNION ALL SELECT s_nationkey, 'repeated in source' FROM supplier GROUP BY 1 HAVING COUNT(*) > 1""")
+def alignment_violations(spark, d):
+    return pooling.violations(table(spark, d, "customer").select(F.col("c_nationkey").alias("k")), table(spark, d, "supplier").select(F.col("s_nationkey").alias("k")), ("k",))
+
+
+# Features -----------------------------------------------------------------------------------------------------------------
+
+
+@query(with_views("counts") + f"SELECT row_idx, gene, {s6('value')} AS value, {s6('ln(1.0::DOUBLE + value * 10000.0::DOUBLE / SUM(value) OVER (PARTITION BY row_idx))')} AS normalised FROM counts")
+def library_size_log1p(spark, d):
+    return rounded(features.library_size_log1p(counts(spark, d)))
+
+
+@query(with_views("zs") + " UNION ALL ".join(f"SELECT {i} AS dim, {s6(f'avg(z{k})')} AS mean, {s6(f'stddev_pop(z{k})')} AS scale FROM zs" for i, k in enumerate(Z)))
+def zscore_features(spark, d):
+    return rounded(features.column_stats(vectors(spark, d)))
+
+
+@query(with_views("zs") + "SELECT row_idx, " + ", ".join(f"{s6(f'(z{k} - avg(z{k}) OVER ()) / stddev_pop(z{k}) OVER ()')} AS f{i}" for i, k in enumerate(Z)) + " FROM zs")
+def precomputed_embedding(spark, d):
+    state = features.fit_embedding(vectors(spark, d), method="precomputed")
+    out = vectors(spark, d).select("row_idx", state.transform(F.col("z")).alias("f"))
+    return rounded(out.select("row_idx", *(F.col("f")[i].alias(f"f{i}") for i in range(len(Z)))))
+
+
+#: A made-up state of two axes over eight features.
+STATE = features.EmbeddingState(tuple(0.01 * i for i in range(8)), tuple(0.1 + 0.01 * i for i in range(8)), ((0.5,) * 8, (1.0, -1.0) * 4), (0.1,) * 8, (0.2, -0.3), (1.5, 2.5))
+
+
+def _state_sql() -> str:
+    scaled = [f"((z{k} - {m!r}::DOUBLE) / {s!r}::DOUBLE - 0.1::DOUBLE)" for k, m, s in zip(Z, STATE.mean, STATE.scale, strict=True)]
+    axes = [" + ".join(f"{w}::DOUBLE * {z}" for w, z in zip(c, scaled, strict=True)) for c in STATE.components]
+    return with_views("zs") + "SELECT row_idx, " + ", ".join(f"{s6(f'(({a}) - {m}::DOUBLE) / {s}::DOUBLE')} AS e{i}" for i, (a, m, s) in enumerate(zip(axes, STATE.out_mean, STATE.out_scale, strict=True))) + " FROM zs"
+
+
+@query(_state_sql())
+def embedding_state_transform(spark, d):
+    out = vectors(spark, d).select("row_idx", STATE.transform(F.col("z")).alias("e"))
+    return rounded(out.select("row_idx", F.col("e")[0].alias("e0"), F.col("e")[1].alias("e1")))
+
+
+@query("SELECT unnest(range(4))::INTEGER AS dim, 0.0::DOUBLE AS mean, 1.0::DOUBLE AS scale")
+def pca_embedding_variance(spark, d):
+    """Whatever the axes, each has mean 0 and deviation 1."""
+    state = features.fit_embedding(vectors(spark, d), method="pca", dimensions=4)
+    return rounded(features.column_stats(vectors(spark, d).select(state.transform(F.col("z")).alias("z"))))
+
+
+@query()
+def svd_embedding(spark, d):
+    state = features.fit_embedding(vectors(spark, d), method="svd", dimensions=4)
+    return rounded(vectors(spark, d).select("row_idx", F.posexplode(state.transform(F.col("z"))).alias("axis", "value")))
+
+
+# Neighbors ----------------------------------------------------------------------------------------------------------------
+
+
+@query(with_views("edges") + f"SELECT row_idx, neighbor, {s6('distance')} AS distance FROM edges")
+def radius_neighbors(spark, d):
+    return rounded(neighbors.radius_edges(cells(spark, d), RADIUS))
+
+
+@query(with_views("point_edges") + "SELECT p.row_idx, COUNT(e.neighbor) AS n_neighbors FROM points p LEFT JOIN point_edges e USING (row_idx) GROUP BY 1")
+def radius_neighbor_counts(spark, d):
+    own = points(spark, d)
+    return neighbors.neighbor_counts(own, neighbors.radius_edges(own, POINT_RADIUS))
+
+
+@query(
+    with_views("point_edges", "n AS (SELECT p.row_idx, COUNT(e.neighbor) AS f FROM points p LEFT JOIN point_edges e USING (row_idx) GROUP BY 1)")
+    + f"SELECT row_idx, f::INTEGER AS n_neighbors_full_r12, least(f, 4)::INTEGER AS n_neighbors_retained_r12, {s6('least(f, 4)::DOUBLE / greatest(f, 1)')} AS neighbor_retention_fraction_r12, {s6('f / (pi() * 144)')} AS local_density_full_per_um2_r12, {s6('least(f, 4) / (pi() * 144)')} AS local_density_retained_per_um2_r12 FROM n"
+)
+def neighbor_density(spark, d):
+    own = points(spark, d)
+    full = neighbors.neighbor_counts(own, neighbors.radius_edges(own, POINT_RADIUS))
+    columns = neighbors.density_columns(F.col("n_neighbors"), F.least("n_neighbors", F.lit(4)), POINT_RADIUS)
+    return rounded(full.select("row_idx", *(c.alias(n) for n, c in columns.items())))
+
+
+@query(with_views("point_edges") + f"SELECT row_idx, neighbor, {s6('distance')} AS distance, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY row_idx ORDER BY distance, neighbor) AS rank FROM point_edges) WHERE rank <= 3")
+def instance_neighbors_topk(spark, d):
+    return rounded(neighbors.nearest_within(neighbors.radius_edges(points(spark, d), POINT_RADIUS), 3))
+
+
+# Measures -----------------------------------------------------------------------------------------------------------------
+
+
+def _weighted(edges: DataFrame, radius: float, kernel: str) -> DataFrame:
+    return edges.withColumn("weight", measures.kernel_weight(F.col("distance"), radius, kernel))
+
+
+WEIGHT_SQL = {"gaussian": "exp(-0.5::DOUBLE * (distance / {h}) * (distance / {h}))", "inverse": "1.0::DOUBLE / greatest(distance, 1e-6)", "uniform": "1.0::DOUBLE"}
+
+
+def _support_sql(view: str, own: str, radius: float, kernel: str = "gaussian") -> str:
+    weight = WEIGHT_SQL[kernel].format(h=f"{radius / 2}::DOUBLE")
+    return f"""support AS (SELECT *, weight / greatest(SUM(weight) OVER (PARTITION BY row_idx), 1e-12) AS mass FROM (
+  SELECT row_idx, neighbor, distance, dx, dy, {weight} AS weight FROM {view}
+  UNION ALL SELECT row_idx, row_idx, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 1.0::DOUBLE FROM {own}))"""
+
+
+def _kernel_query(kernel: str):
+    def run(spark, d):
+        own = cells(spark, d)
+        return rounded(measures.assemble(own, _weighted(neighbors.radius_edges(own, RADIUS), RADIUS, kernel)))
+
+    run.__name__ = f"kernel_weights_{kernel}"
+    sql = with_views("edges", _support_sql("edges", "cells", RADIUS, kernel))
+    query(sql + f"SELECT row_idx, neighbor, {s6('distance')} AS distance, {s6('weight')} AS weight, {s6('mass')} AS mass FROM support")(run)
+
+
+for _kernel in WEIGHT_SQL:
+    _kernel_query(_kernel)
+
+
+def _isolated_query(policy: str, stand_in: str):
+    def run(spark, d):
+        own = points(spark, d)
+        return rounded(measures.assemble(own, _weighted(neighbors.radius_edges(own, POINT_RADIUS), POINT_RADIUS, "uniform"), include_anchor=False, isolated=policy))
+
+    run.__name__ = f"isolated_{policy}"
+    query(
+        with_views("point_edges")
+        + f"""SELECT row_idx, neighbor, {s6('distance')} AS distance, 1.0::DOUBLE AS weight, {s6('1.0::DOUBLE / COUNT(*) OVER (PARTITION BY row_idx)')} AS mass
+FROM (SELECT row_idx, neighbor, distance FROM point_edges UNION ALL SELECT row_idx, {stand_in}, 0.0::DOUBLE FROM points WHERE row_idx NOT IN (SELECT row_idx FROM point_edges))"""
+    )(run)
+
+
+_isolated_query("anchor_fallback", "row_idx")
+_isolated_query("zero_dummy", "-1")
+
+
+def _tokens(spark, d, radius: float = RADIUS, dims=Z) -> DataFrame:
+    own = cells(spark, d)
+    support = measures.assemble(own, _weighted(neighbors.radius_edges(own, radius), radius, "gaussian"))
+    return measures.tokens(support, own, vectors(spark, d, dims), radius)
+
+
+@query(
+    with_views("edges zs", _support_sql("edges", "cells", RADIUS))
+    + f"SELECT s.row_idx, s.neighbor, {s6('mass')} AS mass, {s6('z3')} AS z0, {s6('z10')} AS z7, round(dx / {RADIUS}::DOUBLE, 9) + 0.0::DOUBLE AS rx, round(dy / {RADIUS}::DOUBLE, 9) + 0.0::DOUBLE AS ry, {s6(f'distance / {RADIUS}::DOUBLE')} AS rr FROM support s JOIN zs z ON z.row_idx = s.neighbor"
+)
+def measure_tokens(spark, d):
+    """Relative positions are multiples of 1.25e-7, which six decimals would round at ties: they keep nine."""
+    own = _tokens(spark, d).select("row_idx", "neighbor", "mass", F.col("z")[0].alias("z0"), F.col("z")[7].alias("z7"), "rx", "ry", "rr")
+    return own.select("row_idx", "neighbor", *(r6(c).alias(c) for c in ("mass", "z0", "z7", "rr")), *((F.round(c, 9) + F.lit(0.0)).alias(c) for c in ("rx", "ry")))
+
+
+@query("SELECT 8.0::DOUBLE AS z_scale, 2.0::DOUBLE AS xy_scale, 1.0::DOUBLE AS r_scale")
+def component_scales_dimension(spark, d):
+    return spark.createDataFrame([measures.component_scales(_tokens(spark, d), "dimension")], "z_scale double, xy_scale double, r_scale double")
+
+
+@query(
+    with_views(
+        "edges zs",
+        _support_sql("edges", "cells", RADIUS),
+        f"chosen AS (SELECT s.*, row_number() OVER (ORDER BY {uniform_sql(1337, 's.row_idx', 's.neighbor')}, s.row_idx, s.neighbor) - 1 AS at_ FROM support s)",
+        f"placed AS (SELECT at_ // 2 AS pair, at_ % 2 AS side, dx / {RADIUS} AS rx, dy / {RADIUS} AS ry, distance / {RADIUS} AS rr, z.* FROM chosen c JOIN zs z ON z.row_idx = c.neighbor WHERE at_ < 2000)",
+        "costs AS (SELECT " + " + ".join(f"(a.z{k} - b.z{k}) * (a.z{k} - b.z{k})" for k in Z) + " AS zc, (a.rx - b.rx) * (a.rx - b.rx) + (a.ry - b.ry) * (a.ry - b.ry) AS xc, (a.rr - b.rr) * (a.rr - b.rr) AS rc FROM placed a JOIN placed b ON a.pair = b.pair AND a.side = 0 AND b.side = 1)",
+    )
+    + "SELECT " + ", ".join(f"{s6(f'COALESCE(greatest(median({c}) FILTER ({c} > 0), 1e-8), 1.0::DOUBLE)')} AS {n}" for c, n in (("zc", "z_scale"), ("xc", "xy_scale"), ("rc", "r_scale"))) + " FROM costs"
+)
+def component_scales_sampled_median(spark, d):
+    return rounded(measures.sampled_scales(_tokens(spark, d), pairs=1000, seed=1337))
+
+
+def _cap_sql(state: str) -> str:
+    return (
+        with_views(
+            "wide_edges",
+            f"w AS (SELECT *, {WEIGHT_SQL['gaussian'].format(h='15.0::DOUBLE')} AS weight, floor(least(greatest(distance / 30.0::DOUBLE, 0), 0.999999) * 4)::BIGINT * 100000 + {state} AS stratum, COUNT(*) OVER (PARTITION BY row_idx) AS n FROM wide_edges)",
+            f"k AS (SELECT *, -ln({uniform_sql(1337, 'row_idx', 'neighbor')}) / greatest(weight, 1e-300) AS key FROM w)",
+            "m AS (SELECT *, SUM(weight) OVER (PARTITION BY row_idx, stratum) AS mass, row_number() OVER (PARTITION BY row_idx, stratum ORDER BY key, neighbor) AS place FROM k WHERE n > 6)",
+            f"q AS (SELECT *, -ln({uniform_sql(1338, 'row_idx', 'stratum')}) / greatest(mass, 1e-300) AS race FROM m)",
+            "ranked AS (SELECT *, dense_rank() OVER (PARTITION BY row_idx ORDER BY race, stratum) AS rank FROM q)",
+            "pick AS (SELECT *, row_number() OVER (PARTITION BY row_idx ORDER BY CASE WHEN place = 1 AND rank <= 6 THEN 0 ELSE 1 END, key, neighbor) AS pick FROM ranked)",
+        )
+        + f"SELECT row_idx, neighbor, {s6('weight')} AS weight FROM k WHERE n <= 6 UNION ALL SELECT row_idx, neighbor, {s6('weight')} FROM pick WHERE pick <= 6"
+    )
+
+
+def _capped(spark, d, by_state: bool) -> DataFrame:
+    edges = _weighted(neighbors.radius_edges(points(spark, d), 30.0), 30.0, "gaussian").withColumn("state", F.col("neighbor") % 3)
+    return rounded(measures.cap_neighbors(edges, 30.0, 6, shells=4, by_state=by_state).select("row_idx", "neighbor", "weight"))
+
+
+@query(_cap_sql("0"))
+def cap_radial_shell(spark, d):
+    return _capped(spark, d, False)
+
+
+@query(_cap_sql("neighbor % 3"))
+def cap_radial_shell_state(spark, d):
+    return _capped(spark, d, True)
+
+
+# Structures ---------------------------------------------------------------------------------------------------------------
+
+
+def _structure_sql(value: str) -> str:
+    return with_views("edges", _support_sql("edges", "cells", RADIUS), f"u AS (SELECT row_idx, neighbor, dx / {RADIUS}::DOUBLE AS rx, dy / {RADIUS}::DOUBLE AS ry FROM support)") + f"SELECT row_idx, a, b, {s6(value)} AS value FROM (SELECT p.row_idx, p.neighbor AS a, q.neighbor AS b, sqrt((p.rx - q.rx) * (p.rx - q.rx) + (p.ry - q.ry) * (p.ry - q.ry)) AS d FROM u p JOIN u q USING (row_idx))"
+
+
+@query(_structure_sql("d"))
+def structure_complete(spark, d):
+    return rounded(structures.structure_pairs(_tokens(spark, d), "complete_euclidean"))
+
+
+@query(_structure_sql("CASE WHEN a = b THEN 0.0::DOUBLE WHEN d > 0 AND d <= 0.5 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END"))
+def structure_binary_edge(spark, d):
+    return rounded(structures.structure_pairs(_tokens(spark, d), "adjacency", 0.5))
+
+
+def _packed(spark, d, radius: float = RADIUS, dims=Z) -> DataFrame:
+    return measures.packed(measures.scaled_tokens(_tokens(spark, d, radius, dims), TOKEN, (1.0, 1.0, 1.0)))
+
+
+@query()
+def structure_knn_shortest_path(spark, d):
+    return rounded(structures.unpacked(structures.packed_structures(_packed(spark, d), "knn_shortest_path", knn=2)))
+
+
+@query()
+def structure_radius_shortest_path(spark, d):
+    return rounded(structures.unpacked(structures.packed_structures(_packed(spark, d), "radius_shortest_path", fraction=0.5)))
+
+
+@query()
+def structure_diagnostics(spark, d):
+    return rounded(structures.diagnostics(structures.packed_structures(_packed(spark, d), "radius_shortest_path", fraction=0.5), "radius_shortest_path"))
+
+
+# Transport ----------------------------------------------------------------------------------------------------------------
+
+
+def _sinkhorn_sql(pairs: str, sweeps: int = SWEEPS, extra: str = "") -> list[str]:
+    """CTEs: tokens ``tok``, pair rows ``k0`` (p, q, l, r, la, lb, cost) for ``pairs`` (p, q), and the plan ``plan`` after the sweeps."""
+    by = [w**0.5 for w in TOKEN]
+    tok = f"tok AS (SELECT s.row_idx, s.neighbor, mass, ln(mass) AS lm, z3 * {by[0]!r}::DOUBLE AS t0, z4 * {by[0]!r}::DOUBLE AS t1, dx / {TRANSPORT_RADIUS} * {by[1]!r}::DOUBLE AS t2, dy / {TRANSPORT_RADIUS} * {by[1]!r}::DOUBLE AS t3, distance / {TRANSPORT_RADIUS} * {by[2]!r}::DOUBLE AS t4, dx / {TRANSPORT_RADIUS} AS rx, dy / {TRANSPORT_RADIUS} AS ry FROM support s JOIN zs z ON z.row_idx = s.neighbor)"
+    cost = " + ".join(f"(a.t{i} - b.t{i}) * (a.t{i} - b.t{i})" for i in range(5))
+    k0 = f"k0 AS (SELECT p, q, a.neighbor AS l, b.neighbor AS r, a.mass AS ma, b.mass AS mb, a.lm AS la, b.lm AS lb, {cost} AS cost FROM ({pairs}) JOIN tok a ON a.row_idx = p JOIN tok b ON b.row_idx = q)"
+    return [_support_sql("near", "cells", TRANSPORT_RADIUS), tok, k0, *_sweeps("k0", "cost", sweeps)]
+
+
+def _sweeps(source: str, cost: str, sweeps: int, name: str = "plan") -> list[str]:
+    out, at = [f"{name}_v0 AS (SELECT *, 0.0::DOUBLE AS v FROM {source})"], f"{name}_v0"
+    for n in range(1, sweeps + 1):
+        out.append(f"{name}_u{n} AS (SELECT * EXCLUDE (v), la - ln(SUM(exp(v - {cost} / {EPSILON})) OVER (PARTITION BY p, q, l)) AS u FROM {at})")
+        out.append(f"{name}_v{n} AS (SELECT * EXCLUDE (u), u AS uu, lb - ln(SUM(exp(u - {cost} / {EPSILON})) OVER (PARTITION BY p, q, r)) AS v FROM {name}_u{n})" if n == sweeps else f"{name}_v{n} AS (SELECT * EXCLUDE (u), lb - ln(SUM(exp(u - {cost} / {EPSILON})) OVER (PARTITION BY p, q, r)) AS v FROM {name}_u{n})")
+        at = f"{name}_v{n}"
+    return [*out, f"{name} AS (SELECT *, exp(uu + v - {cost} / {EPSILON}) AS mass FROM {at})"]
+
+
+ALL_PAIRS = "SELECT a.row_idx AS p, b.row_idx AS q FROM cells a JOIN cells b ON a.row_idx < b.row_idx"
+SELF_PAIRS = "SELECT row_idx AS p, row_idx AS q FROM cells"
+WITH_SELF = "SELECT a.row_idx AS p, b.row_idx AS q FROM cells a JOIN cells b ON a.row_idx <= b.row_idx"
+KERNEL = {"epsilon": EPSILON, "sweeps": SWEEPS}
+
+
+def _measures(spark, d) -> DataFrame:
+    return materialise(_packed(spark, d, TRANSPORT_RADIUS, TZ), "measures")
+
+
+@query(with_views("near zs", *_sinkhorn_sql(SELF_PAIRS)) + f"SELECT p AS row_idx, {s6('SUM(mass * cost)')} AS self_cost FROM plan GROUP BY p")
+def sinkhorn_self_cost(spark, d):
+    return rounded(transport.self_costs(_measures(spark, d), **KERNEL))
+
+
+@query(with_views("near zs", *_sinkhorn_sql(ALL_PAIRS)) + f"SELECT p AS i, q AS j, {s6('SUM(mass * cost)')} AS cost FROM plan GROUP BY p, q")
+def sinkhorn_cost(spark, d):
+    return rounded(transport.pair_costs(_measures(spark, d), **KERNEL))
+
+
+DEBIASED = [
+    *_sinkhorn_sql(WITH_SELF),
+    "raw AS (SELECT p, q, SUM(mass * cost) AS c FROM plan GROUP BY p, q)",
+    "debiased AS (SELECT r.p AS i, r.q AS j, greatest(r.c - 0.5 * a.c - 0.5 * b.c, 0) AS cost FROM raw r JOIN raw a ON a.p = r.p AND a.q = r.p JOIN raw b ON b.p = r.q AND b.q = r.q WHERE r.p < r.q)",
+]
+
+
+@query(with_views("near zs", *DEBIASED) + f"SELECT i, j, {s6('cost')} AS cost FROM debiased")
+def debiased_transport(spark, d):
+    return rounded(transport.distances(_measures(spark, d), mode="debiased", **KERNEL))
+
+
+@query(with_views("near zs", *DEBIASED) + f"SELECT i, j, {s6('cost + 0.3::DOUBLE * ((a.z3 - b.z3) * (a.z3 - b.z3) + (a.z4 - b.z4) * (a.z4 - b.z4))')} AS cost FROM debiased JOIN zs a ON a.row_idx = i JOIN zs b ON b.row_idx = j")
+def anchor_penalty(spark, d):
+    return rounded(transport.anchor_penalty(transport.distances(_measures(spark, d), mode="debiased", **KERNEL), vectors(spark, d, TZ), 0.3))
+
+
+@query(
+    with_views("near zs", *_sinkhorn_sql(ALL_PAIRS), "rows_ AS (SELECT p, q, l, abs(SUM(mass) - max(ma)) AS e FROM plan GROUP BY p, q, l)", "cols_ AS (SELECT p, q, r, abs(SUM(mass) - max(mb)) AS e FROM plan GROUP BY p, q, r)")
+    + f"SELECT p AS i, q AS j, {s6('max(e)')} AS cost FROM (SELECT p, q, e FROM rows_ UNION ALL SELECT p, q, e FROM cols_) GROUP BY p, q"
+)
+def marginal_error(spark, d):
+    return rounded(transport.pair_costs(_measures(spark, d), measure="error", **KERNEL))
+
+
+@query(
+    with_views("near zs", *DEBIASED, f"both_ AS (SELECT i, j, {s6('cost')} AS cost FROM debiased UNION ALL SELECT j, i, {s6('cost')} FROM debiased)")
+    + "SELECT i, j, cost, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY cost, j) AS rank FROM both_) WHERE rank <= 3"
+)
+def transport_knn(spark, d):
+    """The flagship: neighborhoods, their debiased transport distances, and each cell's three nearest."""
+    return graphs.knn(transport.mirrored(rounded(transport.distances(_measures(spark, d), mode="debiased", **KERNEL))), 3)
+
+
+FGW_FINAL = [
+    "st AS (SELECT x.row_idx, x.neighbor AS a, y.neighbor AS b, y.mass AS m, CASE WHEN x.neighbor = y.neighbor THEN 0.0::DOUBLE WHEN sqrt((x.rx - y.rx) * (x.rx - y.rx) + (x.ry - y.ry) * (x.ry - y.ry)) BETWEEN 1e-300 AND 0.5 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS c FROM tok x JOIN tok y USING (row_idx))",
+    "g AS (SELECT row_idx, a, SUM(c * m) AS g1, SUM(c * c * m) AS g2 FROM st GROUP BY 1, 2)",
+    "f0 AS (SELECT k0.*, x.g2 + y.g2 AS fixed, 0.5 * cost + 0.5 * greatest(x.g2 + y.g2 - 2 * x.g1 * y.g1, 0) AS blend FROM k0 JOIN g x ON x.row_idx = p AND x.a = l JOIN g y ON y.row_idx = q AND y.a = r)",
+    *_sweeps("f0", "blend", 2, "fp"),
+    "half AS (SELECT p, q, s.a AS l, f.r, SUM(s.c * f.mass) AS h FROM fp f JOIN st s ON s.row_idx = p AND s.b = f.l GROUP BY 1, 2, 3, 4)",
+    "crossed AS (SELECT p, q, h.l, s.a AS r, SUM(h.h * s.c) AS x FROM half h JOIN st s ON s.row_idx = q AND s.b = h.r GROUP BY 1, 2, 3, 4)",
+]
+
+
+@query(with_views("near zs", *_sinkhorn_sql(ALL_PAIRS, 1)[:3], *FGW_FINAL) + f"SELECT p AS i, q AS j, {s6('SUM(0.5 * mass * cost + 0.5 * mass * greatest(fixed - 2 * x, 0))')} AS cost FROM fp JOIN crossed USING (p, q, l, r) GROUP BY p, q")
+def fgw_cost_binary(spark, d):
+    packed = structures.packed_structures(_measures(spark, d), "binary_edge", fraction=0.5)
+    return rounded(transport.pair_costs(materialise(packed, "fgw"), measure="fgw", epsilon=EPSILON, sweeps=2, rounds=1, alpha=0.5))
+
+
+MEDOID_PAIRS = "SELECT a.row_idx AS p, m.row_idx AS q FROM cells a CROSS JOIN (SELECT min(row_idx) AS row_idx FROM cells GROUP BY sample_id) m"
+CROSS = [
+    *_sinkhorn_sql(f"{MEDOID_PAIRS} UNION {SELF_PAIRS}"),
+    "raw AS (SELECT p, q, SUM(mass * cost) AS c FROM plan GROUP BY p, q)",
+    f"cross_ AS (SELECT r.p AS i, r.q AS j, {s6('greatest(r.c - 0.5 * a.c - 0.5 * b.c, 0)')} AS cost FROM raw r JOIN raw a ON a.p = r.p AND a.q = r.p JOIN raw b ON b.p = r.q AND b.q = r.q WHERE r.q IN (SELECT min(row_idx) FROM cells GROUP BY sample_id))",
+    "two AS (SELECT c.*, sample_id AS niche, row_number() OVER (PARTITION BY i ORDER BY cost, j) AS rank FROM cross_ c JOIN cells ON cells.row_idx = j)",
+    "best AS (SELECT i AS row_idx, max(CASE WHEN rank = 1 THEN j END) AS nearest, max(CASE WHEN rank = 1 THEN niche END) AS found, max(CASE WHEN rank = 1 THEN cost END) AS cost, max(CASE WHEN rank = 2 THEN cost END) AS second FROM two WHERE rank <= 2 GROUP BY i)",
+]
+
+
+def _cross(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Debiased distances to the first cell of every label, and these medoids."""
+    medoids = cells(spark, d).groupBy(F.col("sample_id").alias("niche")).agg(F.min("row_idx").alias("medoid"))
+    packed = _measures(spark, d)
+    reference = materialise(packed.join(medoids.select(F.col("medoid").alias("row_idx")), "row_idx", "left_semi"), "reference")
+    return rounded(transport.distances(packed, reference, mode="debiased", **KERNEL)), medoids
+
+
+@query(with_views("near zs", *CROSS) + "SELECT i, j, cost FROM cross_")
+def cross_transport(spark, d):
+    return _cross(spark, d)[0]
+
+
+def _medoid_sql(niche: str) -> str:
+    score = "CASE WHEN second IS NULL THEN 1.0::DOUBLE ELSE (second - cost) / (second + 1e-8) END"
+    return with_views("near zs", *CROSS) + f"SELECT row_idx, nearest, CAST({niche.format(score=score)} AS INTEGER) AS niche, cost, {s6(score)} AS score FROM best"
+
+
+@query(_medoid_sql("found"))
+def medoid_assignment(spark, d):
+    return rounded(assignment.assign_by_medoids(*_cross(spark, d)))
+
+
+@query(_medoid_sql("CASE WHEN {score} < 0.2::DOUBLE THEN -1 ELSE found END"))
+def medoid_assignment_unknown(spark, d):
+    return rounded(assignment.assign_by_medoids(*_cross(spark, d), threshold=0.2))
+
+
+@query("SELECT * FROM (VALUES (6, 21::BIGINT, 945::BIGINT, 1134::BIGINT, 1890::BIGINT, 200::BIGINT, 24000::BIGINT)) t(n, pairs, work, structure_work, sinkhorn_work, cross_pairs, cross_work)")
+def work_estimates(spark, d):
+    own, fgw, cross = transport.pairwise_work(6, 3, 5), transport.pairwise_work(6, 3, 5, 2), transport.cross_work(10, 20, 4, 5, 6)
+    return spark.createDataFrame([(6, own["pairs"], own["work"], fgw["structure_work"], fgw["sinkhorn_work"], cross["pairs"], cross["work"])], "n int, pairs long, work long, structure_work long, sinkhorn_work long, cross_pairs long, cross_work long")
+
+
+@query("SELECT s AS support, r AS requested, CAST(CASE WHEN r <= 0 THEN m ELSE greatest(1, least(r, m)) END AS INTEGER) AS block FROM (SELECT s, r, CAST(floor(sqrt(1073741824.0::DOUBLE / (4 * s * s * 4))) AS BIGINT) AS m FROM (VALUES (9), (33), (101)) a(s) CROSS JOIN (VALUES (0), (64), (100000)) b(r))")
+def block_size_choice(spark, d):
+    rows = [(s, r, transport.block_size(s, r, 1.0)) for s in (9, 33, 101) for r in (0, 64, 100000)]
+    return spark.createDataFrame(rows, "support int, requested int, block int")
+
+
+# Graphs and metrics over squared distances of the whole table --------------------------------------------------------------
+
+
+def _distance(spark, d) -> DataFrame:
+    """Both directions, held in the shared folder since several aggregates read it."""
+    return materialise(transport.mirrored(transport.squared_euclidean(vectors(spark, d))), "distance")
+
+
+KNN = "SELECT *, row_number() OVER (PARTITION BY i ORDER BY cost, j) AS rank FROM dist"
+
+
+@query(with_views("dist") + f"SELECT i, j, {s6('cost')} AS cost, CAST(rank AS INTEGER) AS rank FROM ({KNN}) WHERE rank <= 5")
+def ot_knn(spark, d):
+    return rounded(graphs.knn(_distance(spark, d), 5))
+
+
+UNITED = "SELECT least(i, j) AS a, greatest(i, j) AS b, max({v}) AS w FROM {s} GROUP BY 1, 2"
+
+
+@query(with_views("dist", f"nn AS (SELECT * FROM ({KNN}) WHERE rank <= 5)", f"un AS ({UNITED.format(v='cost', s='nn')})") + f"SELECT a AS i, b AS j, {s6('w')} AS cost FROM un UNION ALL SELECT b, a, {s6('w')} FROM un")
+def ot_knn_distance_graph(spark, d):
+    return rounded(graphs.knn_distance_graph(_distance(spark, d), 5))
+
+
+def _affinity_sql(weight: str) -> str:
+    scale = f"""sampled AS (SELECT row_idx FROM zs ORDER BY {uniform_sql(1337, 'row_idx')}, row_idx LIMIT 512)""", "scale AS (SELECT CASE WHEN (SELECT COUNT(*) FROM zs) > 512 THEN (SELECT median(m) FROM (SELECT i, median(cost) AS m FROM dist WHERE cost > 0 AND i IN (SELECT row_idx FROM sampled) GROUP BY i)) ELSE (SELECT median(cost) FROM dist WHERE cost > 0) END AS s)"
+    own = "own AS (SELECT i, COALESCE(arg_max(cost, rank) FILTER (cost > 0), (SELECT s FROM scale)) AS s FROM nn GROUP BY i)"
+    weighted = f"ww AS (SELECT nn.i, nn.j, {weight} AS w0 FROM nn JOIN own x ON x.i = nn.i JOIN own y ON y.i = nn.j)"
+    return with_views("dist", f"nn AS (SELECT * FROM ({KNN}) WHERE rank <= 5)", *scale, own, weighted, f"un AS ({UNITED.format(v='w0', s='ww')})") + f"SELECT a AS i, b AS j, {s6('w')} AS affinity FROM un UNION ALL SELECT b, a, {s6('w')} FROM un"
+
+
+@query(_affinity_sql("exp(-cost * cost / greatest(x.s * y.s, 1e-8))"))
+def ot_knn_affinity_local(spark, d):
+    return rounded(graphs.knn_affinity(_distance(spark, d), 5, "local"))
+
+
+@query(_affinity_sql("exp(-cost / (SELECT greatest(s, 1e-8) FROM scale))"))
+def ot_knn_affinity_global(spark, d):
+    return rounded(graphs.knn_affinity(_distance(spark, d), 5, "global"))
+
+
+MEANS = (
+    "tt AS (SELECT i, li, lj, avg(cost) AS mean FROM pairs GROUP BY 1, 2, 3)",
+    "means AS (SELECT i, li, max(CASE WHEN li = lj THEN mean END) AS own, min(CASE WHEN li <> lj THEN mean END) AS other FROM tt GROUP BY 1, 2)",
+)
+MEDOIDS = (
+    "inn AS (SELECT i, li, SUM(cost) AS total FROM pairs WHERE li = lj GROUP BY 1, 2)",
+    "med AS (SELECT l.niche, arg_min(l.row_idx, (COALESCE(total, 0), l.row_idx)) AS medoid, COUNT(*) AS size FROM labels_ l LEFT JOIN inn ON i = l.row_idx GROUP BY 1)",
+)
+
+
+@query(with_views("pairs", *MEANS) + f"SELECT i AS row_idx, li AS niche, {s6('CASE WHEN other IS NULL THEN 1 WHEN own IS NULL THEN 0 ELSE least(greatest((other - own) / greatest(other, 1e-8), 0), 1) END')} AS score FROM means")
+def assignment_score(spark, d):
+    return rounded(metrics.assignment_score(_distance(spark, d), labels(spark, d)))
+
+
+def _pairs(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    distance, own = _distance(spark, d), labels(spark, d)
+    return distance, own, metrics.labelled(distance, own)
+
+
+@query(with_views("pairs", *MEANS) + f"SELECT {s6('avg(CASE WHEN own IS NULL OR greatest(own, other) = 0 THEN 0 ELSE (other - own) / greatest(own, other) END)')} AS silhouette FROM means")
+def silhouette(spark, d):
+    return rounded(metrics.silhouette(_pairs(spark, d)[2]))
+
+
+@query(
+    with_views("pairs", "sz AS (SELECT niche, COUNT(*) AS size FROM labels_ GROUP BY 1)", "ins AS (SELECT li AS niche, SUM(cost * cost) AS s FROM pairs WHERE li = lj GROUP BY 1)", "w AS (SELECT SUM(COALESCE(s, 0) / (2 * size)) AS within, SUM(size) AS n, COUNT(*) AS k FROM sz LEFT JOIN ins USING (niche))", "t AS (SELECT SUM(cost * cost) AS a FROM pairs)")
+    + f"SELECT {s6('(greatest(a / (2 * n) - within, 0) / (k - 1)) / greatest(within / (n - k), 1e-12)')} AS calinski_harabasz FROM w, t"
+)
+def pseudo_ch(spark, d):
+    _, own, pairs = _pairs(spark, d)
+    return rounded(metrics.calinski_harabasz(pairs, own))
+
+
+@query(
+    with_views("pairs", *MEDOIDS, "sp AS (SELECT m.niche, SUM(COALESCE(cost, 0)) / max(size) AS s, max(medoid) AS medoid FROM labels_ l JOIN med m USING (niche) LEFT JOIN dist ON i = l.row_idx AND j = medoid GROUP BY 1)", "ra AS (SELECT x.niche, max(CASE WHEN cost <= 1e-12 THEN 'inf'::DOUBLE ELSE (x.s + y.s) / cost END) AS worst FROM sp x JOIN sp y ON x.niche <> y.niche JOIN dist ON i = x.medoid AND j = y.medoid GROUP BY 1)")
+    + f"SELECT {s6('-avg(worst)')} AS davies_bouldin FROM ra"
+)
+def medoid_db(spark, d):
+    return rounded(metrics.davies_bouldin(_distance(spark, d), labels(spark, d)))
+
+
+@query(with_views("pairs") + f"SELECT {s6('quantile_cont(cost, 0.05) FILTER (li <> lj) / greatest(quantile_cont(cost, 0.95) FILTER (li = lj), 1e-12)')} AS percentile_dunn FROM pairs WHERE i < j")
+def percentile_dunn(spark, d):
+    return rounded(metrics.percentile_dunn(_pairs(spark, d)[2]))
+
+
+@query(with_views("pairs") + f"SELECT {s6('min(cost) FILTER (li <> lj) / greatest(COALESCE(max(cost) FILTER (li = lj), 0), 1e-12)')} AS minimum_dunn FROM pairs")
+def minimum_dunn(spark, d):
+    return rounded(metrics.minimum_dunn(_pairs(spark, d)[2]))
+
+
+@query(with_views("pairs") + f"SELECT {s6('avg(cost) FILTER (li = lj) / avg(cost) FILTER (li <> lj)')} AS ratio FROM pairs")
+def within_between(spark, d):
+    return rounded(metrics.within_between(_pairs(spark, d)[2]))
+
+
+@query(
+    with_views("labels_", "sz AS (SELECT niche, COUNT(*) AS size FROM labels_ GROUP BY 1)", "th AS (SELECT greatest(2, CAST(ceil(0.005 * COUNT(*)) AS INTEGER)) AS t FROM labels_)")
+    + "SELECT COUNT(*) AS niches, min(size) AS least, max(size) AS largest, COUNT(*) FILTER (size = 1) AS singletons, COUNT(*) FILTER (size < t) AS small, max(t)::INTEGER AS threshold FROM sz, th"
+)
+def cluster_sizes(spark, d):
+    return metrics.size_summary(labels(spark, d))
+
+
+@query(with_views("pairs", *MEDOIDS) + "SELECT niche, medoid, size FROM med")
+def cluster_medoids(spark, d):
+    return metrics.medoids(_distance(spark, d), labels(spark, d))
+
+
+@query(
+    """WITH t AS (SELECT s_suppkey AS k, s_acctbal AS silhouette, CAST(s_nationkey AS DOUBLE) AS percentile_dunn FROM supplier),
+r AS (SELECT *, row_number() OVER (ORDER BY silhouette DESC NULLS LAST, k) AS rank_silhouette, row_number() OVER (ORDER BY percentile_dunn DESC NULLS LAST, k) AS rank_percentile_dunn FROM t),
+m AS (SELECT *, (rank_silhouette + rank_percentile_dunn) / 2.0::DOUBLE AS mean_rank FROM r)
+SELECT k, silhouette, percentile_dunn, rank_silhouette::INTEGER AS rank_silhouette, rank_percentile_dunn::INTEGER AS rank_percentile_dunn, mean_rank, row_number() OVER (ORDER BY mean_rank, k) = 1 AS best FROM m"""
+)
+def rank_ensemble(spark, d):
+    rows = table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_acctbal").alias("silhouette"), F.col("s_nationkey").cast("double").alias("percentile_dunn"))
+    return metrics.rank_ensemble(rows, ("silhouette", "percentile_dunn"), "k")
+
+
+# Clustering ---------------------------------------------------------------------------------------------------------------
+
+
+@query()
+def farthest_first(spark, d):
+    chosen = clustering.farthest_first(_distance(spark, d), labels(spark, d), 6)
+    return spark.createDataFrame(list(enumerate(chosen)), "place int, row_idx long")
+
+
+@query()
+def kmedoids(spark, d):
+    return clustering.kmedoids(_distance(spark, d), labels(spark, d), 6)[0]
+
+
+@query()
+def agglomerative_labels(spark, d):
+    return clustering.agglomerate(transport.squared_euclidean(vectors(spark, d)), labels(spark, d), (6, 10))
+
+
+@query()
+def model_selection(spark, d):
+    return rounded(clustering.select_model(_distance(spark, d), labels(spark, d), (4, 6, 8, 10, 12))[0])
+
+
+@query()
+def leiden_labels(spark, d):
+    return clustering.community_labels(_distance(spark, d), labels(spark, d), k=10)
+
+
+@query(
+    with_views(
+        "point_edges",
+        "lab AS (SELECT row_idx, CAST(row_idx % 3 AS INTEGER) AS niche FROM points)",
+        "same AS (SELECT e.row_idx AS a, e.neighbor AS b FROM point_edges e JOIN lab x ON x.row_idx = e.row_idx JOIN lab y ON y.row_idx = e.neighbor WHERE x.niche = y.niche)",
+        "reach(a, b) AS (SELECT row_idx, row_idx FROM lab UNION SELECT r.a, s.b FROM reach r JOIN same s ON s.a = r.b)",
+        "comp AS (SELECT a AS row_idx, min(b) AS component FROM reach GROUP BY 1)",
+        "num AS (SELECT niche, component, row_number() OVER (ORDER BY niche, component) - 1 AS instance, row_number() OVER (PARTITION BY niche ORDER BY component) - 1 AS within FROM (SELECT DISTINCT niche, component FROM comp JOIN lab USING (row_idx)))",
+    )
+    + "SELECT row_idx, niche, CAST(instance AS INTEGER) AS instance, 'ON' || niche || '_' || within AS name FROM comp JOIN lab USING (row_idx) JOIN num USING (niche, component)"
+)
+def niche_instances(spark, d):
+    own = points(spark, d)
+    return graphs.instances(own.select("row_idx", (F.col("row_idx") % 3).cast("int").alias("niche")), neighbors.radius_edges(own, POINT_RADIUS))
+
+
+# Landmarks ----------------------------------------------------------------------------------------------------------------
+
+LANDMARKS = f"lm AS (SELECT row_idx FROM (SELECT row_idx, row_number() OVER (PARTITION BY sample_id ORDER BY {uniform_sql(1337, 'row_idx')}, row_idx) AS place, dense_rank() OVER (ORDER BY sample_id) - 1 AS s FROM cells), (SELECT COUNT(DISTINCT sample_id) AS k FROM cells) WHERE place <= 30 // k + CASE WHEN s < 30 % k THEN 1 ELSE 0 END)"
+CANDIDATES = "ld AS (SELECT a.row_idx AS i, b.row_idx AS j, " + " + ".join(f"(a.z{k} - b.z{k}) * (a.z{k} - b.z{k})" for k in Z) + " AS distance FROM zs a CROSS JOIN zs b WHERE b.row_idx IN (SELECT row_idx FROM lm))", "lr AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY distance, j) AS rank FROM ld)"
+
+
+def _candidates(spark, d, m: int) -> DataFrame:
+    own = vectors(spark, d)
+    return assignment.landmark_candidates(own, own.join(assignment.sample_landmarks(cells(spark, d), 30), "row_idx", "left_semi"), m)
+
+
+@query(with_views("cells zs", LANDMARKS, *CANDIDATES) + f"SELECT i, j, {s6('distance')} AS distance, CAST(rank AS INTEGER) AS rank FROM lr WHERE rank <= 4")
+def landmark_candidates(spark, d):
+    return rounded(_candidates(spark, d, 4))
+
+
+@query(with_views("cells zs", LANDMARKS, *CANDIDATES, "b AS (SELECT i, max(CASE WHEN rank = 1 THEN j END) AS landmark, max(CASE WHEN rank = 1 THEN distance END) AS cost, max(CASE WHEN rank = 2 THEN distance END) AS second FROM lr WHERE rank <= 2 GROUP BY i)") + f"SELECT i AS row_idx, landmark, {s6('cost')} AS cost, {s6('least(greatest((second - cost) / greatest(second, 1e-8), 0), 1)')} AS score FROM b")
+def landmark_assignment(spark, d):
+    return rounded(assignment.landmark_margin(_candidates(spark, d, 4).select("i", "j", F.col("distance").alias("cost"))))
+
+
+@query(with_views("cells zs labels_", LANDMARKS, *CANDIDATES) + "SELECT i AS row_idx, j AS landmark, niche FROM lr JOIN labels_ l ON l.row_idx = j WHERE rank = 1")
+def label_propagation(spark, d):
+    near = _candidates(spark, d, 1).select(F.col("i").alias("row_idx"), F.col("j").alias("landmark"))
+    return assignment.propagate(near, labels(spark, d), "landmark").select("row_idx", "landmark", "niche")
+
+
+@query()
+def rough_representatives(spark, d):
+    own = cells(spark, d)
+    full = own.join(vectors(spark, d), "row_idx").join(neighbors.neighbor_counts(own, neighbors.radius_edges(own, RADIUS)), "row_idx")
+    return assignment.rough_clusters(full, 5)
+
+
+@query()
+def niche_colors(spark, d):
+    names = [f"ON{r.niche}" for r in labels(spark, d).select("niche").distinct().collect()]
+    return spark.createDataFrame(list(assignment.label_colors([*names, "ON12"]).items()), "niche string, color string")
+
+
+__all__ = ["ORACLE_SQL", "QUERIES", "views"]

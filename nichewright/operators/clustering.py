@@ -111,7 +111,7 @@ def nearest_medoid(distance: DataFrame, ids: DataFrame, medoids: list[int]) -> D
     to = distance.join(F.broadcast(place), "j").select("i", "cost", "niche")
     own = place.select(F.col("j").alias("i"), F.lit(0.0).alias("cost"), "niche")
     best = to.unionByName(own).groupBy("i").agg(F.min(F.struct("cost", "niche"))["niche"].alias("niche"))
-    return ids.join(best.withColumnRenamed("i", "row_idx"), "row_idx").select("row_idx", "niche")
+    return ids.select("row_idx").join(best.withColumnRenamed("i", "row_idx"), "row_idx").select("row_idx", "niche")
 
 
 def kmedoids(distance: DataFrame, ids: DataFrame, k: int, most_rounds: int = 50) -> tuple[DataFrame, list[int]]:

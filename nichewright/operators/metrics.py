@@ -66,12 +66,12 @@ def calinski_harabasz(pairs: DataFrame, labels: DataFrame, by: tuple[str, ...] =
     """(by, calinski_harabasz) from squared distances: total / 2n against the sum over niches of inner / 2n_c."""
     sizes = _sizes(labels, by)
     inner = pairs.where("li = lj").groupBy(*by, F.col("li").alias("niche")).agg(F.sum(F.col("cost") * F.col("cost")).alias("inner"))
-    per = sizes.join(inner, [*by, "niche"], "left").groupBy(*by).agg(F.sum(F.coalesce("inner", F.lit(0.0)) / (2 * F.col("size"))).alias("within"), F.sum("size").alias("n"), F.count("*").alias("k"))
+    per = sizes.join(inner, [*by, "niche"], "left").groupBy(*by).agg(F.sum(F.coalesce("inner", F.lit(0.0)) / (2 * F.col("size"))).alias("within"), F.sum("size").alias("_n"), F.count("*").alias("_k"))
     total = pairs.groupBy(*by).agg(F.sum(F.col("cost") * F.col("cost")).alias("all"))
     both = per.join(total, list(by)) if by else per.join(total)
-    between = F.greatest(F.col("all") / (2 * F.col("n")) - F.col("within"), F.lit(0.0))
-    score = (between / (F.col("k") - 1)) / F.greatest(F.col("within") / (F.col("n") - F.col("k")), F.lit(1e-12))
-    return both.select(*by, F.when((F.col("k") > 1) & (F.col("k") < F.col("n")), score).alias("calinski_harabasz"))
+    between = F.greatest(F.col("all") / (2 * F.col("_n")) - F.col("within"), F.lit(0.0))
+    score = (between / (F.col("_k") - 1)) / F.greatest(F.col("within") / (F.col("_n") - F.col("_k")), F.lit(1e-12))
+    return both.select(*by, F.when((F.col("_k") > 1) & (F.col("_k") < F.col("_n")), score).alias("calinski_harabasz"))
 
 
 def davies_bouldin(distance: DataFrame, labels: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
