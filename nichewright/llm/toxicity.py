@@ -6,8 +6,8 @@ words, minimises the class-prior-corrected risk
     prior * R+(positives) + max(0, R-(unlabelled) - prior * R-(positives)),
 
 where a mini-step that would drive the second term below zero is undone instead of followed, so that a flexible model can't
-gain by pushing unlabelled text below its own share of positives.  The prior is the share of toxic labels among those that may
-be learned from.
+gain by pushing unlabelled text below its own share of positives.  The prior is estimated from positives and unlabelled text, and
+is at most the share of toxic labels among those that may be learned from.
 
 Fitting uses at most ``positives`` and ``unlabelled`` documents, picked by a keyed hash of their ids; scoring reads every text
 whole, in one pass without a shuffle, and the model that is sent out has a fixed size.
@@ -66,10 +66,10 @@ def choose_words(positive: list[np.ndarray], unlabelled: list[np.ndarray], most:
     z = np.abs(a - b) / np.sqrt(np.maximum(pooled * (1 - pooled), 1e-9) * (1 / max(1, len(positive)) + 1 / max(1, len(unlabelled))))
     z[p + u < least_seen] = 0
     best = np.lexsort((np.arange(len(z)), -z))[:most]
-    return np.sort(best[z[best] > 2]).astype(np.int64)
+    return np.sort(best[z[best] > 3.5]).astype(np.int64)  # few of some hundred thousand pass by chance
 
 
-def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: int = 400, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, float]:
+def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: int = 400, rate: float = 0.05, decay: float = 2e-4) -> tuple[np.ndarray, float]:
     """Weights and bias that minimise the non-negative risk under the logistic loss, by Adam on all rows at once."""
     d = positive.shape[1]
     w = np.zeros(d + 1)
@@ -88,6 +88,35 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds:
     return w[:-1], float(w[-1])
 
 
+def fit_balanced(positive: np.ndarray, unlabelled: np.ndarray, rounds: int = 150, rate: float = 0.05, decay: float = 1e-3) -> np.ndarray:
+    """Weights of a logistic model of positives against unlabelled rows, both of equal weight; only its order is used."""
+    w, m, v = (np.zeros(positive.shape[1] + 1) for _ in range(3))
+    for t in range(1, rounds + 1):
+        p, u = sigmoid(positive @ w[:-1] + w[-1]) - 1, sigmoid(unlabelled @ w[:-1] + w[-1])
+        grad = np.append(p @ positive, p.sum()) / len(p) + np.append(u @ unlabelled, u.sum()) / len(u)
+        grad[:-1] += decay * w[:-1]
+        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
+        w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    return w
+
+
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The share of positives among unlabelled rows.
+
+    For any set A of texts, P(A | unlabelled) >= prior * P(A | positive), with near equality for the sets that a good score
+    picks out: the estimate is the least ratio over cuts of a score that was fitted on the other half of the rows.
+    """
+    found: list[list[np.ndarray]] = [[], []]
+    for half in (0, 1):
+        w = fit_balanced(positive[half::2], unlabelled[half::2])
+        for rows, out in zip((positive, unlabelled), found, strict=True):
+            out.append(rows[1 - half :: 2] @ w[:-1] + w[-1])
+    p, u = (np.sort(np.concatenate(x)) for x in found)
+    cuts = np.quantile(p, np.linspace(0.1, 0.7, 25))
+    above = lambda x: len(x) - np.searchsorted(x, cuts, side="left")
+    return float((((above(u) + 1) / (len(u) + 1)) / (above(p) / len(p))).min())
+
+
 def train(documents: DataFrame, labels: DataFrame, positives: int = 4000, unlabelled: int = 10000, features: int = 1024) -> WordModel:
     """Fits on the labels of ``column`` toxic outside fold 0 and on unlabelled text outside fold 0."""
     documents = text_batches(documents)
@@ -95,7 +124,6 @@ def train(documents: DataFrame, labels: DataFrame, positives: int = 4000, unlabe
     shares = {r.label: r["count"] for r in known.groupBy("label").count().collect()}
     if not shares.get(1):
         return WordModel(np.zeros(0, np.int64), np.zeros(0), None)
-    prior = min(0.95, max(1e-4, shares[1] / sum(shares.values())))
     of = documents.select("doc_id").where(F.col("doc_id").isNotNull()).distinct()
     toxic = hashed_sample(of.join(known.where("label = 1").select("doc_id"), "doc_id"), positives, 1).withColumn("group", F.lit(1))
     other = hashed_sample(of.where(fold(F.col("doc_id")) != 0), unlabelled, 2).withColumn("group", F.lit(0))
@@ -113,7 +141,9 @@ def train(documents: DataFrame, labels: DataFrame, positives: int = 4000, unlabe
             at = place[found]
             x[i, at[at >= 0]] = 1
         dense.append(x)
-    weights, bias = fit_nnpu(*dense, prior)
+    # Labels may be richer in toxic rows than the documents are; a prior that is too high would make clean text toxic.
+    prior = min(0.95, shares[1] / sum(shares.values()), estimate_prior(*dense) if len(dense[0]) > 1 else 1.0)
+    weights, bias = fit_nnpu(*dense, max(prior, 1e-4))
     return WordModel(chosen, weights, bias)
 
 
