@@ -38,6 +38,8 @@ from nichewright.llm.shared import partitions, text_batches, work_dir
 NULL_ID = -(2**63)
 MANIFEST = "shard int, n_docs long, n_tokens long"
 END_OF_DOCUMENT = 0
+#: Last slot of the table that tells chunks met in an earlier batch from new ones; most are met once and aren't kept.
+MET = (1 << 23) - 1
 #: A cut in front of a space or a line feed is certain to be a pre-token border only where no white space meets white space.
 _UNSAFE = re.compile(r"\s\s|\s\Z")
 
@@ -50,7 +52,7 @@ class WordCachedEncoder:
     Texts in which such a cut isn't certain, or that hold a special token's string, go to the library whole.
     """
 
-    def __init__(self, tokenizer_file: str, most_chunks: int = 500_000):
+    def __init__(self, tokenizer_file: str, most_chunks: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -61,7 +63,7 @@ class WordCachedEncoder:
         #: ids with which a chunk can begin: those of pieces that begin with a space, and the line feed alone
         self.begins = np.array([p.startswith("Ġ") or p == "Ċ" for p in pieces])
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.most_chunks = most_chunks
+        self.most_chunks, self.met = most_chunks, bytearray(MET + 1)
         self.cache: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
@@ -94,7 +96,14 @@ class WordCachedEncoder:
             self.cache, missing = {}, list(seen)
         self._learn(missing)
         get, width = self.cache.__getitem__, self.dtype.itemsize
-        return [self._whole(t) if s is None else b"".join(map(get, s))[width:] for t, s in zip(texts, split, strict=True)]
+        out = [self._whole(t) if s is None else b"".join(map(get, s))[width:] for t, s in zip(texts, split, strict=True)]
+        met, forget = self.met, self.cache.__delitem__
+        for chunk in missing:
+            slot = hash(chunk) & MET
+            if not met[slot]:
+                met[slot] = 1
+                forget(chunk)
+        return out
 
 
 @functools.cache
