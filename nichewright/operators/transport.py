@@ -20,7 +20,9 @@ from nichewright.functions import kernels
 from nichewright.functions.portable import squared_distance
 
 #: Elements of the largest array a task makes at once.
-BATCH = 1 << 21
+BATCH = 1 << 18
+#: Widths of supports are rounded up to a multiple of this for grouping pairs.
+STEP = 4
 
 
 def pairwise_work(n: int, support: int, sweeps: int, rounds: int = 0) -> dict[str, int]:
@@ -85,7 +87,7 @@ class _Side:
     def __init__(self, struct: pa.StructScalar):
         get = lambda name: struct[name].values.to_numpy(zero_copy_only=False)
         self.ids, m = get("ids"), get("ms").astype(np.int64)
-        n, width = len(m), int(m.max())
+        n, width, self.size = len(m), int(m.max()), m
         flat = get("tokens").reshape(int(m.sum()), -1)
         row, place = np.repeat(np.arange(n), m), np.concatenate([np.arange(k) for k in m])
         self.mass, self.token = np.zeros((n, width)), np.zeros((n, width, flat.shape[1]))
@@ -99,20 +101,31 @@ class _Side:
 
 
 def _compute(left: _Side, right: _Side, i: np.ndarray, j: np.ndarray, measure: str, epsilon: float, sweeps: int, alpha: float, rounds: int) -> np.ndarray:
-    out, step = np.zeros(len(i)), max(1, BATCH // (left.mass.shape[1] * right.mass.shape[1]))
-    for s in range(0, len(i), step):
-        a, b = i[s : s + step], j[s : s + step]
-        cost = kernels.cost_matrix(left.token[a], right.token[b])
-        if measure == "fgw":
-            out[s : s + step] = kernels.fgw_cost(cost, left.structure[a], right.structure[b], left.mass[a], right.mass[b], alpha, epsilon, sweeps, rounds)
-        elif measure == "error":
-            out[s : s + step] = kernels.marginal_error(cost, left.mass[a], right.mass[b], epsilon, sweeps)
-        else:
-            out[s : s + step] = kernels.sinkhorn_cost(cost, left.mass[a], right.mass[b], epsilon, sweeps)
+    """The costs of the pairs (i, j); pairs of similar widths go together, so that little is spent on padding."""
+    out = np.zeros(len(i))
+    wide_i, wide_j = (-(-side.size[at] // STEP) * STEP for side, at in ((left, i), (right, j)))
+    order = np.lexsort((wide_j, wide_i))
+    edges = np.flatnonzero((np.diff(wide_i[order]) != 0) | (np.diff(wide_j[order]) != 0)) + 1
+    for group in np.split(order, edges):
+        if not len(group):
+            continue
+        wa, wb = min(wide_i[group[0]], left.mass.shape[1]), min(wide_j[group[0]], right.mass.shape[1])
+        step = max(1, BATCH // (wa * wb))
+        for s in range(0, len(group), step):
+            at = group[s : s + step]
+            a, b = i[at], j[at]
+            ma, mb = left.mass[a, :wa], right.mass[b, :wb]
+            cost = kernels.cost_matrix(left.token[a, :wa], right.token[b, :wb])
+            if measure == "fgw":
+                out[at] = kernels.fgw_cost(cost, left.structure[a, :wa, :wa], right.structure[b, :wb, :wb], ma, mb, alpha, epsilon, sweeps, rounds)
+            elif measure == "error":
+                out[at] = kernels.marginal_error(cost, ma, mb, epsilon, sweeps)
+            else:
+                out[at] = kernels.sinkhorn_cost(cost, ma, mb, epsilon, sweeps)
     return out
 
 
-def pair_costs(packed: DataFrame, other: DataFrame | None = None, measure: str = "sinkhorn", epsilon: float = 0.05, sweeps: int = 50, alpha: float = 0.5, rounds: int = 5, block: int = 64) -> DataFrame:
+def pair_costs(packed: DataFrame, other: DataFrame | None = None, measure: str = "sinkhorn", epsilon: float = 0.05, sweeps: int = 50, alpha: float = 0.5, rounds: int = 5, block: int = 128) -> DataFrame:
     """(i, j, cost): for i < j within ``packed``, or for every i of it and j of ``other``.
 
     ``measure`` is sinkhorn, fgw (the rows then have ``structure``) or error (the largest marginal error of the plan).
