@@ -327,6 +327,21 @@ def structure_diagnostics(spark, d):
     return rounded(structures.diagnostics(structures.packed_structures(_packed(spark, d), "radius_shortest_path", fraction=0.5), "radius_shortest_path"))
 
 
+@query(
+    with_views(
+        "edges",
+        _support_sql("edges", "cells", RADIUS),
+        f"u AS (SELECT row_idx, row_number() OVER (PARTITION BY row_idx ORDER BY neighbor) - 1 AS at_, dx / {RADIUS}::DOUBLE AS rx, dy / {RADIUS}::DOUBLE AS ry FROM support)",
+        "v AS (SELECT p.row_idx, p.at_ AS i, q.at_ AS j, sqrt((p.rx - q.rx) * (p.rx - q.rx) + (p.ry - q.ry) * (p.ry - q.ry)) AS value FROM u p JOIN u q ON p.row_idx = q.row_idx AND p.at_ < q.at_)",
+        f"c AS (SELECT *, row_number() OVER (ORDER BY {uniform_sql(1337, 'row_idx', '(i * 4096 + j)')}, row_idx, i, j) - 1 AS place FROM v)",
+        "g AS (SELECT place // 2 AS pair, COUNT(*) AS n, max(value) - min(value) AS gap FROM c WHERE place < 2000 GROUP BY 1)",
+    )
+    + f"SELECT {s6('COALESCE(greatest(median(gap * gap) FILTER (n = 2 AND gap > 0), 1e-8), 1.0::DOUBLE)')} AS scale FROM g"
+)
+def structure_cost_scale(spark, d):
+    return rounded(structures.structure_scale(structures.packed_structures(_packed(spark, d), "complete_euclidean"), pairs=1000))
+
+
 # Transport ----------------------------------------------------------------------------------------------------------------
 
 
@@ -402,6 +417,11 @@ def transport_knn(spark, d):
     return graphs.knn(transport.mirrored(rounded(transport.distances(_measures(spark, d), mode="debiased", **KERNEL))), 3)
 
 
+@query()
+def convergence_sample(spark, d):
+    return rounded(transport.convergence_sample(_measures(spark, d), epsilon=EPSILON, sweeps=120))
+
+
 FGW_FINAL = [
     "st AS (SELECT x.row_idx, x.neighbor AS a, y.neighbor AS b, y.mass AS m, CASE WHEN x.neighbor = y.neighbor THEN 0.0::DOUBLE WHEN sqrt((x.rx - y.rx) * (x.rx - y.rx) + (x.ry - y.ry) * (x.ry - y.ry)) BETWEEN 1e-300 AND 0.5 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS c FROM tok x JOIN tok y USING (row_idx))",
     "g AS (SELECT row_idx, a, SUM(c * m) AS g1, SUM(c * c * m) AS g2 FROM st GROUP BY 1, 2)",
@@ -662,6 +682,16 @@ def label_propagation(spark, d):
     return assignment.propagate(near, labels(spark, d), "landmark").select("row_idx", "landmark", "niche")
 
 
+@query()
+def kmeans_landmarks(spark, d):
+    return assignment.kmeans_landmarks(cells(spark, d), vectors(spark, d), 30)
+
+
+@query()
+def state_labels(spark, d):
+    return measures.state_labels(vectors(spark, d), 6)
+
+
 @query()
 def rough_representatives(spark, d):
     own = cells(spark, d)

@@ -42,6 +42,8 @@ class NicheConfig:
     sweeps: int = 50
     fgw_alpha: float = 0.5
     fgw_rounds: int = 5
+    fgw_features: str = "expression_only"
+    fgw_structure_scale: str = "sampled_median"
     anchor_weight: float = 0.0
     block: int = 64
     max_exact_cells: int = 5000
@@ -59,7 +61,7 @@ class NicheConfig:
         canonical(self.kernel, KERNELS, "kernel")
         canonical(self.structure, STRUCTURES, "structure")
         canonical(self.distance, DISTANCES, "distance")
-        for name, allowed in (("isolated", ISOLATED), ("scales", SCALES), ("affinity", ("local", "global")), ("method", ("agglomerative", "kmedoids", "leiden"))):
+        for name, allowed in (("isolated", ISOLATED), ("fgw_features", ("full_token", "expression_only", "expression_plus_radial")), ("fgw_structure_scale", ("none", "sampled_median")), ("scales", SCALES), ("affinity", ("local", "global")), ("method", ("agglomerative", "kmedoids", "leiden"))):
             if getattr(self, name) not in allowed:
                 raise ValueError(f"unknown {name} {getattr(self, name)!r}; known: {', '.join(allowed)}")
         for name in ("radius", "max_neighbors", "radial_shells", "sweeps", "fgw_rounds", "knn", "epsilon"):

@@ -126,3 +126,24 @@ def resolve_feature(name: str, allow_umap: bool = False) -> list[str]:
     if "umap" in low and not allow_umap:
         raise ValueError(f"{name} looks like a UMAP layout, which distorts distances; allow it explicitly to go on")
     return [f"{name}: distances in a {token} layout are not metric" for token in ("umap", "tsne", "phate", "forceatlas") if token in low]
+
+
+def feature_kind(name: str, from_counts: bool, reduced: bool = False) -> str:
+    """What space a feature column spans, for the summary."""
+    low = name.lower()
+    if "umap" in low:
+        return "umap_embedding"
+    if any(token in low for token in ("tsne", "phate", "forceatlas")):
+        return "visualization_like_embedding"
+    return ("full_gene_runtime_svd" if reduced else "full_gene_dense") if from_counts else "obsm"
+
+
+def provenance(method: str, samples: int, batch_key: str | None = None) -> dict:
+    """Notes on batch effects for the summary: PCA and SVD over several samples don't correct them."""
+    uncorrected = samples > 1 and method in ("pca", "svd")
+    return {
+        "batch_key": batch_key,
+        "batch_correction_applied": False,
+        "warning": f"{method} over {samples} samples leaves batch effects in; a corrected latent space can be passed as precomputed" if uncorrected else None,
+        "note": f"{batch_key} is only recorded" if uncorrected and batch_key else None,
+    }

@@ -19,6 +19,18 @@ def kernel_weight(distance: Column, radius: float, kernel: str) -> Column:
     return F.exp(F.lit(-0.5) * scaled * scaled)
 
 
+def state_labels(vectors: DataFrame, n_states: int, seed: int = 1337) -> DataFrame:
+    """(row_idx, state) by k-means of (row_idx, z), for caps by state; all 0 for one state or fewer rows than two."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    k = min(n_states, vectors.limit(n_states).count())
+    if k < 2:
+        return vectors.select("row_idx", F.lit(0).alias("state"))
+    rows = vectors.select("row_idx", array_to_vector("z").alias("features"))
+    return KMeans(k=k, seed=seed, maxIter=20).fit(rows).transform(rows).select("row_idx", F.col("prediction").alias("state"))
+
+
 def cap_neighbors(edges: DataFrame, radius: float, most: int, shells: int = 4, seed: int = 1337, by_state: bool = True) -> DataFrame:
     """At most ``most`` edges a row, drawn so that distance shells (and the neighbor's ``state``) stay represented.
 
@@ -101,10 +113,20 @@ def sampled_scales(token_rows: DataFrame, pairs: int, seed: int) -> DataFrame:
     return both.select(*(c.alias(n) for n, c in costs.items())).agg(*(F.coalesce(F.greatest(F.median(F.when(F.col(n) > 0, F.col(n))), F.lit(1e-8)), F.lit(1.0)).alias(n) for n in costs))
 
 
-def scaled_tokens(token_rows: DataFrame, weights: tuple[float, float, float], scales: tuple[float, float, float]) -> DataFrame:
-    """(row_idx, neighbor, mass, token): the components times sqrt(weight / scale), joined to one array."""
+#: What a token holds for the distance kernels.
+NODE_FEATURES = ("full_token", "expression_only", "expression_plus_radial")
+
+
+def scaled_tokens(token_rows: DataFrame, weights: tuple[float, float, float], scales: tuple[float, float, float], node_features: str = "full_token") -> DataFrame:
+    """(row_idx, neighbor, mass, token): the components times sqrt(weight / scale), joined to one array.
+
+    ``expression_only`` keeps z and ``expression_plus_radial`` z and the radius, which suit distances that have a structure besides.
+    """
+    if node_features not in NODE_FEATURES:
+        raise ValueError(f"unknown node features {node_features!r}; known: {', '.join(NODE_FEATURES)}")
     by = [(max(w, 0.0) / max(s, 1e-8)) ** 0.5 for w, s in zip(weights, scales, strict=True)]
-    token = F.concat(F.transform("z", lambda v: v * F.lit(by[0])), F.array(F.col("rx") * by[1], F.col("ry") * by[1], F.col("rr") * by[2]))
+    z, place, radius = F.transform("z", lambda v: v * F.lit(by[0])), F.array(F.col("rx") * by[1], F.col("ry") * by[1]), F.array(F.col("rr") * by[2])
+    token = {"full_token": F.concat(z, place, radius), "expression_only": z, "expression_plus_radial": F.concat(z, radius)}[node_features]
     return token_rows.select("row_idx", "neighbor", "mass", "rx", "ry", token.alias("token"))
 
 

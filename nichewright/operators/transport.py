@@ -232,3 +232,10 @@ def squared_euclidean(vectors: DataFrame, block: int = 512) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"i": np.minimum(p, q), "j": np.maximum(p, q), "cost": diff[i, j]})
 
     return _pairs(rows, rows, n, n, True).mapInArrow(run, "i long, j long, cost double")
+
+
+def convergence_sample(packed: DataFrame, epsilon: float = 0.05, sweeps: int = 50, rows: int = 32) -> DataFrame:
+    """One row (pairs, mean_error, max_error): marginal errors among the ``rows`` measures with the least hash of their id."""
+    chosen = packed.orderBy(F.xxhash64("row_idx"), "row_idx").limit(rows)
+    errors = pair_costs(chosen, measure="error", epsilon=epsilon, sweeps=sweeps)
+    return errors.agg(F.count("*").alias("pairs"), F.avg("cost").alias("mean_error"), F.max("cost").alias("max_error"))

@@ -28,9 +28,11 @@ class Run:
 def local_measures(cells: DataFrame, vectors: DataFrame, config: NicheConfig, states: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(packed measures, counts): the capped, weighted and scaled neighborhoods, with structures for fgw.
 
-    ``cells`` is (row_idx, sample_id, x, y), ``vectors`` (row_idx, z) and ``states`` (row_idx, state); the latter are used by the cap
-    mode ``radial_shell_state``.
+    ``cells`` is (row_idx, sample_id, x, y) and ``vectors`` (row_idx, z).  A cap mode that ends in ``state`` uses ``states`` (row_idx,
+    state), which k-means gives if they aren't passed.
     """
+    if states is None and config.cap_mode.endswith("state"):
+        states = measures.state_labels(vectors, config.n_states, config.seed)
     kernel = canonical(config.kernel, KERNELS, "kernel")
     edges = neighbors.radius_edges(cells, config.radius)
     edges = materialise(edges.withColumn("weight", measures.kernel_weight(F.col("distance"), config.radius, kernel)), "edges")
@@ -40,10 +42,15 @@ def local_measures(cells: DataFrame, vectors: DataFrame, config: NicheConfig, st
     support = measures.assemble(cells, capped, config.include_anchor, config.isolated)
     token_rows = materialise(measures.tokens(support, cells, vectors, config.radius), "tokens")
     scales = measures.component_scales(token_rows, config.scales, config.scale_pairs, config.seed)
-    width = len(vectors.first()["z"]) + 3
-    packed = measures.packed(measures.scaled_tokens(token_rows, config.weights, scales), width)
-    if canonical(config.distance, DISTANCES, "distance") == "fgw":
+    fgw = canonical(config.distance, DISTANCES, "distance") == "fgw"
+    held = config.fgw_features if fgw else "full_token"
+    width = len(vectors.first()["z"]) + {"full_token": 3, "expression_only": 0, "expression_plus_radial": 1}[held]
+    packed = measures.packed(measures.scaled_tokens(token_rows, config.weights, scales, held), width)
+    if fgw:
         packed = structures.packed_structures(packed, config.structure, config.structure_knn, config.structure_radius_fraction)
+        if config.fgw_structure_scale != "none":
+            packed = materialise(packed, "structures")
+            packed = structures.normalised_structures(packed, structures.structure_scale(packed, config.scale_pairs, config.seed).first()["scale"])
     full = neighbors.neighbor_counts(cells, edges, "n_full")
     counts = full.join(neighbors.neighbor_counts(cells, capped, "n_retained"), "row_idx")
     return materialise(packed, "measures"), materialise(counts, "counts")

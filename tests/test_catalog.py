@@ -1,13 +1,14 @@
 """Every registered query of the library on the smallest tables, against its SQL where it has one."""
 
 import math
+from collections import Counter
 
 import duckdb
 import numpy as np
 import pytest
 from nichewright import catalog, views
 from nichewright.functions import kernels
-from nichewright.operators import clustering
+from nichewright.operators import assignment, clustering
 
 TABLES = "region nation customer supplier part orders lineitem events embeddings"
 SMALL = "/root/testdata/sf0.001"
@@ -77,6 +78,18 @@ def test_shortest_paths_on_the_whole_table(spark, name, mode, options):
         assert np.allclose(got[row], kernels.structure(x, mode, **options)[0], atol=1e-6)
 
 
+def test_landmarks_states_and_convergence(spark):
+    cells = {r.row_idx: r.sample_id for r in views.cells(spark, SMALL).collect()}
+    chosen = catalog.kmeans_landmarks(spark, SMALL).collect()
+    hashed = assignment.sample_landmarks(views.cells(spark, SMALL), 30).collect()
+    assert len({r.row_idx for r in chosen}) == len(chosen) == 30 and all(cells[r.row_idx] == r.sample_id for r in chosen)
+    assert Counter(r.sample_id for r in chosen) == Counter(r.sample_id for r in hashed)
+    states = catalog.state_labels(spark, SMALL).collect()
+    assert {r.row_idx for r in states} == cells.keys() and {r.state for r in states} == set(range(6))
+    found = catalog.convergence_sample(spark, SMALL).first()
+    assert found.pairs == 32 * 31 // 2 and found.max_error < 1e-3
+
+
 def test_rough_clusters_on_the_whole_table(spark):
     rows = catalog.rough_representatives(spark, SMALL).collect()
     assert len(rows) == views.cells(spark, SMALL).count()

@@ -5,6 +5,7 @@ import pytest
 from nichewright.config import NicheConfig, parse_int_list
 from nichewright.functions import kernels
 from nichewright.operators import assignment, clustering, features, graphs, measures, metrics, neighbors, pooling, structures, transport
+from nichewright.sources import bundle
 from nichewright.streaming.assign import assign_stream
 from pyspark.sql import functions as F
 
@@ -261,6 +262,28 @@ def test_embedding_states(spark, tmp_path):
     assert features.svd_request({"NICHE_X_SVD_COMPONENTS": "1", "NICHE_X_TARGET_SUM": "x"}) == {"target_sum": 1e4, "use_svd": True, "components": 2, "n_iter": 7, "random_state": 1337}
 
 
+def test_notes_and_kinds():
+    assert features.provenance("pca", 2, "batch")["warning"] and not features.provenance("pca", 1)["warning"]
+    assert features.feature_kind("X", True, True) == "full_gene_runtime_svd" and features.feature_kind("X_pca", False) == "obsm" and features.feature_kind("X_umap", False) == "umap_embedding"
+
+
+def test_node_features(spark):
+    rows = spark.createDataFrame([(0, 0, 1.0, [1.0, 2.0], 3.0, 4.0, 5.0)], "row_idx long, neighbor long, mass double, z array<double>, rx double, ry double, rr double")
+    of = lambda mode: measures.scaled_tokens(rows, (1.0, 1.0, 1.0), (1.0, 1.0, 1.0), mode).first()["token"]
+    assert (of("full_token"), of("expression_only"), of("expression_plus_radial")) == ([1, 2, 3, 4, 5], [1, 2], [1, 2, 5])
+    with pytest.raises(ValueError, match="node features"):
+        of("other")
+
+
+def test_external_vectors_must_fit(spark):
+    cells = spark.createDataFrame([("f", "a"), ("f", "b")], "source_file string, cell_id string")
+    outer = spark.createDataFrame([("f", "b", [1.0, 2.0, 3.0]), ("f", "a", [4.0, 5.0, 6.0])], "source_file string, cell_id string, z array<double>")
+    assert {r.cell_id: r.z[0] for r in bundle.align_external(cells, outer).collect()} == {"a": 4.0, "b": 1.0}
+    for bad, message in ((outer.limit(1), "one to one"), (outer.unionByName(outer), "one to one"), (outer.withColumn("z", F.slice("z", 1, 2)), "dimensions")):
+        with pytest.raises(ValueError, match=message):
+            bundle.align_external(cells, bad)
+
+
 def test_tiles_keep_samples_apart(spark):
     cells = cells_of(spark, [(i, s, i * 10, i) for i, s in enumerate("aabbccd")])
     moved = pooling.translate(cells, pooling.tile_layout(pooling.sample_summary(cells), gap=5)).collect()
