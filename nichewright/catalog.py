@@ -80,10 +80,10 @@ def pool_union_tagged(spark, d):
     return pooling.pool([("a", a), ("b", b)]).select("sample_id", "pooled_id", "cell_id", "x", "y", "original_x", "segment")
 
 
-@query(r"""SELECT p_partkey, upper(regexp_replace(regexp_replace(regexp_replace(regexp_replace('in/dir/xenium_' || p_brand || '_processed.h5ad', '^.*/', ''), '\.[^.]*$', ''), '^xenium_', ''), '_processed$', '')) AS sample_id FROM part""")
+@query(r"""SELECT p_partkey, upper(regexp_replace(regexp_replace(regexp_replace(regexp_replace('in/dir/assay_' || p_brand || '_processed.h5ad', '^.*/', ''), '\.[^.]*$', ''), '^assay_', ''), '_processed$', '')) AS sample_id FROM part""")
 def sample_id_from_filename(spark, d):
-    name = F.concat(F.lit("in/dir/xenium_"), F.col("p_brand"), F.lit("_processed.h5ad"))
-    return table(spark, d, "part").select("p_partkey", pooling.sample_id(name, "xenium_", "_processed", "upper").alias("sample_id"))
+    name = F.concat(F.lit("in/dir/assay_"), F.col("p_brand"), F.lit("_processed.h5ad"))
+    return table(spark, d, "part").select("p_partkey", pooling.sample_id(name, "assay_", "_processed", "upper").alias("sample_id"))
 
 
 @query("SELECT o.o_orderkey, o.o_custkey, c.c_mktsegment AS feature FROM orders o JOIN customer c ON c.c_custkey = o.o_custkey")
