@@ -142,7 +142,7 @@ def train(documents: DataFrame, labels: DataFrame, positives: int = 4000, unlabe
             x[i, at[at >= 0]] = 1
         dense.append(x)
     # Labels may be richer in toxic rows than the documents are; a prior that is too high would make clean text toxic.
-    prior = min(0.95, shares[1] / sum(shares.values()), estimate_prior(*dense) if len(dense[0]) > 1 else 1.0)
+    prior = min(0.95, shares[1] / sum(shares.values()), estimate_prior(*dense) if min(map(len, dense)) > 1 else 1.0)
     weights, bias = fit_nnpu(*dense, max(prior, 1e-4))
     return WordModel(chosen, weights, bias)
 
