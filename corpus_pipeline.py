@@ -4,7 +4,8 @@ Every stage works on all that the one before kept.  All but the last return the
 
 1. ``toxicity`` drops documents that the non-negative positive-unlabelled model scores 0.5 or more.
 2. ``quality`` drops documents that the pairwise ranking scores below 0.3.
-3. ``near_copies`` keeps one document of each SimHash component, the one with the smallest id.
+3. ``near_copies`` keeps one document of each component of texts whose five-word shingles have a Jaccard similarity of 0.8 or more, the
+   one with the smallest id; the candidates are found by MinHash bands.
 4. ``mixing`` takes whole documents, up to twice each, to the sources' targets and puts them in training order.
 5. ``pieces`` adds the ids of a seeded merge-dropout segmentation (``piece_ids``), which decode to the text exactly.
 """
@@ -14,11 +15,11 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from nichewright.llm.minhash import drop_similar
 from nichewright.llm.mixing import mixed_documents
 from nichewright.llm.pieces import encode_documents
 from nichewright.llm.quality import drop_poor
 from nichewright.llm.shared import table, work_dir
-from nichewright.llm.simhash import drop_near_copies
 from nichewright.llm.toxicity import drop_toxic
 
 
@@ -31,7 +32,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return drop_near_copies(docs, threshold=4)
+    return drop_similar(docs, threshold=0.8)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,6 +5,11 @@ shingle gets a 64-bit base hash, and each of ``slots`` hash functions of the mul
 shingles; the fingerprint keeps the low 16 bits of each function's minimum, four hexadecimal digits a slot.  Likeness is the
 share of equal slots, an estimate of the Jaccard similarity of the shingle sets.
 
+``drop_similar`` keeps one text of each component of texts at a Jaccard similarity of ``threshold`` or more.  Texts that share a band
+of their signature form candidate clusters, found by a star for each band instead of pairs.  Only the texts of clusters are read
+again; a cluster of more than ``block`` texts is compared in blocks, similarities are taken from whole shingle sets, and a block
+sends out a spanning forest of its links.
+
 ``edited_fingerprints`` needs every document's successor: texts are range-shuffled once, each task walks its sorted documents,
 and only one text on either side of a partition border waits for a second step.
 
@@ -26,6 +31,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nichewright.llm.shared import materialise, partitions, text_batches
+from nichewright.llm.simhash import _runs
+from nichewright.operators.components import connected_components
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -185,3 +192,75 @@ def text_classes(documents: DataFrame) -> DataFrame:
     """(doc_id, id, text): ``id`` is the SHA-256 of the text, which exact copies share."""
     text = F.coalesce(F.col("text"), F.lit(""))
     return text_batches(documents).select("doc_id", F.sha2(text, 256).alias("id"), text.alias("text"))
+
+
+def similar_links(sets: list[np.ndarray], home: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """A spanning forest of the links between sets (sorted, without repeats) of which at least one is at home."""
+    sizes = np.array([len(x) for x in sets])
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    code = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    order = np.argsort(code, kind="stable")
+    first = np.concatenate([[0], np.cumsum(np.bincount(code))])
+    holders, begin = owner[order], np.concatenate([[0], np.cumsum(sizes)])
+    root, out = np.arange(len(sets)), []
+    for i in np.flatnonzero(home):
+        if (root == root[i]).all():
+            continue
+        common = np.zeros(len(sets), np.int64)
+        for c in range(begin[i], begin[i + 1], 1024):
+            own = code[c : min(c + 1024, begin[i + 1])]
+            common += np.bincount(np.concatenate([holders[first[k] : first[k + 1]] for k in own]), minlength=len(sets))
+        for j in np.flatnonzero((common >= threshold * (sizes + sizes[i] - common)) & (root != root[i])):
+            if root[j] != root[i]:
+                out.append((int(i), int(j)))
+                root[root == root[j]] = root[i]
+    return out
+
+
+def drop_similar(documents: DataFrame, threshold: float = 0.8, slots: int = 64, band: int = 4, width: int = 5, block: int = 512) -> DataFrame:
+    """One document of each component, with all its columns: the one with the smallest id (null ids last), then the smallest
+    text hash; of rows that agree in these, one stays.
+
+    Links are those of ``near_copies``, with the same probability to be found; more are found through the other texts of a
+    cluster.  Texts are shuffled once for the clusters and once to meet the list of those that stay.
+    """
+    keys = ["__nw_id", "__nw_text"]
+    text = F.coalesce(documents["text"], F.lit(""))
+
+    @F.arrow_udf("array<long>")
+    def banded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        hasher = MinHasher(slots, width)
+        for texts in batches:
+            yield pa.array([np.ascontiguousarray(np.pad(hasher.signature(x.as_py().encode()).reshape(-1, band), ((0, 0), (0, -band % 4)))).view(np.int64).reshape(slots // band, -1)[:, 0] for x in texts], pa.list_(pa.int64()))
+
+    if band > 4:
+        raise ValueError("a band has four slots at most")
+    keyed = text_batches(documents).withColumns({"__nw_id": F.coalesce(documents["doc_id"].cast("string"), F.lit("")), "__nw_text": F.substring(F.sha2(text, 256), 1, 32)})
+    prints = materialise(keyed.select("doc_id", *keys, banded(text).alias("bands")), "similar")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "__nw_text", "__nw_id")
+    different = materialise(prints.groupBy(F.col("__nw_text").alias("id")).agg(F.min(order).alias("k"), F.first("bands").alias("bands")), "similar")
+    by_band = different.select("id", F.posexplode("bands").alias("slot", "value"))
+    shared = by_band.groupBy("slot", "value").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
+    clusters = connected_components(by_band.join(shared, ["slot", "value"]).where(F.col("id") != F.col("a")).select("a", F.col("id").alias("b")))
+    members = clusters.join(different, clusters.node == different.id).select(F.col("component").alias("cluster"), "id", F.col("k.__nw_id").alias("__nw_id"), F.col("id").alias("__nw_text"))
+    large = clusters.groupBy(F.col("component").alias("cluster")).agg(F.ceil(F.count("*") / block).alias("n")).where("n > 1")
+    dealt = members.join(large, "cluster", "left").withColumn("n", F.coalesce("n", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("id"), "n"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    placed = dealt.select(*keys, F.xxhash64("cluster").alias("cluster"), "id", F.least("own", "other").alias("c"), F.greatest("own", "other").alias("h"), (F.col("own") <= F.col("other")).alias("home"))
+    key = ["cluster", "c", "h"]
+    read = keyed.select(*keys, text.alias("__nw_whole")).join(placed, keys).select(*key, "id", "home", F.col("__nw_whole").alias("text"))
+    blocks = read.repartition(*key).sortWithinPartitions(*key)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = MinHasher(slots, width)
+        for rows in _runs(batches, key):
+            ids = rows["id"].to_pylist()
+            sets = [np.unique(hasher.shingles(t.as_py().encode())) for t in rows["text"]]
+            found = similar_links(sets, rows["home"].to_numpy(zero_copy_only=False), threshold)
+            if found:
+                yield pa.RecordBatch.from_pydict({"a": [ids[i] for i, _ in found], "b": [ids[j] for _, j in found]})
+
+    joined = connected_components(blocks.mapInArrow(compare, "a string, b string"))
+    root = different.join(joined, different.id == joined.node, "left").select("k", F.coalesce("component", "id").alias("root"))
+    stays = root.groupBy("root").agg(F.min("k").alias("k")).select(F.col("k.__nw_id").alias("__nw_id"), F.col("k.__nw_text").alias("__nw_text"))
+    return keyed.join(stays, keys, "left_semi").dropDuplicates(keys).select(*documents.columns)
