@@ -7,13 +7,16 @@ Every stage works on all that the one before kept.  All but the last return the
 3. ``near_copies`` keeps one document of each component of texts whose five-word shingles have a Jaccard similarity of 0.8 or more, the
    one with the smallest id; the candidates are found by MinHash bands.
 4. ``mixing`` takes whole documents, up to twice each, to the sources' targets and puts them in training order.
-5. ``pieces`` adds the ids of a seeded merge-dropout segmentation (``piece_ids``), which decode to the text exactly.
+5. ``pieces`` adds the ids of a seeded merge-dropout segmentation (``piece_ids``), which decode to the text exactly; both
+   copies of a document are segmented on their own, by their places in the training order.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from nichewright.llm.minhash import drop_similar
 from nichewright.llm.mixing import mixed_documents
@@ -40,7 +43,11 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model"), dropout=0.1, variants=4)
+    try:  # the place in the training order: the number of the file and the row in it
+        copy = F.concat_ws(":", F.regexp_extract(docs["_metadata.file_name"], r"^part-(\d+)", 1), docs["_metadata.row_index"])
+    except AnalysisException:
+        copy = F.monotonically_increasing_id()
+    return encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model"), dropout=0.1, copy=copy)
 
 
 STAGES = [("toxicity", toxicity), ("quality", quality), ("near_copies", near_copies), ("mixing", mixing), ("pieces", pieces)]

@@ -3,12 +3,13 @@
 The pieces and scores of a given SentencePiece BPE model are used; nothing is trained.  A text, its spaces written as the space mark
 and one mark put before it, is cut in front of every run of marks that follows another character: no piece has a mark after another
 character, so no merge crosses a cut.  Each part is merged by an agenda: the adjacent pair whose joined piece has the best score
-goes first, the leftmost of equals; a candidate taken from the agenda is skipped for good if its keyed hash falls below ``dropout``.
-The key holds the seed, the variant, the part and the candidate's place, so results don't depend on partitions or order, and a
-document's variant, one of ``variants``, comes from its id.  Characters without a piece become byte pieces, and so does a space mark
+goes first, the leftmost of equals; a candidate taken from the agenda is skipped for good with the chance ``dropout``.  The draws
+come from the seed, the document's variant (a 32-bit hash of its id, and of its copy if given), the part's place in the text and
+the number of skips so far, so every occurrence is segmented on its own and results don't depend on partitions or order.  Characters without a piece become byte pieces, and so does a space mark
 that stands in the text itself: decoding gives back the text exactly.  Without dropout the ids equal the library's.
 
-Scale: one pass over the texts without a shuffle.  Parts recur, so their pieces are kept in a bounded table in each Python worker.
+Scale: one pass over the texts without a shuffle.  Parts recur, so what a part becomes without skips, and after
+given ones, is kept in a bounded table in each Python worker; a draw only chooses among these.
 
 Cases: a null text counts as empty and has no ids; a null id has variant 0; rows that share an id share the variant; an empty table
 gives an empty result; other columns are kept by ``encode_documents`` and ignored by ``round_trip``.
@@ -19,14 +20,15 @@ from __future__ import annotations
 import functools
 import hashlib
 import heapq
+import itertools
 import re
 import zlib
 from array import array
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,13 +42,28 @@ _LINE_PARTS = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
 
 
 NEVER = 1 << 40
-PLACES = 1 << 12
-#: Last slot of the table that tells parts met before from new ones; most parts are met once and aren't kept.
+#: Parts of more characters are merged anew wherever they occur.
+SHORT = 48
+#: Last slot of the table that tells nodes asked for before from new ones; most are asked for once and aren't kept.
 DOOR = (1 << 23) - 1
+#: The node of a part that isn't kept: more candidates than any draw, so each occurrence is merged anew.
+UNKEPT = array("i", [-(1 << 30)]).tobytes()
+_ALL, _ODD, _MORE = (1 << 64) - 1, 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
+
+
+def _mixed(x):
+    """A finaliser that spreads every bit over the word, of a Python integer below 2**64 or of an array."""
+    if isinstance(x, int):
+        x = (x ^ x >> 31) * 0x7FB5D329728EA185 & _ALL
+        x = (x ^ x >> 27) * 0x81DADEF4BC2DD44D & _ALL
+        return x ^ x >> 33
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
+    return x ^ (x >> np.uint64(33))
 
 
 class PieceCoder:
-    """Encodes and decodes with one model; equal parts of a variant are merged once while they are kept."""
+    """Encodes and decodes with one model; what a part becomes after given skips is merged once while it is kept."""
 
     def __init__(self, model_file: str, dropout: float = 0.1, seed: int = 23, most_parts: int = 400_000):
         import sentencepiece
@@ -68,40 +85,72 @@ class PieceCoder:
         self.cut = _PARTS if any("\n" in p for p in self.ids) else _LINE_PARTS
         back = {i: b"" for i in special} | {i: bytes([b]) for b, i in self.bytes.items()} | {i: p.replace(MARK, " ").encode() for p, i in self.ids.items()}
         self.back = [back[i] for i in range(size)]
-        # Tabulation hashing: a candidate draws the exclusive or of its part's key with random words of its place and its piece.
-        self.below, self.seed, self.most_parts = int(dropout * (1 << 30)), seed, most_parts
-        rng = np.random.default_rng(seed)
-        self.of_place, self.of_rank = (rng.integers(0, 1 << 30, n).tolist() for n in (PLACES, len(place)))
-        self.kept: dict[tuple[int, bool], dict[str, bytes]] = {}
-        self.older: dict[tuple[int, bool], dict[str, bytes]] = {}
+        self.seed, self.most_parts = seed, most_parts
+        # A candidate is skipped with the same chance whatever came before, so the number taken up to the next skip is
+        # geometric: at least n + 1 where a draw of 53 bits is below chances[-1 - n].
+        chances = [1 << 53] * 4096 if dropout <= 0 else []
+        while not chances or 0 < dropout < 1 and chances[-1] > 0 and len(chances) < 1 << 20:
+            chances.append(int((1 - dropout) ** (len(chances) + 1) * (1 << 53)) if dropout < 1 else 0)
+        self.dropping, self.chances = dropout > 0, chances[::-1]
+        self.table = np.array(self.chances, np.uint64)
+        self.kept: dict[str | tuple, bytes] = {}
+        self.older: dict[str | tuple, bytes] = {}
         self.n_kept, self.door = 0, bytearray(DOOR + 1)
 
+    def _base(self, variant: int) -> int:
+        return _mixed(_mixed(self.seed & _ALL) + (variant & _ALL) * _ODD & _ALL)
+
+    def _gap(self, key: int, depth: int) -> int:
+        """How many candidates an occurrence takes between its skips number depth - 1 and depth."""
+        draw = _mixed(key + depth * _MORE & _ALL) >> 11
+        return len(self.chances) - bisect_right(self.chances, draw)
+
+    def _gaps(self, keys: np.ndarray, depth: int) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            draws = _mixed(keys + np.uint64(depth * _MORE & _ALL)) >> np.uint64(11)
+        return len(self.table) - np.searchsorted(self.table, draws, side="right")
+
+    def _skips(self, key: int) -> Iterator[int]:
+        """The places, among the candidates as they come from the agenda, that an occurrence skips."""
+        at = -1
+        for depth in itertools.count():
+            at += 1 + self._gap(key, depth)
+            yield at
+
     def _merge(self, part: str, variant: int) -> list[str]:
-        """The pieces of a part by its agenda."""
-        key = xxhash.xxh32_intdigest(part.encode("utf-8", "surrogatepass"), self.seed + variant) >> 2 if self.below else 0
-        return self._merge_short(part, key) if len(part) <= 48 else self._merge_long(part, key)
+        """The pieces of the first part of a text."""
+        key = _mixed(self._base(variant) ^ int.from_bytes(part.encode("utf-8", "surrogatepass")[-8:], "little"))
+        return self._merge_short(part, key) if len(part) <= SHORT else self._merge_long(part, key)
 
     def _merge_short(self, part: str, key: int) -> list[str]:
-        """The agenda as a list with a place for each adjacent pair."""
-        text, start, get = list(part), list(range(len(part))), self.rank.get
-        below, of_place, of_rank = self.below, self.of_place, self.of_rank
+        return self._short(part, self._skips(key) if self.dropping else iter(()))[0]
+
+    def _merge_long(self, part: str, key: int) -> list[str]:
+        return self._long(part, self._skips(key) if self.dropping else iter(()))
+
+    def _short(self, part: str, skips: Iterator[int]) -> tuple[list[str], int]:
+        """The pieces and the number of candidates; the agenda is a list with a place for each adjacent pair."""
+        text, get = list(part), self.rank.get
+        skip, n = next(skips, NEVER), 0
         agenda = [get(a + b, NEVER) for a, b in zip(text, text[1:], strict=False)]
         while agenda and (best := min(agenda)) < NEVER:
             i = agenda.index(best)
-            if below and (key ^ of_place[start[i]] ^ of_rank[best]) < below:
-                agenda[i] = NEVER
+            n += 1
+            if n > skip:
+                agenda[i], skip = NEVER, next(skips, NEVER)
                 continue
             text[i] += text.pop(i + 1)
-            del start[i + 1], agenda[i]
+            del agenda[i]
             if i < len(agenda):
                 agenda[i] = get(text[i] + text[i + 1], NEVER)
             if i:
                 agenda[i - 1] = get(text[i - 1] + text[i], NEVER)
-        return text
+        return text, n
 
-    def _merge_long(self, part: str, key: int) -> list[str]:
+    def _long(self, part: str, skips: Iterator[int]) -> list[str]:
         """The agenda as a heap, for parts whose pairs are too many to look through for every merge."""
-        text, n, below, get = list(part), len(part), self.below, self.rank.get
+        text, n, get = list(part), len(part), self.rank.get
+        skip, taken = next(skips, NEVER), 0
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         agenda = [(r, i, 2) for i in range(n - 1) if (r := get(text[i] + text[i + 1], NEVER)) < NEVER]
         heapq.heapify(agenda)
@@ -109,7 +158,9 @@ class PieceCoder:
             best, i, size = heapq.heappop(agenda)
             if not text[i] or (j := after[i]) >= n or len(text[i]) + len(text[j]) != size or get(text[i] + text[j]) != best:
                 continue  # one of the two has been merged since
-            if below and (key ^ self.of_place[i % PLACES] ^ self.of_rank[best]) < below:
+            taken += 1
+            if taken > skip:
+                skip = next(skips, NEVER)
                 continue
             text[i] += text[j]
             text[j] = ""
@@ -123,52 +174,92 @@ class PieceCoder:
                 heapq.heappush(agenda, (r, h, len(text[h]) + len(text[i])))
         return [t for t in text if t]
 
-    def _part_ids(self, part: str, variant: int) -> bytes:
-        pieces, get = self._merge(part, variant), self.ids.get
+    def _ids(self, pieces: list[str], head: int) -> bytes:
+        """``head`` and the ids of the pieces."""
+        get = self.ids.get
         ids = [get(p) for p in pieces]
         if None in ids:
             ids = []
             for piece in pieces:
                 found = get(piece)
                 ids += [found] if found is not None else [self.bytes[b] for c in piece for b in (MARK if c == OWN_MARK else c).encode()]
-        return array("i", ids).tobytes()
+        return array("i", [head, *ids]).tobytes()
+
+    def _keep(self, name: str | tuple, node: bytes) -> bytes:
+        if self.n_kept >= self.most_parts // 2:  # what was asked for since the last time stays within reach
+            self.older, self.kept, self.n_kept = self.kept, {}, 0
+        self.kept[name] = node
+        self.n_kept += 1
+        return node
+
+    def _known(self, name: str | tuple) -> bytes | None:
+        if (node := self.kept.get(name)) is None and (node := self.older.get(name)) is not None:
+            self._keep(name, node)
+        return node
+
+    def _met(self, name: str | tuple) -> bool:
+        """Was it asked for before?  Then it is likely to come again."""
+        slot = hash(name) & DOOR
+        met, self.door[slot] = self.door[slot], 1
+        return bool(met)
+
+    def _skipping(self, part: str, key: int, gaps: tuple[int, int, int], whole: bytes) -> bytes:
+        """The node of an occurrence whose first skip is among the part's candidates, or whose part isn't kept."""
+        if whole is UNKEPT:
+            return self._ids(self._merge_short(part, key) if len(part) <= SHORT else self._merge_long(part, key), -1)
+        at, name, node, depth = gaps[0], (part,), whole, 0
+        while at < -1 - int.from_bytes(node[:4], "little", signed=True):
+            name = (*name, at)
+            if (found := self.kept.get(name)) is None and (found := self._known(name)) is None:
+                if not self._met(name):
+                    return self._ids(self._merge_short(part, key), -1)
+                pieces, n = self._short(part, iter(name[1:]))
+                found = self._keep(name, self._ids(pieces, -1 - n))
+            node, depth = found, depth + 1
+            at += 1 + (gaps[depth] if depth < 3 else self._gap(key, depth))
+        return node
 
     def encode(self, text: str, variant: int = 0) -> np.ndarray:
-        """The ids of a whole text as signed 32-bit integers."""
+        """The ids of a whole text as signed 32-bit integers.
+
+        A node is the number n of candidates that a part has after given skips, as -1 - n, before its ids.  Each occurrence
+        draws from the variant and its place: without a skip it takes the part's node, else it goes on to nodes by skips.
+        """
         if not text:
             return np.zeros(0, np.int32)
-        # Most texts have single spaces only: then words can stand for their parts, without their mark, and are found faster.
-        plain = self.cut is _LINE_PARTS and MARK not in text and "  " not in text and text[0] != " "
-        if plain:
-            parts = text.replace("\n", " \n").split(" ")
+        # Most texts have single spaces only: then their parts are found faster.
+        if self.cut is _LINE_PARTS and MARK not in text and "  " not in text and text[0] != " ":
+            parts = [p if p[:1] == "\n" else MARK + p for p in text.replace("\n", " \n").split(" ")]
         else:
             parts = self.cut.findall(MARK + text.replace(MARK, OWN_MARK).replace(" ", MARK))
-        kept = self.kept.setdefault((variant, plain), {})
-        once: dict[str, bytes] = {}
-        new = set(parts).difference(kept)
-        if new:
-            if self.n_kept + len(new) > self.most_parts // 2:  # what was asked for since the last time stays within reach
-                self.older, self.n_kept, new = self.kept, 0, set(parts)
-                self.kept = {(variant, plain): (kept := {})}
-            older, door = self.older.get((variant, plain), {}), self.door
-            for part in new:
-                if found := older.get(part):
-                    kept[part] = found
-                    self.n_kept += 1
-                    continue
-                found = self._part_ids(MARK + part if plain and part[:1] != "\n" else part, variant)
-                slot = (hash(part) + variant * 0x9E3779B1 + plain) & DOOR
-                if door[slot]:  # met before: it is likely to come again
-                    kept[part] = found
-                    self.n_kept += 1
+        if len(self.kept) > self.most_parts:
+            self.older, self.kept, self.n_kept = self.kept, {}, 0
+        here: dict[str, bytes] = {}
+        for part in set(parts):
+            if (node := self._known(part)) is None:
+                met = self._met(part)
+                if self.dropping and (len(part) > SHORT or not met):
+                    node = UNKEPT
                 else:
-                    door[slot] = 1
-                    once[part] = found
-        kept.update(once)
-        ids = np.frombuffer(b"".join(map(kept.__getitem__, parts)), np.int32)
-        for part in once:
-            del kept[part]
-        return ids
+                    pieces, n = self._short(part, iter(())) if len(part) <= SHORT else (self._long(part, iter(())), 0)
+                    node = self._ids(pieces, -1 - n)
+                    if met:
+                        self._keep(part, node)
+            here[part] = node
+        nodes = list(map(here.__getitem__, parts))
+        ids = np.frombuffer(b"".join(nodes), np.int32)
+        if self.dropping:
+            with np.errstate(over="ignore"):
+                keys = _mixed(np.uint64(self._base(variant)) + np.arange(len(parts), dtype=np.uint64) * np.uint64(_ODD))
+            first = self._gaps(keys, 0)
+            at = np.flatnonzero(first < -1 - ids[ids < 0].astype(np.int64))
+            if len(at):
+                own = keys[at]
+                skipping = self._skipping
+                for i, key, *gaps in zip(at.tolist(), own.tolist(), first[at].tolist(), self._gaps(own, 1).tolist(), self._gaps(own, 2).tolist(), strict=True):
+                    nodes[i] = skipping(parts[i], key, gaps, nodes[i])
+                ids = np.frombuffer(b"".join(nodes), np.int32)
+        return ids[ids >= 0]
 
     def decode(self, ids) -> str:
         """The text of a whole text's ids."""
@@ -181,14 +272,15 @@ def coder_of(model_file: str, dropout: float, seed: int, most_parts: int) -> Pie
     return PieceCoder(model_file, dropout, seed, most_parts)
 
 
-def variant_of(doc_id: Column, variants: int, seed: int) -> Column:
-    return F.when(doc_id.isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(doc_id, F.lit(seed)), F.lit(variants))).cast("int")
+def variant_of(doc_id: Column, seed: int, copy: Column | None = None) -> Column:
+    """The number, of 32 bits, from which a document (or its copy) draws."""
+    return F.when(doc_id.isNull() if copy is None else F.lit(False), F.lit(0)).otherwise(F.xxhash64(doc_id, *([] if copy is None else [copy]), F.lit(seed)).bitwiseAND(F.lit((1 << 32) - 1)) - F.lit(1 << 31)).cast("int")
 
 
-def encode_documents(documents: DataFrame, model_file: str, dropout: float = 0.1, variants: int = 4, seed: int = 23, most_parts: int = 400_000) -> DataFrame:
+def encode_documents(documents: DataFrame, model_file: str, dropout: float = 0.1, seed: int = 23, most_parts: int = 400_000, copy: Column | None = None) -> DataFrame:
     """The documents with a column ``piece_ids``; a column of that name is replaced.
 
-    ``most_parts`` bounds what a worker keeps, some 160 bytes each; fewer cost time, not results.
+    ``copy`` tells rows of one document apart, so that its copies are segmented anew.  ``most_parts`` bounds what a worker keeps, some 160 bytes each; fewer cost time, not results.
     """
 
     @F.arrow_udf("array<int>")
@@ -199,12 +291,12 @@ def encode_documents(documents: DataFrame, model_file: str, dropout: float = 0.1
             offsets = np.cumsum([0, *map(len, ids)]).astype(np.int32)
             yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))
 
-    return text_batches(documents).withColumn("piece_ids", encoded(F.coalesce(documents["text"], F.lit("")), variant_of(documents["doc_id"], variants, seed)))
+    return text_batches(documents).withColumn("piece_ids", encoded(F.coalesce(documents["text"], F.lit("")), variant_of(documents["doc_id"], seed, copy)))
 
 
-def round_trip(documents: DataFrame, model_file: str, dropout: float = 0.1, variants: int = 4, seed: int = 23, most_parts: int = 1_200_000) -> DataFrame:
+def round_trip(documents: DataFrame, model_file: str, dropout: float = 0.1, seed: int = 23, most_parts: int = 1_200_000) -> DataFrame:
     """(doc_id, variant, n_pieces, ids_crc32, decoded_sha256, lossless) for every document: its ids and what they decode to."""
-    rows = text_batches(documents).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), variant_of(F.col("doc_id"), variants, seed).alias("variant"))
+    rows = text_batches(documents).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), variant_of(F.col("doc_id"), seed).alias("variant"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = coder_of(model_file, dropout, seed, most_parts)

@@ -35,7 +35,7 @@ def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from nichewright.llm.pieces import round_trip
 
-    return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), dropout=0.1, variants=4)
+    return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), dropout=0.1)
 
 
 def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
