@@ -8,7 +8,7 @@ the shuffle, so a hub isn't collected anywhere; rounds are cut by tables in the
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nichewright.plans.storage import materialise
@@ -45,4 +45,17 @@ def connected_components(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
     for hook in hooks[1:]:
         place = place.join(hook.toDF("to", "next"), "to", "left").select("node", F.coalesce("next", "to").alias("to"))
     place = materialise(place, "components") if len(hooks) > 1 else place
-    return place.join(place.groupBy("to").agg(F.min("node").alias("component")), "to").select("node", "component")
+    return with_group(place, "to", component=F.min("node")).select("node", "component")
+
+
+def with_group(rows: DataFrame, key: str, **aggregates: Column) -> DataFrame:
+    """``rows``, a written table, each with the ``aggregates`` of all rows that share its ``key``; a null key has nulls.
+
+    Groups of over a ten-thousandth of all rows (and of over 1,000) are at most ten thousand, so their aggregates are broadcast and
+    their rows stay where they are; the others meet theirs by shuffle.
+    """
+    groups = materialise(rows.groupBy(key).agg(*(c.alias(n) for n, c in aggregates.items()), F.count("*").alias("__nw_rows")), "groups")
+    large = F.col("__nw_rows") > max(1_000, rows.count() // 10_000)
+    hot = F.broadcast(groups.where(large).drop("__nw_rows"))
+    others = rows.join(hot.select(key), key, "left_anti").join(groups.where(~large).drop("__nw_rows"), key, "left")
+    return rows.join(hot, key).unionByName(others)

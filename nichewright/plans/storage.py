@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -12,10 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 def work_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder below ``spark.checkpoint.dir``, which driver and executors share.
 
-    Where the setting is missing (tests, a laptop) a folder of this machine is set, which is right in local mode only.
+    Where the setting is missing a folder of this machine is set in local mode (tests, a laptop); a cluster's executors don't share
+    one, so there it is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = f"file://{os.path.join(tempfile.gettempdir(), 'checkpoints', 'nichewright')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
@@ -27,3 +31,9 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     path = work_dir(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Has the driver drop what nothing refers to any more, so that the files of shuffles whose result is written are deleted."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
