@@ -97,13 +97,13 @@ def with_cut(model: PairModel, scores: DataFrame, labels: DataFrame) -> PairMode
     if model.weights is None:
         return model
     known = training_labels(labels, "quality")
-    counts = scores.join(known, "doc_id").groupBy(F.floor(F.col("raw") / STEP).alias("bin"), "label").count().collect()
-    poor = sum(r["count"] for r in counts if r.label == 0)
-    below = 0
-    for at in sorted({r.bin for r in counts}):
+    bins = F.floor(F.col("raw") / STEP).alias("bin")
+    counts = scores.join(known, "doc_id").groupBy(bins).agg(F.count("*").alias("n"), F.count_if(F.col("label") == 0).alias("poor")).orderBy("bin").collect()
+    poor, below = sum(r.poor for r in counts), 0
+    for r in counts:
         if below >= poor:
-            return replace(model, cut=at * STEP)
-        below += sum(r["count"] for r in counts if r.bin == at)
+            return replace(model, cut=r.bin * STEP)
+        below += r.n
     return replace(model, cut=EDGE)
 
 
@@ -128,7 +128,11 @@ def quality_scores(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def drop_poor(documents: DataFrame, labels: DataFrame, threshold: float = CUT) -> DataFrame:
-    """The documents whose score is at least ``threshold``, with all their columns."""
+    """The documents whose score is at least ``threshold``, with all their columns.
+
+    The cut needs all scores first; the documents are written with them, so that every text is scored once.
+    """
     model = train(documents, labels)
-    model = with_cut(model, raw_scores(documents, model), labels)
-    return documents.where(score_texts(documents["text"], model.scorer) >= threshold)
+    scored = materialise(documents.withColumn("__nw_raw", score_texts(documents["text"], model.raw_scorer)), "quality-documents")
+    model = with_cut(model, scored.select("doc_id", F.col("__nw_raw").alias("raw")), labels)
+    return scored.where(score(F.col("__nw_raw"), model) >= threshold).select(*documents.columns)

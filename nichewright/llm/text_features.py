@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from nichewright.llm.shared import materialise
+
 #: Lower-cases A-Z and turns every other ASCII byte that isn't a letter into a space; bytes of other characters stay.
 _LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -102,8 +104,18 @@ def training_labels(labels: DataFrame, column: str) -> DataFrame:
 
 
 def hashed_sample(rows: DataFrame, size: int, salt: int) -> DataFrame:
-    """The ``size`` rows with the smallest keyed hash of doc_id: a bounded sample that any run finds again."""
-    return rows.orderBy(F.xxhash64("doc_id", F.lit(salt)), "doc_id").limit(size)
+    """The ``size`` rows (doc_id) with the smallest keyed hash: a bounded sample that any run finds again.
+
+    The rows are counted first, so that little more than the sample itself is sorted, however many rows and partitions there are.
+    """
+    rows, draw = materialise(rows, "sample"), F.xxhash64("doc_id", F.lit(salt))
+    return rows.where(draw < draw_edge(rows.count(), size)).orderBy(draw, "doc_id").limit(size)
+
+
+def draw_edge(rows: int, size: int) -> int:
+    """The signed 64-bit hash below which ``size`` of so many rows or some more lie, but for a chance below one in a billion."""
+    share = min(1.0, (size + 6 * size**0.5 + 50) / max(1, rows))
+    return min(2**63 - 1, int(share * 2**64) - 2**63)
 
 
 def collect_features(documents: DataFrame, ids: DataFrame, featurise, value_type: pa.DataType) -> list[tuple[int, int, np.ndarray]]:
