@@ -20,6 +20,7 @@ an id keep one entry each, ordered by a hash of the text and the text; an empty
 from __future__ import annotations
 
 import functools
+import itertools
 import os
 import re
 import uuid
@@ -122,9 +123,10 @@ def write_token_files(documents: DataFrame, root: str, tokenizer_file: str, end_
     ordered = (
         text_batches(documents).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
         .withColumn("tie", F.xxhash64("text"))
-        .repartitionByRange(shards or partitions(spark), F.col("doc_id").asc_nulls_first(), "tie")
+        .withColumn("deal", F.xxhash64(F.monotonically_increasing_id()))  # rows that agree in id and text may be dealt to several shards
+        .repartitionByRange(shards or partitions(spark), F.col("doc_id").asc_nulls_first(), "tie", "deal")
         .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie", "text")
-        .drop("tie")
+        .select("doc_id", "text")
     )
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,12 +162,21 @@ def write_token_files(documents: DataFrame, root: str, tokenizer_file: str, end_
     return spark.read.schema(f"{MANIFEST}, base long").parquet(f"{root}/manifest")
 
 
-def _mapped(store: fs.FileSystem, path: str, dtype: str) -> np.ndarray:
-    """A memory map of a local file; elsewhere the file's content."""
-    if isinstance(store, fs.LocalFileSystem):
-        return np.memmap(path, dtype, "r") if os.path.getsize(path) else np.zeros(0, dtype)
-    with store.open_input_file(path) as f:
-        return np.frombuffer(f.read(), dtype)
+class _Mapped:
+    """A file of numbers of which spans are read: a memory map of a local file, elsewhere ranged reads."""
+
+    def __init__(self, store: fs.FileSystem, path: str, dtype: str):
+        self.dtype, self.map, self.file = np.dtype(dtype), None, None
+        if isinstance(store, fs.LocalFileSystem):
+            self.map = np.memmap(path, dtype, "r") if os.path.getsize(path) else np.zeros(0, dtype)
+        else:
+            self.file = store.open_input_file(path)
+
+    def __getitem__(self, span: slice) -> np.ndarray:
+        if self.map is not None:
+            return self.map[span]
+        width = self.dtype.itemsize
+        return np.frombuffer(self.file.read_at((span.stop - span.start) * width, span.start * width), self.dtype)
 
 
 def read_token_files(spark: SparkSession, root: str, id_bits: int = 16, with_ids: bool = False) -> DataFrame:
@@ -181,11 +192,12 @@ def read_token_files(spark: SparkSession, root: str, id_bits: int = 16, with_ids
                 path = _paths(base, row["shard"])
                 if not row["n_docs"]:
                     continue
-                ids, offsets, docs = _mapped(store, path["ids"], f"<u{id_bits // 8}"), _mapped(store, path["off"], "<u8"), _mapped(store, path["doc"], "<i8")
-                for start in range(0, len(docs), 2000):
-                    edges = offsets[start : start + 2001].astype(np.int64)
-                    own = docs[start : start + 2000]
-                    spans = [ids[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+                ids, offsets, docs = _Mapped(store, path["ids"], f"<u{id_bits // 8}"), _Mapped(store, path["off"], "<u8"), _Mapped(store, path["doc"], "<i8")
+                for start in range(0, row["n_docs"], 500):
+                    stop = min(start + 500, row["n_docs"])
+                    edges, own = offsets[start : stop + 1].astype(np.int64), docs[start:stop]
+                    held = ids[int(edges[0]) : int(edges[-1])]
+                    spans = [held[a:b] for a, b in itertools.pairwise((edges - edges[0]).tolist())]
                     out = {
                         "doc_id": pa.array(np.array(own), mask=np.array(own == NULL_ID)),
                         "start": pa.array(edges[:-1] + row["base"]),
