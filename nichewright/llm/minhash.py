@@ -1,21 +1,21 @@
-"""MinHash document fingerprints, their likeness, and near-duplicate pairs by signature bands.
+"""MinHash document fingerprints, their likeness, and near-duplicate texts by signature bands.
 
 A text's shingles are runs of ``width`` lower-cased words (fewer words: the whole sequence; none: the empty shingle).  Every
 shingle gets a 64-bit base hash, and each of ``slots`` hash functions of the multiply-add-shift universal family reorders the
-shingles; the fingerprint keeps the low 16 bits of each function's minimum, four hexadecimal digits a slot.  Likeness is the
+shingles; the fingerprint keeps 16 bits (32 to 47) of each function's minimum, four hexadecimal digits a slot.  Likeness is the
 share of equal slots, an estimate of the Jaccard similarity of the shingle sets.
 
-``drop_similar`` keeps one text of each component of texts at a Jaccard similarity of ``threshold`` or more.  Texts that share a band
-of their signature form candidate clusters, found by a star for each band instead of pairs.  Only the texts of clusters are read
-again; a cluster of more than ``block`` texts is compared in blocks, similarities are taken from whole shingle sets, and a block
-sends out a spanning forest of its links.
+Texts that share a band of their signature are joined in Spark: a band's texts form a star, stars form clusters, and only the
+texts of clusters are read again.  A cluster of more than ``block`` texts is compared in blocks, similarities are taken from whole
+shingle sets, and a block sends out a spanning forest of its links at ``threshold`` or more instead of all pairs.  A pair at 0.8
+shares one of 16 bands of 4 slots with the probability 1 - (1 - 0.8 ** 4) ** 16 = 0.9998.
 
-``edited_fingerprints`` needs every document's successor: texts are range-shuffled once, each task walks its sorted documents,
-and only one text on either side of a partition border waits for a second step.
+``fingerprinted`` also needs every document's successor: texts are range-shuffled once, each task walks its sorted documents, and
+only one text on either side of a partition border waits for a second step.
 
 Cases: a null text counts as empty, empty texts are like each other; null ids come last in descending order; rows that share an
-id follow each other by a hash of their text; the only document of a table is its own successor; an empty table gives an empty
-result; other columns are ignored.
+id follow each other by a hash of their text; the only document of a table is its own successor; a component that has only null
+ids has a null ``component_id``; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,12 +27,12 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from nichewright.llm.shared import materialise, partitions, text_batches
+from nichewright.llm.shared import few, materialise, partitions, release, text_batches
 from nichewright.llm.simhash import _runs
-from nichewright.operators.components import connected_components
+from nichewright.operators.components import connected_components, with_group
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -71,7 +71,7 @@ class MinHasher:
         return _mixed(total)
 
     def signature(self, raw: bytes) -> np.ndarray:
-        """The low 16 bits of the least hash in every slot."""
+        """16 middle bits of the least hash in every slot."""
         x = self.shingles(raw)
         least = np.full(len(self.a), np.iinfo(np.uint64).max, np.uint64)
         for start in range(0, len(x), 512):
@@ -84,39 +84,55 @@ def _edited(text: str, following: str) -> str:
     return text[: len(text) - n] + following[:n]
 
 
-EDITED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+#: What a document's step yields; the signatures and hashes are kept as bytes until the result is made.
+STEP = "doc_id long, row long, text_id binary, n_chars long, edited binary, own binary, new binary, near_edited double, near_next double"
+WALKED = f"{STEP}, part int, kind string, text string"
+_NAMES = [c.split()[0] for c in WALKED.split(", ")]
+_TYPES = [{"long": pa.int64(), "binary": pa.binary(), "double": pa.float64(), "int": pa.int32(), "string": pa.string()}[c.split()[1]] for c in WALKED.split(", ")]
+_STEPS = len(STEP.split(", "))
 
 
-def _record(doc_id, text: str, own: np.ndarray, following: str, next_own: np.ndarray, hasher: MinHasher) -> tuple:
-    changed = _edited(text, following).encode()
-    new = own if changed == text.encode() else hasher.signature(changed)
-    return doc_id, len(text), hashlib.sha256(changed).hexdigest(), own.tobytes().hex(), new.tobytes().hex(), float((own == new).mean()), float((own == next_own).mean())
+def text_id(text: Column) -> Column:
+    """128 bits of the text's SHA-256, which exact copies share."""
+    return F.unhex(F.substring(F.sha2(text, 256), 1, 32))
 
 
-def edited_fingerprints(documents: DataFrame, slots: int = 64, width: int = 5) -> DataFrame:
-    """For every document its fingerprint, that of its edited text, and its likeness to that and to the next document's.
+def _step(doc_id, row: int, text: str, own: np.ndarray, following: str, next_own: np.ndarray, hasher: MinHasher) -> tuple:
+    raw, changed = text.encode(), _edited(text, following).encode()
+    new = own if changed == raw else hasher.signature(changed)
+    return doc_id, row, hashlib.sha256(raw).digest()[:16], len(text), hashlib.sha256(changed).digest(), own.tobytes(), new.tobytes(), float((own == new).mean()), float((own == next_own).mean())
+
+
+def _batch(rows: list[tuple], width: int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _TYPES[:width], strict=True)], _NAMES[:width])
+
+
+def edited_steps(documents: DataFrame, slots: int = 64, width: int = 5) -> DataFrame:
+    """STEP for every document: its fingerprint, that of its edited text, and its likeness to that and to the next document's.
 
     The edited text has the last third of the code points replaced by the first as many of the document that follows in
-    descending order of doc_id; the first follows the last.
+    descending order of doc_id; the first follows the last.  ``row`` numbers the documents.
     """
     spark = documents.sparkSession
     order = [F.col("doc_id").desc_nulls_last(), F.col("tie")]
+    # Rows that agree in id and text may be dealt to several tasks: their order makes no difference.
     walked = (
         text_batches(documents).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
         .withColumn("tie", F.xxhash64("text"))
-        .repartitionByRange(partitions(spark), *order)
+        .withColumn("deal", F.xxhash64(F.monotonically_increasing_id()))
+        .repartitionByRange(partitions(spark), *order, "deal")
         .sortWithinPartitions(*order, "text")
         .select("doc_id", "text")
     )
-    names = [c.split()[0] for c in EDITED.split(", ")]
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, part, held, out = MinHasher(slots, width), TaskContext.get().partitionId(), None, []
+        row = part << 33
 
         def flush(more=()):
             rows = [(*r, part, "done", None) for r in out] + list(more)
             out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _WALKED, strict=True)], [*names, "part", "kind", "text"])
+            return _batch(rows, len(_NAMES))
 
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
@@ -124,24 +140,27 @@ def edited_fingerprints(documents: DataFrame, slots: int = 64, width: int = 5) -
                 for doc_id, text in zip(piece.column("doc_id").to_pylist(), piece.column("text").to_pylist(), strict=True):
                     own = hasher.signature(text.encode())
                     if held is None:
-                        yield flush([(*[None] * len(names), part, "head", text)])
+                        yield flush([(*[None] * _STEPS, part, "head", text)])
                     else:
-                        out.append(_record(*held, text, own, hasher))
-                    held = (doc_id, text, own)
+                        out.append(_step(*held, text, own, hasher))
+                    held = (doc_id, row, text, own)
+                    row += 1
                 if out:
                     yield flush()
         if held is not None:
-            yield flush([(held[0], *[None] * (len(names) - 1), part, "tail", held[1])])
+            yield flush([(held[0], held[1], *[None] * (_STEPS - 2), part, "tail", held[2])])
 
-    steps = materialise(walked.mapInArrow(walk, f"{EDITED}, part int, kind string, text string"), "edited-fingerprints")
+    steps = materialise(walked.mapInArrow(walk, WALKED), "edited-fingerprints")
+    del walked
+    release(spark)
     heads, tails = (steps.where(F.col("kind") == k) for k in ("head", "tail"))
     by_part = Window.orderBy("part")
     following = heads.select("part").select("part", F.lead("part").over(by_part).alias("next"), F.min("part").over(by_part).alias("first"))
     borders = (
-        tails.select("part", "doc_id", "text")
+        tails.select("part", "doc_id", "row", "text")
         .join(following.select("part", F.coalesce("next", "first").alias("next")), "part")
         .join(heads.select(F.col("part").alias("next"), F.col("text").alias("following")), "next")
-        .select("doc_id", "text", "following")
+        .select("doc_id", "row", "text", "following")
     )
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,48 +169,54 @@ def edited_fingerprints(documents: DataFrame, slots: int = 64, width: int = 5) -
             rows = []
             for r in batch.to_pylist():
                 own, other = hasher.signature(r["text"].encode()), hasher.signature(r["following"].encode())
-                rows.append(_record(r["doc_id"], r["text"], own, r["following"], other, hasher))
+                rows.append(_step(r["doc_id"], r["row"], r["text"], own, r["following"], other, hasher))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _WALKED[:7], strict=True)], names)
+                yield _batch(rows, _STEPS)
 
-    return steps.where("kind = 'done'").select(*names).unionByName(borders.mapInArrow(close, EDITED))
+    return steps.where("kind = 'done'").select(*_NAMES[:_STEPS]).unionByName(materialise(borders.mapInArrow(close, STEP), "edited-borders"))
 
 
-_WALKED = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int32(), pa.string(), pa.string()]
+def fingerprinted(documents: DataFrame, threshold: float = 0.8, slots: int = 64, width: int = 5, band: int = 4, block: int = 512) -> DataFrame:
+    """Fingerprints and near-duplicate groups: (doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited,
+    near_next, component_id, copies) for every document.
 
-
-def near_copies(documents: DataFrame, threshold: float = 0.8, slots: int = 64, band: int = 4, width: int = 5) -> DataFrame:
-    """(a, b, jaccard) of different texts whose shingle sets have a Jaccard similarity of at least ``threshold``.
-
-    ``a`` and ``b`` are the SHA-256 of the texts, so that exact copies stay one entry each (``text_classes`` has who they are).
-    Candidates share one of ``slots / band`` bands of their signature, joined in Spark; the similarity is then taken from the
-    whole shingle sets.  A pair at 0.8 is found with probability 1 - (1 - 0.8 ** band) ** (slots / band), 0.9998 by default.
+    ``component_id`` is the smallest doc_id that links of a Jaccard similarity of ``threshold`` or more reach, its own included;
+    ``copies`` is the number of documents with the same text.
     """
-
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = MinHasher(slots, width)
-        for batch in batches:
-            raw = [t.encode() for t in batch.column("text").to_pylist()]
-            signed = [hasher.signature(x).reshape(-1, band) for x in raw]
-            bands = pa.array([[b.tobytes().hex() for b in s] for s in signed], pa.list_(pa.string()))
-            sets = pa.array([np.unique(hasher.shingles(x)).view(np.int64) for x in raw], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), bands, sets], ["id", "bands", "shingles"])
-
-    different = text_classes(documents).groupBy("id").agg(F.first("text").alias("text"))
-    sketched = materialise(different.mapInArrow(sketch, "id string, bands array<string>, shingles array<long>"), "minhash")
-    banded = sketched.select("id", F.posexplode("bands").alias("slot", "value"))
-    pairs = banded.alias("x").join(banded.alias("y"), (F.col("x.slot") == F.col("y.slot")) & (F.col("x.value") == F.col("y.value")) & (F.col("x.id") < F.col("y.id")))
-    pairs = pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    sets = sketched.select("id", "shingles")
-    both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    return both.select("a", "b", (common / (F.size("sa") + F.size("sb") - common)).alias("jaccard")).where(F.col("jaccard") >= threshold)
+    steps = edited_steps(documents, slots, width)
+    classes = materialise(steps.groupBy("text_id").agg(F.min("row").alias("id"), F.min("doc_id").alias("first"), F.count("*").alias("copies")), "text-classes")
+    bands = F.array(*(F.xxhash64(F.substring("own", 2 * band * i + 1, 2 * band)) for i in range(slots // band)))
+    sketched = steps.select(F.col("row").alias("id"), "doc_id", "text_id", bands.alias("bands")).join(classes.select("id"), "id")
+    clusters = materialise(connected_components(band_stars(sketched)), "similar-clusters")
+    members = materialise(sketched.join(few(clusters), sketched.id == clusters.node).select("id", "doc_id", "text_id", F.col("component").alias("cluster")), "similar-members")
+    text = F.coalesce(documents["text"], F.lit(""))
+    whole = text_batches(documents).select(documents["doc_id"].cast("long").alias("own_id"), text_id(text).alias("own_text"), text.alias("text"))
+    read = whole.join(few(members), (F.col("text_id") == F.col("own_text")) & F.col("doc_id").eqNullSafe(F.col("own_id"))).select("cluster", "id", "text")
+    linked = materialise(connected_components(verified_links(read, members, threshold, slots, width, block)), "similar-linked")
+    roots = classes.join(few(linked), classes.id == linked.node, "left").select("text_id", "copies", "first", F.coalesce("component", "id").alias("root"))
+    grouped = with_group(materialise(roots, "similar-roots"), "root", component_id=F.min("first"), all_copies=F.sum("copies"))
+    # Most documents are alone; only the others are joined.
+    shared = materialise(grouped.where("all_copies > 1").select("text_id", "copies", "component_id"), "similar-classes")
+    of_row = steps.join(few(shared), "text_id", "left")
+    hexed = lambda c: F.lower(F.hex(c))
+    return of_row.select(
+        "doc_id",
+        "n_chars",
+        hexed("edited").alias("edited_sha256"),
+        hexed("own").alias("fingerprint"),
+        hexed("new").alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+        F.when(F.col("copies").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+        F.coalesce("copies", F.lit(1).cast("long")).alias("copies"),
+    )
 
 
-def text_classes(documents: DataFrame) -> DataFrame:
-    """(doc_id, id, text): ``id`` is the SHA-256 of the text, which exact copies share."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return text_batches(documents).select("doc_id", F.sha2(text, 256).alias("id"), text.alias("text"))
+def band_stars(sketched: DataFrame) -> DataFrame:
+    """Edges (a, b) from rows (id, bands) with different ids: every id that shares a band with others to the least of them."""
+    by_band = sketched.select("id", F.posexplode("bands").alias("slot", "value")).select("id", F.xxhash64("slot", "value").alias("key"))
+    shared = by_band.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("key", "a")
+    return by_band.join(few(materialise(shared, "bands")), "key").where("id <> a").select("a", F.col("id").alias("b"))
 
 
 def similar_links(sets: list[np.ndarray], home: np.ndarray, threshold: float) -> list[tuple[int, int]]:
@@ -217,50 +242,32 @@ def similar_links(sets: list[np.ndarray], home: np.ndarray, threshold: float) ->
     return out
 
 
-def drop_similar(documents: DataFrame, threshold: float = 0.8, slots: int = 64, band: int = 4, width: int = 5, block: int = 512) -> DataFrame:
-    """One document of each component, with all its columns: the one with the smallest id (null ids last), then the smallest
-    text hash; of rows that agree in these, one stays.
+def verified_links(read: DataFrame, members: DataFrame, threshold: float, slots: int, width: int, block: int) -> DataFrame:
+    """Edges (a, b) that connect exactly the ids that links at ``threshold`` connect, from rows (cluster, id, text) of clusters and
+    the written table ``members`` with a row (cluster) for each of their ids.
 
-    Links are those of ``near_copies``, with the same probability to be found; more are found through the other texts of a
-    cluster.  Texts are shuffled once for the clusters and once to meet the list of those that stay.
+    Rows that repeat an id are read once.  A cluster of more than ``block`` ids is dealt into blocks, and every pair of these
+    meets in one task.
     """
-    keys = ["__nw_id", "__nw_text"]
-    text = F.coalesce(documents["text"], F.lit(""))
-
-    @F.arrow_udf("array<long>")
-    def banded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        hasher = MinHasher(slots, width)
-        for texts in batches:
-            yield pa.array([np.ascontiguousarray(np.pad(hasher.signature(x.as_py().encode()).reshape(-1, band), ((0, 0), (0, -band % 4)))).view(np.int64).reshape(slots // band, -1)[:, 0] for x in texts], pa.list_(pa.int64()))
-
-    if band > 4:
-        raise ValueError("a band has four slots at most")
-    keyed = text_batches(documents).withColumns({"__nw_id": F.coalesce(documents["doc_id"].cast("string"), F.lit("")), "__nw_text": F.substring(F.sha2(text, 256), 1, 32)})
-    prints = materialise(keyed.select("doc_id", *keys, banded(text).alias("bands")), "similar")
-    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "__nw_text", "__nw_id")
-    different = materialise(prints.groupBy(F.col("__nw_text").alias("id")).agg(F.min(order).alias("k"), F.first("bands").alias("bands")), "similar")
-    by_band = different.select("id", F.posexplode("bands").alias("slot", "value"))
-    shared = by_band.groupBy("slot", "value").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
-    clusters = connected_components(by_band.join(shared, ["slot", "value"]).where(F.col("id") != F.col("a")).select("a", F.col("id").alias("b")))
-    members = clusters.join(different, clusters.node == different.id).select(F.col("component").alias("cluster"), "id", F.col("k.__nw_id").alias("__nw_id"), F.col("id").alias("__nw_text"))
-    large = clusters.groupBy(F.col("component").alias("cluster")).agg(F.ceil(F.count("*") / block).alias("n")).where("n > 1")
-    dealt = members.join(large, "cluster", "left").withColumn("n", F.coalesce("n", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("id"), "n"))
+    kind = read.schema["id"].dataType.simpleString()
+    sizes = members.groupBy("cluster").agg(F.ceil(F.count("*") / block).alias("n")).where("n > 1")
+    dealt = read.join(few(materialise(sizes, "clusters")), "cluster", "left").withColumn("n", F.coalesce("n", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("id"), "n"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-    placed = dealt.select(*keys, F.xxhash64("cluster").alias("cluster"), "id", F.least("own", "other").alias("c"), F.greatest("own", "other").alias("h"), (F.col("own") <= F.col("other")).alias("home"))
+    placed = dealt.select("cluster", F.least("own", "other").alias("c"), F.greatest("own", "other").alias("h"), "id", (F.col("own") <= F.col("other")).alias("home"), "text")
     key = ["cluster", "c", "h"]
-    read = keyed.select(*keys, text.alias("__nw_whole")).join(placed, keys).select(*key, "id", "home", F.col("__nw_whole").alias("text"))
-    blocks = read.repartition(*key).sortWithinPartitions(*key)
+    blocks = placed.withColumn("cluster", F.xxhash64("cluster")).repartition(*key).sortWithinPartitions(*key, "id")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = MinHasher(slots, width)
         for rows in _runs(batches, key):
-            ids = rows["id"].to_pylist()
-            sets = [np.unique(hasher.shingles(t.as_py().encode())) for t in rows["text"]]
-            found = similar_links(sets, rows["home"].to_numpy(zero_copy_only=False), threshold)
+            ids, own, sets = [], [], []
+            for i, home, text in zip(rows["id"].to_pylist(), rows["home"].to_pylist(), rows["text"], strict=True):
+                if not ids or ids[-1] != i:
+                    ids.append(i)
+                    own.append(home)
+                    sets.append(np.unique(hasher.shingles(text.as_py().encode())))
+            found = similar_links(sets, np.array(own), threshold)
             if found:
-                yield pa.RecordBatch.from_pydict({"a": [ids[i] for i, _ in found], "b": [ids[j] for _, j in found]})
+                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i, _ in found]), pa.array([ids[j] for _, j in found])], ["a", "b"])
 
-    joined = connected_components(blocks.mapInArrow(compare, "a string, b string"))
-    root = different.join(joined, different.id == joined.node, "left").select("k", F.coalesce("component", "id").alias("root"))
-    stays = root.groupBy("root").agg(F.min("k").alias("k")).select(F.col("k.__nw_id").alias("__nw_id"), F.col("k.__nw_text").alias("__nw_text"))
-    return keyed.join(stays, keys, "left_semi").dropDuplicates(keys).select(*documents.columns)
+    return blocks.mapInArrow(compare, f"a {kind}, b {kind}")

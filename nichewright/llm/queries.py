@@ -67,9 +67,9 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from nichewright.llm.minhash import edited_fingerprints
+    from nichewright.llm.minhash import fingerprinted
 
-    return edited_fingerprints(table(spark, sf_dir, "documents"), slots=64, width=5)
+    return fingerprinted(table(spark, sf_dir, "documents"), threshold=0.8, slots=64, width=5)
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_files, op2_url_filter, op3_simhash, op4_pieces, op5_nearest, op6_licenses, op7_toxicity, op8_quality, op9_mixing, op10_minhash)}

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nichewright.plans.storage import materialise, work_dir
+from nichewright.plans.storage import materialise, release, work_dir
 
-__all__ = ["ascii_lower", "materialise", "partitions", "table", "text_batches", "work_dir"]
+__all__ = ["ascii_lower", "few", "materialise", "partitions", "release", "table", "text_batches", "work_dir"]
+
+#: Tables of at most so many rows are broadcast, others joined by shuffle; adaptive execution splits their hot keys.
+MOST_BROADCAST_ROWS = 500_000
 
 #: Words are runs of anything but space, tab, line feed, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -39,3 +42,8 @@ def text_batches(documents: DataFrame, most: int = 1000) -> DataFrame:
     if not 0 < int(conf.get(key)) <= most:
         conf.set(key, most)
     return documents
+
+
+def few(rows: DataFrame, most: int = MOST_BROADCAST_ROWS) -> DataFrame:
+    """``rows`` marked for a broadcast if there are at most ``most`` of them; they are counted, so they should be a written table."""
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows

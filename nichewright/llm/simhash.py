@@ -13,7 +13,7 @@ them a row group of its own, and a block sends out a spanning forest of its link
 
 Cases: a null text counts as empty; no words give fingerprint zero, which is linked like any other; rows that share an id are
 kept each; a component that has only null ids has a null component; an empty table gives an empty result; other columns of the
-input are ignored by ``simhash_components`` and kept by ``drop_near_copies``.
+input are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nichewright.llm.shared import materialise, text_batches
-from nichewright.operators.components import connected_components
+from nichewright.operators.components import connected_components, with_group
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: The generator polynomial of the binary Golay code, its length and its covering radius.
@@ -160,10 +160,13 @@ def links(prints: DataFrame, threshold: int, block: int = 8192, g: int | None =
     sized = placed.join(large, "anchor", "left").select("anchor", "fp", "home", F.coalesce("n", F.lit(1)).alias("n"), F.coalesce("m", F.lit(1)).alias("m"))
     draw = lambda by, salt: F.pmod(F.xxhash64("fp", F.lit(salt)), F.col(by))
     all_of = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
-    member = sized.select("anchor", draw("n", 1).alias("c"), F.explode(all_of("m")).alias("h"), "fp", F.lit(False).alias("home"))
-    home = sized.where("home").select("anchor", F.explode(all_of("n")).alias("c"), draw("m", 2).alias("h"), "fp", "home")
+    # A fingerprint is a member of one block column in every row of blocks, and at home in one row of every column.
+    as_member = F.transform(all_of("m"), lambda h: F.struct(draw("n", 1).alias("c"), h.alias("h"), F.lit(False).alias("home")))
+    as_home = F.transform(all_of("n"), lambda c: F.struct(c.alias("c"), draw("m", 2).alias("h"), F.lit(True).alias("home")))
+    places = F.when(F.col("home"), F.concat(as_member, as_home)).otherwise(as_member)
+    blocks = sized.select("anchor", "fp", F.explode(places).alias("at")).select("anchor", "at.c", "at.h", "fp", "at.home")
     key = ["anchor", "c", "h"]
-    blocks = member.unionByName(home).repartition(*key).sortWithinPartitions(*key)
+    blocks = blocks.repartition(*key).sortWithinPartitions(*key)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _runs(batches, key):
@@ -205,23 +208,7 @@ def roots(prints: DataFrame, threshold: int, block: int = 8192, g: int | None =
 def simhash_components(documents: DataFrame, threshold: int = 4, block: int = 8192, g: int | None = None) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row; the texts are read once and never shuffled."""
     prints = materialise(text_batches(documents).select("doc_id", fingerprints(F.col("text")).alias("fp")), "simhash")
-    placed = roots(prints, threshold, block, g).join(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "fp")
-    least = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    of_print = placed.join(least, "root").select("fp", "component_id")
+    placed = materialise(roots(prints, threshold, block, g).join(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "fp"), "simhash")
+    of_print = with_group(placed, "root", component_id=F.min("first")).select("fp", "component_id")
     return prints.join(of_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
-
-def drop_near_copies(documents: DataFrame, threshold: int = 4) -> DataFrame:
-    """One document of each component, with all its columns: the one with the smallest id (null ids last), then the smallest
-    fingerprint and text hash; of rows that agree in these, one stays.
-
-    The texts are shuffled once, to meet the list of those that stay.
-    """
-    keys = ["__nw_id", "__nw_fp", "__nw_text"]
-    keyed = text_batches(documents).withColumns(
-        {"__nw_id": F.coalesce(documents["doc_id"].cast("string"), F.lit("")), "__nw_fp": fingerprints(documents["text"]), "__nw_text": F.xxhash64(F.coalesce(documents["text"], F.lit("")))}
-    )
-    prints = materialise(keyed.select("doc_id", *keys).withColumnRenamed("__nw_fp", "fp"), "simhash")
-    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "fp", "__nw_text", "__nw_id")
-    stays = prints.join(roots(prints, threshold), "fp").groupBy("root").agg(F.min(order).alias("k")).select(F.col("k.__nw_id").alias("__nw_id"), F.col("k.fp").alias("__nw_fp"), F.col("k.__nw_text").alias("__nw_text"))
-    return keyed.join(stays, keys, "left_semi").dropDuplicates(keys).select(*documents.columns)

@@ -7,7 +7,6 @@ import public_tokenizers
 import pytest
 from nichewright.llm import mixing, quality, toxicity
 from nichewright.llm.pieces import PieceCoder
-from nichewright.llm.simhash import fingerprint
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -65,11 +64,12 @@ def test_stages_equal_brute_force(spark, folder):
     docs, held = spark.createDataFrame(want, docs.schema), want
 
     out = corpus_pipeline.near_copies(spark, docs, folder)
-    prints = [fingerprint((r.text or "").encode()) % 2**64 for r in held]
+    words = [("".join(c.lower() if c.isascii() else c for c in r.text or "")).split() for r in held]
+    sets = [frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) for w in words]
     root = list(range(len(held)))
     for i in range(len(held)):
         for j in range(i):
-            if (prints[i] ^ prints[j]).bit_count() <= 4:
+            if len(common := sets[i] & sets[j]) >= 0.8 * (len(sets[i]) + len(sets[j]) - len(common)):
                 old, new = root[i], root[j]
                 root = [new if x == old else x for x in root]
     first = {}
@@ -89,10 +89,18 @@ def test_stages_equal_brute_force(spark, folder):
     out = corpus_pipeline.pieces(spark, docs, folder)
     coder = PieceCoder(MODEL, 0.1)
     rows = out.collect()
-    assert out.columns == [*docs.columns, "piece_ids"] and Counter(map(key, rows)) == Counter(map(key, held))
+    assert out.columns == [*docs.columns, "training_place", "piece_ids"] and Counter(map(key, rows)) == Counter(map(key, held))
     assert all(coder.decode(r.piece_ids) == (r.text or "") for r in rows)
 
 
+def test_training_order_stays(spark, folder, tmp_path):
+    mixed = corpus_pipeline.mixing(spark, spark.read.parquet(f"{folder}/documents.parquet"), folder)
+    mixed.write.parquet(f"{tmp_path}/mixed")
+    out = corpus_pipeline.pieces(spark, spark.read.parquet(f"{tmp_path}/mixed"), folder)
+    want = [r.doc_id for r in mixed.collect()]
+    assert [r.doc_id for r in out.orderBy("training_place").collect()] == want and len(want) > 400
+
+
 def test_run_applies_all_stages(spark, folder):
     rows = corpus_pipeline.run(spark, folder).collect()
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "quality", "near_copies", "mixing", "pieces"]

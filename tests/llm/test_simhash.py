@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 import xxhash
-from nichewright.llm.simhash import anchors, block_links, drop_near_copies, fingerprint, links, simhash_components
+from nichewright.llm.simhash import anchors, block_links, fingerprint, links, simhash_components
 from nichewright.operators.components import connected_components
 
 
@@ -95,11 +95,8 @@ def test_components_of_documents(spark):
     least = {g: min((d for (d, _), h in zip(rows, groups) if h == g and d is not None), default=None) for g in groups}
     want = sorted((str(d), f"{p:016x}", str(least[g])) for (d, _), p, g in zip(rows, prints, groups))
     assert sorted((str(r.doc_id), r.fingerprint, str(r.component_id)) for r in simhash_components(docs).collect()) == want
-    kept = drop_near_copies(docs)
-    assert kept.columns == docs.columns
-    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(v) for v in least.values())
 
 
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
-    assert simhash_components(docs).count() == 0 and drop_near_copies(docs).count() == 0
+    assert simhash_components(docs).count() == 0

@@ -3,7 +3,7 @@
 import random
 
 import pytest
-from nichewright.llm.minhash import drop_similar
+from nichewright.llm.dedup import drop_near_copies
 from nichewright.llm.simhash import fingerprint
 
 
@@ -37,9 +37,9 @@ def test_keeps_what_brute_force_keeps(spark, block):
     rng = random.Random(3)
     base = [[f"w{rng.randrange(900)}" for _ in range(150)] for _ in range(25)]
     texts = [" ".join(b) for b in base] + [edited(rng, b, n) for n, b in enumerate(base[:8])] + [edited(rng, base[10], rng.randrange(6)) for _ in range(40)]
-    rows = [(i * 7 % 101, t) for i, t in enumerate(texts)] + [(500, None), (501, ""), (502, " \t"), (503, texts[0]), (None, texts[1]), (504, "a b"), (505, "A b")]
+    rows = [(i * 7 % 101, t) for i, t in enumerate(texts)] + [(500, None), (501, ""), (502, " \t"), (503, texts[0]), (None, texts[1]), (504, "a b"), (505, "A b"), (2, texts[1]), (2, texts[1])]
     docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, id string, home int").repartition(5)
-    out = drop_similar(docs, block=block)
+    out = drop_near_copies(docs, block=block)
     assert out.columns == docs.columns
     assert sorted(r.doc_id for r in out.collect()) == kept_by_brute_force(rows)
 
@@ -57,4 +57,4 @@ def test_stage_drops_a_copy_at_jaccard_08_beyond_four_bits(spark):
 
 
 def test_empty(spark):
-    assert drop_similar(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    assert drop_near_copies(spark.createDataFrame([], "doc_id long, text string")).count() == 0
