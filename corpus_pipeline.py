@@ -5,10 +5,12 @@ Every stage works on all that the one before kept.  All but the last return the
 1. ``toxicity`` drops documents that the non-negative positive-unlabelled model scores 0.5 or more.
 2. ``quality`` drops documents that the pairwise ranking scores below 0.3.
 3. ``near_copies`` keeps one document of each component of texts whose five-word shingles have a Jaccard similarity of 0.8 or more, the
-   one with the smallest id; the candidates are found by MinHash bands.
+   one with the smallest id.  SimHash fingerprints of 4 differing bits or fewer, linked through anchors, are candidates, and so are
+   texts that share a MinHash band: SimHash alone finds a small part of the pairs at 0.8.
 4. ``mixing`` takes whole documents, up to twice each, to the sources' targets and puts them in training order.
 5. ``pieces`` adds the ids of a seeded merge-dropout segmentation (``piece_ids``), which decode to the text exactly; both
-   copies of a document are segmented on their own, by their places in the training order.
+   copies of a document are segmented on their own, by their places in the training order.  ``training_place`` ascends in that order,
+   which files of Parquet don't keep when they are read again.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nichewright.llm.minhash import drop_similar
+from nichewright.llm.dedup import drop_near_copies
 from nichewright.llm.mixing import mixed_documents
 from nichewright.llm.pieces import encode_documents
 from nichewright.llm.quality import drop_poor
@@ -35,7 +37,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return drop_similar(docs, threshold=0.8)
+    return drop_near_copies(docs, similarity=0.8)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,11 +45,13 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    try:  # the place in the training order: the number of the file and the row in it
-        copy = F.concat_ws(":", F.regexp_extract(docs["_metadata.file_name"], r"^part-(\d+)", 1), docs["_metadata.row_index"])
+    try:  # the number of the file, which is that of the mixing stage's range partition, and the row in it
+        part = F.regexp_extract(docs["_metadata.file_name"], r"^part-(\d+)", 1).cast("long")
+        place = F.shiftleft(part, 40) + docs["_metadata.row_index"]
     except AnalysisException:
-        copy = F.monotonically_increasing_id()
-    return encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model"), dropout=0.1, copy=copy)
+        place = F.monotonically_increasing_id()
+    placed = docs.withColumn("training_place", place)
+    return encode_documents(placed, public_tokenizers.path("piece_bpe_32k.model"), dropout=0.1, copy=placed["training_place"])
 
 
 STAGES = [("toxicity", toxicity), ("quality", quality), ("near_copies", near_copies), ("mixing", mixing), ("pieces", pieces)]
