@@ -3,15 +3,16 @@
 A vector, scaled to length 1, is written as the sum of one word from each of several codebooks of full dimension.  Each codebook is
 fitted to what the ones before leave over, by k-means; encoding keeps the best ``beam`` partial sums from book to book.  The index
 holds a byte for each book and the length of the sum.  A search looks up the query's products with all words once, adds them by a
-row's bytes, divides by the stored length, and takes the exact cosine of the ``rerank`` best rows of every batch.
+row's bytes and divides by the stored length.  The ``rerank`` best rows of the whole index then get their exact cosine.
 
 Scale: the codebooks are fitted to a sample of at most ``train_rows`` vectors; every vector is indexed and every row is scored for
-every query.  Queries go out in blocks of at most ``query_block``, so what is broadcast has a fixed size, and a task sends back ``k``
-rows a query.  The index is a table in the shared folder.
+every query.  The index is a table in the shared folder, dealt into chunks of at most ``chunk`` rows; the queries go to every chunk,
+are scored there in small blocks, and send back ``rerank`` approximate scores a chunk.  Neither rows nor queries pass the driver,
+and results depend on neither chunks, partitions nor batches.
 
 Cases: vectors that are null, zero, or hold null or non-finite components take no part, nor do rows with a null id or of another
-length than most; rows of the query's own id aren't its candidates; equal scores go by the smaller id; queries with fewer candidates
-get all of them; an empty table gives an empty result; other columns are ignored.
+length than most; rows that share an id are indexed and asked each, and none is another's candidate; equal scores go by the smaller
+id; queries with fewer candidates get all of them; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,10 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from nichewright.llm.shared import materialise
-
-FOUND = "query_id long, vec_id long, score double"
-
+from nichewright.llm.shared import few, materialise, partitions
+from nichewright.llm.text_features import draw_edge
 
 @dataclass(frozen=True)
 class Codebooks:
@@ -91,7 +90,11 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def cosine(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Cosines along the last axis in double precision; a row's result doesn't depend on its neighbours."""
+    """Cosines along the last axis in double precision; a row's result doesn't depend on its neighbours.
+
+    Vectors are first scaled by powers of two, which is exact, so that no square over- or underflows.
+    """
+    x, y = (np.ldexp(v, -np.frexp(np.abs(v).max(-1, keepdims=True))[1]) for v in (x, y))
     return (x * y).sum(-1) / (np.sqrt((x * x).sum(-1)) * np.sqrt((y * y).sum(-1)))
 
 
@@ -105,10 +108,11 @@ def usable(vectors: DataFrame, vector: Column) -> DataFrame:
 
 
 def build_index(vectors: DataFrame, books: int = 16, size: int = 256, beam: int = 4, train_rows: int = 10_000) -> tuple[DataFrame, Codebooks | None]:
-    """The index (vec_id, v, codes, length) of usable rows, written to the shared folder, and its codebooks."""
-    sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(train_rows).select("v").toArrow()
+    """The index (row, vec_id, v, codes, length) of usable rows, written to the shared folder, and its codebooks."""
+    draw = F.xxhash64("vec_id", "v")
+    sample = vectors.where(draw < draw_edge(vectors.count(), train_rows)).orderBy(draw, "vec_id").limit(train_rows).select("v").toArrow()
     if not sample.num_rows:
-        return vectors.select("vec_id", "v", F.lit(b"").alias("codes"), F.lit(1.0).alias("length")), None
+        return vectors, None
     d = len(sample["v"][0])
     model = Codebooks.fit(_unit(_matrix(sample["v"], d)), books, size)
 
@@ -117,9 +121,10 @@ def build_index(vectors: DataFrame, books: int = 16, size: int = 256, beam: int
             for start in range(0, batch.num_rows, 1000):
                 piece = batch.slice(start, 1000)
                 codes, length = model.encode(_unit(_matrix(piece.column("v"), d)), beam)
-                yield pa.RecordBatch.from_arrays([piece.column("vec_id"), piece.column("v"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(length.astype(np.float64))], ["vec_id", "v", "codes", "length"])
+                yield pa.RecordBatch.from_arrays([piece.column("row"), piece.column("vec_id"), piece.column("v"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(length.astype(np.float64))], ["row", "vec_id", "v", "codes", "length"])
 
-    return materialise(vectors.mapInArrow(encode, "vec_id long, v array<double>, codes binary, length double"), "ann-index"), model
+    numbered = vectors.select(F.monotonically_increasing_id().alias("row"), "vec_id", "v")
+    return materialise(numbered.mapInArrow(encode, "row long, vec_id long, v array<double>, codes binary, length double"), "ann-index"), model
 
 
 def _best(approx: np.ndarray, keep: int) -> np.ndarray:
@@ -135,59 +140,95 @@ def _best(approx: np.ndarray, keep: int) -> np.ndarray:
     return at
 
 
-def search_block(index: DataFrame, model: Codebooks, ids: np.ndarray, queries: np.ndarray, k: int, rerank: int) -> DataFrame:
-    """(query_id, vec_id, score): from each task the ``k`` best rows it has for each query."""
-    books, size, d = model.words.shape
+class _Chunk:
+    """The codes of one chunk's rows, in the order of their ids, and the search for the best of them."""
+
+    def __init__(self, model: Codebooks, parts: list[pa.RecordBatch]):
+        rows = pa.Table.from_batches(parts)
+        self.words, books = model.words, len(model.words)
+        self.row, self.vec_id = rows["row"].to_numpy(), rows["vec_id"].to_numpy()
+        self.codes = np.ascontiguousarray(np.frombuffer(b"".join(rows["codes"].to_pylist()), np.uint8).reshape(-1, books).T)
+        self.length = rows["length"].to_numpy().astype(np.float32)
+
+    def best(self, ids: np.ndarray, queries: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
+        """(place, approximate cosine) of the ``keep`` best rows for each query; among equal ones those with the smaller ids."""
+        table = np.einsum("qd,mkd->mqk", _unit(queries), self.words, optimize=True).astype(np.float32)
+        place, score = np.zeros((len(ids), 0), np.int64), np.zeros((len(ids), 0), np.float32)
+        for start in range(0, len(self.row), 8192):
+            span = slice(start, start + 8192)
+            approx = table[0][:, self.codes[0, span]]
+            for m in range(1, len(table)):
+                approx += table[m][:, self.codes[m, span]]
+            approx /= self.length[span]
+            approx[ids[:, None] == self.vec_id[None, span]] = -np.inf
+            score = np.concatenate([score, approx], 1)
+            place = np.concatenate([place, np.broadcast_to(np.arange(start, start + approx.shape[1]), approx.shape)], 1)
+            at = np.sort(_best(score, keep), axis=1)
+            score, place = np.take_along_axis(score, at, 1), np.take_along_axis(place, at, 1)
+        return place, score
+
+
+CANDIDATE = "asked long, query_id long, row long, approx double, vec_id long"
+
+
+def candidates(index: DataFrame, queries: DataFrame, model: Codebooks, rerank: int, chunk: int) -> DataFrame:
+    """CANDIDATE: for each query (row ``asked``) the ``rerank`` rows of the whole index with the best approximate cosines."""
+    spark = index.sparkSession
+    rows = index.count()
+    # As many chunks as memory asks for, or more, so that all tasks have work; never fewer than 4,096 rows in each.
+    n = max(-(-rows // chunk), min(partitions(spark), -(-rows // 4096)), 1)
+    no = lambda kind: F.lit(None).cast(kind)
+    coded = index.select(F.pmod(F.xxhash64("row"), F.lit(n)).alias("chunk"), F.lit(0).alias("kind"), "row", "vec_id", "codes", "length", no("array<double>").alias("v"))
+    asked = queries.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("chunk"), F.lit(1).alias("kind"), "row", "vec_id", no("binary").alias("codes"), no("double").alias("length"), "v")
+    met = coded.unionByName(asked).repartition(partitions(spark), "chunk").sortWithinPartitions("chunk", "kind", "vec_id", "row")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.einsum("qd,mkd->mqk", _unit(queries), model.words, optimize=True).astype(np.float32)
-        top_score, top_id = np.full((len(ids), 0), -np.inf), np.zeros((len(ids), 0), np.int64)
+        held, parts, own = None, [], None
         for batch in batches:
-            order = np.argsort(batch.column("vec_id").to_numpy(), kind="stable")
-            batch = batch.take(pa.array(order))
-            own, x = batch.column("vec_id").to_numpy(), _matrix(batch.column("v"), d)
-            codes = np.frombuffer(b"".join(batch.column("codes").to_pylist()), np.uint8).reshape(-1, books)
-            length = batch.column("length").to_numpy().astype(np.float32)
-            for a in range(0, len(ids), 256):
-                part = slice(a, a + 256)
-                approx = table[0][part][:, codes[:, 0]]
-                for m in range(1, books):
-                    approx += table[m][part][:, codes[:, m]]
-                approx /= length
-                approx[ids[part, None] == own[None, :]] = -np.inf
-                at = _best(approx, rerank)
-                score = np.stack([cosine(x[at[i]], queries[a + i]) for i in range(len(at))]) if at.size else np.zeros(at.shape)
-                score[own[at] == ids[part, None]] = -np.inf
-                held = np.concatenate([top_score[part], score], 1), np.concatenate([top_id[part], own[at]], 1)
-                rank = np.lexsort((held[1], -held[0]), axis=1)[:, :k]
-                found = np.take_along_axis(held[0], rank, 1), np.take_along_axis(held[1], rank, 1)
-                if a == 0:
-                    new_score, new_id = [], []
-                new_score.append(found[0])
-                new_id.append(found[1])
-            top_score, top_id = np.concatenate(new_score), np.concatenate(new_id)
-        i, j = np.nonzero(np.isfinite(top_score))
-        yield pa.RecordBatch.from_pydict({"query_id": ids[i], "vec_id": top_id[i, j], "score": top_score[i, j]})
-
-    return index.mapInArrow(search, FOUND)
-
-
-def nearest(vectors: DataFrame, is_query: Column, vector: Column, k: int = 5, rerank: int = 200, query_block: int = 4096, **index_options) -> DataFrame:
+            if not batch.num_rows:
+                continue
+            key = batch.column("chunk").to_numpy() * 2 + batch.column("kind").to_numpy()
+            for a, b in itertools.pairwise([0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), batch.num_rows]):
+                piece, (at, kind) = batch.slice(a, b - a), divmod(int(key[a]), 2)
+                if at != held:
+                    held, parts, own = at, [], None
+                if not kind:
+                    parts.append(piece)
+                    continue
+                if not parts:
+                    continue
+                own = own or _Chunk(model, parts)
+                for start in range(0, piece.num_rows, 256):
+                    some = piece.slice(start, 256)
+                    ids = some.column("vec_id").to_numpy()
+                    place, score = own.best(ids, _matrix(some.column("v"), model.words.shape[2]), rerank)
+                    i, j = np.nonzero(np.isfinite(score))
+                    found = place[i, j]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (some.column("row").to_numpy()[i], ids[i], own.row[found], score[i, j].astype(np.float64), own.vec_id[found])], ["asked", "query_id", "row", "approx", "vec_id"])
+
+    best = Window.partitionBy("asked").orderBy(F.desc("approx"), "vec_id", "row")
+    return met.mapInArrow(search, CANDIDATE).withColumn("place", F.row_number().over(best)).where(F.col("place") <= rerank).drop("place")
+
+
+def nearest(vectors: DataFrame, is_query: Column, vector: Column, k: int = 5, rerank: int = 200, chunk: int = 1 << 20, **index_options) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row that ``is_query`` selects the ``k`` nearest others by cosine."""
-    spark = vectors.sparkSession
     index, model = build_index(usable(vectors, vector), **index_options)
     if model is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    asked = index.where(is_query).select("vec_id", "v").orderBy("vec_id").toLocalIterator(prefetchPartitions=False)
-    parts = []
-    while block := list(itertools.islice(asked, query_block)):
-        ids, queries = np.array([r.vec_id for r in block]), np.array([r.v for r in block], np.float64)
-        _, first = np.unique(ids, return_index=True)
-        parts.append(search_block(index, model, ids[first], queries[first], k, rerank))
-    if not parts:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    d = model.words.shape[2]
+    queries = materialise(index.where(is_query).select("row", "vec_id", "v"), "ann-queries")
+    found = materialise(candidates(index, queries, model, max(rerank, k), chunk), "ann-candidates")
+    # A table of vectors is broadcast up to 64 MB.
+    asked = few(queries.select(F.col("row").alias("asked"), F.col("v").alias("q")), (64 << 20) // (8 * d))
+    pairs = index.select("row", "v").join(few(found), "row").join(asked, "asked").select("asked", "query_id", "vec_id", "q", "v")
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 2000):
+                some = batch.slice(start, 2000)
+                score = cosine(_matrix(some.column("q"), d), _matrix(some.column("v"), d))
+                yield pa.RecordBatch.from_arrays([some.column("asked"), some.column("query_id"), some.column("vec_id"), pa.array(score)], ["asked", "query_id", "vec_id", "score"])
+
+    scored = pairs.mapInArrow(exact, "asked long, query_id long, vec_id long, score double")
+    order = Window.partitionBy("asked").orderBy(F.desc("score"), "vec_id")
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

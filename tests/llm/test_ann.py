@@ -20,8 +20,8 @@ def brute(rows, k=5, every=50):
     return out
 
 
-def check(spark, rows, parts=3, **options):
-    df = spark.createDataFrame([(i, v, 0, 1, 2, "") for i, v in rows], SCHEMA).repartition(parts)
+def check(spark, rows, parts=3, schema=SCHEMA, **options):
+    df = spark.createDataFrame([(i, v, 0, 1, 2, "") for i, v in rows], schema).repartition(parts)
     got = {}
     for r in sorted(ann.nearest(df, F.col("vec_id") % 50 == 0, F.col("embedding"), **options).collect()):
         got.setdefault(r.query_id, []).append((r.vec_id, r.score))
@@ -33,7 +33,7 @@ def test_equals_brute_force_where_all_are_reranked(spark):
     x = rng.normal(size=(260, 6)).round(2)
     x[40:110] = x[7]  # a large group of copies, with ties by id
     rows = list(zip(range(-30, 230), x.tolist())) + [(400, None), (401, []), (450, [0.0] * 6), (403, [float("nan")] + [1.0] * 5), (404, [None] + [1.0] * 5), (405, [float("inf")] + [1.0] * 5), (406, [1.0] * 4), (None, [1.0] * 6)]
-    got, want = check(spark, rows, rerank=400, query_block=2), brute(rows)
+    got, want = check(spark, rows, rerank=400, chunk=50), brute(rows)
     assert got == {q: w for q, w in want.items()} and set(want) == {0, 50, 100, 150, 200}
 
 
@@ -47,9 +47,34 @@ def test_few_candidates_and_none(spark):
     assert check(spark, [(0, [1.0, 0.0])]) == {} and check(spark, []) == {} and check(spark, [(1, [1.0])] * 3) == {}
 
 
+def test_rows_that_share_an_id(spark):
+    rows = [(50, [1.0, 0.0]), (50, [0.0, 1.0]), (50, [0.0, 1.0]), (1, [1.0, 0.1]), (1, [0.1, 1.0]), (2, [1.0, 1.0])]
+    got = sorted((i, round(s, 6)) for i, s in check(spark, rows, rerank=1, k=1)[50])
+    assert got == [(1, round(1 / 1.01**0.5, 6))] * 3
+
+
+def test_components_of_any_size(spark):
+    for by in (1e-300, 1e300):
+        got = check(spark, [(0, [by, 0.0]), (1, [by, by]), (2, [0.0, by])], schema=SCHEMA.replace("float", "double"))
+        assert [(i, round(s, 12)) for i, s in got[0]] == [(1, round(0.5**0.5, 12)), (2, 0.0)]
+
+
+def test_results_depend_on_neither_batches_nor_partitions_nor_chunks(spark):
+    rng, key = np.random.default_rng(4), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    rows = list(enumerate(rng.normal(size=(3000, 8)).round(3).tolist()))
+    before, found = spark.conf.get(key), []
+    try:
+        for size, parts, chunk in ((100, 1, 400), (1000, 8, 1 << 20), (20000, 32, 900)):
+            spark.conf.set(key, size)
+            found.append(check(spark, rows, parts, rerank=20, chunk=chunk, train_rows=500))
+    finally:
+        spark.conf.set(key, before)
+    assert found[0] == found[1] == found[2] and len(found[0]) == 60
+
+
 def test_recall(spark):
     rows = [(r.vec_id, r.embedding) for r in table(spark, "/root/testdata/sf0.1", "embeddings").collect()]
-    got, want = check(spark, rows, rerank=60), brute(rows)
+    got, want = check(spark, rows), brute(rows)
     assert sum(len({i for i, _ in got[q]} & {i for i, _ in w}) for q, w in want.items()) >= 0.9 * 5 * len(want)
 
 
