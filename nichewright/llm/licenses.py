@@ -2,10 +2,13 @@
 
 Every rolling run of ``k`` words of a text is hashed and joined to the positions at which license templates have the same run.  A
 match of text word i with template word j votes for the diagonal i - j; neighbouring diagonals, which inserted or dropped words
-lead to, are merged; a merged diagonal is verified by the share of its template's words that it covers, word for word.
+lead to, are merged; a merged diagonal is verified by the share of its template's words that it covers, word for word.  Of
+verified spans that overlap in the text only those of the largest share, then of the most words, stand, so that a license isn't taken for one whose wording
+it shares but for a word.
 
-The set of template hashes has a fixed size, so the hash join's first half, dropping the runs that no template has, is done
-inside the array of words; only the runs that stay become rows.  The texts are read once and never shuffled.
+Scale: the runs of all texts meet the table of template runs in one join, a broadcast one while that table is small, which is
+counted; only matches are shuffled.  Equal texts vote as one.  Texts are read twice, for the votes and for the result, and are never
+shuffled.
 
 Cases: a null text counts as empty; rows that share an id are documents of their own; a phrase may be found at every place,
 overlapping ones included; an empty table gives an empty result; other columns are ignored.
@@ -20,22 +23,14 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from nichewright.llm.shared import ascii_lower, materialise
+from nichewright.llm.license_texts import templates
+from nichewright.llm.shared import ascii_lower, few, materialise, text_id
 
 #: Words are runs of ASCII letters and digits and of characters beyond ASCII.
 WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-# Wordings by which texts state their license.
-TEMPLATES = (
-    ("mit", "released under the mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
-    ("apache", "licensed under the apache license version 2 0"),
-    ("gpl", "this work is licensed under the gnu general public license version 3"),
-    ("gpl", "redistribute it and or modify it under the terms of the gnu general public license"),
-    ("cc-by-nc", "licensed under cc by nc 4 0"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted"),
-)
+TEMPLATES = templates(WORDS)
 
 
 def split_words(text: Column) -> Column:
@@ -48,64 +43,51 @@ def _grams(templates: tuple[tuple[str, str], ...], k: int) -> list[tuple[int, st
     return [(n, label, len(w), j, " ".join(w[j : j + k])) for n, label, w in split for j in range(len(w) - k + 1)]
 
 
-def _hash_of(spark: SparkSession, grams: list[str]) -> dict[str, int]:
-    rows = spark.createDataFrame([(g, g.split()) for g in sorted(set(grams))], "gram string, w array<string>")
-    k = len(grams[0].split())
-    return {r.gram: r.hash for r in rows.select("gram", F.xxhash64(*(F.col("w")[i] for i in range(k))).alias("hash")).collect()}
+def template_runs(spark: SparkSession, templates: tuple[tuple[str, str], ...], k: int) -> DataFrame:
+    """(template, label, length, place, words, hash), a row for each position of a run in a template."""
+    rows = spark.createDataFrame(_grams(templates, k), "template int, label string, length int, place int, words string")
+    return rows.withColumn("hash", F.xxhash64(*(F.split("words", " ")[i] for i in range(k))))
+
+
+def license_spans(documents: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, k: int = 3, gap: int = 2, least_cover: float = 0.7) -> DataFrame:
+    """(text_id, label, first, last, cover) of verified spans that no overlapping one excels; words count from 0."""
+    known = template_runs(documents.sparkSession, templates, k)
+    words = documents.select(text_id(F.col("text")).alias("text_id"), split_words(F.col("text")).alias("w"))
+    runs = words.where(F.size("w") >= k).select("text_id", "w", F.explode(F.sequence(F.lit(0), F.size("w") - k)).alias("at"))
+    gram = [F.get("w", F.col("at") + j) for j in range(k)]
+    met = runs.select("text_id", "at", F.xxhash64(*gram).alias("hash"), F.concat_ws(" ", *gram).alias("gram")).join(few(known), "hash").where(F.col("gram") == F.col("words"))
+    votes = met.groupBy("text_id", "template", "label", "length", (F.col("at") - F.col("place")).alias("diagonal")).agg(F.collect_set("place").alias("places"))
+    order = Window.partitionBy("text_id", "template").orderBy("diagonal")
+    merged = votes.withColumn("new", (F.coalesce(F.col("diagonal") - F.lag("diagonal").over(order), F.lit(gap + 1)) > gap).cast("int")).withColumn("band", F.sum("new").over(order))
+    ends = [F.min(F.col("diagonal") + F.array_min("places")).alias("first"), F.max(F.col("diagonal") + F.array_max("places") + (k - 1)).alias("last")]
+    spans = merged.groupBy("text_id", "template", "label", "length", "band").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"), *ends)
+    covered = F.size(F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p, p + (k - 1))))))
+    verified = spans.select("text_id", "label", "first", "last", covered.alias("covered"), (covered / F.col("length")).alias("cover")).where(F.col("cover") >= least_cover)
+    of_text = verified.groupBy("text_id").agg(F.collect_list(F.struct("label", "first", "last", "cover", "covered")).alias("spans"))
+    beaten = lambda x: F.exists("spans", lambda y: (y["first"] <= x["last"]) & (x["first"] <= y["last"]) & ((y["cover"] > x["cover"]) | ((y["cover"] == x["cover"]) & (y["covered"] > x["covered"]))))
+    return of_text.select("text_id", F.inline(F.filter("spans", lambda x: ~beaten(x))))
 
 
 def scan_licenses(documents: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, phrases: dict[str, str] = PHRASES, k: int = 3, gap: int = 2, least_cover: float = 0.7) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score) for every row.
 
-    The first columns count the places of the base ``phrases``; ``labels`` adds those of verified template spans; ``score`` is 1
-    with a base phrase, else the largest share of a template that a verified span covers, else 0.
+    The first columns count the places of the base ``phrases``; ``labels`` adds those of ``license_spans``; ``score`` is 1 with a base
+    phrase, else the largest share of a template that a verified span covers, else 0.
     """
-    spark = documents.sparkSession
-    grams = _grams(templates, k)
-    hashes = _hash_of(spark, [g[4] for g in grams])
-    words = documents.select("doc_id", split_words(F.col("text")).alias("w"))
-    n = F.size("w")
+    spans = license_spans(documents, templates, k, gap, least_cover)
+    found = materialise(spans.groupBy("text_id").agg(F.collect_set("label").alias("found"), F.max("cover").alias("cover")), "licenses")
+    words = documents.select("doc_id", text_id(F.col("text")).alias("text_id"), split_words(F.col("text")).alias("w"))
 
     def places(phrase: str) -> Column:
         parts = phrase.split()
         same = lambda i: functools.reduce(operator.and_, (F.get("w", i + j) == p for j, p in enumerate(parts)))
-        found = F.filter(F.sequence(F.lit(0), n - 1), same)
-        return F.when(F.array_contains("w", parts[-1]), found).otherwise(F.array().cast("array<int>"))
-
-    run = lambda i: F.xxhash64(*(F.get("w", i + j) for j in range(k)))
-    hits = F.when(n >= k, F.filter(F.sequence(F.lit(0), n - k), lambda i: run(i).isin(list(hashes.values())))).otherwise(F.array().cast("array<int>"))
-    found = words.select("doc_id", n.cast("long").alias("n_words"), *(places(p).alias(f"p{i}") for i, p in enumerate(phrases)), hits.alias("hits"), "w")
-    marked = materialise(
-        found.select(
-            F.monotonically_increasing_id().alias("row"),
-            "doc_id",
-            "n_words",
-            *(f"p{i}" for i in range(len(phrases))),
-            F.transform("hits", lambda i: F.struct(i.alias("at"), run(i).alias("hash"), F.array_join(F.slice("w", i + 1, k), " ").alias("gram"))).alias("hits"),
-        ),
-        "licenses",
-    )
-
-    known = spark.createDataFrame([(*g, hashes[g[4]]) for g in grams], "template int, label string, length int, place int, words string, hash long")
-    votes = (
-        marked.select("row", F.explode("hits").alias("hit"))
-        .select("row", "hit.at", "hit.hash", "hit.gram")
-        .join(F.broadcast(known), "hash")
-        .where(F.col("gram") == F.col("words"))
-        .groupBy("row", "template", "label", "length", (F.col("at") - F.col("place")).alias("diagonal"))
-        .agg(F.collect_set("place").alias("places"))
-    )
-    order = Window.partitionBy("row", "template").orderBy("diagonal")
-    merged = votes.withColumn("new", (F.coalesce(F.col("diagonal") - F.lag("diagonal").over(order), F.lit(gap + 1)) > gap).cast("int")).withColumn("band", F.sum("new").over(order))
-    spans = merged.groupBy("row", "template", "label", "length", "band").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"))
-    covered = F.size(F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p, p + (k - 1))))))
-    verified = spans.select("row", "label", (covered / F.col("length")).alias("cover")).where(F.col("cover") >= least_cover)
-    by_row = verified.groupBy("row").agg(F.collect_set("label").alias("found"), F.max("cover").alias("cover"))
+        at = F.filter(F.sequence(F.lit(0), F.size("w") - 1), same)
+        return F.when(F.array_contains("w", parts[-1]), at).otherwise(F.array().cast("array<int>"))
 
+    marked = words.select("doc_id", "text_id", F.size("w").cast("long").alias("n_words"), *(places(p).alias(f"p{i}") for i, p in enumerate(phrases)))
     all_places = F.concat(*(F.col(f"p{i}") for i in range(len(phrases))))
     base = F.array_compact(F.array(*(F.when(F.size(f"p{i}") > 0, F.lit(label)) for i, label in enumerate(phrases.values()))))
-    joined = marked.join(by_row, "row", "left")
-    return joined.select(
+    return marked.join(few(found), "text_id", "left").select(
         "doc_id",
         "n_words",
         F.size(all_places).cast("long").alias("n_base"),
@@ -136,9 +118,11 @@ votes AS (SELECT DISTINCT doc_id, template, label, length, r.pos - k.place AS di
 diagonals AS (SELECT DISTINCT doc_id, template, diagonal FROM votes),
 fresh AS (SELECT *, CASE WHEN COALESCE(diagonal - lag(diagonal) OVER w, {gap + 1}) > {gap} THEN 1 ELSE 0 END AS new FROM diagonals WINDOW w AS (PARTITION BY doc_id, template ORDER BY diagonal)),
 bands AS (SELECT *, SUM(new) OVER (PARTITION BY doc_id, template ORDER BY diagonal ROWS UNBOUNDED PRECEDING) AS band FROM fresh),
-covered AS (SELECT doc_id, v.template, label, length, band, unnest(range(v.place, v.place + {k})) AS word FROM votes v JOIN bands b USING (doc_id, template, diagonal)),
-spans AS (SELECT doc_id, label, COUNT(DISTINCT word) / CAST(MAX(length) AS DOUBLE) AS cover FROM covered GROUP BY doc_id, template, label, band),
-verified AS (SELECT doc_id, label, cover FROM spans WHERE cover >= {least_cover}),
+covered AS (SELECT doc_id, v.template, label, length, band, v.diagonal, unnest(range(v.place, v.place + {k})) AS word FROM votes v JOIN bands b USING (doc_id, template, diagonal)),
+spans AS (SELECT doc_id, label, COUNT(DISTINCT word) / CAST(MAX(length) AS DOUBLE) AS cover, COUNT(DISTINCT word) AS n, MIN(diagonal + word) AS first, MAX(diagonal + word) AS last
+          FROM covered GROUP BY doc_id, template, label, band),
+enough AS (SELECT doc_id, label, cover, n, first, last FROM spans WHERE cover >= {least_cover}),
+verified AS (SELECT doc_id, label, cover FROM enough x WHERE NOT EXISTS (SELECT 1 FROM enough y WHERE y.doc_id = x.doc_id AND y.first <= x.last AND x.first <= y.last AND (y.cover > x.cover OR y.cover = x.cover AND y.n > x.n))),
 per_base AS (SELECT doc_id, COUNT(*) AS n_base, MIN(pos) AS first_word, MAX(pos) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM base GROUP BY doc_id),
 per_all AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM base UNION ALL SELECT doc_id, label FROM verified) GROUP BY doc_id),
 per_span AS (SELECT doc_id, MAX(cover) AS cover FROM verified GROUP BY doc_id)

@@ -27,10 +27,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from nichewright.llm.shared import few, materialise, partitions, release, text_batches
+from nichewright.llm.shared import few, materialise, partitions, release, text_batches, text_id
 from nichewright.llm.simhash import _runs
 from nichewright.operators.components import connected_components, with_group
 
@@ -92,11 +92,6 @@ _TYPES = [{"long": pa.int64(), "binary": pa.binary(), "double": pa.float64(), "i
 _STEPS = len(STEP.split(", "))
 
 
-def text_id(text: Column) -> Column:
-    """128 bits of the text's SHA-256, which exact copies share."""
-    return F.unhex(F.substring(F.sha2(text, 256), 1, 32))
-
-
 def _step(doc_id, row: int, text: str, own: np.ndarray, following: str, next_own: np.ndarray, hasher: MinHasher) -> tuple:
     raw, changed = text.encode(), _edited(text, following).encode()
     new = own if changed == raw else hasher.signature(changed)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from nichewright.plans.storage import materialise, release, work_dir
 
-__all__ = ["ascii_lower", "few", "materialise", "partitions", "release", "table", "text_batches", "work_dir"]
+__all__ = ["ascii_lower", "few", "materialise", "partitions", "release", "table", "text_batches", "text_id", "work_dir"]
 
 #: Tables of at most so many rows are broadcast, others joined by shuffle; adaptive execution splits their hot keys.
 MOST_BROADCAST_ROWS = 500_000
@@ -47,3 +47,8 @@ def text_batches(documents: DataFrame, most: int = 1000) -> DataFrame:
 def few(rows: DataFrame, most: int = MOST_BROADCAST_ROWS) -> DataFrame:
     """``rows`` marked for a broadcast if there are at most ``most`` of them; they are counted, so they should be a written table."""
     return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
+
+
+def text_id(text: Column) -> Column:
+    """128 bits of the text's SHA-256, which exact copies share; a null text counts as empty."""
+    return F.unhex(F.substring(F.sha2(F.coalesce(text, F.lit("")), 256), 1, 32))
