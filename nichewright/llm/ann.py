@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Iterator
-from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -29,12 +29,21 @@ from pyspark.sql import functions as F
 from nichewright.llm.shared import few, materialise, partitions
 from nichewright.llm.text_features import draw_edge
 
-@dataclass(frozen=True)
+
 class Codebooks:
-    """words: (books, size, dimension); products: the inner products of all words with all words."""
+    """words: (books, size, dimension).  Only they are sent to the workers; each makes the inner products, which are larger, itself."""
+
+    def __init__(self, words: np.ndarray):
+        self.words = words
+
+    def __getstate__(self) -> dict:
+        return {"words": self.words}
 
-    words: np.ndarray
-    products: np.ndarray
+    @cached_property
+    def products(self) -> np.ndarray:
+        """The inner products of all words with all words."""
+        flat = self.words.reshape(-1, self.words.shape[2])
+        return flat @ flat.T
 
     @classmethod
     def fit(cls, x: np.ndarray, books: int, size: int, rounds: int = 8, seed: int = 5) -> Codebooks:
@@ -49,9 +58,7 @@ class Codebooks:
                 word[count > 0] = total[count > 0] / count[count > 0, None]
             rest -= word[_nearest(rest, word)]
             words.append(word)
-        all_words = np.stack(words)
-        flat = all_words.reshape(books * size, -1)
-        return cls(all_words, flat @ flat.T)
+        return cls(np.stack(words))
 
     def encode(self, x: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """(codes, length of the sum) of unit vectors, keeping the ``beam`` best partial sums."""
