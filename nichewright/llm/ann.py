@@ -182,12 +182,16 @@ def candidates(index: DataFrame, queries: DataFrame, model: Codebooks, rerank: i
     """CANDIDATE: for each query (row ``asked``) the ``rerank`` rows of the whole index with the best approximate cosines."""
     spark = index.sparkSession
     rows = index.count()
-    # As many chunks as memory asks for, or more, so that all tasks have work; never fewer than 4,096 rows in each.
-    n = max(-(-rows // chunk), min(partitions(spark), -(-rows // 4096)), 1)
+    # As few chunks as memory allows, since each sends back candidates for every query; where that leaves tasks without work, a
+    # chunk's codes go to several tasks, and each of them takes a share of the queries.
+    n = max(-(-rows // chunk), 1)
+    shares = max(partitions(spark) // n, 1)
+    upto = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long")))
     no = lambda kind: F.lit(None).cast(kind)
-    coded = index.select(F.pmod(F.xxhash64("row"), F.lit(n)).alias("chunk"), F.lit(0).alias("kind"), "row", "vec_id", "codes", "length", no("array<double>").alias("v"))
-    asked = queries.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("chunk"), F.lit(1).alias("kind"), "row", "vec_id", no("binary").alias("codes"), no("double").alias("length"), "v")
-    met = coded.unionByName(asked).repartition(partitions(spark), "chunk").sortWithinPartitions("chunk", "kind", "vec_id", "row")
+    coded = index.select(F.pmod(F.xxhash64("row"), F.lit(n)).alias("c"), upto(shares).alias("s"), F.lit(0).alias("kind"), "row", "vec_id", "codes", "length", no("array<double>").alias("v"))
+    asked = queries.select(upto(n).alias("c"), F.pmod(F.xxhash64("row", F.lit(n)), F.lit(shares)).alias("s"), F.lit(1).alias("kind"), "row", "vec_id", no("binary").alias("codes"), no("double").alias("length"), "v")
+    dealt = coded.unionByName(asked).withColumn("chunk", F.col("c") * shares + F.col("s")).drop("c", "s")
+    met = dealt.select("chunk", *dealt.columns[:-1]).repartition(partitions(spark), "chunk").sortWithinPartitions("chunk", "kind", "vec_id", "row")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, parts, own = None, [], None
