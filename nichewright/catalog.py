@@ -312,17 +312,35 @@ def _packed(spark, d, radius: float = RADIUS, dims=Z) -> DataFrame:
     return measures.packed(measures.scaled_tokens(_tokens(spark, d, radius, dims), TOKEN, (1.0, 1.0, 1.0)))
 
 
-@query()
+def _paths_sql(graph: list[str], hops: int = 6) -> list[str]:
+    """CTEs: members by place ``u``, their distances ``far``, and the lengths ``path`` of paths of up to 2**hops edges of ``h0``."""
+    placed = f"u AS MATERIALIZED (SELECT row_idx, row_number() OVER (PARTITION BY row_idx ORDER BY neighbor) - 1 AS at_, dx / {RADIUS}::DOUBLE AS rx, dy / {RADIUS}::DOUBLE AS ry FROM support)"
+    far = "far AS MATERIALIZED (SELECT p.row_idx, p.at_ AS i, q.at_ AS j, sqrt((p.rx - q.rx) * (p.rx - q.rx) + (p.ry - q.ry) * (p.ry - q.ry)) AS d FROM u p JOIN u q USING (row_idx))"
+    doubled = [f"h{n + 1} AS MATERIALIZED (SELECT a.row_idx, a.i, b.j, min(a.v + b.v) AS v FROM h{n} a JOIN h{n} b ON b.row_idx = a.row_idx AND b.i = a.j GROUP BY 1, 2, 3)" for n in range(hops)]
+    path = f"path AS (SELECT f.row_idx, f.i, f.j, h.v FROM far f LEFT JOIN h{hops} h USING (row_idx, i, j))"
+    return [_support_sql("edges", "cells", RADIUS), placed, far, *graph, *doubled, path]
+
+
+RADIUS_GRAPH = ["h0 AS MATERIALIZED (SELECT row_idx, i, j, CASE WHEN i = j THEN 0 ELSE d END AS v FROM far WHERE i = j OR (d > 0 AND d <= 0.5))"]
+KNN_GRAPH = [
+    "nn_ AS (SELECT *, row_number() OVER (PARTITION BY row_idx, i ORDER BY d, j) AS rank FROM far WHERE i <> j)",
+    "h0 AS MATERIALIZED (SELECT row_idx, i, i AS j, 0.0::DOUBLE AS v FROM far WHERE i = j UNION SELECT row_idx, i, j, d FROM nn_ WHERE rank <= 2 UNION SELECT row_idx, j, i, d FROM nn_ WHERE rank <= 2)",
+]
+#: Pairs without a path get twice the longest one, 1 at least.
+PATHS = f"SELECT row_idx, i::INTEGER AS i, j::INTEGER AS j, {s6('COALESCE(v, greatest(2 * max(v) OVER (PARTITION BY row_idx), 1.0::DOUBLE))')} AS value FROM path"
+
+
+@query(with_views("edges", *_paths_sql(KNN_GRAPH)) + PATHS)
 def structure_knn_shortest_path(spark, d):
     return rounded(structures.unpacked(structures.packed_structures(_packed(spark, d), "knn_shortest_path", knn=2)))
 
 
-@query()
+@query(with_views("edges", *_paths_sql(RADIUS_GRAPH)) + PATHS)
 def structure_radius_shortest_path(spark, d):
     return rounded(structures.unpacked(structures.packed_structures(_packed(spark, d), "radius_shortest_path", fraction=0.5)))
 
 
-@query()
+@query(with_views("edges", *_paths_sql(RADIUS_GRAPH)) + f"SELECT COUNT(*) AS supports, COUNT(*) FILTER (apart) AS disconnected, {s6('avg(apart::INTEGER)')} AS fraction, avg(apart::INTEGER) > 0.2 AS warn FROM (SELECT row_idx, bool_or(v IS NULL) AS apart FROM path GROUP BY 1)")
 def structure_diagnostics(spark, d):
     return rounded(structures.diagnostics(structures.packed_structures(_packed(spark, d), "radius_shortest_path", fraction=0.5), "radius_shortest_path"))
 
@@ -360,7 +378,7 @@ def _sweeps(source: str, cost: str, sweeps: int, name: str = "plan") -> list[str
         out.append(f"{name}_u{n} AS (SELECT * EXCLUDE (v), la - ln(SUM(exp(v - {cost} / {EPSILON})) OVER (PARTITION BY p, q, l)) AS u FROM {at})")
         out.append(f"{name}_v{n} AS (SELECT * EXCLUDE (u), u AS uu, lb - ln(SUM(exp(u - {cost} / {EPSILON})) OVER (PARTITION BY p, q, r)) AS v FROM {name}_u{n})" if n == sweeps else f"{name}_v{n} AS (SELECT * EXCLUDE (u), lb - ln(SUM(exp(u - {cost} / {EPSILON})) OVER (PARTITION BY p, q, r)) AS v FROM {name}_u{n})")
         at = f"{name}_v{n}"
-    return [*out, f"{name} AS (SELECT *, exp(uu + v - {cost} / {EPSILON}) AS mass FROM {at})"]
+    return [*out, f"{name} AS MATERIALIZED (SELECT *, exp(uu + v - {cost} / {EPSILON}) AS mass FROM {at})"]
 
 
 ALL_PAIRS = "SELECT a.row_idx AS p, b.row_idx AS q FROM cells a JOIN cells b ON a.row_idx < b.row_idx"
@@ -385,7 +403,7 @@ def sinkhorn_cost(spark, d):
 
 DEBIASED = [
     *_sinkhorn_sql(WITH_SELF),
-    "raw AS (SELECT p, q, SUM(mass * cost) AS c FROM plan GROUP BY p, q)",
+    "raw AS MATERIALIZED (SELECT p, q, SUM(mass * cost) AS c FROM plan GROUP BY p, q)",
     "debiased AS (SELECT r.p AS i, r.q AS j, greatest(r.c - 0.5 * a.c - 0.5 * b.c, 0) AS cost FROM raw r JOIN raw a ON a.p = r.p AND a.q = r.p JOIN raw b ON b.p = r.q AND b.q = r.q WHERE r.p < r.q)",
 ]
 
@@ -441,7 +459,7 @@ def fgw_cost_binary(spark, d):
 MEDOID_PAIRS = "SELECT a.row_idx AS p, m.row_idx AS q FROM cells a CROSS JOIN (SELECT min(row_idx) AS row_idx FROM cells GROUP BY sample_id) m"
 CROSS = [
     *_sinkhorn_sql(f"{MEDOID_PAIRS} UNION {SELF_PAIRS}"),
-    "raw AS (SELECT p, q, SUM(mass * cost) AS c FROM plan GROUP BY p, q)",
+    "raw AS MATERIALIZED (SELECT p, q, SUM(mass * cost) AS c FROM plan GROUP BY p, q)",
     f"cross_ AS (SELECT r.p AS i, r.q AS j, {s6('greatest(r.c - 0.5 * a.c - 0.5 * b.c, 0)')} AS cost FROM raw r JOIN raw a ON a.p = r.p AND a.q = r.p JOIN raw b ON b.p = r.q AND b.q = r.q WHERE r.q IN (SELECT min(row_idx) FROM cells GROUP BY sample_id))",
     "two AS (SELECT c.*, sample_id AS niche, row_number() OVER (PARTITION BY i ORDER BY cost, j) AS rank FROM cross_ c JOIN cells ON cells.row_idx = j)",
     "best AS (SELECT i AS row_idx, max(CASE WHEN rank = 1 THEN j END) AS nearest, max(CASE WHEN rank = 1 THEN niche END) AS found, max(CASE WHEN rank = 1 THEN cost END) AS cost, max(CASE WHEN rank = 2 THEN cost END) AS second FROM two WHERE rank <= 2 GROUP BY i)",
@@ -581,7 +599,7 @@ def minimum_dunn(spark, d):
     return rounded(metrics.minimum_dunn(_pairs(spark, d)[2]))
 
 
-@query(with_views("pairs") + f"SELECT {s6('avg(cost) FILTER (li = lj) / avg(cost) FILTER (li <> lj)')} AS ratio FROM pairs")
+@query(with_views("pairs") + f"SELECT {s6('avg(cost) FILTER (li = lj) / greatest(avg(cost) FILTER (li <> lj AND cost > 0), 1e-12)')} AS ratio FROM pairs")
 def within_between(spark, d):
     return rounded(metrics.within_between(_pairs(spark, d)[2]))
 
@@ -613,13 +631,35 @@ def rank_ensemble(spark, d):
 # Clustering ---------------------------------------------------------------------------------------------------------------
 
 
-@query()
+def _farthest_sql(k: int) -> list[str]:
+    """CTEs ``c1`` to ``c<k>`` of one row (place, row_idx) each, and ``m0`` of them all."""
+    out = ["d AS MATERIALIZED (SELECT i, j, cost FROM dist)", "c0 AS MATERIALIZED (SELECT 0 AS place, i AS row_idx FROM d GROUP BY i ORDER BY SUM(cost), i LIMIT 1)"]
+    for n in range(1, k):
+        before = " UNION ALL ".join(f"SELECT row_idx FROM c{m}" for m in range(n))
+        out.append(f"c{n} AS MATERIALIZED (SELECT {n} AS place, i AS row_idx FROM d WHERE j IN ({before}) AND i NOT IN ({before}) GROUP BY i ORDER BY min(cost) DESC, i LIMIT 1)")
+    return [*out, f"m0 AS MATERIALIZED ({' UNION ALL '.join(f'SELECT * FROM c{m}' for m in range(k))})"]
+
+
+def _kmedoids_sql(k: int, rounds: int) -> list[str]:
+    """``rounds`` rounds of assignment ``a`` and re-centring ``m``; once both stay, further rounds change nothing."""
+    out = _farthest_sql(k)
+    for n in range(rounds):
+        out += [
+            f"a{n} AS MATERIALIZED (SELECT i, arg_min(place, (cost, place)) AS niche FROM (SELECT d.i, place, cost FROM d JOIN m{n} ON row_idx = d.j UNION ALL SELECT row_idx, place, 0 FROM m{n}) GROUP BY i)",
+            f"t{n} AS (SELECT d.i, SUM(cost) AS total FROM d JOIN a{n} x ON x.i = d.i JOIN a{n} y ON y.i = d.j AND y.niche = x.niche GROUP BY 1)",
+            f"n{n} AS (SELECT x.niche, arg_min(x.i, (COALESCE(total, 0), x.i)) AS row_idx FROM a{n} x LEFT JOIN t{n} t ON t.i = x.i GROUP BY 1)",
+            f"m{n + 1} AS MATERIALIZED (SELECT place, COALESCE(n.row_idx, m.row_idx) AS row_idx FROM m{n} m LEFT JOIN n{n} n ON n.niche = m.place)",
+        ]
+    return out
+
+
+@query(with_views("dist", *_farthest_sql(6)) + "SELECT place, row_idx FROM m0")
 def farthest_first(spark, d):
     chosen = clustering.farthest_first(_distance(spark, d), labels(spark, d), 6)
     return spark.createDataFrame(list(enumerate(chosen)), "place int, row_idx long")
 
 
-@query()
+@query(with_views("dist", *_kmedoids_sql(6, 20)) + "SELECT i AS row_idx, niche FROM a19")
 def kmedoids(spark, d):
     return clustering.kmedoids(_distance(spark, d), labels(spark, d), 6)[0]
 
@@ -699,7 +739,21 @@ def rough_representatives(spark, d):
     return assignment.rough_clusters(full, 5)
 
 
-@query()
+def _colors_sql() -> str:
+    """Hue by the golden angle, three rings of lightness, saturation 0.8."""
+    def channel(shift: str) -> str:
+        hue = f"(h + {shift} - floor(h + {shift}))"
+        value = f"CASE WHEN {hue} < 1 / 6.0 THEN a + (b - a) * {hue} * 6 WHEN {hue} < 0.5 THEN b WHEN {hue} < 2 / 3.0 THEN a + (b - a) * (2 / 3.0 - {hue}) * 6 ELSE a END"
+        return f"format('{{:02x}}', CAST(round(255 * ({value})) AS INTEGER))"
+
+    return f"""WITH n AS (SELECT label::BIGINT AS k FROM embeddings UNION SELECT 12),
+p AS (SELECT k, (row_number() OVER (ORDER BY k) - 1) % 30 AS i FROM n),
+q AS (SELECT k, (i * 0.618033988749895::DOUBLE) % 1 AS h, [0.45::DOUBLE, 0.65::DOUBLE, 0.3::DOUBLE][i % 3 + 1] AS l FROM p),
+r AS (SELECT k, h, CASE WHEN l <= 0.5 THEN l * 1.8 ELSE l + 0.8 - l * 0.8 END AS b, 2 * l - b AS a FROM q)
+SELECT 'ON' || k AS niche, CASE WHEN k = 12 THEN '#ff7f00' ELSE '#' || {' || '.join(channel(s) for s in ('1 / 3.0', '0', '-1 / 3.0'))} END AS color FROM r"""
+
+
+@query(_colors_sql())
 def niche_colors(spark, d):
     names = [f"ON{r.niche}" for r in labels(spark, d).select("niche").distinct().collect()]
     return spark.createDataFrame(list(assignment.label_colors([*names, "ON12"]).items()), "niche string, color string")

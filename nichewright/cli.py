@@ -1,21 +1,24 @@
-"""Command line: ``python -m nichewright fit | landmark | rough-fine | pool-inputs | prepare-inputs | distribute-prepared-inputs``."""
+"""Command line: ``python -m nichewright fit | landmark | rough-fine | assign | pool-inputs | prepare-inputs | distribute-prepared-inputs``."""
 
 from __future__ import annotations
 
 import argparse
 import dataclasses
 import json
+import logging
 import sys
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from nichewright.config import NicheConfig, parse_float_list, parse_int_list
+from nichewright.config import OPTION_NAMES, NicheConfig, parse_float_list, parse_int_list, parse_string_list
 from nichewright.operators import features, pooling
 from nichewright.plans import runs
 from nichewright.sources import bundle
 
-_LISTS = {"candidates": parse_int_list, "weights": parse_float_list}
+_LISTS = {"candidates": parse_int_list, "weights": parse_float_list, "model_selection_metrics": parse_string_list, "candidate_resolutions": parse_float_list}
+_OPTIONAL = {"n_clusters": int, "expression_batch_key": str}
+_log = logging.getLogger("nichewright")
 
 
 def build_parser() -> argparse.ArgumentParser:
@@ -25,21 +28,31 @@ def build_parser() -> argparse.ArgumentParser:
         p = commands.add_parser(name)
         p.add_argument("--input", required=True, help="bundle with the tables cells (row_idx, sample_id, x, y) and features (row_idx, z)")
         p.add_argument("--output", required=True)
-        p.add_argument("--embedding", default="pca", choices=("pca", "svd", "precomputed"))
-        p.add_argument("--dimensions", type=int, default=10)
+        p.add_argument("--feature-name", default="z", help="what the vectors are called where they come from")
         p.add_argument("--spatial-scale", type=float, default=1.0)
+        p.add_argument("--max-cells", type=int, help="take the first rows by row_idx only")
+        p.add_argument("--pairs-per-second", type=float, help="a measured rate, for the estimate in feasibility.json")
         for f in dataclasses.fields(NicheConfig):
-            flag = "--" + f.name.replace("_", "-")
+            flags = ["--" + n.replace("_", "-") for n in (f.name, *(k for k, v in OPTION_NAMES.items() if v == f.name))]
             if isinstance(f.default, bool):
-                p.add_argument(flag, action=argparse.BooleanOptionalAction, default=f.default)
+                p.add_argument(*flags, action=argparse.BooleanOptionalAction, default=f.default, dest=f.name)
             else:
-                p.add_argument(flag, type=_LISTS.get(f.name) or (int if f.default is None else type(f.default)), default=f.default)
+                kind = _LISTS.get(f.name) or _OPTIONAL.get(f.name) or (float if f.default is None else type(f.default))
+                p.add_argument(*flags, type=kind, default=f.default, dest=f.name)
+        for flag in ("--expression-weight", "--spatial-weight", "--distance-weight"):
+            p.add_argument(flag, type=float)
         if name == "landmark":
             p.add_argument("--landmarks", type=int, default=1000)
             p.add_argument("--landmark-candidates", type=int, default=100)
         if name == "rough-fine":
             p.add_argument("--rough-clusters", type=int, default=20)
             p.add_argument("--representative-only", action="store_true")
+    assign = commands.add_parser("assign", help="niches of new cells by the medoids that fit saved")
+    assign.add_argument("--model", required=True, help="the output of fit")
+    assign.add_argument("--input", required=True)
+    assign.add_argument("--output", required=True)
+    assign.add_argument("--spatial-scale", type=float, default=1.0)
+    assign.add_argument("--threshold", type=float, default=0.0, help="cells of a smaller margin get niche -1")
     pool = commands.add_parser("pool-inputs")
     prepare = commands.add_parser("prepare-inputs")
     distribute = commands.add_parser("distribute-prepared-inputs")
@@ -51,33 +64,80 @@ def build_parser() -> argparse.ArgumentParser:
     pool.add_argument("--layout-columns", type=int)
     pool.add_argument("--layout-gap", type=float)
     prepare.add_argument("--overwrite", action="store_true")
+    pool.add_argument("--genes", help="directory of Parquet files (gene_idx, gene), one a sample, that must agree")
     distribute.add_argument("--prepared", required=True)
+    distribute.add_argument("--sources", help="directory of the source files; without it rows are matched by row_idx")
+    distribute.add_argument("--glob", default="*.parquet")
+    distribute.add_argument("--overwrite", action="store_true")
     return parser
 
 
+def _cohort(spark: SparkSession, path: str, scale: float):
+    """(cells, features) of a bundle."""
+    found = bundle.read_bundle(spark, path, ("cells", "features"), {"cells": ("row_idx", "x", "y"), "features": ("row_idx", "z")})
+    cells = found["cells"].withColumns({"x": F.col("x") * scale, "y": F.col("y") * scale})
+    return cells if "sample_id" in cells.columns else cells.withColumn("sample_id", F.lit("sample_0")), found["features"]
+
+
 def _fit(spark: SparkSession, args) -> dict:
-    config = NicheConfig(**{f.name: getattr(args, f.name) for f in dataclasses.fields(NicheConfig)})
-    found = bundle.read_bundle(spark, args.input, ("cells", "features"), {"cells": ("row_idx", "x", "y"), "features": ("row_idx", "z")})
-    cells = found["cells"].withColumns({"x": F.col("x") * args.spatial_scale, "y": F.col("y") * args.spatial_scale})
-    if "sample_id" not in cells.columns:
-        cells = cells.withColumn("sample_id", F.lit("sample_0"))
-    state = features.fit_embedding(found["features"], method=args.embedding, dimensions=args.dimensions)
-    vectors = found["features"].select("row_idx", state.transform(F.col("z")).alias("z"))
+    options = {f.name: getattr(args, f.name) for f in dataclasses.fields(NicheConfig)}
+    config = NicheConfig.of(**options, **{w: getattr(args, w) for w in ("expression_weight", "spatial_weight", "distance_weight") if getattr(args, w) is not None})
+    cells, held = _cohort(spark, args.input, args.spatial_scale)
+    if args.max_cells is not None:
+        if args.max_cells < 1:
+            raise ValueError("--max-cells must be positive")
+        cells = cells.orderBy("row_idx").limit(args.max_cells)
+        held = held.join(cells.select("row_idx"), "row_idx", "left_semi")
+    if args.command == "fit":
+        estimate = runs.feasibility(cells.count(), config, args.pairs_per_second)
+        bundle.write_json(spark, f"{args.output}/feasibility.json", estimate)
+        if estimate["cells"] > config.max_exact_cells and not config.force:
+            _log.warning("all pairs were not run: %s", estimate["reason"])
+            return estimate
+    for warning in features.resolve_feature(args.feature_name, config.allow_umap_as_feature):
+        _log.warning(warning)
+    state = features.fit_embedding(held, method=config.embedding, dimensions=config.dimensions, standardise=config.standardize_precomputed)
+    vectors = held.select("row_idx", state.transform(F.col("z")).alias("z"))
+    _log.info("%s: embedding of %d dimensions fitted", args.command, len(state.components or state.mean))
     if args.command == "fit":
         run = runs.fit(cells, vectors, config)
-        bundle.save_reference(f"{args.output}/model", run.tables["labels"], run.tables["medoids"])
+        settings = {"config": config.to_dict(), "scales": run.summary["scales"]}
+        bundle.save_reference(f"{args.output}/model", run.tables["labels"], run.tables["medoids"], packed=run.tables["measures"], settings=settings)
+        medoids = run.tables["medoids"].select(F.col("medoid").alias("row_idx"))
+        bundle.write_table(vectors.join(medoids, "row_idx", "left_semi"), f"{args.output}/model/reference_vectors")
     elif args.command == "landmark":
         run = runs.fit_by_landmarks(cells, vectors, config, args.landmarks, args.landmark_candidates)
     else:
         run = runs.fit_rough_then_fine(cells, vectors, config, args.rough_clusters, args.representative_only)
     state.save(spark, f"{args.output}/embedding_state")
     bundle.write_bundle(run.tables, args.output)
+    samples = cells.select("sample_id").distinct().count()
+    run.summary["features"] = features.provenance(config.embedding, samples, config.expression_batch_key) | {"kind": features.feature_kind(args.feature_name, False)}
+    run.summary["distance_store"] = bundle.distance_store(cells.count(), most_inline=config.max_exact_cells)
     bundle.write_json(spark, f"{args.output}/summary.json", run.summary)
+    _log.info("%s: written to %s", args.command, args.output)
     return run.summary
 
 
+def _assign(spark: SparkSession, args) -> dict:
+    model = f"{args.model}/model"
+    settings = bundle.read_json(spark, f"{model}/settings.json")
+    config = NicheConfig.of(**settings["config"])
+    cells, held = _cohort(spark, args.input, args.spatial_scale)
+    state = features.EmbeddingState.load(spark, f"{args.model}/embedding_state")
+    vectors = held.select("row_idx", state.transform(F.col("z")).alias("z"))
+    _, medoids = bundle.load_reference(spark, model)
+    own = bundle.read_bundle(spark, model, ("reference_measures", "reference_vectors"))
+    placed = runs.assign(cells, vectors, config, own["reference_measures"], medoids, settings["scales"], args.threshold, reference_vectors=own["reference_vectors"])
+    bundle.write_table(cells.join(placed, "row_idx"), f"{args.output}/cells")
+    written = spark.read.parquet(f"{args.output}/cells")
+    return {"cells": written.count(), "unknown": written.where("niche = -1").count()}
+
+
 def _pool(spark: SparkSession, args) -> dict:
     rows = pooling.read_samples(spark, args.input, args.glob, args.prefix, args.suffix, args.case)
+    if args.genes:
+        pooling.check_genes(pooling.read_samples(spark, args.genes))
     layout = pooling.tile_layout(pooling.sample_summary(rows), columns=args.layout_columns, gap=args.layout_gap)
     bundle.write_bundle({"cells": pooling.translate(rows, layout), "samples": layout}, args.output)
     return {"samples": layout.count()}
@@ -103,16 +163,23 @@ def _prepare(spark: SparkSession, args) -> dict:
 
 def _distribute(spark: SparkSession, args) -> dict:
     prepared = spark.read.parquet(args.prepared)
-    sources = bundle.read_bundle(spark, args.input, ("cells",))["cells"]
-    joined = pooling.distribute(prepared, sources, ("row_idx",))
+    pooled = bundle.read_bundle(spark, args.input, ("cells",))["cells"]
+    if args.sources:
+        stamp = f"{args.prepared}.fingerprint.json"
+        request = {"prepared": args.prepared, "sources": args.sources, "glob": args.glob, "made_by": bundle.read_json(spark, stamp) if bundle.exists(spark, stamp) else None}
+        make = lambda: pooling.distribute_to_sources(prepared, pooled, pooling.read_samples(spark, args.sources, args.glob).drop("sample_id"))
+        table, reused = bundle.cached(spark, args.output, request, make, args.overwrite)
+        return {"rows": table.count(), "reused": reused}
+    joined = pooling.distribute(prepared, pooled, ("row_idx",))
     bundle.write_table(joined, args.output, partition_by=("source_file",) if "source_file" in joined.columns else ())
     return {"rows": joined.count()}
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     args = build_parser().parse_args(argv)
+    logging.basicConfig(level=logging.INFO, format="%(asctime)s %(name)s %(message)s")
     spark = spark or SparkSession.builder.appName("nichewright").getOrCreate()
-    step = {"pool-inputs": _pool, "prepare-inputs": _prepare, "distribute-prepared-inputs": _distribute}.get(args.command, _fit)
+    step = {"pool-inputs": _pool, "prepare-inputs": _prepare, "distribute-prepared-inputs": _distribute, "assign": _assign}.get(args.command, _fit)
     print(json.dumps(bundle.plain(step(spark, args)), sort_keys=True))
     return 0
 

@@ -187,17 +187,38 @@ def _connected(graph: np.ndarray, of: np.ndarray) -> np.ndarray:
 
 def community_labels(distance: DataFrame, ids: DataFrame, k: int = 15, scaling: str = "local", resolution: float = 1.0, seed: int = 1337, most: int = 5000) -> DataFrame:
     """(row_idx, niche) from the kNN affinity graph; ``distance`` holds both directions."""
+    return communities_by_resolution(distance, ids, (resolution,), k, scaling, seed, most).drop("resolution")
+
+
+def communities_by_resolution(distance: DataFrame, ids: DataFrame, resolutions: tuple[float, ...], k: int = 30, scaling: str = "local", seed: int = 1337, most: int = 5000) -> DataFrame:
+    """(resolution, row_idx, niche) for every resolution, from one graph; an empty table gives an empty result."""
     rows = np.sort(ids.select("row_idx").limit(most + 1).toPandas()["row_idx"].to_numpy())
     if len(rows) > most:
         raise ValueError(f"over {most} rows can't be held as one graph; use landmarks")
     edges = knn_affinity(distance, k, scaling, len(rows)).toArrow()
     graph = np.zeros((len(rows), len(rows)))
     graph[np.searchsorted(rows, edges["i"].to_numpy()), np.searchsorted(rows, edges["j"].to_numpy())] = edges["affinity"].to_numpy()
-    found = communities(graph, resolution, seed)
-    return distance.sparkSession.createDataFrame([(int(r), int(c)) for r, c in zip(rows, found, strict=True)], "row_idx long, niche int")
+    table = [(float(res), int(r), int(c)) for res in resolutions for r, c in zip(rows, communities(graph, res, seed), strict=True)]
+    return distance.sparkSession.createDataFrame(table, "resolution double, row_idx long, niche int")
+
+
+def select_resolution(distance: DataFrame, ids: DataFrame, resolutions: tuple[float, ...], k: int = 30, scaling: str = "local", names: tuple[str, ...] = metrics.METRICS[:4], seed: int = 1337, most: int = 5000) -> tuple[DataFrame, DataFrame]:
+    """((resolution, metrics, ranks, best), (row_idx, niche) of the best) over the positive, distinct resolutions, ties to the smaller."""
+    tried = tuple(sorted({float(r) for r in resolutions if r > 0}))
+    if not tried:
+        raise ValueError("no candidate resolution is positive")
+    return _best(distance, communities_by_resolution(distance, ids, tried, k, scaling, seed, most), metrics.metric_names(names), "resolution")
 
 
-def select_model(distance: DataFrame, ids: DataFrame, candidates: tuple[int, ...], method: str = "agglomerative", names: tuple[str, ...] = metrics.METRICS, most: int = 5000) -> tuple[DataFrame, DataFrame]:
+def _best(distance: DataFrame, fits: DataFrame, names: tuple[str, ...], tie: str) -> tuple[DataFrame, DataFrame]:
+    """The ranked scores of the labellings ``fits`` (tie, row_idx, niche), and the labels of the best."""
+    fits = materialise(fits, "fits")
+    table = materialise(metrics.rank_ensemble(metrics.scores(distance, fits, names, (tie,)), names, tie), "selection")
+    best = table.where("best").first()[tie]
+    return table, fits.where(F.col(tie) == best).select("row_idx", "niche")
+
+
+def select_model(distance: DataFrame, ids: DataFrame, candidates: tuple[int, ...], method: str = "agglomerative", names: tuple[str, ...] = metrics.METRICS[:4], most: int = 5000) -> tuple[DataFrame, DataFrame]:
     """((k, metrics, ranks, best), (row_idx, niche) of the best): all candidates are scored in one job."""
     ks, names = candidate_counts(candidates, ids.count()), metrics.metric_names(names)
     if method == "agglomerative":
@@ -209,7 +230,4 @@ def select_model(distance: DataFrame, ids: DataFrame, candidates: tuple[int, ...
             fits = fits.unionByName(part)
     else:
         raise ValueError(f"unknown method {method!r}")
-    fits = materialise(fits, "fits")
-    table = materialise(metrics.rank_ensemble(metrics.scores(distance, fits, names, ("k",)), names, "k"), "selection")
-    best = table.where("best").first()["k"]
-    return table, fits.where(F.col("k") == best).select("row_idx", "niche")
+    return _best(distance, fits, names, "k")

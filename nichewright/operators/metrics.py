@@ -9,21 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Scores of model selection, by name; each is better the larger it is.
-METRICS = ("silhouette", "calinski_harabasz", "davies_bouldin", "percentile_dunn", "within_between")
-ALIASES = {"ch": "calinski_harabasz", "pseudo_calinski_harabasz": "calinski_harabasz", "db": "davies_bouldin", "medoid_davies_bouldin": "davies_bouldin", "dunn": "percentile_dunn"}
+from nichewright.config import METRICS, metric_names
 
-
-def metric_names(names: tuple[str, ...]) -> tuple[str, ...]:
-    """Canonical, distinct metric names in their order; an unknown one raises ValueError."""
-    out = []
-    for name in names:
-        low = name.strip().lower().replace("-", "_")
-        low = ALIASES.get(low, low)
-        if low not in METRICS:
-            raise ValueError(f"unknown metric {name!r}; known: {', '.join(METRICS)}")
-        out.append(low)
-    return tuple(dict.fromkeys(out))
+__all__ = ["METRICS", "assignment_score", "calinski_harabasz", "davies_bouldin", "labelled", "medoids", "metric_names", "minimum_dunn", "percentile_dunn", "rank_ensemble", "scores", "silhouette", "size_summary", "within_between"]
 
 
 def labelled(distance: DataFrame, labels: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -102,9 +90,11 @@ def minimum_dunn(pairs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 
 
 def within_between(pairs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """(by, ratio): mean distance within niches over the mean between them, null if one of them has none."""
-    mean = lambda same: F.avg(F.when((F.col("li") == F.col("lj")) if same else (F.col("li") != F.col("lj")), F.col("cost")))
-    return pairs.groupBy(*by).agg(F.when(mean(False) > 0, mean(True) / mean(False)).alias("ratio"))
+    """(by, ratio): mean finite distance within niches over the mean finite and positive one between them; null without either."""
+    finite = ~F.isnan("cost") & (F.abs("cost") < float("inf"))
+    within = F.avg(F.when(finite & (F.col("li") == F.col("lj")), F.col("cost")))
+    between = F.avg(F.when(finite & (F.col("li") != F.col("lj")) & (F.col("cost") > 0), F.col("cost")))
+    return pairs.groupBy(*by).agg((within / F.greatest(between, F.lit(1e-12))).alias("ratio"))
 
 
 def size_summary(labels: DataFrame) -> DataFrame:
@@ -123,7 +113,7 @@ def scores(distance: DataFrame, labels: DataFrame, names: tuple[str, ...], by: t
         "calinski_harabasz": lambda: calinski_harabasz(pairs, labels, by),
         "davies_bouldin": lambda: davies_bouldin(distance, labels, by),
         "percentile_dunn": lambda: percentile_dunn(pairs, by),
-        "within_between": lambda: within_between(pairs, by).select(*by, (-F.col("ratio")).alias("within_between")),
+        "minimum_dunn": lambda: minimum_dunn(pairs, by),
     }
     out = labels.select(*by).distinct()
     for name in names:

@@ -43,13 +43,16 @@ def pool(samples: list[tuple[str, DataFrame]], x: str = "x", y: str = "y", key:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
 
 
-def check_genes(samples: list[tuple[str, DataFrame]]) -> list[str]:
-    """The ordered genes (gene_idx, gene) that all samples share; raises ValueError at the first that differs."""
-    lists = [(name, [r.gene for r in genes.orderBy("gene_idx").collect()]) for name, genes in samples]
-    for name, found in lists[1:]:
-        if found != lists[0][1]:
-            raise ValueError(f"genes of {name} differ from those of {lists[0][0]}")
-    return lists[0][1]
+def check_genes(genes: DataFrame) -> DataFrame:
+    """(gene_idx, gene) that all samples of (sample_id, gene_idx, gene) share in one order; a difference raises ValueError.
+
+    A gene belongs to the shared list if every sample has it, once, at the same place; null names and places count as values.
+    """
+    n = genes.select("sample_id").distinct().count()
+    found = genes.groupBy("gene_idx", "gene").agg(F.count("*").alias("rows"), F.count_distinct("sample_id").alias("samples"), F.min("sample_id").alias("first"))
+    if (bad := found.where((F.col("rows") != n) | (F.col("samples") != n)).orderBy("gene_idx", "gene").first()) is not None:
+        raise ValueError(f"genes differ: {bad['gene']!r} at place {bad['gene_idx']} is in {bad['samples']} of {n} samples, {bad['first']} first")
+    return found.select("gene_idx", "gene")
 
 
 def sample_summary(cells: DataFrame) -> DataFrame:
@@ -91,6 +94,32 @@ def distribute(pooled: DataFrame, sources: DataFrame, keys: tuple[str, ...] = ("
     return sources.join(pooled, list(keys))
 
 
+def cell_key(cells: DataFrame) -> Column:
+    """A cell's name within its source file: ``cell_id``, else what follows the first colon of ``pooled_id``."""
+    if "cell_id" in cells.columns:
+        return cells["cell_id"].cast("string")
+    if "pooled_id" in cells.columns:
+        return F.regexp_replace(cells["pooled_id"], r"^[^:]*:", "")
+    raise KeyError("cells have neither cell_id nor pooled_id")
+
+
+def distribute_to_sources(prepared: DataFrame, pooled: DataFrame, sources: DataFrame) -> DataFrame:
+    """The rows of the source files with the features that were prepared for the pooled cells.
+
+    ``prepared`` is (row_idx, z), ``pooled`` has row_idx, source_file and a cell's name (``cell_key``), and ``sources`` has source_file
+    and such a name.  A source file without pooled rows raises KeyError, as does a missing column; names that don't map one to one,
+    on either side, raise ValueError.  Null names match nothing and so count as missing.
+    """
+    for name, df, columns in (("prepared", prepared, ("row_idx", "z")), ("pooled", pooled, ("row_idx", "source_file")), ("source", sources, ("source_file",))):
+        if lacking := [c for c in columns if c not in df.columns]:
+            raise KeyError(f"{name} rows lack {', '.join(lacking)}")
+    lost = sources.select("source_file").distinct().join(pooled.select("source_file").distinct(), "source_file", "left_anti")
+    if (row := lost.first()) is not None:
+        raise KeyError(f"no pooled rows come from {row['source_file']}")
+    named = pooled.select("row_idx", "source_file", cell_key(pooled).alias("__nw_key")).join(prepared.select("row_idx", "z"), "row_idx").drop("row_idx")
+    return distribute(named, sources.withColumn("__nw_key", cell_key(sources)), ("source_file", "__nw_key")).drop("__nw_key")
+
+
 def violations(pooled: DataFrame, sources: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """(keys, problem): source rows without a pooled row, and keys that either side repeats."""
     missing = sources.join(pooled, list(keys), "left_anti").select(*keys, F.lit("missing").alias("problem"))

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nichewright.config import DISTANCES, KERNELS, NicheConfig, canonical
+from nichewright.config import DISTANCES, KERNELS, METHODS, NicheConfig, canonical
 from nichewright.functions import kernels
 from nichewright.operators import assignment, clustering, graphs, measures, metrics, neighbors, structures, transport
 from nichewright.plans.storage import materialise
@@ -25,12 +25,16 @@ class Run:
     summary: dict = field(default_factory=dict)
 
 
-def local_measures(cells: DataFrame, vectors: DataFrame, config: NicheConfig, states: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(packed measures, counts): the capped, weighted and scaled neighborhoods, with structures for fgw.
+def local_measures(cells: DataFrame, vectors: DataFrame, config: NicheConfig, states: DataFrame | None = None, scales: dict | None = None) -> tuple[DataFrame, DataFrame, dict]:
+    """(packed measures, counts, scales): the capped, weighted and scaled neighborhoods, with structures for fgw.
 
     ``cells`` is (row_idx, sample_id, x, y) and ``vectors`` (row_idx, z).  A cap mode that ends in ``state`` uses ``states`` (row_idx,
-    state), which k-means gives if they aren't passed.
+    state), which k-means gives if they aren't passed.  ``scales`` are those of an earlier run, {"components": (z, position, radius),
+    "structure": number}; measures are only comparable under the same ones.  A table without a vector raises ValueError.
     """
+    first = vectors.where(F.col("z").isNotNull()).first()
+    if first is None:
+        raise ValueError("there are no vectors")
     if states is None and config.cap_mode.endswith("state"):
         states = measures.state_labels(vectors, config.n_states, config.seed)
     kernel = canonical(config.kernel, KERNELS, "kernel")
@@ -41,19 +45,21 @@ def local_measures(cells: DataFrame, vectors: DataFrame, config: NicheConfig, st
     capped = materialise(measures.cap_neighbors(with_state.select("row_idx", "neighbor", "distance", "weight", *(["state"] if by_state else [])), config.radius, config.max_neighbors, config.radial_shells, config.seed, by_state), "capped")
     support = measures.assemble(cells, capped, config.include_anchor, config.isolated)
     token_rows = materialise(measures.tokens(support, cells, vectors, config.radius), "tokens")
-    scales = measures.component_scales(token_rows, config.scales, config.scale_pairs, config.seed)
+    scales = dict(scales or {"components": measures.component_scales(token_rows, config.scales, config.scale_pairs, config.seed)})
     fgw = canonical(config.distance, DISTANCES, "distance") == "fgw"
     held = config.fgw_features if fgw else "full_token"
-    width = len(vectors.first()["z"]) + {"full_token": 3, "expression_only": 0, "expression_plus_radial": 1}[held]
-    packed = measures.packed(measures.scaled_tokens(token_rows, config.weights, scales, held), width)
+    width = len(first["z"]) + {"full_token": 3, "expression_only": 0, "expression_plus_radial": 1}[held]
+    packed = measures.packed(measures.scaled_tokens(token_rows, config.weights, tuple(scales["components"]), held), width)
     if fgw:
         packed = structures.packed_structures(packed, config.structure, config.structure_knn, config.structure_radius_fraction)
         if config.fgw_structure_scale != "none":
             packed = materialise(packed, "structures")
-            packed = structures.normalised_structures(packed, structures.structure_scale(packed, config.scale_pairs, config.seed).first()["scale"])
+            if "structure" not in scales:
+                scales["structure"] = structures.structure_scale(packed, config.structure_pairs, config.seed).first()["scale"]
+            packed = structures.normalised_structures(packed, scales["structure"])
     full = neighbors.neighbor_counts(cells, edges, "n_full")
     counts = full.join(neighbors.neighbor_counts(cells, capped, "n_retained"), "row_idx")
-    return materialise(packed, "measures"), materialise(counts, "counts")
+    return materialise(packed, "measures"), materialise(counts, "counts"), scales
 
 
 def _kernel(config: NicheConfig) -> dict:
@@ -66,30 +72,56 @@ def exact_distance(packed: DataFrame, vectors: DataFrame, config: NicheConfig) -
     fgw = canonical(config.distance, DISTANCES, "distance") == "fgw"
     work = transport.pairwise_work(size["n"], size["m"] or 1, config.sweeps, config.fgw_rounds if fgw else 0)
     transport.admit(work, config.max_fgw_work if fgw else config.max_ot_work, size["n"], config.max_exact_cells, config.force)
-    costs = transport.distances(packed, mode=config.distance, block=config.block, **_kernel(config))
+    block = transport.block_size(size["m"] or 1, config.block, config.target_block_memory_gib, fgw)
+    costs = transport.distances(packed, mode=config.distance, block=block, **_kernel(config))
     return materialise(transport.anchor_penalty(costs, vectors, config.anchor_weight), "distance")
 
 
 def cluster(distance: DataFrame, ids: DataFrame, config: NicheConfig) -> tuple[DataFrame, DataFrame | None]:
     """(labels, selection table or None) of the upper triangle ``distance``."""
     both = materialise(transport.mirrored(distance), "distance")
-    if config.method == "leiden":
-        return clustering.community_labels(both, ids, config.knn, config.affinity, seed=config.seed, most=config.max_exact_cells), None
-    candidates = (config.n_clusters,) if config.n_clusters else config.candidates
-    table, labels = clustering.select_model(both, ids, candidates, config.method, most=config.max_exact_cells)
+    method, names = canonical(config.method, METHODS, "method"), config.model_selection_metrics
+    if method == "leiden" and not config.candidate_resolutions:
+        return clustering.community_labels(both, ids, config.knn, config.affinity, config.leiden_resolution, config.seed, config.max_exact_cells), None
+    if method == "leiden":
+        table, labels = clustering.select_resolution(both, ids, config.candidate_resolutions, config.knn, config.affinity, names, config.seed, config.max_exact_cells)
+    else:
+        candidates = (config.n_clusters,) if config.n_clusters else config.candidates
+        table, labels = clustering.select_model(both, ids, candidates, method, names, config.max_exact_cells)
     return labels, table
 
 
+def checks(packed: DataFrame, config: NicheConfig) -> dict:
+    """For the summary: how far the plans of a sample are from convergence, or how many structures fell apart."""
+    if canonical(config.distance, DISTANCES, "distance") == "fgw":
+        return {"structures": structures.diagnostics(packed, config.structure).first().asDict()}
+    return {"convergence": transport.convergence_sample(packed, config.epsilon, config.sweeps).first().asDict()}
+
+
+def feasibility(cells: int, config: NicheConfig, pairs_per_second: float | None = None) -> dict:
+    """What all pairs of so many cells would take at most, and whether the guards let them run."""
+    fgw = canonical(config.distance, DISTANCES, "distance") == "fgw"
+    rounds, support = config.fgw_rounds if fgw else 0, config.max_neighbors + config.include_anchor
+    found = transport.feasibility(cells, support, config.sweeps, rounds, pairs_per_second or 1.0)
+    if not pairs_per_second:
+        found["days"] = None
+    try:
+        transport.admit(found, config.max_fgw_work if fgw else config.max_ot_work, cells, config.max_exact_cells, config.force)
+    except ValueError as error:
+        return found | {"cells": cells, "status": "refused", "reason": str(error)}
+    return found | {"cells": cells, "status": "admitted", "reason": None}
+
+
 def fit(cells: DataFrame, vectors: DataFrame, config: NicheConfig, states: DataFrame | None = None) -> Run:
     """Niches of a cohort small enough for all pairs: labels, scores, instances, affinities, medoids and a summary."""
     began = time.time()
-    packed, counts = local_measures(cells, vectors, config, states)
+    packed, counts, scales = local_measures(cells, vectors, config, states)
     distance = exact_distance(packed, vectors, config)
     labels, selection = cluster(distance, cells, config)
     both = materialise(transport.mirrored(distance), "distance")
     labels = materialise(labels, "labels")
     scored = metrics.assignment_score(both, labels)
-    edges = neighbors.nearest_within(neighbors.radius_edges(cells, config.radius), 512)
+    edges = neighbors.nearest_within(neighbors.radius_edges(cells, config.instance_radius or config.radius), config.instance_max_neighbors)
     found = graphs.instances(labels, edges).select("row_idx", F.col("instance"), F.col("name").alias("instance_name"))
     density = counts.select("row_idx", *(c.alias(n) for n, c in neighbors.density_columns(F.col("n_full"), F.col("n_retained"), config.radius).items()))
     out = cells.join(scored.withColumnsRenamed({"niche": "ot_niche_int", "score": "ot_niche_assignment_score"}), "row_idx").join(found.withColumnsRenamed({"instance": "ot_niche_instance_int", "instance_name": "ot_niche_instance"}), "row_idx").join(density, "row_idx")
@@ -99,10 +131,27 @@ def fit(cells: DataFrame, vectors: DataFrame, config: NicheConfig, states: DataF
     if selection is not None:
         run.tables["selection"] = selection
     sizes = metrics.size_summary(labels).first().asDict()
-    run.summary = {"config": config.to_dict(), "sizes": sizes, "cells": cells.count(), "runtime_seconds": time.time() - began}
+    run.summary = {"config": config.to_dict(), "sizes": sizes, "cells": cells.count(), "scales": scales, "runtime_seconds": time.time() - began} | checks(packed, config)
     return run
 
 
+def assign(cells: DataFrame, vectors: DataFrame, config: NicheConfig, reference: DataFrame, medoids: DataFrame, scales: dict, threshold: float = 0.0, states: DataFrame | None = None, reference_vectors: DataFrame | None = None) -> DataFrame:
+    """(row_idx, nearest, niche, cost, score): new cells against the medoids of an earlier run.
+
+    ``reference`` holds the medoids' packed measures, ``medoids`` is (niche, medoid), and ``config`` and ``scales`` are that run's.  Only
+    pairs of a cell and a medoid are computed, after the guard on their work.
+    """
+    packed, _, _ = local_measures(cells, vectors, config, states, scales)
+    fgw = canonical(config.distance, DISTANCES, "distance") == "fgw"
+    size = {n: df.agg(F.count("*").alias("n"), F.max("m").alias("m")).first() for n, df in (("new", packed), ("old", reference))}
+    work = transport.cross_work(size["new"]["n"], size["old"]["n"], size["new"]["m"] or 1, size["old"]["m"] or 1, config.sweeps, config.fgw_rounds if fgw else 0)
+    transport.admit(work, config.max_fgw_work if fgw else config.max_ot_work, force=config.force)
+    costs = transport.distances(packed, reference, mode=config.distance, block=config.block, **_kernel(config))
+    if config.anchor_weight and reference_vectors is not None:
+        costs = transport.anchor_penalty(costs, vectors, config.anchor_weight, reference_vectors)
+    return assignment.assign_by_medoids(costs, medoids, threshold)
+
+
 def candidate_costs(packed: DataFrame, reference: DataFrame, candidates: DataFrame, config: NicheConfig) -> DataFrame:
     """(i, j, cost) for the pairs of ``candidates`` (i, j) only: each row carries its two measures, and a batch of rows is one array."""
     fgw = canonical(config.distance, DISTANCES, "distance") == "fgw"
@@ -142,7 +191,7 @@ def candidate_costs(packed: DataFrame, reference: DataFrame, candidates: DataFra
 
 def fit_by_landmarks(cells: DataFrame, vectors: DataFrame, config: NicheConfig, n_landmarks: int = 1000, candidates: int = 100, states: DataFrame | None = None) -> Run:
     """Niches of landmarks, spread over the cohort: every cell takes the niche of the nearest of its candidate landmarks."""
-    packed, counts = local_measures(cells, vectors, config, states)
+    packed, counts, scales = local_measures(cells, vectors, config, states)
     landmarks = materialise(assignment.sample_landmarks(cells, n_landmarks, config.seed), "landmarks")
     reference = materialise(packed.join(landmarks.select("row_idx"), "row_idx", "left_semi"), "reference")
     distance = exact_distance(reference, vectors, config)
@@ -153,12 +202,12 @@ def fit_by_landmarks(cells: DataFrame, vectors: DataFrame, config: NicheConfig,
     edges = neighbors.radius_edges(cells.join(placed.select("row_idx", "niche"), "row_idx"), config.radius, same="niche")
     found = graphs.instances(placed.select("row_idx", "niche"), edges)
     tables = {"cells": cells.join(placed, "row_idx").join(found.select("row_idx", "instance", "name"), "row_idx").join(counts, "row_idx"), "labels": labels, "distance": distance}
-    return Run(tables | ({"selection": selection} if selection is not None else {}), {"config": config.to_dict(), "landmarks": landmarks.count()})
+    return Run(tables | ({"selection": selection} if selection is not None else {}), {"config": config.to_dict(), "landmarks": landmarks.count(), "scales": scales} | checks(reference, config))
 
 
 def fit_rough_then_fine(cells: DataFrame, vectors: DataFrame, config: NicheConfig, rough: int = 20, representative_only: bool = False, states: DataFrame | None = None) -> Run:
     """k-means within each sample, then niches of the representatives, which their members take over."""
-    packed, counts = local_measures(cells, vectors, config, states)
+    packed, counts, scales = local_measures(cells, vectors, config, states)
     full = cells.join(vectors, "row_idx").join(counts.select("row_idx", F.col("n_full").alias("n_neighbors")), "row_idx")
     members = materialise(assignment.rough_clusters(full, rough, seed=config.seed), "rough")
     ids = members.select(F.col("representative").alias("row_idx")).distinct()
@@ -168,4 +217,4 @@ def fit_rough_then_fine(cells: DataFrame, vectors: DataFrame, config: NicheConfi
     distance = exact_distance(materialise(graph, "representatives"), vectors, config)
     labels, selection = cluster(distance, ids, config)
     tables = {"cells": assignment.propagate(members, labels), "labels": labels, "representatives": graph, "distance": distance}
-    return Run(tables | ({"selection": selection} if selection is not None else {}), {"config": config.to_dict(), "representatives": ids.count()})
+    return Run(tables | ({"selection": selection} if selection is not None else {}), {"config": config.to_dict(), "representatives": ids.count(), "scales": scales})

@@ -24,13 +24,24 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def write_table(df: DataFrame, path: str, partition_by: tuple[str, ...] = (), compression: str = "zstd") -> None:
-    """Replaces a table as a whole: it is written beside its place and renamed, so a table may be made from itself."""
-    spark, aside = df.sparkSession, f"{path}.new-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).partitionBy(*partition_by).parquet(aside)
+    """Replaces a table as a whole, which may be made from itself.
+
+    It is written beside its place; the old table is moved aside, the new one takes its place, and only then the old one goes.  A
+    crash in between leaves the old table under ``<path>.old-...``; a failed rename puts it back.
+    """
+    spark, tag = df.sparkSession, uuid.uuid4().hex
+    df.write.option("compression", compression).partitionBy(*partition_by).parquet(f"{path}.new-{tag}")
     fs, place = _fs(spark, path)
-    fs.delete(place, True)
-    if not fs.rename(spark._jvm.org.apache.hadoop.fs.Path(aside), place):
-        raise OSError(f"{aside} can't be renamed to {path}")
+    new, old = (spark._jvm.org.apache.hadoop.fs.Path(f"{path}.{kind}-{tag}") for kind in ("new", "old"))
+    had = fs.exists(place)
+    if had and not fs.rename(place, old):
+        raise OSError(f"{path} can't be moved aside")
+    if not fs.rename(new, place):
+        if had:
+            fs.rename(old, place)
+        raise OSError(f"{path}.new-{tag} can't be renamed to {path}")
+    if had:
+        fs.delete(old, True)
 
 
 def write_bundle(tables: dict[str, DataFrame], path: str) -> None:
@@ -99,8 +110,15 @@ def distance_store(n: int, store: str = "auto", most_inline: int = 5000) -> str:
     return store if store != "auto" else "inline" if n <= most_inline else "parquet"
 
 
-def save_reference(path: str, labels: DataFrame, medoids: DataFrame, names: DataFrame | None = None) -> None:
-    """A model for later assignment: (row_idx, niche), (niche, medoid, size) and, if given, (row_idx, name)."""
+def save_reference(path: str, labels: DataFrame, medoids: DataFrame, names: DataFrame | None = None, packed: DataFrame | None = None, settings: dict | None = None) -> None:
+    """A model for later assignment: (row_idx, niche), (niche, medoid, size) and, if given, (row_idx, name).
+
+    With ``packed``, the measures of a run, those of the medoids are kept too, and ``settings`` (its config and scales) beside them.
+    """
+    if packed is not None:
+        write_table(packed.join(medoids.select(F.col("medoid").alias("row_idx")), "row_idx", "left_semi"), f"{path}/reference_measures")
+    if settings is not None:
+        write_json(labels.sparkSession, f"{path}/settings.json", settings)
     named = medoids if names is None else medoids.join(names.select(F.col("row_idx").alias("medoid"), F.col("name").alias("medoid_name")), "medoid", "left")
     write_bundle({"reference_labels": labels, "reference_medoids": named}, path)
     write_json(labels.sparkSession, f"{path}/cluster_medoids.json", {r.niche: r.medoid for r in medoids.collect()})  # a row a niche
