@@ -94,7 +94,7 @@ def within_between(pairs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     finite = ~F.isnan("cost") & (F.abs("cost") < float("inf"))
     within = F.avg(F.when(finite & (F.col("li") == F.col("lj")), F.col("cost")))
     between = F.avg(F.when(finite & (F.col("li") != F.col("lj")) & (F.col("cost") > 0), F.col("cost")))
-    return pairs.groupBy(*by).agg((within / F.greatest(between, F.lit(1e-12))).alias("ratio"))
+    return pairs.groupBy(*by).agg(F.when(between.isNotNull(), within / F.greatest(between, F.lit(1e-12))).alias("ratio"))
 
 
 def size_summary(labels: DataFrame) -> DataFrame:
