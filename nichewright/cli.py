@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from nichewright.config import OPTION_NAMES, NicheConfig, parse_float_list, parse_int_list, parse_string_list
 from nichewright.operators import features, pooling
 from nichewright.plans import runs
+from nichewright.plans.storage import materialise
 from nichewright.sources import bundle
 
 _LISTS = {"candidates": parse_int_list, "weights": parse_float_list, "model_selection_metrics": parse_string_list, "candidate_resolutions": parse_float_list}
@@ -149,13 +150,14 @@ def _prepare(spark: SparkSession, args) -> dict:
 
     def make():
         counts = bundle.read_bundle(spark, args.input, ("counts",))["counts"]
-        genes = [r.gene for r in counts.select("gene").distinct().orderBy("gene").collect()]  # genes, not cells
-        wide = features.library_size_log1p(counts, request["target_sum"]).groupBy("row_idx").pivot("gene", genes).agg(F.first("normalised"))
-        dense = wide.select("row_idx", F.array(*(F.coalesce(F.col(f"`{g}`"), F.lit(0.0)) for g in genes)).alias("z"))
-        k = min(request["components"], len(genes) - 1)
+        found = counts.select("gene").where("gene is not null").distinct().limit(features.MOST_NUMBERS // 2 + 1)
+        genes = sorted(str(r.gene) for r in found.collect())  # genes, not cells; bounded
+        rows = features.sparse_rows(features.library_size_log1p(counts.withColumn("gene", F.col("gene").cast("string")), request["target_sum"]), genes)
+        rows = materialise(rows, "sparse")
+        k = min(request["components"], rows.count() - 1, len(genes) - 1)
         if not request["use_svd"] or k < 2:
-            return dense
-        return dense.select("row_idx", features.fit_embedding(dense, method="svd", dimensions=k).transform(F.col("z")).alias("z"))
+            return features.dense_rows(rows, len(genes))
+        return features.sparse_project(rows, features.sparse_svd(rows, len(genes), k, request["n_iter"], request["random_state"]))
 
     table, reused = bundle.cached(spark, f"{args.output}/features", request, make, args.overwrite)
     return {"rows": table.count(), "reused": reused}

@@ -6,9 +6,14 @@ import os
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: The widest features whose covariance is made, and the numbers that a block of directions may hold on the driver and in every task.
+MOST_DIMENSIONS, MOST_NUMBERS = 4_096, 32_000_000
+
 
 def library_size_log1p(counts: DataFrame, target_sum: float = 1e4, row: str = "row_idx", value: str = "value") -> DataFrame:
     """Counts in long form with ``normalised`` = log1p(value * target / row sum); rows whose sum isn't positive keep the scale 1."""
@@ -66,43 +71,174 @@ def _stats(rows: DataFrame, vector: str) -> tuple[tuple[float, ...], tuple[float
 
 
 def fit_embedding(rows: DataFrame, vector: str = "z", method: str = "pca", dimensions: int = 10, standardise: bool = True, seed: int = 1337) -> EmbeddingState:
-    """Fits ``pca``, ``svd`` (uncentred) or ``precomputed``.  The covariance, of the features' size squared, is summed by the executors."""
+    """Fits ``pca``, ``svd`` (uncentred) or ``precomputed``.  The covariance, of the features' size squared, is summed by the executors.
+
+    Null vectors are left out of the fit.  A table without a vector raises ValueError, as does one of over ``MOST_DIMENSIONS``
+    dimensions unless precomputed: ``sparse_svd`` is for these.
+    """
     if method in ("scvi", "totalvi"):
         raise NotImplementedError(f"{method} embeddings are made elsewhere and passed in as precomputed")
     if method not in ("pca", "svd", "precomputed"):
         raise ValueError(f"unknown embedding method {method!r}")
-    d, n = len(rows.select(vector).first()[0]), rows.count()
+    rows = rows.where(F.col(vector).isNotNull())
+    first = rows.select(vector).first()
+    if first is None:
+        raise ValueError("there are no vectors")
+    d = len(first[0])
+    if method != "precomputed" and d > MOST_DIMENSIONS:
+        raise ValueError(f"over {MOST_DIMENSIONS} dimensions")
     mean, scale = _stats(rows, vector) if standardise or method != "precomputed" else ((0.0,) * d, (1.0,) * d)
     state = EmbeddingState(mean, scale, method=method)
     if method == "precomputed":
         return state
-    k = min(max(dimensions, 1), d, max(n - 1, 1))
     gram, total, count = second_moments(rows.select(state.transform(F.col(vector)).alias("v")), "v", d)
+    k = min(max(dimensions, 1), d, max(count - 1, 1))
     centre = total / count if method == "pca" else np.zeros(d)
     values, vectors = np.linalg.eigh(gram / count - np.outer(centre, centre))
-    chosen = vectors[:, np.argsort(-values)[:k]].T
-    chosen *= np.where(chosen[np.arange(k), np.abs(chosen).argmax(1)] < 0, -1, 1)[:, None]  # a fixed sign for each axis
+    chosen = _signed(vectors[:, np.argsort(-values)[:k]]).T
     reduced = EmbeddingState(mean, scale, tuple(map(tuple, chosen.tolist())), tuple(centre.tolist()), method=method)
     out = _stats(rows.select(reduced.transform(F.col(vector)).alias("v")), "v")
     return EmbeddingState(mean, scale, reduced.components, reduced.reducer_mean, *out, method=method)
 
 
+def _signed(axes: np.ndarray) -> np.ndarray:
+    """The columns with a fixed sign: the entry of the largest size is positive."""
+    return axes * np.where(axes[np.abs(axes).argmax(0), np.arange(axes.shape[1])] < 0, -1, 1)
+
+
+def _summed(parts: DataFrame) -> dict[int, np.ndarray]:
+    """The sums of (block, v) by block; each block is added up in one task, from a short array of every partition."""
+    total = lambda group: pd.DataFrame({"block": group["block"].iloc[:1], "v": [np.sum(np.stack(group["v"].to_numpy()), 0)]})
+    return {r.block: np.array(r.v) for r in parts.groupBy("block").applyInPandas(total, "block int, v array<double>").collect()}
+
+
+def _narrowed(rows: DataFrame) -> DataFrame:
+    """As many partitions as run at once, at most, without a shuffle: each one's partial sums are held and sent once."""
+    return rows.coalesce(max(rows.sparkSession.sparkContext.defaultParallelism, 1))
+
+
 def second_moments(rows: DataFrame, vector: str, d: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Sum of outer products, sum and count: one small array a partition, added up in a tree."""
-    import pyarrow as pa
+    """Sum of outer products, sum and count of the vectors that aren't null: d + 1 short arrays from each task that runs at once."""
 
     def part(batches):
         gram, total, n = np.zeros((d, d)), np.zeros(d), 0
         for batch in batches:
             x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
             gram, total, n = gram + x.T @ x, total + x.sum(0), n + len(x)
-        flat = np.concatenate([gram.ravel(), total, [n]])
-        yield pa.RecordBatch.from_pydict({"place": np.arange(len(flat)), "v": flat})
+        if n:
+            yield pa.RecordBatch.from_pydict({"block": pa.array(range(d + 1), pa.int32()), "v": pa.array([*gram, np.append(total, n)], pa.list_(pa.float64()))})
+
+    sums = _summed(_narrowed(rows.where(F.col(vector).isNotNull()).select(vector)).mapInArrow(part, "block int, v array<double>"))
+    last = sums.get(d, np.zeros(d + 1))
+    return np.stack([sums.get(i, np.zeros(d)) for i in range(d)]), last[:-1], int(last[-1])
+
+
+def sparse_rows(values: DataFrame, genes: list[str], value: str = "normalised") -> DataFrame:
+    """(row_idx, at, w): the places in ``genes`` and the values of each row of the long table (row_idx, gene, value).
+
+    Entries with a null value, or a gene that isn't in the list, are left out; their row stays, and is empty if it has no other.
+    """
+    place = values.sparkSession.createDataFrame(list(enumerate(genes)), "at int, gene string")
+    placed = values.select("row_idx", "gene", F.col(value).cast("double").alias("w")).join(F.broadcast(place), "gene", "left")
+    entry = F.when(F.col("at").isNotNull() & F.col("w").isNotNull(), F.struct("at", "w"))
+    held = placed.groupBy("row_idx").agg(F.sort_array(F.collect_list(entry)).alias("e"))
+    return held.select("row_idx", F.col("e.at").alias("at"), F.col("e.w").alias("w"))
+
+
+def sparse_svd(rows: DataFrame, width: int, components: int, n_iter: int = 7, seed: int = 1337, extra: int = 10) -> np.ndarray:
+    """The ``components`` leading right singular vectors (width x components) of sparse rows (row_idx, at, w), without centring.
+
+    A randomised range search: a block of ``components + extra`` directions is sent to the tasks, multiplied by the rows and back,
+    summed and made orthogonal again, ``n_iter`` times and once more; nothing of the size width x width is made.  The block is held
+    by the driver and every task, so width x (components + extra) over ``MOST_NUMBERS`` raises ValueError.  Entries of one place in a
+    row add up; no more vectors are returned than the width.  Rows are read once a round: pass a written table.
+    """
+    if width < 1 or components < 1:
+        raise ValueError("width and components must be positive")
+    size = min(components + extra, width)
+    if width * size > MOST_NUMBERS:
+        raise ValueError(f"{width} x {size} numbers are over {MOST_NUMBERS}")
+    context = rows.sparkSession.sparkContext
+    held = _narrowed(rows.select("at", "w"))
+
+    def times(block: np.ndarray, back: bool) -> np.ndarray:
+        sent = context.broadcast(block)
+
+        def part(batches):
+            q, out = sent.value, np.zeros((width if back else size, size))
+            for at, w, start in _slices(batches):
+                y = _product(q, at, w, start)
+                if back:
+                    for n, own in enumerate(y):
+                        one = slice(start[n], start[n + 1])
+                        np.add.at(out, at[one], w[one, None] * own)
+                else:
+                    out += y.T @ y
+            for b in range(0, len(out), 16):
+                if out[b : b + 16].any():
+                    yield pa.RecordBatch.from_pydict({"block": pa.array([b // 16], pa.int32()), "v": pa.array([out[b : b + 16].ravel()], pa.list_(pa.float64()))})
+
+        sums = _summed(held.mapInArrow(part, "block int, v array<double>"))
+        sent.unpersist()
+        out = np.zeros((width if back else size, size))
+        for b, v in sums.items():
+            out[b * 16 : b * 16 + 16] = v.reshape(-1, size)
+        return out
+
+    block = np.linalg.qr(np.random.default_rng(seed).normal(size=(width, size)))[0]
+    for _ in range(n_iter + 1):
+        block = np.linalg.qr(times(block, True))[0]
+    values, turned = np.linalg.eigh(times(block, False))
+    return _signed(block @ turned[:, np.argsort(-values)[: min(components, width)]])
+
+
+def sparse_project(rows: DataFrame, axes: np.ndarray) -> DataFrame:
+    """(row_idx, z): the sparse rows times the axes, which are sent to every task; an empty row is all zeros."""
+    sent = rows.sparkSession.sparkContext.broadcast(axes)
+
+    def run(batches):
+        for batch in batches:
+            for part in range(0, batch.num_rows, 1024):
+                piece = batch.slice(part, 1024)
+                for at, w, start in _slices([piece.select(["at", "w"])]):
+                    z = _product(sent.value, at, w, start)
+                    yield pa.RecordBatch.from_pydict({"row_idx": piece.column("row_idx").cast(pa.int64()), "z": pa.array(list(z), pa.list_(pa.float64()))})
+
+    return rows.select("row_idx", "at", "w").mapInArrow(run, "row_idx long, z array<double>")
+
+
+def dense_rows(rows: DataFrame, width: int) -> DataFrame:
+    """(row_idx, z): the sparse rows with all their places; for few genes, or where no reduction is asked for."""
+
+    def run(batches):
+        for batch in batches:
+            for n in range(0, batch.num_rows, 256):
+                piece = batch.slice(n, 256)
+                for at, w, start in _slices([piece.select(["at", "w"])]):
+                    z = np.zeros((len(start) - 1, width))
+                    np.add.at(z, (np.repeat(np.arange(len(z)), np.diff(start)), at), w)
+                    yield pa.RecordBatch.from_pydict({"row_idx": piece.column("row_idx").cast(pa.int64()), "z": pa.array(list(z), pa.list_(pa.float64()))})
+
+    return rows.select("row_idx", "at", "w").mapInArrow(run, "row_idx long, z array<double>")
+
+
+def _slices(batches):
+    """(places, values, starts) of at most 1,024 sparse rows at a time."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, 1024):
+            piece = batch.slice(first, 1024)
+            at, w = piece.column("at"), piece.column("w")
+            lengths = at.value_lengths().to_numpy(zero_copy_only=False)
+            yield at.flatten().to_numpy(zero_copy_only=False), w.flatten().to_numpy(zero_copy_only=False).astype(float), np.concatenate([[0], np.cumsum(lengths)]).astype(int)
+
 
-    sums = rows.where(F.col(vector).isNotNull()).select(vector).mapInArrow(part, "place long, v double").groupBy("place").agg(F.sum("v").alias("v")).toPandas()
-    flat = np.zeros(d * d + d + 1)
-    flat[sums["place"].to_numpy()] = sums["v"].to_numpy()
-    return flat[: d * d].reshape(d, d), flat[d * d : -1], int(flat[-1])
+def _product(q: np.ndarray, at: np.ndarray, w: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Sparse rows times ``q``, one row at a time, so that no more than a row's directions are gathered."""
+    out = np.zeros((len(start) - 1, q.shape[1]))
+    for n in range(len(out)):
+        a, b = start[n], start[n + 1]
+        out[n] = w[a:b] @ q[at[a:b]]
+    return out
 
 
 def svd_request(env: dict[str, str] | None = None) -> dict:

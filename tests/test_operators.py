@@ -324,3 +324,32 @@ def test_stream_assigns_like_a_table(spark, tmp_path):
     assign_stream(stream, reference, str(tmp_path / "out"), str(tmp_path / "log")).awaitTermination()
     got = {r.row_idx: r.landmark for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {i: 2 if i <= 8 else 15 for i in range(20)}
+
+
+def test_sparse_svd_equals_the_dense_one(spark):
+    rng = np.random.default_rng(6)
+    x = (rng.poisson(0.4, size=(90, 40)) * rng.integers(0, 2, size=(90, 1)) * np.linspace(3, 0.2, 40)).astype(float)
+    x[:, :3] += rng.normal(size=(90, 1)) * [9, 5, 2]
+    genes = [f"g{k:02d}" for k in range(40)]
+    long = [(i, genes[k], float(v)) for i, own in enumerate(x) for k, v in enumerate(own) if v] + [(90, None, 1.0), (91, "g01", None), (92, "g01", 2.0), (92, "g01", 3.0)]
+    x = np.vstack([x, np.zeros((3, 40))])
+    x[92, 1] = 5
+    rows = features.sparse_rows(spark.createDataFrame(long, "row_idx long, gene string, normalised double").repartition(3), genes)
+    of = lambda df: np.array([r.z for r in df.orderBy("row_idx").collect()])
+    kept = [i for i in range(93) if x[i].any() or i >= 90]
+    assert np.allclose(of(features.dense_rows(rows, 40)), x[kept])
+    axes = features.sparse_svd(rows, 40, 4)
+    want = np.linalg.svd(x)[2][:4].T
+    assert np.allclose(np.abs((axes * want).sum(0)), 1, atol=1e-5)
+    assert np.allclose(of(features.sparse_project(rows, axes)), x[kept] @ axes)
+    assert features.sparse_svd(rows.limit(0), 40, 2).shape == (40, 2)
+    with pytest.raises(ValueError, match="numbers"):
+        features.sparse_svd(rows, features.MOST_NUMBERS, 4)
+
+
+def test_embedding_of_nothing_and_of_nulls(spark):
+    rows = spark.createDataFrame([(0, [1.0, 2.0]), (1, None), (2, [3.0, 1.0]), (3, [0.0, 5.0])], "row_idx long, z array<double>")
+    state = features.fit_embedding(rows, method="pca", dimensions=2)
+    assert state == features.fit_embedding(rows.dropna(), method="pca", dimensions=2)
+    with pytest.raises(ValueError, match="no vectors"):
+        features.fit_embedding(rows.limit(0))
