@@ -152,41 +152,74 @@ def assign(cells: DataFrame, vectors: DataFrame, config: NicheConfig, reference:
     return assignment.assign_by_medoids(costs, medoids, threshold)
 
 
-def candidate_costs(packed: DataFrame, reference: DataFrame, candidates: DataFrame, config: NicheConfig) -> DataFrame:
-    """(i, j, cost) for the pairs of ``candidates`` (i, j) only: each row carries its two measures, and a batch of rows is one array."""
+def _padded(masses: list, tokens: list) -> tuple[np.ndarray, np.ndarray]:
+    width, d = max(map(len, masses)), len(tokens[0]) // len(masses[0])
+    mass, token = np.zeros((len(masses), width)), np.zeros((len(masses), width, d))
+    for n, (w, t) in enumerate(zip(masses, tokens, strict=True)):
+        mass[n, : len(w)], token[n, : len(w)] = w, np.reshape(t, (len(w), d))
+    return mass, token
+
+
+def _squares(values: list, masses: list, width: int) -> np.ndarray:
+    out = np.zeros((len(values), width, width))
+    for n, (v, w) in enumerate(zip(values, masses, strict=True)):
+        out[n, : len(w), : len(w)] = np.reshape(v, (len(w), len(w)))
+    return out
+
+
+def candidate_costs(packed: DataFrame, reference: DataFrame, candidates: DataFrame, config: NicheConfig, most_sent: int = 8_000_000) -> DataFrame:
+    """(i, j, cost) for the pairs of ``candidates`` (i, j) only, up to 256 pairs in one array.
+
+    A reference of at most ``most_sent`` numbers is sent to every task once, and a cell's row carries its own measure and the ids of its
+    candidates.  For a larger one each row carries the two measures of its pair.  Pairs whose cell or reference has no measure give no
+    row; repeated pairs are repeated.
+    """
     fgw = canonical(config.distance, DISTANCES, "distance") == "fgw"
     columns = ["masses", "tokens"] + ["structure"] * fgw
-    side = lambda df, key, tag: df.select(F.col("row_idx").alias(key), *(F.col(c).alias(f"{c}_{tag}") for c in columns))
-    rows = candidates.select("i", "j").join(side(reference, "j", "b"), "j").join(side(packed, "i", "a"), "i")
     kernel = _kernel(config)
 
-    def pad(masses: list, tokens: list) -> tuple[np.ndarray, np.ndarray]:
-        width, d = max(map(len, masses)), len(tokens[0]) // len(masses[0])
-        mass, token = np.zeros((len(masses), width)), np.zeros((len(masses), width, d))
-        for n, (w, t) in enumerate(zip(masses, tokens, strict=True)):
-            mass[n, : len(w)], token[n, : len(w)] = w, np.reshape(t, (len(w), d))
-        return mass, token
-
-    def square(values: list, masses: list, width: int) -> np.ndarray:
-        out = np.zeros((len(values), width, width))
-        for n, (v, w) in enumerate(zip(values, masses, strict=True)):
-            out[n, : len(w), : len(w)] = np.reshape(v, (len(w), len(w)))
-        return out
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def values(a: list[list], b: list[list]) -> np.ndarray:
+        (ma, ta), (mb, tb) = _padded(a[0], a[1]), _padded(b[0], b[1])
+        cost = kernels.cost_matrix(ta, tb)
+        if not fgw:
+            return kernels.sinkhorn_cost(cost, ma, mb, kernel["epsilon"], kernel["sweeps"])
+        sa, sb = _squares(a[2], a[0], ma.shape[1]), _squares(b[2], b[0], mb.shape[1])
+        return kernels.fgw_cost(cost, sa, sb, ma, mb, kernel["alpha"], kernel["epsilon"], kernel["sweeps"], kernel["rounds"])
+
+    def rows_of(i: list, j: list, cost: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"i": pa.array(i, pa.int64()), "j": pa.array(j, pa.int64()), "cost": cost})
+
+    numbers = reference.agg(F.sum(sum((F.size(c) for c in columns), F.lit(0)).cast("long"))).first()[0] or 0
+    if numbers > most_sent:
+        side = lambda df, key, tag: df.select(F.col("row_idx").alias(key), *(F.col(c).alias(f"{c}_{tag}") for c in columns))
+        rows = candidates.select("i", "j").join(side(reference, "j", "b"), "j").join(side(packed, "i", "a"), "i")
+
+        def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for start in range(0, batch.num_rows, 256):
+                    r = batch.slice(start, 256).to_pydict()
+                    yield rows_of(r["i"], r["j"], values(*([r[f"{c}_{tag}"] for c in columns] for tag in "ab")))
+
+        return rows.mapInArrow(pairs, "i long, j long, cost double")
+
+    table = reference.select("row_idx", *columns).collect()  # bounded by most_sent
+    sent = packed.sparkSession.sparkContext.broadcast({r.row_idx: tuple(np.array(r[c], float) for c in columns) for r in table})
+    wanted = candidates.groupBy("i").agg(F.sort_array(F.collect_list("j")).alias("js"))
+    rows = packed.select(F.col("row_idx").alias("i"), *columns).join(wanted, "i")
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = sent.value
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
-                r = batch.slice(start, 256).to_pydict()
-                (ma, ta), (mb, tb) = pad(r["masses_a"], r["tokens_a"]), pad(r["masses_b"], r["tokens_b"])
-                cost = kernels.cost_matrix(ta, tb)
-                if fgw:
-                    sa, sb = (square(r[f"structure_{t}"], r[f"masses_{t}"], m.shape[1]) for t, m in (("a", ma), ("b", mb)))
-                    value = kernels.fgw_cost(cost, sa, sb, ma, mb, kernel["alpha"], kernel["epsilon"], kernel["sweeps"], kernel["rounds"])
-                else:
-                    value = kernels.sinkhorn_cost(cost, ma, mb, kernel["epsilon"], kernel["sweeps"])
-                yield pa.RecordBatch.from_pydict({"i": pa.array(r["i"], pa.int64()), "j": pa.array(r["j"], pa.int64()), "cost": value})
-
-    return rows.mapInArrow(run, "i long, j long, cost double")
+                piece = batch.slice(start, 256)
+                i, js = piece.column("i").to_pylist(), piece.column("js").to_pylist()
+                own = [[v.values.to_numpy(zero_copy_only=False) for v in piece.column(c)] for c in columns]
+                all_pairs = [(n, j) for n, wanted_js in enumerate(js) for j in wanted_js if j in known]
+                for at in range(0, len(all_pairs), 256):
+                    some = all_pairs[at : at + 256]
+                    yield rows_of([i[n] for n, _ in some], [j for _, j in some], values([[c[n] for n, _ in some] for c in own], [[known[j][c] for _, j in some] for c in range(len(columns))]))
+
+    return rows.mapInArrow(cells, "i long, j long, cost double")
 
 
 def fit_by_landmarks(cells: DataFrame, vectors: DataFrame, config: NicheConfig, n_landmarks: int = 1000, candidates: int = 100, states: DataFrame | None = None) -> Run:

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from nichewright import cli
 from nichewright.config import NicheConfig
+from nichewright.operators import transport
 from nichewright.plans import runs
 from nichewright.sources import bundle
 from pyspark.sql import functions as F
@@ -47,6 +48,25 @@ def test_landmarks_and_rough_clusters_agree_with_the_kinds(spark):
         assert len(rows) == 32 and not a & b
 
 
+@pytest.mark.parametrize("changes", [{}, {"distance": "fgw", "fgw_rounds": 2, "structure": "knn_shortest_path"}])
+def test_candidate_costs_equal_all_pairs(spark, changes):
+    """However the reference travels, the costs are those that all pairs give; unknown ids give nothing."""
+    config = NicheConfig(**{**CONFIG.to_dict(), **changes})
+    packed = runs.local_measures(*cohort(spark), config)[0]
+    reference = packed.where("row_idx % 3 = 0")
+    fgw = config.distance == "fgw"
+    found = transport.pair_costs(packed, reference, "fgw" if fgw else "sinkhorn", config.epsilon, config.sweeps, config.fgw_alpha, config.fgw_rounds)
+    every = {(r.i, r.j): r.cost for r in found.collect()}
+    wanted = [(i, j) for i in range(32) for j in range(0, 32, 3) if (i + j) % 4] + [(5, 500), (500, 3), (4, 9), (4, 9)]
+    candidates = spark.createDataFrame(wanted, "i long, j long")
+    expected = sorted((i, j) for i, j in wanted if (i, j) in every)
+    for most in (0, 8_000_000):
+        got = runs.candidate_costs(packed, reference, candidates, config, most).collect()
+        assert sorted((r.i, r.j) for r in got) == expected
+        assert all(r.cost == pytest.approx(every[r.i, r.j], rel=1e-9, abs=1e-12) for r in got)
+        assert runs.candidate_costs(packed, reference.limit(0), candidates, config, most).collect() == []
+
+
 def test_bundle_round_trip_and_cache(spark, tmp_path):
     cells, vectors = cohort(spark)
     path = f"file://{tmp_path}/bundle"
