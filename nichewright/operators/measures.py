@@ -20,10 +20,14 @@ def kernel_weight(distance: Column, radius: float, kernel: str) -> Column:
 
 
 def state_labels(vectors: DataFrame, n_states: int, seed: int = 1337) -> DataFrame:
-    """(row_idx, state) by k-means of (row_idx, z), for caps by state; all 0 for one state or fewer rows than two."""
+    """(row_idx, state) by k-means of (row_idx, z), for caps by state; all 0 for one state or fewer rows than two.
+
+    Rows without a vector have no state and give no row.
+    """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
+    vectors = vectors.where(F.col("z").isNotNull())
     k = min(n_states, vectors.limit(n_states).count())
     if k < 2:
         return vectors.select("row_idx", F.lit(0).alias("state"))
@@ -37,14 +41,18 @@ def cap_neighbors(edges: DataFrame, radius: float, most: int, shells: int = 4, s
     Edges are (row_idx, neighbor, distance, weight[, state]).  Only rows with more edges are thinned.  Their strata are drawn by mass
     without replacement if there are more than ``most``, else all are taken; each taken stratum gives one edge by weight, and
     further ones are drawn by weight from all that are left.  A draw by weight is a race: the least -ln(u) / weight wins, with u
-    from a portable hash of (seed, row, neighbor), so the outcome doesn't depend on partitions or order.
+    from a portable hash of (seed, row, neighbor), so the outcome doesn't depend on partitions or order.  Further columns of any name
+    stay; a null state is 0; an empty table gives none.
     """
     if most < 1 or shells < 1:
         raise ValueError("most and shells must be positive")
     shell = F.floor(F.least(F.greatest(F.col("distance") / radius, F.lit(0.0)), F.lit(0.999999)) * shells)
     state = F.coalesce(F.col("state"), F.lit(0)) if by_state and "state" in edges.columns else F.lit(0)
     row = Window.partitionBy("row_idx")
-    drawn = edges.withColumns({"_n": F.count("*").over(row), "_stratum": shell * F.lit(100_000) + state, "_key": -F.ln(uniform(seed, F.col("row_idx"), F.col("neighbor"))) / F.greatest("weight", F.lit(1e-300))})
+    known = [c for c in edges.columns if c in ("row_idx", "neighbor", "distance", "weight", "state")]
+    others = [c for c in edges.columns if c not in known]
+    own = edges.select(*known, *([F.struct(*others).alias("_others")] if others else []))
+    drawn = own.withColumns({"_n": F.count("*").over(row), "_stratum": shell * F.lit(100_000) + state, "_key": -F.ln(uniform(seed, F.col("row_idx"), F.col("neighbor"))) / F.greatest("weight", F.lit(1e-300))})
     over = drawn.where(F.col("_n") > most)
     stratum = Window.partitionBy("row_idx", "_stratum")
     ranked = over.withColumns({"_mass": F.sum("weight").over(stratum), "_place": F.row_number().over(stratum.orderBy("_key", "neighbor"))})
@@ -52,7 +60,8 @@ def cap_neighbors(edges: DataFrame, radius: float, most: int, shells: int = 4, s
     strata = ranked.withColumn("_race", race).withColumn("_rank", F.dense_rank().over(row.orderBy("_race", "_stratum")))
     last = F.when((F.col("_place") == 1) & (F.col("_rank") <= most), F.lit(0)).otherwise(F.lit(1))
     kept = strata.withColumn("_class", last).withColumn("_pick", F.row_number().over(row.orderBy("_class", "_key", "neighbor"))).where(F.col("_pick") <= most)
-    return drawn.where(F.col("_n") <= most).select(*edges.columns).unionByName(kept.select(*edges.columns))
+    out = [c if c in known else F.col("_others").getField(c).alias(c) for c in edges.columns]
+    return drawn.where(F.col("_n") <= most).select(*out).unionByName(kept.select(*out))
 
 
 def assemble(cells: DataFrame, edges: DataFrame, include_anchor: bool = True, isolated: str = "anchor_fallback") -> DataFrame:

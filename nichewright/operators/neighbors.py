@@ -35,7 +35,7 @@ def radius_edges(cells: DataFrame, radius: float, same: str | None = None) -> Da
 
 
 def nearest_within(edges: DataFrame, most: int) -> DataFrame:
-    """The ``most`` nearest neighbors of each row, with their rank from 1; ties go by id."""
+    """The ``most`` nearest neighbors of each row, with their rank from 1, which replaces a column of that name; ties go by id."""
     order = Window.partitionBy("row_idx").orderBy("distance", "neighbor")
     return edges.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
 

@@ -64,16 +64,19 @@ def tile_layout(summary: DataFrame, order: str = "sample_id", columns: int | Non
     """The summary with layout_col, layout_row, shift_x and shift_y: samples stand on a grid, row by row, in the given order.
 
     There are as many columns as asked for, else the ceiling of the root of the number of samples; tiles are as wide and high as the
-    largest sample, 1 at least, plus the gap, which is 10 spans, at least 10,000, unless given.
+    largest sample, 1 at least, plus the gap, which is 10 spans, at least 10,000, unless given.  Further columns stay, whatever their
+    names; earlier ones of the four names are replaced.
     """
     whole = Window.partitionBy()
     n, at = F.count("*").over(whole), F.row_number().over(Window.orderBy(order)) - 1
     cols = F.lit(columns) if columns else F.ceil(F.sqrt(n))
     width, height = (F.max(F.col(f"max_{a}") - F.col(f"min_{a}")).over(whole) for a in "xy")
     between = F.lit(float(gap)) if gap is not None else F.greatest(F.lit(10000.0), F.lit(10.0) * F.greatest(width, height))
-    placed = summary.withColumns({"_at": at, "_cols": cols.cast("long"), "_tile_x": F.greatest(width, F.lit(1.0)) + between, "_tile_y": F.greatest(height, F.lit(1.0)) + between})
-    col, row = F.col("_at") % F.col("_cols"), F.floor(F.col("_at") / F.col("_cols"))
-    return placed.withColumns({"layout_col": col.cast("int"), "layout_row": row.cast("int"), "shift_x": col * F.col("_tile_x"), "shift_y": row * F.col("_tile_y")}).drop("_at", "_cols", "_tile_x", "_tile_y")
+    tile = F.struct(at.alias("at"), cols.cast("long").alias("cols"), (F.greatest(width, F.lit(1.0)) + between).alias("x"), (F.greatest(height, F.lit(1.0)) + between).alias("y"))
+    placed = summary.select(F.struct(*summary.columns).alias("own"), tile.alias("tile"))
+    col, row = F.col("tile.at") % F.col("tile.cols"), F.floor(F.col("tile.at") / F.col("tile.cols"))
+    made = {"layout_col": col.cast("int"), "layout_row": row.cast("int"), "shift_x": col * F.col("tile.x"), "shift_y": row * F.col("tile.y")}
+    return placed.select(*(F.col("own").getField(c).alias(c) for c in summary.columns if c not in made), *(c.alias(n) for n, c in made.items()))
 
 
 def translate(cells: DataFrame, layout: DataFrame) -> DataFrame:

@@ -214,8 +214,11 @@ def mirrored(costs: DataFrame) -> DataFrame:
 
 
 def squared_euclidean(vectors: DataFrame, block: int = 512) -> DataFrame:
-    """(i, j, cost) for i < j: squared distances of (row_idx, z), on the same block plan with supports of one token."""
-    single = vectors.select("row_idx", F.lit(1).alias("m"), F.array(F.lit(1.0)).alias("masses"), F.col("z").alias("tokens"))
+    """(i, j, cost) for i < j: squared distances of (row_idx, z), on the same block plan with supports of one token.
+
+    Rows without a vector take no part; fewer than two rows give none.
+    """
+    single = vectors.where(F.col("z").isNotNull()).select("row_idx", F.lit(1).alias("m"), F.array(F.lit(1.0)).alias("masses"), F.col("z").alias("tokens"))
     n = max(1, math.ceil(single.count() / block))
     rows = _blocks(single, n, False)
 
