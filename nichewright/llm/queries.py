@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nichewright.llm import licenses, mixing, url_filter
+from nichewright.llm import centroids, close_vectors, licenses, mixing, url_filter
 from nichewright.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,5 +72,17 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprinted(table(spark, sf_dir, "documents"), threshold=0.8, slots=64, width=5)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_files, op2_url_filter, op3_simhash, op4_pieces, op5_nearest, op6_licenses, op7_toxicity, op8_quality, op9_mixing, op10_minhash)}
-ORACLE_SQL: dict[str, str] = {"op2_url_filter": url_filter.oracle_sql(), "op6_licenses": licenses.oracle_sql(), "op9_mixing": mixing.oracle_sql()}
+def op11_exponion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    return centroids.exponion_clusters(table(spark, sf_dir, "embeddings"), F.col("embedding"), k=40, rounds=5, dimension=64, factor=256.0, salt="2:")
+
+
+def op12_close_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    return close_vectors.close_vectors(table(spark, sf_dir, "embeddings"), F.col("label"), F.col("embedding"), threshold=0.98)
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_files, op2_url_filter, op3_simhash, op4_pieces, op5_nearest, op6_licenses, op7_toxicity, op8_quality, op9_mixing, op10_minhash, op11_exponion, op12_close_vectors)}
+ORACLE_SQL: dict[str, str] = {"op2_url_filter": url_filter.oracle_sql(), "op6_licenses": licenses.oracle_sql(), "op9_mixing": mixing.oracle_sql(), "op11_exponion": centroids.oracle_sql(), "op12_close_vectors": close_vectors.oracle_sql()}
