@@ -34,3 +34,7 @@ def squared_distance(a: Column, b: Column) -> Column:
 
 def finite(column: Column) -> Column:
     return column.isNotNull() & ~F.isnan(column) & (F.abs(column) < float("inf"))
+
+
+def squared_distance_sql(a: str, b: str, dimension: int) -> str:
+    return "(" + " + ".join(f"({a}[{i}] - {b}[{i}]) * ({a}[{i}] - {b}[{i}])" for i in range(1, dimension + 1)) + ")"

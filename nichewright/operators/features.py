@@ -17,8 +17,22 @@ MOST_DIMENSIONS, MOST_NUMBERS = 4_096, 32_000_000
 
 def library_size_log1p(counts: DataFrame, target_sum: float = 1e4, row: str = "row_idx", value: str = "value") -> DataFrame:
     """Counts in long form with ``normalised`` = log1p(value * target / row sum); rows whose sum isn't positive keep the scale 1."""
-    total = F.sum(value).over(Window.partitionBy(row))
-    return counts.withColumn("normalised", F.log1p(F.col(value) * F.when(total > 0, F.lit(float(target_sum)) / total).otherwise(F.lit(1.0))))
+    return counts.withColumn("normalised", log_normalised(F.col(value), F.sum(value).over(Window.partitionBy(row)), target_sum))
+
+
+def log_normalised(value: Column, total: Column, target_sum: float = 1e4) -> Column:
+    """log1p of a count that is scaled as if its row summed to ``target_sum``; a total that isn't positive keeps the scale 1."""
+    return F.log1p(value * F.when(total > 0, F.lit(float(target_sum)) / total).otherwise(F.lit(1.0)))
+
+
+def sparse_column_stats(values: DataFrame, rows: int, column: str = "gene", value: str = "normalised") -> DataFrame:
+    """(column, mean, scale) of ``rows`` rows whose values are in long form, absent ones being zeros; scales as in ``column_stats``.
+
+    Columns without a value have no row; a column may have a value once in each row.
+    """
+    mean = F.sum(value) / F.lit(float(max(rows, 1)))
+    deviation = F.sqrt(F.greatest(F.sum(F.col(value) * F.col(value)) / F.lit(float(max(rows, 1))) - mean * mean, F.lit(0.0)))
+    return values.groupBy(column).agg(mean.alias("mean"), F.when((deviation <= 1e-8) | F.isnan(deviation), F.lit(1.0)).otherwise(deviation).alias("scale"))
 
 
 def column_stats(rows: DataFrame, vector: str = "z") -> DataFrame:
