@@ -23,15 +23,14 @@ def ids(spark, n):
     return spark.range(n).select(F.col("id").alias("row_idx"))
 
 
-def upper(rows):
-    full = np.zeros((len(rows) + 1,) * 2)
-    for i, row in enumerate(rows):
-        full[i, i + 1 :] = row
-    return full + full.T
+def apart(points):
+    """Euclidean distances of points, given as rows."""
+    x = np.array(points, float).reshape(len(points), -1)
+    return np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
 
 
 #: Distances of the points 0, 1, 7 and 9 on a line.
-LINE = np.abs(np.subtract.outer([0, 1, 7, 9], [0, 1, 7, 9])).astype(float)
+LINE = apart([0, 1, 7, 9])
 
 
 def test_radius_join_equals_brute_force(spark):
@@ -126,10 +125,11 @@ def test_packed_structures_equal_the_kernel(spark):
 
 
 def test_guards_and_estimates():
-    assert transport.pairwise_work(6, 3, 5) == {"pairs": 21, "elements": 189, "work": 945}
-    fgw = transport.pairwise_work(6, 3, 5, 2)
-    assert (fgw["structure_work"], fgw["sinkhorn_work"]) == (1134, 1890)
-    assert transport.cross_work(10, 20, 4, 5, 6)["work"] == 24000
+    # 8 rows make 36 pairs with themselves; each has 4 x 4 elements, 7 sweeps, and 3 rounds of 4 x 4 x 4 for the structures.
+    assert transport.pairwise_work(8, 4, 7) == {"pairs": 36, "elements": 36 * 16, "work": 36 * 16 * 7}
+    fgw = transport.pairwise_work(8, 4, 7, 3)
+    assert (fgw["structure_work"], fgw["sinkhorn_work"]) == (36 * 3 * 64, 36 * 16 * 7 * 3)
+    assert transport.cross_work(9, 11, 2, 3, 13)["work"] == 9 * 11 * 2 * 3 * 13
     with pytest.raises(ValueError, match="units of work"):
         transport.admit({"work": 11}, 10)
     with pytest.raises(ValueError, match="exact run"):
@@ -143,7 +143,7 @@ def test_guards_and_estimates():
 
 
 def test_integer_lists():
-    assert parse_int_list("5:8") == (5, 6, 7, 8) and parse_int_list("8-5") == (8, 7, 6, 5) and parse_int_list("5:7,10") == (5, 6, 7, 10)
+    assert parse_int_list("2:4") == (2, 3, 4) and parse_int_list("12-9") == (12, 11, 10, 9) and parse_int_list("3,11:12") == (3, 11, 12) and parse_int_list("7") == (7,)
 
 
 def test_clusters_of_points_on_a_line(spark):
@@ -170,13 +170,13 @@ def test_linkage_equals_the_naive_one():
         assert {frozenset(np.flatnonzero(got == c).tolist()) for c in range(k)} == naive_linkage(d, k)
 
 
-def test_selection_finds_two_of_six(spark):
-    m = np.full((6, 6), 5.0) + 0.1 * np.random.default_rng(0).random((6, 6))
-    m[:3, :3] = m[3:, 3:] = 0.1
-    m = (m + m.T) / 2
-    table, labels = clustering.select_model(relation(spark, m), ids(spark, 6), (2, 3))
-    of = {r.row_idx: r.niche for r in labels.collect()}
-    assert table.where("best").first()["k"] == 2 and of[0] == of[1] == of[2] != of[3] == of[4] == of[5]
+def test_selection_finds_the_three_groups(spark):
+    """Twelve points in three tight groups far from each other; four candidates."""
+    rng = np.random.default_rng(11)
+    points = np.concatenate([centre + rng.normal(size=(4, 2)) for centre in ([0, 0], [90, 0], [30, 70])])
+    table, labels = clustering.select_model(relation(spark, apart(points)), ids(spark, 12), (2, 3, 4, 6))
+    of = [r.niche for r in labels.orderBy("row_idx").collect()]
+    assert table.where("best").first()["k"] == 3 and of == [0] * 4 + [1] * 4 + [2] * 4
     with pytest.raises(ValueError, match="candidate"):
         clustering.candidate_counts((1, 9), 6)
 
@@ -200,10 +200,11 @@ def test_kmedoids_and_farthest_first_by_brute_force(spark):
 
 
 def test_singletons_score_nothing(spark):
-    distance = relation(spark, upper([[0.1, 5], [5.1]]))
-    labels = spark.createDataFrame([(0, 0), (1, 0), (2, 1)], "row_idx long, niche int")
+    """On a line: rows 0 and 1 are 2 apart, rows 2 and 3 follow at 13 and 15, and row 4 stands alone at 40."""
+    distance = relation(spark, apart([0, 2, 13, 15, 40]))
+    labels = spark.createDataFrame([(0, 0), (1, 0), (2, 1), (3, 1), (4, 2)], "row_idx long, niche int")
     score = {r.row_idx: r.score for r in metrics.assignment_score(distance, labels).collect()}
-    assert score[2] == 0 and score[0] > 0.9
+    assert score == pytest.approx({0: (14 - 2) / 14, 1: (12 - 2) / 12, 2: (12 - 2) / 12, 3: (14 - 2) / 14, 4: 0.0})
     one = labels.withColumn("niche", F.lit(0))
     assert {r.score for r in metrics.assignment_score(distance, one).collect()} == {1.0}
     with pytest.raises(ValueError, match="metric"):
@@ -212,8 +213,11 @@ def test_singletons_score_nothing(spark):
 
 
 def test_knn_graph_is_sparse_and_symmetric(spark):
-    graph = {(r.i, r.j): r.cost for r in graphs.knn_distance_graph(relation(spark, upper([[1, 5, 6], [2, 7], [3]])), 1).collect()}
-    assert graph == {(0, 1): 1, (1, 0): 1, (1, 2): 2, (2, 1): 2, (2, 3): 3, (3, 2): 3}
+    """The nearest of (0, 0) and (3, 0) are each other, that of (3, 4) is (3, 0), and the last two are a pair of their own."""
+    distance = relation(spark, apart([(0, 0), (3, 0), (3, 4), (10, 4), (10, 5)]))
+    graph = {(r.i, r.j): r.cost for r in graphs.knn_distance_graph(distance, 1).collect()}
+    half = {(0, 1): 3, (1, 2): 4, (3, 4): 1}
+    assert graph == half | {(j, i): d for (i, j), d in half.items()}
 
 
 def test_communities_of_two_cliques():
