@@ -164,7 +164,9 @@ def pass_links(different: DataFrame, threshold: float, passes: int, window: int,
 
 def link_counts(grouped: DataFrame, threshold: float, block: int) -> DataFrame:
     """(cid, links): the weight of all other members of its group that each member (component, cid, weight, v) links with."""
-    sizes = grouped.groupBy("component").count().where(F.col("count") > block).select("component", F.ceil(F.col("count") / block).alias("n"))
+    # A group of m members has sqrt(m) / 8 blocks, so that larger groups have both more and larger ones, up to ``block`` members.
+    blocks = F.ceil(F.greatest(F.sqrt("count") / 8, F.col("count") / block))
+    sizes = grouped.groupBy("component").count().where(blocks > 1).select("component", blocks.alias("n"))
     sized = grouped.join(few(materialise(sizes, "group-sizes")), "component", "left").withColumn("n", F.coalesce("n", F.lit(1)))
     own = F.pmod(F.xxhash64("cid"), "n")
     pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda o: F.struct(F.least(own, o).alias("i"), F.greatest(own, o).alias("j")))
@@ -203,7 +205,7 @@ def close_vectors(vectors: DataFrame, label: Column, vector: Column, threshold:
     edges = pass_links(different, threshold, passes or passes_for(n, window, threshold), window, block, seed) if n else different.select(F.col("cid").alias("a"), F.col("cid").alias("b"))
     groups = materialise(connected_components(edges), "close-groups").select(F.col("node").alias("cid"), "component")
     grouped = materialise(groups.join(different.select("cid", "weight", "v"), "cid"), "close-grouped")
-    counted = groups.join(link_counts(grouped, threshold, min(block, 2048)), "cid", "left").join(different.select("cid", *keys, "first", "weight"), "cid")
+    counted = groups.join(link_counts(grouped, threshold, 4 * block), "cid", "left").join(different.select("cid", *keys, "first", "weight"), "cid")
     counted = materialise(counted.select("component", *keys, "first", "weight", F.coalesce("links", F.lit(0)).alias("links")), "close-counted")
     least = counted.groupBy("component").agg(F.min("first").alias("component_id"))
     of_copies = F.col("links") + F.col("weight") - 1

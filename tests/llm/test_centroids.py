@@ -87,7 +87,7 @@ def test_the_ball_leaves_most_centroids_out():
         own, upper, lower = search.assign(x, own, upper, lower)
         d = C.squared(x, centre)
         assert (own == d.argmin(1)).all()
-        assert (upper**2 * (1 + 1e-6) + 1e-6 >= d.min(1)).all() and (lower**2 <= np.partition(d, 1, 1)[:, 1] * (1 + 1e-6) + 1e-6).all()
+        assert (upper**2 * (1 + 1e-6) + 1e-6 >= d.min(1)).all() and (np.maximum(lower, 0) ** 2 <= np.partition(d, 1, 1)[:, 1] * (1 + 1e-6) + 1e-6).all()
         before, centre = centre, np.stack([x[own == c].sum(0) // max(1, (own == c).sum()) if (own == c).any() else centre[c] for c in range(64)])
         scans.append(search.scanned)
     assert max(scans[1:]) < 0.3 * len(x) * 64
