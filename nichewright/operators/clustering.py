@@ -1,18 +1,23 @@
 """Clustering of a precomputed distance relation: average linkage, k-medoids, graph communities, and model selection.
 
-k-medoids runs as joins and aggregates whatever the size.  Average linkage and the community search need the whole relation in one
-place; they check its size first and refuse what is over the exact-run limit.
+All run as rounds of joins and aggregates whose tables are written to the shared folder, whatever the size: nothing holds the relation in one
+place.  What is left when a few dozen clusters or a few hundred communities remain is finished on the driver.
+
+Cases: a relation holds no nulls; equal distances go by the smaller ids; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nichewright.operators import metrics
+from nichewright.operators.components import connected_components
 from nichewright.operators.graphs import knn_affinity
-from nichewright.plans.storage import materialise
+from nichewright.plans.storage import few, materialise
 
 
 def candidate_counts(values, n: int) -> tuple[int, ...]:
@@ -23,22 +28,62 @@ def candidate_counts(values, n: int) -> tuple[int, ...]:
     return found
 
 
-def dense(distance: DataFrame, ids: DataFrame, most: int = 5000) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, symmetric matrix) of the upper triangle (i, j, cost); raises ValueError for more than ``most`` rows."""
-    rows = np.sort(ids.select("row_idx").limit(most + 1).toPandas()["row_idx"].to_numpy())
-    if len(rows) > most:
-        raise ValueError(f"over {most} rows can't be held as one matrix; use landmarks")
-    table = distance.where("i < j").toArrow()
-    out = np.zeros((len(rows), len(rows)))
-    i, j = (np.searchsorted(rows, table[c].to_numpy()) for c in ("i", "j"))
-    out[i, j] = out[j, i] = table["cost"].to_numpy()
-    return rows, out
+def average_merges(distance: DataFrame, ids: DataFrame, tail: int = 64) -> DataFrame:
+    """(turn, a, b, height): the merges of average linkage over (i, j, cost), i < j; clusters are named by their first member.
+
+    Rounds of reciprocal neighbors: every cluster finds its nearest by (cost, ids), all pairs that are each other's nearest merge at once,
+    and sums of distances are added up by the merged names, which gives the average distance exactly.  Average linkage is reducible: no
+    merge brings a third cluster nearer than the nearer of the two, so that the pairs of a round are merges of the one dendrogram,
+    in whatever order they are found.  The closest pair of all is always among them.  Once ``tail`` clusters are left, their table is
+    finished on the driver.  A pair that is missing from the relation raises ValueError.
+    """
+    spark = distance.sparkSession
+    sums = materialise(distance.where("i < j").select(F.col("i").alias("a"), F.col("j").alias("b"), F.col("cost").alias("total")), "linkage")
+    live = materialise(ids.select(F.col("row_idx").alias("c"), F.lit(1.0).alias("size"), F.lit(0.0).alias("height")), "linkage")
+    left, merges, turn = live.count(), [], 0
+    if sums.count() != left * (left - 1) // 2:
+        raise ValueError(f"the relation hasn't one distance for each pair of {left} rows")
+    while left > tail:
+        known = few(live)
+        side = lambda c, known=known: known.select(F.col("c").alias(c), F.col("size").alias(f"s{c}"))
+        near = sums.join(side("a"), "a").join(side("b"), "b").select(F.struct((F.col("total") / (F.col("sa") * F.col("sb"))).alias("cost"), "a", "b").alias("pair"))
+        nearest = near.select("pair", F.explode(F.array("pair.a", "pair.b")).alias("c")).groupBy("c").agg(F.min("pair").alias("pair"))
+        both = materialise(nearest.groupBy("pair").count().where("count = 2").select("pair.*"), "linkage")
+        named = live.join(both.select(F.col("b").alias("c"), "a"), "c", "left").select("c", F.coalesce("a", "c").alias("to"), "size", "height")
+        named = materialise(named, "linkage")
+        at = both.select(F.col("a").alias("to"), "b", "cost")
+        grown = named.join(at, "to", "left").groupBy("to").agg(F.sum("size").alias("size"), F.greatest(F.max("height"), F.coalesce(F.max("cost"), F.lit(0.0))).alias("height"), F.max("b").alias("b"))
+        grown = materialise(grown, "linkage")
+        merges.append(grown.where("b IS NOT NULL").select(F.lit(turn).alias("turn"), F.col("to").alias("a"), "b", "height"))
+        live, names = grown.select(F.col("to").alias("c"), "size", "height"), few(named)
+        of = lambda c, t, names=names: names.select(F.col("c").alias(c), F.col("to").alias(t))
+        moved = sums.join(of("a", "x"), "a").join(of("b", "y"), "b").where("x <> y")
+        sums = materialise(moved.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.sum("total").alias("total")), "linkage")
+        left, turn = left - both.count(), turn + 1
+    last = spark.createDataFrame(_finish(live.collect(), sums.collect(), turn), "turn int, a long, b long, height double")  # at most ``tail`` clusters
+    return reduce(DataFrame.unionByName, merges, last)
+
+
+def _finish(live: list, sums: list, turn: int) -> list[tuple[int, int, int, float]]:
+    """The merges of a few clusters (c, size, height) with the sums (a, b, total) of the distances between them."""
+    names = sorted(r.c for r in live)
+    at = {c: n for n, c in enumerate(names)}
+    size, height = np.array([r.size for r in sorted(live, key=lambda r: r.c)]), {r.c: r.height for r in live}
+    matrix = np.zeros((len(names), len(names)))
+    for r in sums:
+        i, j = at[r.a], at[r.b]
+        matrix[i, j] = matrix[j, i] = r.total / (size[i] * size[j])
+    out = []
+    for a, b, h in linkage(matrix, size):
+        height[names[a]] = max(h, height[names[a]], height[names[b]])
+        out.append((turn + len(out), names[a], names[b], height[names[a]]))
+    return out
 
 
-def linkage(matrix: np.ndarray) -> list[tuple[int, int, float]]:
-    """Average-linkage merges (a, b, height), by chains of nearest neighbors; clusters are named by their first member."""
+def linkage(matrix: np.ndarray, sizes: np.ndarray | None = None) -> list[tuple[int, int, float]]:
+    """Average-linkage merges (a, b, height) of a small matrix, by chains of nearest neighbors; clusters are named by their first member."""
     n = len(matrix)
-    d, size, live = matrix.astype(float).copy(), np.ones(n), np.ones(n, bool)
+    d, size, live = matrix.astype(float).copy(), np.ones(n) if sizes is None else np.array(sizes, float), np.ones(n, bool)
     np.fill_diagonal(d, np.inf)
     merges, chain = [], []
     while live.sum() > 1:
@@ -63,29 +108,40 @@ def linkage(matrix: np.ndarray) -> list[tuple[int, int, float]]:
     return merges
 
 
-def cut(merges: list[tuple[int, int, float]], n: int, k: int) -> np.ndarray:
-    """Labels 0 to k - 1, numbered by each cluster's first member, after the n - k lowest merges."""
-    root = np.arange(n)
+def _find(root: dict, x):
+    while root[x] != x:
+        root[x] = root[root[x]]
+        x = root[x]
+    return x
 
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
 
-    for a, b, _ in sorted(merges, key=lambda m: m[2])[: n - k]:
-        a, b = find(a), find(b)
-        root[max(a, b)] = min(a, b)
-    tops = np.array([find(x) for x in range(n)])
-    return np.unique(tops, return_inverse=True)[1]
+def cut(merges: DataFrame, ids: DataFrame, ks: tuple[int, ...]) -> DataFrame:
+    """(k, row_idx, niche) of a dendrogram (turn, a, b, height) for every k, numbered from 0 by each cluster's first member.
 
-
-def agglomerate(distance: DataFrame, ids: DataFrame, ks: tuple[int, ...], most: int = 5000) -> DataFrame:
-    """(k, row_idx, niche) for every k, from one dendrogram."""
-    rows, matrix = dense(distance, ids, most)
-    merges = linkage(matrix)
-    table = [(k, int(r), int(c)) for k in ks for r, c in zip(rows, cut(merges, len(rows), k), strict=True)]
-    return distance.sparkSession.createDataFrame(table, "k int, row_idx long, niche int")
+    The lowest merges, down to the largest k, are united as a graph; the ones above them, fewer than the largest k, on the driver.
+    """
+    spark, most = ids.sparkSession, max(ks)
+    merges = materialise(merges, "merges")
+    high = merges.orderBy(F.desc("height"), F.desc("turn"), F.desc("a")).limit(most - 1)
+    high = sorted(high.collect(), key=lambda r: (r.height, r.turn, r.a))  # fewer than the largest k
+    low = merges.join(F.broadcast(spark.createDataFrame([(r.b,) for r in high], "b long")), "b", "left_anti")  # a cluster is merged away once
+    found = connected_components(low.select("a", "b"))
+    placed = materialise(ids.select("row_idx").join(found, F.col("row_idx") == found.node, "left").select("row_idx", F.coalesce("component", "row_idx").alias("c")), "cut")
+    names = [r.c for r in placed.select("c").distinct().collect()]  # as many as the largest k
+    table = []
+    for k in ks:
+        root = {c: c for c in names}
+        for r in high[: max(0, len(names) - k)]:
+            a, b = _find(root, r.a), _find(root, r.b)
+            root[max(a, b)] = min(a, b)
+        number = {c: n for n, c in enumerate(sorted({_find(root, c) for c in names}))}
+        table += [(int(k), c, number[_find(root, c)]) for c in names]
+    return placed.join(F.broadcast(spark.createDataFrame(table, "k int, c long, niche int")), "c").select("k", "row_idx", "niche")
+
+
+def agglomerate(distance: DataFrame, ids: DataFrame, ks: tuple[int, ...], tail: int = 64) -> DataFrame:
+    """(k, row_idx, niche) for every k, from one dendrogram of average linkage."""
+    return cut(average_merges(distance, ids, tail), ids, ks)
 
 
 def farthest_first(distance: DataFrame, ids: DataFrame, k: int) -> list[int]:
@@ -128,15 +184,16 @@ def kmedoids(distance: DataFrame, ids: DataFrame, k: int, most_rounds: int = 50)
     return labels, chosen
 
 
-def communities(affinity: np.ndarray, resolution: float = 1.0, seed: int = 1337, most_passes: int = 50) -> np.ndarray:
-    """Labels of a weighted graph by local moving, refinement into connected parts, and aggregation, for the modularity.
+def communities(affinity: np.ndarray, resolution: float = 1.0, seed: int = 1337, most_passes: int = 50, loops: bool = False) -> np.ndarray:
+    """Labels of a small weighted graph by local moving, refinement into connected parts, and aggregation, for the modularity.
 
-    Labels are numbered by first member, and each community is connected.
+    Labels are numbered by first member, and each community is connected.  The diagonal counts only with ``loops``.
     """
     rng = np.random.default_rng(seed)
     n = len(affinity)
     graph, member = affinity.astype(float).copy(), np.arange(n)
-    np.fill_diagonal(graph, 0)
+    if not loops:
+        np.fill_diagonal(graph, 0)
     total = graph.sum()
     if total <= 0:
         return np.arange(n)
@@ -185,29 +242,119 @@ def _connected(graph: np.ndarray, of: np.ndarray) -> np.ndarray:
     return out
 
 
-def community_labels(distance: DataFrame, ids: DataFrame, k: int = 15, scaling: str = "local", resolution: float = 1.0, seed: int = 1337, most: int = 5000) -> DataFrame:
+def _moved(graph: DataFrame, labels: DataFrame, total: float, resolution: float, seed: int, turns: int, patience: int = 4) -> DataFrame:
+    """(v, c): the labelling of best modularity on the way from ``labels`` (v, c, degree), by moves of nodes to neighbors' communities.
+
+    In each turn a half of the nodes, drawn anew by a keyed hash, moves at once to where each gains most, so that two neighbors seldom
+    swap places for ever.  ``graph`` is (a, b, w) in both directions without loops.  The turns end when no node wants to move, or when
+    the modularity hasn't risen for ``patience`` turns.
+    """
+    best, best_at, most = labels.select("v", "c"), 0, -float("inf")
+    for turn in range(turns):
+        volume = labels.groupBy("c").agg(F.sum("degree").alias("volume"))
+        links = graph.join(labels.select(F.col("v").alias("b"), F.col("c").alias("to")), "b").groupBy("a", "to").agg(F.sum("w").alias("links"))
+        own = labels.join(volume, "c").withColumnRenamed("volume", "own_volume")
+        there = links.join(volume.select(F.col("c").alias("to"), "volume"), "to").join(own, F.col("a") == F.col("v"))
+        loss = F.lit(resolution) * F.col("degree") / F.lit(total)
+        stays = F.col("to") == F.col("c")
+        gain = F.col("links") - loss * (F.col("volume") - F.when(stays, F.col("degree")).otherwise(F.lit(0.0)))
+        seen = there.groupBy("v").agg(F.max(F.struct(gain.alias("gain"), (-F.col("to")).alias("to"))).alias("best"), F.max(F.when(stays, gain)).alias("here"), F.coalesce(F.max(F.when(stays, F.col("links"))), F.lit(0.0)).alias("inner"))
+        alone = -loss * (F.col("own_volume") - F.col("degree"))
+        wants = F.coalesce(F.col("best.gain") > F.coalesce("here", alone) + 1e-12, F.lit(False))
+        free = F.pmod(F.xxhash64("v", F.lit(seed), F.lit(turn)), F.lit(2)) == 0
+        chosen = own.join(seen, "v", "left").select("v", "c", "degree", "own_volume", F.coalesce("inner", F.lit(0.0)).alias("inner"), wants.alias("wants"), F.when(wants & free, -F.col("best.to")).otherwise(F.col("c")).alias("next"))
+        chosen = materialise(chosen, "moves")
+        # The modularity of the labels before this turn's moves: a node's share of its community's volume times that volume.
+        row = chosen.agg((F.sum("inner") / total - resolution * F.sum(F.col("degree") * F.col("own_volume")) / (total * total)).alias("q"), F.count_if("wants").alias("n")).first()
+        if row.q > most + 1e-12:
+            best, best_at, most = chosen.select("v", "c"), turn, row.q
+        if not row.n or turn - best_at >= patience:
+            break
+        labels = chosen.select("v", F.col("next").alias("c"), "degree")
+    return best
+
+
+def _parts(graph: DataFrame, labels: DataFrame) -> DataFrame:
+    """(v, part): the communities (v, c) split into their connected parts, named by their least node."""
+    of = lambda n, c: labels.select(F.col("v").alias(n), F.col("c").alias(c))
+    inner = graph.where("a < b").join(of("a", "ca"), "a").join(of("b", "cb"), "b").where("ca = cb").select("a", "b")
+    found = connected_components(inner)
+    return materialise(labels.join(found, labels.v == found.node, "left").select("v", F.coalesce("component", "v").alias("part")), "parts")
+
+
+def community_edges(edges: DataFrame, ids: DataFrame, resolution: float = 1.0, seed: int = 1337, turns: int = 40, tail: int = 256) -> DataFrame:
+    """(row_idx, niche) of a weighted graph (i, j, affinity), both directions, for the modularity; each community is connected.
+
+    Levels of local moving (``_moved``), refinement into connected parts, and aggregation of parts to nodes, until nothing merges.
+    A graph of at most ``tail`` nodes is finished on the driver.  Then rows move once more from where their community left them.
+    Niches are numbered by first member; rows without an edge stand alone.
+    """
+    spark = edges.sparkSession
+    base = materialise(edges.where("i <> j").select(F.col("i").alias("a"), F.col("j").alias("b"), F.col("affinity").alias("w")), "graph")
+    degree = base.groupBy(F.col("a").alias("v")).agg(F.sum("w").alias("degree"))
+    rows = ids.select(F.col("row_idx").alias("v"))
+    nodes = start = materialise(rows.join(degree, "v", "left").select("v", F.coalesce("degree", F.lit(0.0)).alias("degree")), "nodes")
+    total = nodes.agg(F.sum("degree").alias("t")).first()["t"] or 0.0
+    if total <= 0:
+        return _numbered(rows.select("v", F.col("v").alias("part")))
+    graph, member, left, levels = base, rows.select("v", F.col("v").alias("at")), nodes.count(), 0
+    while left > tail:
+        parts = _parts(graph, _moved(graph, nodes.withColumn("c", F.col("v")), total, resolution, seed + levels, turns))
+        fewer = parts.select("part").distinct().count()
+        if fewer == left:
+            break
+        member = materialise(member.join(parts.withColumnRenamed("v", "at"), "at").select("v", F.col("part").alias("at")), "members")
+        to = lambda n, p, parts=parts: parts.select(F.col("v").alias(n), F.col("part").alias(p))
+        graph = materialise(graph.join(to("a", "x"), "a").join(to("b", "y"), "b").where("x <> y").groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(F.sum("w").alias("w")), "graph")
+        nodes = materialise(nodes.join(parts, "v").groupBy(F.col("part").alias("v")).agg(F.sum("degree").alias("degree")), "nodes")
+        left, levels = fewer, levels + 1
+    if left <= tail:
+        held = nodes.orderBy("v").collect()  # at most ``tail`` nodes
+        place = {r.v: n for n, r in enumerate(held)}
+        matrix = np.zeros((left, left))
+        for r in graph.collect():
+            matrix[place[r.a], place[r.b]] = r.w
+        np.fill_diagonal(matrix, [r.degree for r in held] - matrix.sum(1))
+        ends = spark.createDataFrame([(r.v, int(c)) for r, c in zip(held, communities(matrix, resolution, seed, loops=True), strict=True)], "at long, c long")
+        member = member.join(F.broadcast(ends), "at").select("v", F.col("c").alias("at"))
+    if levels:
+        first = materialise(member.join(start, "v").select("v", F.col("at").alias("c"), "degree"), "members")
+        member = _moved(base, first, total, resolution, seed + levels, turns).select("v", F.col("c").alias("at"))
+    return _numbered(_parts(base, member.select("v", F.col("at").alias("c"))))
+
+
+def _numbered(parts: DataFrame) -> DataFrame:
+    """(row_idx, niche) of (v, part): numbers from 0 by the parts' names; a row for each part, not each node, is numbered in one task."""
+    numbers = parts.select("part").distinct().select("part", (F.row_number().over(Window.orderBy("part")) - 1).alias("niche"))
+    return parts.join(numbers, "part").select(F.col("v").alias("row_idx"), "niche")
+
+
+def modularity(edges: DataFrame, labels: DataFrame, resolution: float = 1.0) -> DataFrame:
+    """One row (modularity) of (row_idx, niche) on a weighted graph (i, j, affinity) in both directions."""
+    of = lambda c: labels.select(F.col("row_idx").alias(c), F.col("niche").alias(f"l{c}"))
+    by_niche = edges.where("i <> j").join(of("i"), "i").join(of("j"), "j").groupBy("li").agg(F.sum(F.when(F.col("li") == F.col("lj"), F.col("affinity")).otherwise(F.lit(0.0))).alias("inner"), F.sum("affinity").alias("volume"))
+    total = F.sum("volume")
+    return by_niche.agg((F.sum("inner") / total - resolution * F.sum(F.col("volume") * F.col("volume")) / (total * total)).alias("modularity"))
+
+
+def community_labels(distance: DataFrame, ids: DataFrame, k: int = 15, scaling: str = "local", resolution: float = 1.0, seed: int = 1337) -> DataFrame:
     """(row_idx, niche) from the kNN affinity graph; ``distance`` holds both directions."""
-    return communities_by_resolution(distance, ids, (resolution,), k, scaling, seed, most).drop("resolution")
+    return communities_by_resolution(distance, ids, (resolution,), k, scaling, seed).drop("resolution")
 
 
-def communities_by_resolution(distance: DataFrame, ids: DataFrame, resolutions: tuple[float, ...], k: int = 30, scaling: str = "local", seed: int = 1337, most: int = 5000) -> DataFrame:
+def communities_by_resolution(distance: DataFrame, ids: DataFrame, resolutions: tuple[float, ...], k: int = 30, scaling: str = "local", seed: int = 1337) -> DataFrame:
     """(resolution, row_idx, niche) for every resolution, from one graph; an empty table gives an empty result."""
-    rows = np.sort(ids.select("row_idx").limit(most + 1).toPandas()["row_idx"].to_numpy())
-    if len(rows) > most:
-        raise ValueError(f"over {most} rows can't be held as one graph; use landmarks")
-    edges = knn_affinity(distance, k, scaling, len(rows)).toArrow()
-    graph = np.zeros((len(rows), len(rows)))
-    graph[np.searchsorted(rows, edges["i"].to_numpy()), np.searchsorted(rows, edges["j"].to_numpy())] = edges["affinity"].to_numpy()
-    table = [(float(res), int(r), int(c)) for res in resolutions for r, c in zip(rows, communities(graph, res, seed), strict=True)]
-    return distance.sparkSession.createDataFrame(table, "resolution double, row_idx long, niche int")
+    edges = materialise(knn_affinity(distance, k, scaling, ids.count()), "affinity")
+    made = [community_edges(edges, ids, float(r), seed).select(F.lit(float(r)).alias("resolution"), "row_idx", "niche") for r in resolutions]
+    return reduce(DataFrame.unionByName, made)
 
 
-def select_resolution(distance: DataFrame, ids: DataFrame, resolutions: tuple[float, ...], k: int = 30, scaling: str = "local", names: tuple[str, ...] = metrics.METRICS[:4], seed: int = 1337, most: int = 5000) -> tuple[DataFrame, DataFrame]:
+def select_resolution(distance: DataFrame, ids: DataFrame, resolutions: tuple[float, ...], k: int = 30, scaling: str = "local", names: tuple[str, ...] = metrics.METRICS[:4], seed: int = 1337) -> tuple[DataFrame, DataFrame]:
     """((resolution, metrics, ranks, best), (row_idx, niche) of the best) over the positive, distinct resolutions, ties to the smaller."""
     tried = tuple(sorted({float(r) for r in resolutions if r > 0}))
     if not tried:
         raise ValueError("no candidate resolution is positive")
-    return _best(distance, communities_by_resolution(distance, ids, tried, k, scaling, seed, most), metrics.metric_names(names), "resolution")
+    return _best(distance, communities_by_resolution(distance, ids, tried, k, scaling, seed), metrics.metric_names(names), "resolution")
 
 
 def _best(distance: DataFrame, fits: DataFrame, names: tuple[str, ...], tie: str) -> tuple[DataFrame, DataFrame]:
@@ -218,11 +365,11 @@ def _best(distance: DataFrame, fits: DataFrame, names: tuple[str, ...], tie: str
     return table, fits.where(F.col(tie) == best).select("row_idx", "niche")
 
 
-def select_model(distance: DataFrame, ids: DataFrame, candidates: tuple[int, ...], method: str = "agglomerative", names: tuple[str, ...] = metrics.METRICS[:4], most: int = 5000) -> tuple[DataFrame, DataFrame]:
+def select_model(distance: DataFrame, ids: DataFrame, candidates: tuple[int, ...], method: str = "agglomerative", names: tuple[str, ...] = metrics.METRICS[:4]) -> tuple[DataFrame, DataFrame]:
     """((k, metrics, ranks, best), (row_idx, niche) of the best): all candidates are scored in one job."""
     ks, names = candidate_counts(candidates, ids.count()), metrics.metric_names(names)
     if method == "agglomerative":
-        fits = agglomerate(distance, ids, ks, most)
+        fits = agglomerate(distance, ids, ks)
     elif method == "kmedoids":
         parts = [kmedoids(distance, ids, k)[0].select(F.lit(k).alias("k"), "row_idx", "niche") for k in ks]
         fits = parts[0]

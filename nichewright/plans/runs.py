@@ -82,12 +82,12 @@ def cluster(distance: DataFrame, ids: DataFrame, config: NicheConfig) -> tuple[D
     both = materialise(transport.mirrored(distance), "distance")
     method, names = canonical(config.method, METHODS, "method"), config.model_selection_metrics
     if method == "leiden" and not config.candidate_resolutions:
-        return clustering.community_labels(both, ids, config.knn, config.affinity, config.leiden_resolution, config.seed, config.max_exact_cells), None
+        return clustering.community_labels(both, ids, config.knn, config.affinity, config.leiden_resolution, config.seed), None
     if method == "leiden":
-        table, labels = clustering.select_resolution(both, ids, config.candidate_resolutions, config.knn, config.affinity, names, config.seed, config.max_exact_cells)
+        table, labels = clustering.select_resolution(both, ids, config.candidate_resolutions, config.knn, config.affinity, names, config.seed)
     else:
         candidates = (config.n_clusters,) if config.n_clusters else config.candidates
-        table, labels = clustering.select_model(both, ids, candidates, method, names, config.max_exact_cells)
+        table, labels = clustering.select_model(both, ids, candidates, method, names)
     return labels, table
 
 

@@ -161,13 +161,75 @@ def naive_linkage(matrix, k):
     return {frozenset(g) for g in groups}
 
 
-def test_linkage_equals_the_naive_one():
+@pytest.mark.parametrize("tail", [2, 12, 64])
+def test_linkage_equals_the_naive_one(spark, tail):
+    """Whether merges are found in rounds or on the driver; ids needn't be dense."""
     x = np.random.default_rng(2).normal(size=(30, 3))
-    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
-    merges = clustering.linkage(d)
-    for k in (2, 5, 11):
-        got = clustering.cut(merges, 30, k)
-        assert {frozenset(np.flatnonzero(got == c).tolist()) for c in range(k)} == naive_linkage(d, k)
+    d = apart(x)
+    name = lambda c: (F.col(c) * 7 + 3).alias(c)
+    distance, rows = relation(spark, d).select(name("i"), name("j"), "cost"), ids(spark, 30).select(name("row_idx"))
+    found = clustering.agglomerate(distance, rows, (2, 5, 11, 29), tail).collect()
+    for k in (2, 5, 11, 29):
+        of = {(r.row_idx - 3) // 7: r.niche for r in found if r.k == k}
+        assert {frozenset(i for i in of if of[i] == c) for c in range(k)} == naive_linkage(d, k)
+        assert list(dict.fromkeys(of[i] for i in range(30))) == list(range(k))
+
+
+def test_linkage_of_ties_and_of_lacking_pairs(spark):
+    """On a grid all nearest distances are equal; rounds must still end, with as many niches as asked for."""
+    d = apart([(i // 6, i % 6) for i in range(36)])
+    found = clustering.agglomerate(relation(spark, d), ids(spark, 36), (3, 9), tail=4).collect()
+    assert [len({r.niche for r in found if r.k == k}) for k in (3, 9)] == [3, 9] and len(found) == 72
+    of = {k: {r.row_idx: r.niche for r in found if r.k == k} for k in (3, 9)}
+    assert len({(of[3][i], of[9][i]) for i in range(36)}) == 9  # one dendrogram: the nine lie within the three
+    with pytest.raises(ValueError, match="one distance"):
+        clustering.agglomerate(relation(spark, d).where("i > 0"), ids(spark, 36), (3,))
+
+
+def ring_of_groups(rng, groups, size):
+    """A graph of dense groups that are joined in a ring by weak edges, and the groups."""
+    n = groups * size
+    a = np.zeros((n, n))
+    for g in range(groups):
+        own = slice(g * size, g * size + size)
+        a[own, own] = rng.random((size, size)) < 0.6
+    a = np.maximum(a, a.T) * 1.0
+    for g in range(groups):
+        i, j = g * size, (g * size + size + 1) % n
+        a[i, j] = a[j, i] = 0.2
+    np.fill_diagonal(a, 0)
+    return a
+
+
+def modularity_of(a, labels):
+    same = labels[:, None] == labels[None]
+    volume = a.sum(1)
+    return float((a * same).sum() / a.sum() - sum(volume[labels == c].sum() ** 2 for c in set(labels.tolist())) / a.sum() ** 2)
+
+
+def connected(a, members):
+    seen, stack = {members[0]}, [members[0]]
+    while stack:
+        for j in np.flatnonzero(a[stack.pop()]):
+            if j in set(members) - seen:
+                seen.add(int(j))
+                stack.append(int(j))
+    return len(seen) == len(members)
+
+
+@pytest.mark.parametrize("tail", [0, 10, 256])
+def test_communities_on_edges_are_as_good_as_on_a_matrix(spark, tail):
+    rng = np.random.default_rng(9)
+    a = ring_of_groups(rng, 8, 9)
+    edges = spark.createDataFrame([(int(i), int(j), float(a[i, j])) for i, j in zip(*np.nonzero(a), strict=True)], "i long, j long, affinity double")
+    rows = clustering.community_edges(edges, ids(spark, 74), tail=tail)
+    of = np.array([r.niche for r in rows.orderBy("row_idx").collect()])
+    assert len(of) == 74 and of[72] != of[73] and (of == of[72]).sum() == 1  # rows without an edge stand alone
+    labels = of[:72]
+    assert modularity_of(a, labels) >= 0.99 * modularity_of(a, clustering.communities(a))
+    assert all(connected(a, np.flatnonzero(labels == c).tolist()) for c in set(labels.tolist()))
+    assert clustering.modularity(edges, rows).first()["modularity"] == pytest.approx(modularity_of(a, labels))
+    assert list(dict.fromkeys(of.tolist())) == list(range(of.max() + 1))
 
 
 def test_selection_finds_the_three_groups(spark):
