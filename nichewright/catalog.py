@@ -664,7 +664,30 @@ def kmedoids(spark, d):
     return clustering.kmedoids(_distance(spark, d), labels(spark, d), 6)[0]
 
 
-@query()
+def _linkage_sql(ks: tuple[int, ...]) -> list[str]:
+    """CTEs: the merges ``low`` (turn, a, b, height) of average linkage by reciprocal neighbors, and ``fits`` (k, row_idx, niche).
+
+    ``w`` has, turn by turn, the pairs (kind 0) of clusters with the sum ``v`` of their distances, sizes and heights, and the merges (kind 1).
+    """
+    step = """WITH p AS (SELECT * FROM w WHERE kind = 0), t AS (SELECT max(turn) AS turn FROM p),
+  e AS (SELECT a, b, v / (sa * sb) AS cost, sa + sb AS s, ha, hb FROM p),
+  m AS (SELECT a, b, s, greatest(cost, ha, hb) AS h FROM (SELECT *, row_number() OVER (PARTITION BY c ORDER BY cost, a, b) AS place FROM (SELECT a AS c, * FROM e UNION ALL SELECT b AS c, * FROM e)) WHERE place = 1 GROUP BY ALL HAVING COUNT(*) = 2),
+  n AS (SELECT a AS c, a AS name, s, h FROM m UNION ALL SELECT b, a, s, h FROM m),
+  g AS (SELECT COALESCE(x.name, a) AS x, COALESCE(y.name, b) AS y, v, COALESCE(x.s, sa) AS sx, COALESCE(y.s, sb) AS sy, COALESCE(x.h, ha) AS hx, COALESCE(y.h, hb) AS hy FROM p LEFT JOIN n x ON x.c = a LEFT JOIN n y ON y.c = b),
+  f AS (SELECT CASE WHEN x < y THEN (x, y, sx, sy, hx, hy) ELSE (y, x, sy, sx, hy, hx) END AS q, v FROM g WHERE x <> y)
+  SELECT turn + 1, 0, q[1], q[2], SUM(v), max(q[3]), max(q[4]), max(q[5]), max(q[6]) FROM f, t GROUP BY turn, q[1], q[2]
+  UNION ALL SELECT turn, 1, a, b, h, s, s, h, h FROM m, t"""
+    fits = " UNION ALL ".join(f"SELECT {k} AS k, row_idx, CAST(dense_rank() OVER (ORDER BY c) - 1 AS INTEGER) AS niche FROM (SELECT row_idx, arg_max(c, depth) AS c FROM up{k} GROUP BY row_idx)" for k in ks)
+    ups = [f"up{k}(row_idx, c, depth) AS (SELECT row_idx, row_idx, 0 FROM zs UNION ALL SELECT row_idx, a, depth + 1 FROM up{k} JOIN low ON b = c WHERE place <= (SELECT COUNT(*) FROM zs) - {k})" for k in ks]
+    return [
+        f"w(turn, kind, a, b, v, sa, sb, ha, hb) AS (SELECT 0, 0, i, j, cost, 1.0::DOUBLE, 1.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE FROM dist WHERE i < j UNION ALL ({step}))",
+        "low AS MATERIALIZED (SELECT a, b, row_number() OVER (ORDER BY v, turn, a) AS place FROM w WHERE kind = 1)",
+        *ups,
+        f"fits AS MATERIALIZED ({fits})",
+    ]
+
+
+@query(with_views("dist", *_linkage_sql((6, 10))) + "SELECT k, row_idx, niche FROM fits")
 def agglomerative_labels(spark, d):
     return clustering.agglomerate(transport.squared_euclidean(vectors(spark, d)), labels(spark, d), (6, 10))
 

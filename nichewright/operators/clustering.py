@@ -17,7 +17,11 @@ from pyspark.sql import functions as F
 from nichewright.operators import metrics
 from nichewright.operators.components import connected_components
 from nichewright.operators.graphs import knn_affinity
-from nichewright.plans.storage import few, materialise
+from nichewright.plans.storage import materialise
+
+
+#: Names of clusters or nodes that are broadcast; for more of them joins shuffle.
+MOST_NAMES = 500_000
 
 
 def candidate_counts(values, n: int) -> tuple[int, ...]:
@@ -38,45 +42,44 @@ def average_merges(distance: DataFrame, ids: DataFrame, tail: int = 64) -> DataF
     finished on the driver.  A pair that is missing from the relation raises ValueError.
     """
     spark = distance.sparkSession
-    sums = materialise(distance.where("i < j").select(F.col("i").alias("a"), F.col("j").alias("b"), F.col("cost").alias("total")), "linkage")
-    live = materialise(ids.select(F.col("row_idx").alias("c"), F.lit(1.0).alias("size"), F.lit(0.0).alias("height")), "linkage")
-    left, merges, turn = live.count(), [], 0
+    one, zero = F.lit(1.0), F.lit(0.0)
+    made = distance.where("i < j").select(F.col("i").alias("a"), F.col("j").alias("b"), F.col("cost").alias("total"), *(one.alias(c) for c in ("sa", "sb")), *(zero.alias(c) for c in ("ha", "hb")))
+    sums, left, merges, turn = materialise(made, "linkage"), ids.count(), [], 0
     if sums.count() != left * (left - 1) // 2:
         raise ValueError(f"the relation hasn't one distance for each pair of {left} rows")
     while left > tail:
-        known = few(live)
-        side = lambda c, known=known: known.select(F.col("c").alias(c), F.col("size").alias(f"s{c}"))
-        near = sums.join(side("a"), "a").join(side("b"), "b").select(F.struct((F.col("total") / (F.col("sa") * F.col("sb"))).alias("cost"), "a", "b").alias("pair"))
-        nearest = near.select("pair", F.explode(F.array("pair.a", "pair.b")).alias("c")).groupBy("c").agg(F.min("pair").alias("pair"))
-        both = materialise(nearest.groupBy("pair").count().where("count = 2").select("pair.*"), "linkage")
-        named = live.join(both.select(F.col("b").alias("c"), "a"), "c", "left").select("c", F.coalesce("a", "c").alias("to"), "size", "height")
-        named = materialise(named, "linkage")
-        at = both.select(F.col("a").alias("to"), "b", "cost")
-        grown = named.join(at, "to", "left").groupBy("to").agg(F.sum("size").alias("size"), F.greatest(F.max("height"), F.coalesce(F.max("cost"), F.lit(0.0))).alias("height"), F.max("b").alias("b"))
-        grown = materialise(grown, "linkage")
-        merges.append(grown.where("b IS NOT NULL").select(F.lit(turn).alias("turn"), F.col("to").alias("a"), "b", "height"))
-        live, names = grown.select(F.col("to").alias("c"), "size", "height"), few(named)
-        of = lambda c, t, names=names: names.select(F.col("c").alias(c), F.col("to").alias(t))
-        moved = sums.join(of("a", "x"), "a").join(of("b", "y"), "b").where("x <> y")
-        sums = materialise(moved.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.sum("total").alias("total")), "linkage")
+        pair = F.struct((F.col("total") / (F.col("sa") * F.col("sb"))).alias("cost"), "a", "b", "sa", "sb", "ha", "hb")
+        nearest = sums.select(pair.alias("pair"), F.explode(F.array("a", "b")).alias("c")).groupBy("c").agg(F.min("pair").alias("pair"))
+        both = nearest.groupBy("pair").count().where("count = 2").select("pair.a", "pair.b", (F.col("pair.sa") + F.col("pair.sb")).alias("size"), F.greatest("pair.cost", "pair.ha", "pair.hb").alias("height"))
+        both = materialise(both, "linkage")
+        merges.append(both.select(F.lit(turn).alias("turn"), "a", "b", "height"))
+        # Each end of a pair gets the name, size and height of the cluster that it is now in; a broadcast has a row for each merged cluster.
+        found = both.select(F.explode(F.array("a", "b")).alias("c"), F.struct(F.col("a").alias("name"), "size", "height").alias("now"))
+        found = F.broadcast(found) if left <= MOST_NAMES else found
+        at = lambda c, found=found: found.select(F.col("c").alias(c), F.col("now").alias(f"n{c}"))
+        end = lambda c: F.coalesce(F.col(f"n{c}"), F.struct(F.col(c).alias("name"), F.col(f"s{c}").alias("size"), F.col(f"h{c}").alias("height")))
+        moved = sums.join(at("a"), "a", "left").join(at("b"), "b", "left").select(end("a").alias("x"), end("b").alias("y"), "total").where("x.name <> y.name")
+        moved = moved.groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.sum("total").alias("total"))
+        sums = materialise(moved.select(F.col("x.name").alias("a"), F.col("y.name").alias("b"), "total", F.col("x.size").alias("sa"), F.col("y.size").alias("sb"), F.col("x.height").alias("ha"), F.col("y.height").alias("hb")), "linkage")
         left, turn = left - both.count(), turn + 1
-    last = spark.createDataFrame(_finish(live.collect(), sums.collect(), turn), "turn int, a long, b long, height double")  # at most ``tail`` clusters
+    last = spark.createDataFrame(_finish(sums.collect(), turn), "turn int, a long, b long, height double")  # at most ``tail`` clusters
     return reduce(DataFrame.unionByName, merges, last)
 
 
-def _finish(live: list, sums: list, turn: int) -> list[tuple[int, int, int, float]]:
-    """The merges of a few clusters (c, size, height) with the sums (a, b, total) of the distances between them."""
-    names = sorted(r.c for r in live)
+def _finish(sums: list, turn: int) -> list[tuple[int, int, int, float]]:
+    """The merges of a few clusters with the sums ``total`` of the distances between them, their sizes and heights."""
+    size = {r.a: r.sa for r in sums} | {r.b: r.sb for r in sums}
+    height = {r.a: r.ha for r in sums} | {r.b: r.hb for r in sums}
+    names = sorted(size)
     at = {c: n for n, c in enumerate(names)}
-    size, height = np.array([r.size for r in sorted(live, key=lambda r: r.c)]), {r.c: r.height for r in live}
     matrix = np.zeros((len(names), len(names)))
     for r in sums:
-        i, j = at[r.a], at[r.b]
-        matrix[i, j] = matrix[j, i] = r.total / (size[i] * size[j])
+        matrix[at[r.a], at[r.b]] = matrix[at[r.b], at[r.a]] = r.total / (r.sa * r.sb)
     out = []
-    for a, b, h in linkage(matrix, size):
-        height[names[a]] = max(h, height[names[a]], height[names[b]])
-        out.append((turn + len(out), names[a], names[b], height[names[a]]))
+    for i, j, h in linkage(matrix, np.array([size[c] for c in names])):
+        a, b = names[i], names[j]
+        height[a] = max(h, height[a], height[b])
+        out.append((turn + len(out), a, b, height[a]))
     return out
 
 
@@ -125,8 +128,7 @@ def cut(merges: DataFrame, ids: DataFrame, ks: tuple[int, ...]) -> DataFrame:
     high = merges.orderBy(F.desc("height"), F.desc("turn"), F.desc("a")).limit(most - 1)
     high = sorted(high.collect(), key=lambda r: (r.height, r.turn, r.a))  # fewer than the largest k
     low = merges.join(F.broadcast(spark.createDataFrame([(r.b,) for r in high], "b long")), "b", "left_anti")  # a cluster is merged away once
-    found = connected_components(low.select("a", "b"))
-    placed = materialise(ids.select("row_idx").join(found, F.col("row_idx") == found.node, "left").select("row_idx", F.coalesce("component", "row_idx").alias("c")), "cut")
+    placed = materialise(ids.select("row_idx").join(_tops(low), F.col("row_idx") == F.col("b"), "left").select("row_idx", F.coalesce("top", "row_idx").alias("c")), "cut")
     names = [r.c for r in placed.select("c").distinct().collect()]  # as many as the largest k
     table = []
     for k in ks:
@@ -139,6 +141,17 @@ def cut(merges: DataFrame, ids: DataFrame, ks: tuple[int, ...]) -> DataFrame:
     return placed.join(F.broadcast(spark.createDataFrame(table, "k int, c long, niche int")), "c").select("k", "row_idx", "niche")
 
 
+def _tops(merges: DataFrame) -> DataFrame:
+    """(b, top): where each cluster that was merged away ends up.  Every round follows twice as many merges as the one before."""
+    up = materialise(merges.select("b", F.col("a").alias("top")), "tops")
+    while True:
+        further = up.select(F.col("b").alias("top"), F.col("top").alias("next"))
+        found = materialise(up.join(further, "top", "left").select("b", F.coalesce("next", "top").alias("top"), F.col("next").isNotNull().alias("went")), "tops")
+        up = found.select("b", "top")
+        if found.where("went").isEmpty():
+            return up
+
+
 def agglomerate(distance: DataFrame, ids: DataFrame, ks: tuple[int, ...], tail: int = 64) -> DataFrame:
     """(k, row_idx, niche) for every k, from one dendrogram of average linkage."""
     return cut(average_merges(distance, ids, tail), ids, ks)
@@ -242,33 +255,37 @@ def _connected(graph: np.ndarray, of: np.ndarray) -> np.ndarray:
     return out
 
 
-def _moved(graph: DataFrame, labels: DataFrame, total: float, resolution: float, seed: int, turns: int, patience: int = 4) -> DataFrame:
+def _moved(graph: DataFrame, labels: DataFrame, nodes: int, total: float, resolution: float, seed: int, turns: int, patience: int = 3, least: float = 1e-3) -> DataFrame:
     """(v, c): the labelling of best modularity on the way from ``labels`` (v, c, degree), by moves of nodes to neighbors' communities.
 
     In each turn a half of the nodes, drawn anew by a keyed hash, moves at once to where each gains most, so that two neighbors seldom
     swap places for ever.  ``graph`` is (a, b, w) in both directions without loops.  The turns end when no node wants to move, or when
-    the modularity hasn't risen for ``patience`` turns.
+    the modularity hasn't risen by ``least`` for ``patience`` turns.
     """
-    best, best_at, most = labels.select("v", "c"), 0, -float("inf")
+    small = F.broadcast if nodes <= MOST_NAMES else lambda df: df
+    best, most, mark, mark_at = labels.select("v", "c"), -float("inf"), -float("inf"), 0
     for turn in range(turns):
         volume = labels.groupBy("c").agg(F.sum("degree").alias("volume"))
-        links = graph.join(labels.select(F.col("v").alias("b"), F.col("c").alias("to")), "b").groupBy("a", "to").agg(F.sum("w").alias("links"))
-        own = labels.join(volume, "c").withColumnRenamed("volume", "own_volume")
-        there = links.join(volume.select(F.col("c").alias("to"), "volume"), "to").join(own, F.col("a") == F.col("v"))
+        own = labels.join(small(volume.withColumnRenamed("volume", "own_volume")), "c")
+        there = graph.join(small(labels.select(F.col("v").alias("b"), F.col("c").alias("to"))), "b").select("a", "to", "w")
+        # All edges of a node in one partition, so that its sums and its choice need no other shuffle.
+        there = there.repartition("a").groupBy("a", "to").agg(F.sum("w").alias("links")).join(small(volume.withColumnRenamed("c", "to")), "to").join(small(own), F.col("a") == F.col("v"))
         loss = F.lit(resolution) * F.col("degree") / F.lit(total)
         stays = F.col("to") == F.col("c")
         gain = F.col("links") - loss * (F.col("volume") - F.when(stays, F.col("degree")).otherwise(F.lit(0.0)))
-        seen = there.groupBy("v").agg(F.max(F.struct(gain.alias("gain"), (-F.col("to")).alias("to"))).alias("best"), F.max(F.when(stays, gain)).alias("here"), F.coalesce(F.max(F.when(stays, F.col("links"))), F.lit(0.0)).alias("inner"))
+        seen = there.groupBy("a").agg(F.max(F.struct(gain.alias("gain"), (-F.col("to")).alias("to"))).alias("best"), F.max(F.when(stays, gain)).alias("here"), F.max(F.when(stays, F.col("links"))).alias("inner"))
         alone = -loss * (F.col("own_volume") - F.col("degree"))
         wants = F.coalesce(F.col("best.gain") > F.coalesce("here", alone) + 1e-12, F.lit(False))
         free = F.pmod(F.xxhash64("v", F.lit(seed), F.lit(turn)), F.lit(2)) == 0
-        chosen = own.join(seen, "v", "left").select("v", "c", "degree", "own_volume", F.coalesce("inner", F.lit(0.0)).alias("inner"), wants.alias("wants"), F.when(wants & free, -F.col("best.to")).otherwise(F.col("c")).alias("next"))
+        chosen = own.join(seen, own.v == seen.a, "left").select("v", "c", "degree", "own_volume", F.coalesce("inner", F.lit(0.0)).alias("inner"), wants.alias("wants"), F.when(wants & free, -F.col("best.to")).otherwise(F.col("c")).alias("next"))
         chosen = materialise(chosen, "moves")
         # The modularity of the labels before this turn's moves: a node's share of its community's volume times that volume.
         row = chosen.agg((F.sum("inner") / total - resolution * F.sum(F.col("degree") * F.col("own_volume")) / (total * total)).alias("q"), F.count_if("wants").alias("n")).first()
-        if row.q > most + 1e-12:
-            best, best_at, most = chosen.select("v", "c"), turn, row.q
-        if not row.n or turn - best_at >= patience:
+        if row.q > most:
+            best, most = chosen.select("v", "c"), row.q
+        if row.q >= mark + least:
+            mark, mark_at = row.q, turn
+        if not row.n or turn - mark_at >= patience:
             break
         labels = chosen.select("v", F.col("next").alias("c"), "degree")
     return best
@@ -298,8 +315,9 @@ def community_edges(edges: DataFrame, ids: DataFrame, resolution: float = 1.0, s
     if total <= 0:
         return _numbered(rows.select("v", F.col("v").alias("part")))
     graph, member, left, levels = base, rows.select("v", F.col("v").alias("at")), nodes.count(), 0
+    n = left
     while left > tail:
-        parts = _parts(graph, _moved(graph, nodes.withColumn("c", F.col("v")), total, resolution, seed + levels, turns))
+        parts = _parts(graph, _moved(graph, nodes.withColumn("c", F.col("v")), left, total, resolution, seed + levels, turns))
         fewer = parts.select("part").distinct().count()
         if fewer == left:
             break
@@ -319,7 +337,7 @@ def community_edges(edges: DataFrame, ids: DataFrame, resolution: float = 1.0, s
         member = member.join(F.broadcast(ends), "at").select("v", F.col("c").alias("at"))
     if levels:
         first = materialise(member.join(start, "v").select("v", F.col("at").alias("c"), "degree"), "members")
-        member = _moved(base, first, total, resolution, seed + levels, turns).select("v", F.col("c").alias("at"))
+        member = _moved(base, first, n, total, resolution, seed + levels, turns).select("v", F.col("c").alias("at"))
     return _numbered(_parts(base, member.select("v", F.col("at").alias("c"))))
 
 

@@ -8,7 +8,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def work_dir(spark: SparkSession, label: str) -> str:
@@ -34,11 +33,6 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def few(rows: DataFrame, most: int = 500_000) -> DataFrame:
-    """``rows``, a written table of narrow columns, marked for a broadcast if it has at most ``most`` rows; else joins shuffle it."""
-    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
-
-
 def release(spark: SparkSession) -> None:
     """Has the driver drop what nothing refers to any more, so that the files of shuffles whose result is written are deleted."""
     gc.collect()
