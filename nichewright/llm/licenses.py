@@ -3,8 +3,9 @@
 Every rolling run of ``k`` words of a text is hashed and joined to the positions at which license templates have the same run.  A
 match of text word i with template word j votes for the diagonal i - j; neighbouring diagonals, which inserted or dropped words
 lead to, are merged; a merged diagonal is verified by the share of its template's words that it covers, word for word.  Of
-verified spans that overlap in the text only those of the largest share, then of the most words, stand, so that a license isn't taken for one whose wording
-it shares but for a word.
+verified spans that overlap in the text the one of the larger share, then of the more words, stands, so that a license isn't taken for
+one whose wording it shares but for a word.  This is decided from the largest share downwards, and only spans that stand beat others;
+equal ones both stand.
 
 Scale: the join with the template runs goes in two halves.  The set of their hashes, 912 for the templates here, drops the
 runs that no template has inside the array of words, and only the others become rows that meet the table of positions.  (Making a
@@ -64,10 +65,24 @@ def license_spans(hits: DataFrame, known: DataFrame, k: int, gap: int, least_cov
     spans = merged.groupBy("row", "template", "label", "length", "band").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"), *ends)
     covered = F.size(F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p, p + (k - 1))))))
     verified = spans.select("row", "label", "first", "last", covered.alias("covered"), (covered / F.col("length")).alias("cover")).where(F.col("cover") >= least_cover)
-    of_row = verified.groupBy("row").agg(F.collect_list(F.struct("label", "first", "last", "cover", "covered")).alias("spans"))
-    excels = lambda y, x: (y["cover"] > x["cover"]) | ((y["cover"] == x["cover"]) & (y["covered"] > x["covered"]))
-    beaten = lambda x: F.exists("spans", lambda y: (y["first"] <= x["last"]) & (x["first"] <= y["last"]) & excels(y, x))
-    return of_row.select("row", F.inline(F.filter("spans", lambda x: ~beaten(x))))
+    return standing(verified)
+
+
+def standing(verified: DataFrame) -> DataFrame:
+    """The rows (row, label, first, last, covered, cover) that no better span which itself stands overlaps.
+
+    Spans that don't overlap, not even through others, fall into runs of their own, so that a text with very many licenses is
+    decided run by run.
+    """
+    before = Window.partitionBy("row").orderBy("first", "last", "label").rowsBetween(Window.unboundedPreceding, -1)
+    placed = verified.withColumn("new", (F.col("first") > F.coalesce(F.max("last").over(before), F.lit(-1))).cast("int"))
+    placed = placed.withColumn("run", F.sum("new").over(Window.partitionBy("row").orderBy("first", "last", "label").rowsBetween(Window.unboundedPreceding, 0)))
+    span = F.struct((-F.col("cover")).alias("by_cover"), (-F.col("covered")).alias("by_words"), "first", "last", "label", "cover", "covered")
+    runs = placed.groupBy("row", "run").agg(F.array_sort(F.collect_list(span)).alias("spans"))
+    better = lambda y, x: (y["cover"] > x["cover"]) | ((y["cover"] == x["cover"]) & (y["covered"] > x["covered"]))
+    beats = lambda y, x: (y["first"] <= x["last"]) & (x["first"] <= y["last"]) & better(y, x)
+    kept = F.aggregate("spans", F.slice("spans", 1, 0), lambda stand, x: F.when(F.exists(stand, lambda y: beats(y, x)), stand).otherwise(F.concat(stand, F.array(x))))
+    return runs.select("row", F.inline(kept)).select("row", "label", "first", "last", "cover", "covered")
 
 
 def scan_licenses(documents: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, phrases: dict[str, str] = PHRASES, k: int = 3, gap: int = 2, least_cover: float = 0.7) -> DataFrame:
@@ -140,7 +155,8 @@ covered AS (SELECT doc_id, v.template, label, length, band, v.diagonal, unnest(r
 spans AS (SELECT doc_id, label, COUNT(DISTINCT word) / CAST(MAX(length) AS DOUBLE) AS cover, COUNT(DISTINCT word) AS n, MIN(diagonal + word) AS first, MAX(diagonal + word) AS last
           FROM covered GROUP BY doc_id, template, label, band),
 enough AS (SELECT doc_id, label, cover, n, first, last FROM spans WHERE cover >= {least_cover}),
-verified AS (SELECT doc_id, label, cover FROM enough x WHERE NOT EXISTS (SELECT 1 FROM enough y WHERE y.doc_id = x.doc_id AND y.first <= x.last AND x.first <= y.last AND (y.cover > x.cover OR y.cover = x.cover AND y.n > x.n))),
+ordered AS (SELECT doc_id, list([{{'label': label, 'cover': cover, 'n': n, 'first': first, 'last': last}}] ORDER BY cover DESC, n DESC, first, last, label) AS spans FROM enough GROUP BY doc_id),
+verified AS (SELECT doc_id, x.label AS label, x.cover AS cover FROM (SELECT doc_id, unnest(list_reduce(spans, lambda stand, x: CASE WHEN len(list_filter(stand, lambda y: y.first <= x[1].last AND x[1].first <= y.last AND (y.cover > x[1].cover OR y.cover = x[1].cover AND y.n > x[1].n))) > 0 THEN stand ELSE list_concat(stand, x) END)) AS x FROM ordered)),
 per_base AS (SELECT doc_id, COUNT(*) AS n_base, MIN(pos) AS first_word, MAX(pos) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM base GROUP BY doc_id),
 per_all AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM base UNION ALL SELECT doc_id, label FROM verified) GROUP BY doc_id),
 per_span AS (SELECT doc_id, MAX(cover) AS cover FROM verified GROUP BY doc_id)

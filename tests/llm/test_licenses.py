@@ -29,7 +29,10 @@ def brute(text, k=3, gap=2, least=0.7):
                 band = []
             last = diagonal
             band.append((diagonal, j))
-    stand = [x for x in spans if not any(y[1] <= x[2] and x[1] <= y[2] and y[3:] > x[3:] for y in spans)]
+    stand = []
+    for x in sorted(spans, key=lambda x: x[3:], reverse=True):
+        if not any(y[1] <= x[2] and x[1] <= y[2] and y[3:] > x[3:] for y in stand):
+            stand.append(x)
     labels, best = {b for _, b in base} | {x[0] for x in stand}, max((x[3] for x in stand), default=0.0)
     at = [i for i, _ in base]
     return len(words), len(base), min(at, default=None), max(at, default=None), ",".join(sorted({b for _, b in base})), ",".join(sorted(labels)), 1.0 if base else best
@@ -76,5 +79,36 @@ def test_equals_its_sql(spark):
     assert sorted(map(repr, map(tuple, scan_licenses(spark.createDataFrame(rows_of(), SCHEMA)).select(*names).collect()))) == sorted(map(repr, want))
 
 
+def test_a_beaten_span_beats_no_other(spark):
+    """The text is the whole of a and c; b, of which a word lacks, overlaps both, loses to a and so mustn't hide the smaller c."""
+    a, b, c = "a1 a2 a3 a4 a5 a6 a7 a8 a9", "a7 a8 a9 x1 x2 x3 x4 x5 x6 lacks c1 c2 c3", "c1 c2 c3 c4 gone1 gone2 c5"
+    text = "a1 a2 a3 a4 a5 a6 a7 a8 a9 x1 x2 x3 x4 x5 x6 c1 c2 c3 c4 c5"
+    of = lambda *templates: scan_licenses(spark.createDataFrame([(1, text)], "doc_id long, text string"), templates, least_cover=0.5).first()["labels"]
+    assert of(("a", a), ("c", c)) == "a,c" and of(("b", b), ("c", c)) == "b"
+    assert of(("a", a), ("b", b), ("c", c)) == "a,c"
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents AS SELECT 1 AS doc_id, ? AS text", [text])
+    sql = licenses.oracle_sql((("a", a), ("b", b), ("c", c)), least_cover=0.5)
+    assert con.execute(f"SELECT labels FROM ({sql})").fetchone() == ("a,c",)
+
+
+def test_standing_spans_equal_brute_force(spark):
+    rng = random.Random(12)
+    rows = []
+    for row in range(40):
+        for n in range(rng.randrange(1, 25)):
+            first = rng.randrange(60)
+            rows.append((row, f"l{n:02d}", first, first + rng.randrange(12), rng.randrange(3, 6), rng.choice([0.7, 0.8, 0.9, 1.0])))
+    want = set()
+    for row in range(40):
+        stand = []
+        for x in sorted((r for r in rows if r[0] == row), key=lambda r: (-r[5], -r[4])):
+            if not any(y[2] <= x[3] and x[2] <= y[3] and (y[5], y[4]) > (x[5], x[4]) for y in stand):
+                stand.append(x)
+        want |= {x[:2] for x in stand}
+    spans = spark.createDataFrame(rows, "row long, label string, first int, last int, covered int, cover double")
+    assert {(r.row, r.label) for r in licenses.standing(spans).collect()} == want and len(want) < len(rows)
+
+
 def test_empty(spark):
     assert scan_licenses(spark.createDataFrame([], SCHEMA)).count() == 0
