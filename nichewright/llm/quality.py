@@ -7,7 +7,8 @@ the scores of all documents that may be learned from: the one that splits off as
 Fitting uses at most ``most_each`` documents of either label, picked by a keyed hash; the quantile is taken over all of them from a
 histogram of fixed size; scoring reads every text whole, in one pass without a shuffle.
 
-Cases: a null or empty text has features 0; rows that share an id are scored each on its own; without both labels every score
+Cases: a null or empty text has features 0; rows that share an id are scored each on its own, and fitting takes one of
+them; without both labels every score
 is 0.5; an empty table gives an empty result; other columns pass through unread.
 """
 

@@ -23,10 +23,13 @@ def words(raw: bytes) -> list[bytes]:
 
 
 class HashedWords:
-    """The distinct hashed words of a text as feature indices; the hashes of recent words are kept."""
+    """The distinct hashed words of a text as feature indices; the hashes of recent words are kept.
 
-    def __init__(self, bits: int = 18, most: int = 100_000):
-        self.mask, self.most, self.cache = (1 << bits) - 1, most, {}
+    ``most_kept`` bounds what one text gives, to the least indices, where features are collected to fit a model.
+    """
+
+    def __init__(self, bits: int = 18, most: int = 100_000, most_kept: int | None = None):
+        self.mask, self.most, self.most_kept, self.cache = (1 << bits) - 1, most, most_kept, {}
 
     def __call__(self, raw: bytes) -> np.ndarray:
         found = set(words(raw))
@@ -35,7 +38,7 @@ class HashedWords:
         cache = self.cache
         for w in found.difference(cache):
             cache[w] = zlib.crc32(w) & self.mask
-        return np.unique(np.fromiter(map(cache.__getitem__, found), np.int32, len(found)))
+        return np.unique(np.fromiter(map(cache.__getitem__, found), np.int32, len(found)))[: self.most_kept]
 
 
 #: Names of the numeric features of ``shape``, in order.
@@ -121,9 +124,11 @@ def draw_edge(rows: int, size: int) -> int:
 def collect_features(documents: DataFrame, ids: DataFrame, featurise, value_type: pa.DataType) -> list[tuple[int, int, np.ndarray]]:
     """(doc_id, group, features) for the bounded ``ids`` (doc_id, group), computed where the texts are.
 
-    Only features reach the driver.  Rows that share an id give one sample each.
+    Only features reach the driver, those of one row an id: of rows that share it, the text with the least hash.
     """
-    wanted = documents.select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("raw")).join(F.broadcast(ids), "doc_id")
+    raw = documents.select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("raw"))
+    one = F.min(F.struct(F.xxhash64("raw").alias("draw"), "raw"))["raw"]  # combined before the shuffle, however often an id recurs
+    wanted = raw.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "group").agg(one.alias("raw"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = featurise()

@@ -9,11 +9,12 @@ where a mini-step that would drive the second term below zero is undone instead
 gain by pushing unlabelled text below its own share of positives.  The prior is estimated from positives and unlabelled text, and
 is at most the share of toxic labels among those that may be learned from.
 
-Fitting uses at most ``positives`` and ``unlabelled`` documents, picked by a keyed hash of their ids; scoring reads every text
-whole, in one pass without a shuffle, and the model that is sent out has a fixed size.
+Fitting uses at most ``positives`` and ``unlabelled`` documents, picked by a keyed hash of their ids, and at most ``most_words``
+different words of each; scoring reads every text whole, in one pass without a shuffle, and the model that is sent out has a fixed
+size.
 
 Cases: a null or empty text has no words and gets the score of the bias alone; rows that share an id are scored each on its
-own; without a positive label every score is 0; an empty table gives an empty result; other columns pass through unread.
+own, and fitting takes one of them; without a positive label every score is 0; an empty table gives an empty result; other columns pass through unread.
 """
 
 from __future__ import annotations
@@ -117,7 +118,7 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
     return float((((above(u) + 1) / (len(u) + 1)) / (above(p) / len(p))).min())
 
 
-def train(documents: DataFrame, labels: DataFrame, positives: int = 4000, unlabelled: int = 10000, features: int = 1024) -> WordModel:
+def train(documents: DataFrame, labels: DataFrame, positives: int = 4000, unlabelled: int = 10000, features: int = 1024, most_words: int = 20_000) -> WordModel:
     """Fits on the labels of ``column`` toxic outside fold 0 and on unlabelled text outside fold 0."""
     documents = text_batches(documents)
     known = training_labels(labels, "toxic")
@@ -127,7 +128,7 @@ def train(documents: DataFrame, labels: DataFrame, positives: int = 4000, unlabe
     of = documents.select("doc_id").where(F.col("doc_id").isNotNull()).distinct()
     toxic = hashed_sample(of.join(known.where("label = 1").select("doc_id"), "doc_id"), positives, 1).withColumn("group", F.lit(1))
     other = hashed_sample(of.where(fold(F.col("doc_id")) != 0), unlabelled, 2).withColumn("group", F.lit(0))
-    rows = collect_features(documents, toxic.unionByName(other), lambda: HashedWords(BITS), pa.int32())
+    rows = collect_features(documents, toxic.unionByName(other), lambda: HashedWords(BITS, most_kept=most_words), pa.int32())
     groups = [[x for _, g, x in rows if g == k] for k in (1, 0)]
     if not all(groups):
         return WordModel(np.zeros(0, np.int64), np.zeros(0), None)
