@@ -55,20 +55,23 @@ def drop_near_copies(documents: DataFrame, similarity: float = 0.8, width: int =
     if not 1 <= band <= 4:
         raise ValueError("a band has one to four slots")
     keyed = text_batches(documents).withColumns({"__nw_id": F.coalesce(documents["doc_id"].cast("string"), F.lit("")), "__nw_text": F.substring(F.sha2(text, 256), 1, 32)})
-    prints = materialise(keyed.select(documents["doc_id"].cast("long").alias("doc_id"), *keys, sketch(text).alias("s")).select("doc_id", *keys, "s.fp", "s.bands"), "near-prints")
+    prints = materialise(keyed.select(documents["doc_id"].cast("long").alias("doc_id"), *keys, F.length(text).alias("size"), sketch(text).alias("s")).select("doc_id", *keys, "size", "s.fp", "s.bands"), "near-prints")
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "__nw_text", "__nw_id")
-    different = materialise(prints.groupBy(F.col("__nw_text").alias("id")).agg(F.min(order).alias("k"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "near-texts")
+    different = materialise(prints.groupBy(F.col("__nw_text").alias("id")).agg(F.min(order).alias("k"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("size").alias("size")), "near-texts")
+    once = materialise(prints.groupBy(*keys).count().where("count > 1").drop("count"), "near-repeats")
+    repeats = not once.isEmpty()
     clusters = materialise(connected_components(near_copy_candidates(different.select("id", "fp", "bands"), bits)), "near-clusters")
-    members = materialise(clusters.join(different, clusters.node == different.id).select(F.col("component").alias("cluster"), F.col("k.__nw_id").alias("__nw_id"), F.col("id").alias("__nw_text")), "near-members")
-    read = keyed.select(*keys, text.alias("__nw_whole")).join(few(members), keys).select("cluster", F.col("__nw_text").alias("id"), F.col("__nw_whole").alias("text"))
+    members = clusters.join(different, clusters.node == different.id).select(F.col("component").alias("cluster"), F.col("k.__nw_id").alias("__nw_id"), F.col("id").alias("__nw_text"), "size")
+    if repeats:
+        members = members.join(few(once).withColumn("twice", F.lit(True)), keys, "left").fillna(False, ["twice"])
+    members = materialise(members, "near-members")
+    read = keyed.select(*keys, text.alias("__nw_whole")).join(few(members), keys).select("cluster", F.col("__nw_text").alias("id"), F.col("__nw_whole").alias("text"), *(["twice"] if repeats else []))
     linked = connected_components(verified_links(read, members, similarity, slots, width, block))
     root = different.join(linked, different.id == linked.node, "left").select("k", F.coalesce("component", "id").alias("root"))
     stays = materialise(root.groupBy("root").agg(F.min("k").alias("k")).select(F.col("k.__nw_id").alias("__nw_id"), F.col("k.__nw_text").alias("__nw_text")), "near-kept")
     # Rows that agree in id and text go together: of each such pair of keys the first row stays.
     kept = keyed.join(few(stays), keys, "left_semi")
-    repeated = prints.groupBy(*keys).count().where("count > 1").drop("count")
-    once = materialise(repeated, "near-repeats")
-    if once.isEmpty():
+    if not repeats:
         return kept.select(*documents.columns)
     alone = kept.join(few(once), keys, "left_anti").select(*documents.columns)
     return alone.unionByName(kept.join(few(once), keys, "left_semi").dropDuplicates(keys).select(*documents.columns))

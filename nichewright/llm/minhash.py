@@ -6,8 +6,8 @@ shingles; the fingerprint keeps 16 bits (32 to 47) of each function's minimum, f
 share of equal slots, an estimate of the Jaccard similarity of the shingle sets.
 
 Texts that share a band of their signature are joined in Spark: a band's texts form a star, stars form clusters, and only the
-texts of clusters are read again.  A cluster of more than ``block`` texts is compared in blocks, similarities are taken from whole
-shingle sets, and a block sends out a spanning forest of its links at ``threshold`` or more instead of all pairs.  A pair at 0.8
+texts of clusters are read again, one row for each id and text.  A cluster of more than ``block`` texts, or of more than ``most_chars``
+characters, is compared in blocks, similarities are taken from whole shingle sets, and a block sends out a spanning forest of its links at ``threshold`` or more instead of all pairs.  A pair at 0.8
 shares one of 16 bands of 4 slots with the probability 1 - (1 - 0.8 ** 4) ** 16 = 0.9998.
 
 ``fingerprinted`` also needs every document's successor: texts are range-shuffled once, each task walks its sorted documents, and
@@ -181,12 +181,16 @@ def fingerprinted(documents: DataFrame, threshold: float = 0.8, slots: int = 64,
     steps = edited_steps(documents, slots, width)
     classes = materialise(steps.groupBy("text_id").agg(F.min("row").alias("id"), F.min("doc_id").alias("first"), F.count("*").alias("copies")), "text-classes")
     bands = F.array(*(F.xxhash64(F.substring("own", 2 * band * i + 1, 2 * band)) for i in range(slots // band)))
-    sketched = steps.select(F.col("row").alias("id"), "doc_id", "text_id", bands.alias("bands")).join(classes.select("id"), "id")
+    sketched = steps.select(F.col("row").alias("id"), "doc_id", "text_id", F.col("n_chars").alias("size"), bands.alias("bands")).join(classes.select("id"), "id")
     clusters = materialise(connected_components(band_stars(sketched)), "similar-clusters")
-    members = materialise(sketched.join(few(clusters), sketched.id == clusters.node).select("id", "doc_id", "text_id", F.col("component").alias("cluster")), "similar-members")
+    members = sketched.join(few(clusters), sketched.id == clusters.node).select("id", "doc_id", "text_id", "size", F.col("component").alias("cluster"))
+    repeated = materialise(steps.groupBy("doc_id", "text_id").count().where("count > 1").toDF("own_id", "own_text", "count"), "similar-repeats")
+    if not repeated.isEmpty():
+        members = members.join(few(repeated), (F.col("text_id") == F.col("own_text")) & F.col("doc_id").eqNullSafe(F.col("own_id")), "left").withColumn("twice", F.col("count").isNotNull()).drop(*repeated.columns)
+    members = materialise(members, "similar-members")
     text = F.coalesce(documents["text"], F.lit(""))
     whole = text_batches(documents).select(documents["doc_id"].cast("long").alias("own_id"), text_id(text).alias("own_text"), text.alias("text"))
-    read = whole.join(few(members), (F.col("text_id") == F.col("own_text")) & F.col("doc_id").eqNullSafe(F.col("own_id"))).select("cluster", "id", "text")
+    read = whole.join(few(members), (F.col("text_id") == F.col("own_text")) & F.col("doc_id").eqNullSafe(F.col("own_id"))).select(*(c for c in ("cluster", "id", "text", "twice") if c == "text" or c in members.columns))
     linked = materialise(connected_components(verified_links(read, members, threshold, slots, width, block)), "similar-linked")
     roots = classes.join(few(linked), classes.id == linked.node, "left").select("text_id", "copies", "first", F.coalesce("component", "id").alias("root"))
     grouped = with_group(materialise(roots, "similar-roots"), "root", component_id=F.min("first"), all_copies=F.sum("copies"))
@@ -237,15 +241,19 @@ def similar_links(sets: list[np.ndarray], home: np.ndarray, threshold: float) ->
     return out
 
 
-def verified_links(read: DataFrame, members: DataFrame, threshold: float, slots: int, width: int, block: int) -> DataFrame:
-    """Edges (a, b) that connect exactly the ids that links at ``threshold`` connect, from rows (cluster, id, text) of clusters and
-    the written table ``members`` with a row (cluster) for each of their ids.
+def verified_links(read: DataFrame, members: DataFrame, threshold: float, slots: int, width: int, block: int, most_chars: int = 16 << 20) -> DataFrame:
+    """Edges (a, b) that connect exactly the ids that links at ``threshold`` connect, from rows (cluster, id, text[, twice]) of clusters
+    and the written table ``members`` with a row (cluster, size) for each of their ids, ``size`` being the length of its text.
 
-    Rows that repeat an id are read once.  A cluster of more than ``block`` ids is dealt into blocks, and every pair of these
-    meets in one task.
+    Rows that repeat an id are marked ``twice``; of these each task sends one an id.  A cluster of more than ``block`` ids or
+    ``most_chars`` characters is dealt into blocks, and every pair of these meets in one task.
     """
     kind = read.schema["id"].dataType.simpleString()
-    sizes = members.groupBy("cluster").agg(F.ceil(F.count("*") / block).alias("n")).where("n > 1")
+    if "twice" in read.columns:
+        once = read.where("twice").groupBy("cluster", "id").agg(F.first("text").alias("text"))
+        read = read.where("NOT twice").drop("twice").unionByName(once)
+    blocks_of = F.ceil(F.greatest(F.count("*") / block, F.sum("size") / most_chars))
+    sizes = members.groupBy("cluster").agg(blocks_of.alias("n")).where("n > 1")
     dealt = read.join(few(materialise(sizes, "clusters")), "cluster", "left").withColumn("n", F.coalesce("n", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("id"), "n"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
     placed = dealt.select("cluster", F.least("own", "other").alias("c"), F.greatest("own", "other").alias("h"), "id", (F.col("own") <= F.col("other")).alias("home"), "text")
@@ -255,12 +263,8 @@ def verified_links(read: DataFrame, members: DataFrame, threshold: float, slots:
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = MinHasher(slots, width)
         for rows in _runs(batches, key):
-            ids, own, sets = [], [], []
-            for i, home, text in zip(rows["id"].to_pylist(), rows["home"].to_pylist(), rows["text"], strict=True):
-                if not ids or ids[-1] != i:
-                    ids.append(i)
-                    own.append(home)
-                    sets.append(np.unique(hasher.shingles(text.as_py().encode())))
+            ids, own = rows["id"].to_pylist(), rows["home"].to_pylist()
+            sets = [np.unique(hasher.shingles(text.as_py().encode())) for text in rows["text"]]
             found = similar_links(sets, np.array(own), threshold)
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i, _ in found]), pa.array([ids[j] for _, j in found])], ["a", "b"])
