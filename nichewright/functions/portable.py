@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PRIME = 2147483647
@@ -27,6 +27,20 @@ def uniform_sql(seed: int, i: str, j: str = "0") -> str:
     return f"((CAST({h} AS DOUBLE) + CAST(0.5 AS DOUBLE)) / {PRIME}.0::DOUBLE)"
 
 
+def least_drawn(rows: DataFrame, draw: str, ties: list[str], size: int, n: int | None = None) -> DataFrame:
+    """The ``size`` rows with the least ``draw``, a column of numbers spread over (0, 1), in order; ties go by the further columns.
+
+    The rows are counted first (unless ``n`` is given), so that only those below a threshold are sorted, little more than ``size`` of
+    them from all partitions together; if a threshold leaves too few, all rows are.
+    """
+    n = rows.count() if n is None else n
+    share = (size + 6 * size**0.5 + 50) / max(n, 1)
+    below = rows.where(F.col(draw) < share) if share < 1 else rows
+    if share < 1 and below.limit(size).count() < size:
+        below = rows
+    return below.orderBy(draw, *ties).limit(size)
+
+
 def squared_distance(a: Column, b: Column) -> Column:
     """Sum of squared differences of two arrays of equal length."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)

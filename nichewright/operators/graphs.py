@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from nichewright.functions.portable import uniform
+from nichewright.functions.portable import least_drawn, uniform
 from nichewright.operators.components import connected_components
 
 
@@ -19,7 +19,7 @@ def distance_scale(distance: DataFrame, n: int, most_rows: int = 512, seed: int
     """One row (scale): the median positive distance, for many rows the median of sampled rows' medians; 1 without any, 1e-8 at least."""
     positive = distance.where("cost > 0")
     if n > most_rows:
-        rows = positive.select("i").distinct().orderBy(uniform(seed, F.col("i")), "i").limit(most_rows)
+        rows = least_drawn(positive.select("i").distinct().withColumn("u", uniform(seed, F.col("i"))), "u", ["i"], most_rows, n).select("i")
         positive = positive.join(rows, "i").groupBy("i").agg(F.median("cost").alias("cost"))
     return positive.agg(F.greatest(F.coalesce(F.median("cost"), F.lit(1.0)), F.lit(1e-8)).alias("scale"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nichewright.config import ISOLATED, KERNELS, SCALES, canonical
-from nichewright.functions.portable import squared_distance, uniform
+from nichewright.functions.portable import least_drawn, squared_distance, uniform
 
 
 def kernel_weight(distance: Column, radius: float, kernel: str) -> Column:
@@ -41,27 +41,36 @@ def cap_neighbors(edges: DataFrame, radius: float, most: int, shells: int = 4, s
     Edges are (row_idx, neighbor, distance, weight[, state]).  Only rows with more edges are thinned.  Their strata are drawn by mass
     without replacement if there are more than ``most``, else all are taken; each taken stratum gives one edge by weight, and
     further ones are drawn by weight from all that are left.  A draw by weight is a race: the least -ln(u) / weight wins, with u
-    from a portable hash of (seed, row, neighbor), so the outcome doesn't depend on partitions or order.  Further columns of any name
-    stay; a null state is 0; an empty table gives none.
+    from a portable hash of (seed, row, neighbor), so the outcome doesn't depend on partitions or order.
+
+    Dense neighborhoods don't travel whole: the strata's sums and best draws are combined before the shuffle, and of the draws of a row
+    each task sends its ``most`` best (Spark pushes a limit on ``row_number`` below the shuffle).
+
+    Further columns of any name and type stay; a null state is 0; an edge that is repeated is one draw; an empty table gives none.
     """
     if most < 1 or shells < 1:
         raise ValueError("most and shells must be positive")
     shell = F.floor(F.least(F.greatest(F.col("distance") / radius, F.lit(0.0)), F.lit(0.999999)) * shells)
     state = F.coalesce(F.col("state"), F.lit(0)) if by_state and "state" in edges.columns else F.lit(0)
+    race = lambda u, w: -F.ln(u) / F.greatest(w, F.lit(1e-300))
+    drawn = edges.select(
+        "row_idx",
+        F.struct(shell.cast("long").alias("shell"), state.cast("long").alias("state")).alias("stratum"),
+        "weight",
+        F.struct(race(uniform(seed, F.col("row_idx"), F.col("neighbor")), F.col("weight")).alias("key"), "neighbor").alias("draw"),
+        F.struct(*edges.columns).alias("edge"),
+    )
     row = Window.partitionBy("row_idx")
-    known = [c for c in edges.columns if c in ("row_idx", "neighbor", "distance", "weight", "state")]
-    others = [c for c in edges.columns if c not in known]
-    own = edges.select(*known, *([F.struct(*others).alias("_others")] if others else []))
-    drawn = own.withColumns({"_n": F.count("*").over(row), "_stratum": shell * F.lit(100_000) + state, "_key": -F.ln(uniform(seed, F.col("row_idx"), F.col("neighbor"))) / F.greatest("weight", F.lit(1e-300))})
-    over = drawn.where(F.col("_n") > most)
-    stratum = Window.partitionBy("row_idx", "_stratum")
-    ranked = over.withColumns({"_mass": F.sum("weight").over(stratum), "_place": F.row_number().over(stratum.orderBy("_key", "neighbor"))})
-    race = -F.ln(uniform(seed + 1, F.col("row_idx"), F.col("_stratum"))) / F.greatest("_mass", F.lit(1e-300))
-    strata = ranked.withColumn("_race", race).withColumn("_rank", F.dense_rank().over(row.orderBy("_race", "_stratum")))
-    last = F.when((F.col("_place") == 1) & (F.col("_rank") <= most), F.lit(0)).otherwise(F.lit(1))
-    kept = strata.withColumn("_class", last).withColumn("_pick", F.row_number().over(row.orderBy("_class", "_key", "neighbor"))).where(F.col("_pick") <= most)
-    out = [c if c in known else F.col("_others").getField(c).alias(c) for c in edges.columns]
-    return drawn.where(F.col("_n") <= most).select(*out).unionByName(kept.select(*out))
+    # What a row needs of its edges: the mass and the best draw of each stratum, and the ``most`` best draws of all.
+    strata = drawn.groupBy("row_idx", "stratum").agg(F.sum("weight").alias("mass"), F.min("draw").alias("draw"), F.min_by("edge", "draw").alias("edge"))
+    number = F.col("stratum.shell") * 100_000 + F.col("stratum.state")
+    ranked = strata.withColumn("rank", F.row_number().over(row.orderBy(race(uniform(seed + 1, F.col("row_idx"), number), F.col("mass")), "stratum")))
+    chosen = ranked.where(F.col("rank") <= most).select("row_idx", F.lit(0).alias("turn"), "draw", "edge")
+    first = drawn.withColumn("place", F.row_number().over(row.orderBy("draw"))).where(F.col("place") <= most)
+    both = chosen.unionByName(first.select("row_idx", F.lit(1).alias("turn"), "draw", "edge"))
+    once = both.groupBy("row_idx", "draw").agg(F.min("turn").alias("turn"), F.min_by("edge", "turn").alias("edge"))
+    kept = once.withColumn("pick", F.row_number().over(row.orderBy("turn", "draw"))).where(F.col("pick") <= most)
+    return kept.select(*(F.col("edge").getField(c).alias(c) for c in edges.columns))
 
 
 def assemble(cells: DataFrame, edges: DataFrame, include_anchor: bool = True, isolated: str = "anchor_fallback") -> DataFrame:
@@ -113,7 +122,7 @@ def component_scales(token_rows: DataFrame, method: str, pairs: int = 20_000, se
 def sampled_scales(token_rows: DataFrame, pairs: int, seed: int) -> DataFrame:
     """One row (z_scale, xy_scale, r_scale) of the ``sampled_median`` method."""
     keyed = token_rows.where("neighbor >= 0").select("row_idx", "neighbor", "z", "rx", "ry", "rr", uniform(seed, F.col("row_idx"), F.col("neighbor")).alias("u"))
-    chosen = keyed.orderBy("u", "row_idx", "neighbor").limit(2 * pairs)  # at most 2 * pairs rows from here on
+    chosen = least_drawn(keyed, "u", ["row_idx", "neighbor"], 2 * pairs)  # at most 2 * pairs rows from here on
     placed = chosen.withColumn("at", F.row_number().over(Window.orderBy("u", "row_idx", "neighbor")) - 1).withColumn("pair", F.floor(F.col("at") / 2))
     side = lambda k, s: placed.where(F.col("at") % 2 == k).select("pair", *(F.col(c).alias(c + s) for c in ("z", "rx", "ry", "rr")))
     both = side(0, "a").join(side(1, "b"), "pair")

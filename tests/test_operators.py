@@ -63,6 +63,76 @@ def test_cap_draws_by_weight(spark):
     assert abs(share - 0.5) < 0.04
 
 
+def brute_cap(rows, radius, most, shells, seed=1337):
+    """The edges (row, neighbor) that stay of (row, neighbor, distance, weight, state), by the definition."""
+
+    def uniform(salt, i, j):
+        h = (i * 48271 + j * 69621 + salt) % 2147483647
+        for _ in range(2):
+            h = (h * h + 16807 * h + 1) % 2147483647
+        return (h + 0.5) / 2147483647
+
+    race = lambda u, w: -np.log(u) / max(w, 1e-300)
+    out = set()
+    for row in {r[0] for r in rows}:
+        own = [(race(uniform(seed, row, j), w), j, (int(min(max(d / radius, 0), 0.999999) * shells), s or 0), w) for i, j, d, w, s in rows if i == row]
+        mass = {st: sum(w for *_, t, w in own if t == st) for *_, st, _ in own}
+        order = sorted(mass, key=lambda st: (race(uniform(seed + 1, row, st[0] * 100_000 + st[1]), mass[st]), st))[:most]
+        best = sorted(min((k, j) for k, j, t, _ in own if t == st) for st in order)
+        rest = sorted((k, j) for k, j, _, _ in own if (k, j) not in best)
+        out |= {(row, j) for _, j in (best + rest)[:most]}
+    return out
+
+
+@pytest.mark.parametrize(("most", "shells"), [(1, 1), (3, 4), (7, 2), (50, 3)])
+def test_cap_equals_brute_force(spark, most, shells):
+    rng = random.Random(most)
+    rows = [(i, j, rng.uniform(0, 11), rng.choice([0.1, 1.0, 5.0]), rng.choice([0, 1, 2, None])) for i in range(12) for j in rng.sample(range(200), rng.randrange(1, 60))]
+    edges = spark.createDataFrame(rows, "row_idx long, neighbor long, distance double, weight double, state int").withColumn("notes", F.create_map(F.lit("j"), "neighbor"))
+    found = measures.cap_neighbors(edges.repartition(5), 10.0, most, shells).collect()
+    assert {(r.row_idx, r.neighbor) for r in found} == brute_cap(rows, 10.0, most, shells) and all(r.notes == {"j": r.neighbor} for r in found)
+    assert len(found) == len({(r.row_idx, r.neighbor) for r in found})
+
+
+def test_a_dense_neighborhood_does_not_travel_whole(spark):
+    """Of 40,000 edges of two rows in eight partitions, each task sends a row's best draws and one row a stratum."""
+    edges = spark.range(40_000, numPartitions=8).select((F.col("id") % 2).alias("row_idx"), F.col("id").alias("neighbor"), (F.col("id") % 97 / 10).alias("distance"), F.lit(1.0).alias("weight"))
+    capped = measures.cap_neighbors(edges, 10.0, 5, shells=3)
+    assert len(capped.collect()) == 10
+    plan = capped._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "Partial" in plan
+    written = sum(int(x) for x in shuffled_rows(capped))
+    assert 0 < written <= 2 * 8 * (3 + 5) + 100
+
+
+def shuffled_rows(df):
+    """The rows that each shuffle of an executed plan wrote."""
+    out, todo = [], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            todo.append(node.plan())
+        if name == "ShuffleExchangeExec":
+            out.append(node.metrics().apply("shuffleRecordsWritten").value())
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return out
+
+
+def test_medians_draw_by_a_threshold(spark):
+    """The rows with the least draws are the same however many lie below the threshold."""
+    from nichewright.functions.portable import least_drawn, uniform
+
+    rows = spark.range(20_000, numPartitions=7).withColumn("u", uniform(5, F.col("id")))
+    want = [r.id for r in sorted(rows.collect(), key=lambda r: (r.u, r.id))[:40]]
+    assert [r.id for r in least_drawn(rows, "u", ["id"], 40).collect()] == want
+    few = rows.withColumn("u", F.col("u") / 2 + 0.5)  # nothing lies below
+    assert [r.id for r in least_drawn(few, "u", ["id"], 40).collect()] == want
+    assert least_drawn(rows.limit(3), "u", ["id"], 40).count() == 3 and least_drawn(rows.limit(0), "u", ["id"], 40).count() == 0
+
+
 def test_isolated_policies(spark):
     cells = cells_of(spark, [(0, "a", 0, 0), (1, "a", 100, 0)])
     edges = neighbors.radius_edges(cells, 1.0).withColumn("weight", F.lit(1.0))
