@@ -404,7 +404,8 @@ def sinkhorn_cost(spark, d):
 DEBIASED = [
     *_sinkhorn_sql(WITH_SELF),
     "raw AS MATERIALIZED (SELECT p, q, SUM(mass * cost) AS c FROM plan GROUP BY p, q)",
-    "debiased AS (SELECT r.p AS i, r.q AS j, greatest(r.c - 0.5 * a.c - 0.5 * b.c, 0) AS cost FROM raw r JOIN raw a ON a.p = r.p AND a.q = r.p JOIN raw b ON b.p = r.q AND b.q = r.q WHERE r.p < r.q)",
+    "own AS MATERIALIZED (SELECT p, c FROM raw WHERE p = q)",
+    "debiased AS MATERIALIZED (SELECT r.p AS i, r.q AS j, greatest(r.c - 0.5 * a.c - 0.5 * b.c, 0) AS cost FROM raw r JOIN own a ON a.p = r.p JOIN own b ON b.p = r.q WHERE r.p < r.q)",
 ]
 
 

@@ -157,17 +157,29 @@ def agglomerate(distance: DataFrame, ids: DataFrame, ks: tuple[int, ...], tail:
     return cut(average_merges(distance, ids, tail), ids, ks)
 
 
-def farthest_first(distance: DataFrame, ids: DataFrame, k: int) -> list[int]:
+def by_column(distance: DataFrame) -> DataFrame:
+    """The relation, written in the order of ``j``, so that the distances to one row are read without the others."""
+    return materialise(distance.select("i", "j", "cost").repartitionByRange("j", "i").sortWithinPartitions("j", "i"), "columns")
+
+
+def farthest_first(distance: DataFrame, ids: DataFrame, k: int, ordered: DataFrame | None = None) -> list[int]:
     """The row with the least mean distance, then always the row farthest from those chosen; ties go by id.
 
-    ``distance`` holds both directions.  Each round is one aggregate that ends in one row.
+    ``distance`` holds both directions.  A state table keeps each row's distance to the nearest chosen one, and a step reads the
+    distances to the new one only, from ``ordered`` (``by_column``, which is made if it isn't given).  An empty table gives none.
     """
     total = ids.join(distance.groupBy("i").agg(F.sum("cost").alias("total")), ids.row_idx == F.col("i"), "left")
     first = total.agg(F.min(F.struct(F.coalesce("total", F.lit(0.0)).alias("t"), "row_idx"))["row_idx"].alias("m")).first()["m"]
-    chosen = [first]
+    if first is None or k < 1:
+        return []
+    chosen, state = [first], None
+    ordered = by_column(distance) if ordered is None and k > 1 else ordered
     while len(chosen) < k:
-        near = distance.where(F.col("j").isin(chosen) & ~F.col("i").isin(chosen)).groupBy("i").agg(F.min("cost").alias("d"))
-        found = near.agg(F.max(F.struct("d", (-F.col("i")).alias("i")))["i"].alias("i")).first()["i"]
+        new = ordered.where(F.col("j") == chosen[-1]).select("i", "cost")
+        if state is not None:
+            new = state.where(F.col("i") != chosen[-1]).join(new.withColumnRenamed("cost", "new"), "i", "left").select("i", F.least("cost", "new").alias("cost"))
+        state = materialise(new, "nearest-chosen")
+        found = state.agg(F.max(F.struct("cost", (-F.col("i")).alias("i")))["i"].alias("i")).first()["i"]
         if found is None:
             break
         chosen.append(-found)
@@ -177,19 +189,29 @@ def farthest_first(distance: DataFrame, ids: DataFrame, k: int) -> list[int]:
 def nearest_medoid(distance: DataFrame, ids: DataFrame, medoids: list[int]) -> DataFrame:
     """(row_idx, niche): the place in ``medoids`` of each row's nearest; ties go to the earlier place, a medoid keeps its own."""
     place = distance.sparkSession.createDataFrame([(m, n) for n, m in enumerate(medoids)], "j long, niche int")
-    to = distance.join(F.broadcast(place), "j").select("i", "cost", "niche")
+    # Equalities rather than a list of values, of which Parquet's readers skip pages for the first ten only.
+    wanted = reduce(lambda a, b: a | b, (F.col("j") == m for m in medoids), F.lit(False))
+    to = distance.where(wanted).join(F.broadcast(place), "j").select("i", "cost", "niche")
     own = place.select(F.col("j").alias("i"), F.lit(0.0).alias("cost"), "niche")
     best = to.unionByName(own).groupBy("i").agg(F.min(F.struct("cost", "niche"))["niche"].alias("niche"))
     return ids.select("row_idx").join(best.withColumnRenamed("i", "row_idx"), "row_idx").select("row_idx", "niche")
 
 
 def kmedoids(distance: DataFrame, ids: DataFrame, k: int, most_rounds: int = 50) -> tuple[DataFrame, list[int]]:
-    """((row_idx, niche), medoids): assignment and re-centring in turn until both stay; an emptied niche keeps its medoid."""
-    chosen = farthest_first(distance, ids, k)
-    labels = None
+    """((row_idx, niche), medoids): assignment and re-centring in turn until both stay; an emptied niche keeps its medoid.
+
+    A round reads the distances to the medoids, and those within the niches that gained or lost a row.
+    """
+    ordered = by_column(distance)
+    chosen, labels = farthest_first(distance, ids, k, ordered), None
     for _ in range(most_rounds):
-        labels = materialise(nearest_medoid(distance, ids, chosen), "kmedoids")
-        found = {r.niche: r.medoid for r in metrics.medoids(distance, labels).collect()}  # k rows
+        before, labels = labels, materialise(nearest_medoid(ordered, ids, chosen), "kmedoids")
+        moved_rows = labels
+        if before is not None:
+            other = labels.join(before.withColumnRenamed("niche", "was"), "row_idx").where("niche <> was")
+            touched = [r.n for r in other.select(F.explode(F.array("niche", "was")).alias("n")).distinct().collect()]  # k at most
+            moved_rows = labels.where(F.col("niche").isin(touched))
+        found = {r.niche: r.medoid for r in metrics.medoids(distance, moved_rows).collect()}  # k rows
         moved = [found.get(n, m) for n, m in enumerate(chosen)]
         if moved == chosen:
             break
