@@ -11,7 +11,7 @@ import sys
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from nichewright.config import OPTION_NAMES, NicheConfig, parse_float_list, parse_int_list, parse_string_list
+from nichewright.config import DISTANCES, OPTION_NAMES, NicheConfig, canonical, parse_float_list, parse_int_list, parse_string_list
 from nichewright.operators import features, pooling
 from nichewright.plans import runs
 from nichewright.plans.storage import materialise
@@ -32,6 +32,7 @@ def build_parser() -> argparse.ArgumentParser:
         p.add_argument("--feature-name", default="z", help="what the vectors are called where they come from")
         p.add_argument("--spatial-scale", type=float, default=1.0)
         p.add_argument("--max-cells", type=int, help="take the first rows by row_idx only")
+        p.add_argument("--distance-store", choices=("auto", "inline", "parquet"), default="auto", help="parquet: fit keeps the distances share by share and continues where it was broken off; auto: above --max-exact-cells")
         p.add_argument("--pairs-per-second", type=float, help="a measured rate, for the estimate in feasibility.json")
         for f in dataclasses.fields(NicheConfig):
             flags = ["--" + n.replace("_", "-") for n in (f.name, *(k for k, v in OPTION_NAMES.items() if v == f.name))]
@@ -100,12 +101,15 @@ def _fit(spark: SparkSession, args) -> dict:
     state = features.fit_embedding(held, method=config.embedding, dimensions=config.dimensions, standardise=config.standardize_precomputed)
     vectors = held.select("row_idx", state.transform(F.col("z")).alias("z"))
     _log.info("%s: embedding of %d dimensions fitted", args.command, len(state.components or state.mean))
+    store = bundle.distance_store(cells.count(), args.distance_store, config.max_exact_cells)
     if args.command == "fit":
-        run = runs.fit(cells, vectors, config)
+        run = runs.fit(cells, vectors, config, store=f"{args.output}/distance_shares" if store == "parquet" else None)
         settings = {"config": config.to_dict(), "scales": run.summary["scales"]}
         bundle.save_reference(f"{args.output}/model", run.tables["labels"], run.tables["medoids"], packed=run.tables["measures"], settings=settings)
         medoids = run.tables["medoids"].select(F.col("medoid").alias("row_idx"))
         bundle.write_table(vectors.join(medoids, "row_idx", "left_semi"), f"{args.output}/model/reference_vectors")
+        if canonical(config.distance, DISTANCES, "distance") == "debiased":
+            bundle.save_self_costs(f"{args.output}/model", spark.read.parquet(f"{args.output}/model/reference_measures"), config.epsilon, config.sweeps)
     elif args.command == "landmark":
         run = runs.fit_by_landmarks(cells, vectors, config, args.landmarks, args.landmark_candidates)
     else:
@@ -114,7 +118,7 @@ def _fit(spark: SparkSession, args) -> dict:
     bundle.write_bundle(run.tables, args.output)
     samples = cells.select("sample_id").distinct().count()
     run.summary["features"] = features.provenance(config.embedding, samples, config.expression_batch_key) | {"kind": features.feature_kind(args.feature_name, False)}
-    run.summary["distance_store"] = bundle.distance_store(cells.count(), most_inline=config.max_exact_cells)
+    run.summary["distance_store"] = store
     bundle.write_json(spark, f"{args.output}/summary.json", run.summary)
     _log.info("%s: written to %s", args.command, args.output)
     return run.summary
@@ -129,7 +133,8 @@ def _assign(spark: SparkSession, args) -> dict:
     vectors = held.select("row_idx", state.transform(F.col("z")).alias("z"))
     _, medoids = bundle.load_reference(spark, model)
     own = bundle.read_bundle(spark, model, ("reference_measures", "reference_vectors"))
-    placed = runs.assign(cells, vectors, config, own["reference_measures"], medoids, settings["scales"], args.threshold, reference_vectors=own["reference_vectors"])
+    self_costs = bundle.load_self_costs(spark, model, own["reference_measures"], config.epsilon, config.sweeps)
+    placed = runs.assign(cells, vectors, config, own["reference_measures"], medoids, settings["scales"], args.threshold, reference_vectors=own["reference_vectors"], reference_own=self_costs)
     bundle.write_table(cells.join(placed, "row_idx"), f"{args.output}/cells")
     written = spark.read.parquet(f"{args.output}/cells")
     return {"cells": written.count(), "unknown": written.where("niche = -1").count()}

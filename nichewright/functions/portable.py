@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +21,14 @@ def uniform(seed: int, i: Column, j: Column | int = 0) -> Column:
     return (h.cast("double") + F.lit(0.5).cast("double")) / F.lit(float(PRIME))
 
 
+def uniform_array(seed: int, i: np.ndarray) -> np.ndarray:
+    """The same numbers for an array of ids."""
+    h = (i.astype(np.int64) * 48271 + seed) % PRIME
+    for _ in range(2):
+        h = (h * h + 16807 * h + 1) % PRIME
+    return (h + 0.5) / PRIME
+
+
 def uniform_sql(seed: int, i: str, j: str = "0") -> str:
     h = f"((CAST({i} AS BIGINT) * 48271 + CAST({j} AS BIGINT) * 69621 + {seed}) % {PRIME})"
     for _ in range(2):

@@ -73,11 +73,12 @@ def cap_neighbors(edges: DataFrame, radius: float, most: int, shells: int = 4, s
     return kept.select(*(F.col("edge").getField(c).alias(c) for c in edges.columns))
 
 
-def assemble(cells: DataFrame, edges: DataFrame, include_anchor: bool = True, isolated: str = "anchor_fallback") -> DataFrame:
+def assemble(cells: DataFrame, edges: DataFrame, include_anchor: bool = True, isolated: str = "anchor_fallback", uniform_fallback: bool = False) -> DataFrame:
     """(row_idx, neighbor, distance, weight, mass): the support of every cell with weights that sum to 1.
 
     The anchor joins its own support with weight 1 if asked for.  A cell without support gets itself (``anchor_fallback``) or a dummy
-    with neighbor -1 (``zero_dummy``); ``error`` raises when such a cell is met.
+    with neighbor -1 (``zero_dummy``); ``error`` raises when such a cell is met.  With ``uniform_fallback`` a support whose weights sum to
+    nothing positive and finite has equal masses; without it they are divided by 1e-12 at least.
     """
     if isolated not in ISOLATED:
         raise ValueError(f"unknown isolated policy {isolated!r}")
@@ -89,8 +90,12 @@ def assemble(cells: DataFrame, edges: DataFrame, include_anchor: bool = True, is
         alone = cells.select("row_idx").join(edges.select("row_idx").distinct(), "row_idx", "left_anti")
         stand_in = F.col("row_idx") if isolated == "anchor_fallback" else F.lit(-1).cast("long") if isolated == "zero_dummy" else F.raise_error(F.lit("a cell has no neighbor and no anchor")).cast("long")
         support = support.unionByName(alone.select("row_idx", stand_in.alias("neighbor"), F.lit(0.0).alias("distance"), F.lit(1.0).alias("weight")))
-    total = F.sum("weight").over(Window.partitionBy("row_idx"))
-    return support.withColumn("mass", F.col("weight") / F.greatest(total, F.lit(1e-12)))
+    row = Window.partitionBy("row_idx")
+    total = F.sum("weight").over(row)
+    mass = F.col("weight") / F.greatest(total, F.lit(1e-12))
+    if uniform_fallback:
+        mass = F.when((total > 0) & (total < float("inf")), F.col("weight") / total).otherwise(1.0 / F.count("*").over(row))
+    return support.withColumn("mass", mass)
 
 
 def tokens(support: DataFrame, cells: DataFrame, vectors: DataFrame, radius: float) -> DataFrame:

@@ -73,11 +73,21 @@ def _blocks(packed: DataFrame, blocks: int, structure: bool) -> DataFrame:
     return grouped.select("block", F.col("s.row_idx").alias("ids"), F.col("s.m").alias("ms"), *(F.flatten(f"s.{c}").alias(c) for c in columns[2:]))
 
 
-def _pairs(left: DataFrame, right: DataFrame, n_left: int, n_right: int, triangle: bool) -> DataFrame:
+def fingerprint(packed: DataFrame) -> str:
+    """What tells one table of measures from another, whatever the order of its rows."""
+    columns = [F.col(c) for c in ("row_idx", "m", "masses", "tokens", "structure") if c in packed.columns]
+    row = packed.agg(F.count("*").alias("n"), *(F.sum(F.xxhash64(F.lit(salt), *columns).cast("decimal(38,0)")).alias(f"h{salt}") for salt in (1, 2))).first()
+    return f"{row.n}:{row.h1 or 0}:{row.h2 or 0}"
+
+
+def _pairs(left: DataFrame, right: DataFrame, n_left: int, n_right: int, triangle: bool, share: tuple[int, int] | None = None) -> DataFrame:
     many = lambda a, b: F.sequence(a, b)
     zero = F.lit(0).cast("long")
     spread_left = left.select(F.col("block").alias("a"), F.explode(many(F.col("block") if triangle else zero, F.lit(n_right - 1).cast("long"))).alias("b"), F.struct(*left.columns[1:]).alias("left"))
     spread_right = right.select(F.col("block").alias("b"), F.explode(many(zero, F.col("block") if triangle else F.lit(n_left - 1).cast("long"))).alias("a"), F.struct(*right.columns[1:]).alias("right"))
+    if share:
+        own = lambda df: df.where(F.pmod(F.col("a") + F.col("b"), F.lit(share[1])) == share[0])
+        spread_left, spread_right = own(spread_left), own(spread_right)
     return spread_left.join(spread_right, ["a", "b"]).select("left", "right")
 
 
@@ -125,17 +135,18 @@ def _compute(left: _Side, right: _Side, i: np.ndarray, j: np.ndarray, measure: s
     return out
 
 
-def pair_costs(packed: DataFrame, other: DataFrame | None = None, measure: str = "sinkhorn", epsilon: float = 0.05, sweeps: int = 50, alpha: float = 0.5, rounds: int = 5, block: int = 128) -> DataFrame:
+def pair_costs(packed: DataFrame, other: DataFrame | None = None, measure: str = "sinkhorn", epsilon: float = 0.05, sweeps: int = 50, alpha: float = 0.5, rounds: int = 5, block: int = 128, share: tuple[int, int] | None = None) -> DataFrame:
     """(i, j, cost): for i < j within ``packed``, or for every i of it and j of ``other``.
 
-    ``measure`` is sinkhorn, fgw (the rows then have ``structure``) or error (the largest marginal error of the plan).
+    ``measure`` is sinkhorn, fgw (the rows then have ``structure``) or error (the largest marginal error of the plan).  ``share`` (number,
+    of how many) gives the pairs of a share of the pairs of blocks.
     """
     n_left = max(1, math.ceil(packed.count() / block))
     left = _blocks(packed, n_left, measure == "fgw")
     triangle = other is None
     n_right = n_left if triangle else max(1, math.ceil(other.count() / block))
     right = left if triangle else _blocks(other, n_right, measure == "fgw")
-    pairs = _pairs(left, right, n_left, n_right, triangle)
+    pairs = _pairs(left, right, n_left, n_right, triangle, share)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -195,10 +206,13 @@ def anchor_penalty(costs: DataFrame, vectors_i: DataFrame, weight: float, vector
     return joined.select("i", "j", (F.col("cost") + weight * squared_distance(F.col("zi"), F.col("zj"))).alias("cost"))
 
 
-def distances(packed: DataFrame, other: DataFrame | None = None, mode: str = "debiased", own: DataFrame | None = None, other_own: DataFrame | None = None, **kernel) -> DataFrame:
-    """(i, j, cost) of a distance mode; ``debiased`` uses stored self costs where they are given."""
+def distances(packed: DataFrame, other: DataFrame | None = None, mode: str = "debiased", own: DataFrame | None = None, other_own: DataFrame | None = None, costs: DataFrame | None = None, **kernel) -> DataFrame:
+    """(i, j, cost) of a distance mode; ``debiased`` uses stored self costs where they are given.
+
+    ``costs`` are those of ``pair_costs``, where they have been made already.
+    """
     name = canonical(mode, DISTANCES, "distance")
-    costs = pair_costs(packed, other, "fgw" if name == "fgw" else "sinkhorn", **kernel)
+    costs = pair_costs(packed, other, "fgw" if name == "fgw" else "sinkhorn", **kernel) if costs is None else costs
     if name != "debiased":
         return costs
     at = {k: kernel.get(k, v) for k, v in (("epsilon", 0.05), ("sweeps", 50))}

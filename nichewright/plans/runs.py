@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from nichewright.config import DISTANCES, KERNELS, METHODS, NicheConfig, canonical
 from nichewright.functions import kernels
 from nichewright.operators import assignment, clustering, graphs, measures, metrics, neighbors, structures, transport
+from nichewright.plans import restart
 from nichewright.plans.storage import materialise
 
 
@@ -25,7 +26,7 @@ class Run:
     summary: dict = field(default_factory=dict)
 
 
-def local_measures(cells: DataFrame, vectors: DataFrame, config: NicheConfig, states: DataFrame | None = None, scales: dict | None = None) -> tuple[DataFrame, DataFrame, dict]:
+def local_measures(cells: DataFrame, vectors: DataFrame, config: NicheConfig, states: DataFrame | None = None, scales: dict | None = None, uniform_fallback: bool = False) -> tuple[DataFrame, DataFrame, dict]:
     """(packed measures, counts, scales): the capped, weighted and scaled neighborhoods, with structures for fgw.
 
     ``cells`` is (row_idx, sample_id, x, y) and ``vectors`` (row_idx, z).  A cap mode that ends in ``state`` uses ``states`` (row_idx,
@@ -43,7 +44,7 @@ def local_measures(cells: DataFrame, vectors: DataFrame, config: NicheConfig, st
     with_state = edges if states is None else edges.join(states.select(F.col("row_idx").alias("neighbor"), "state"), "neighbor", "left")
     by_state = config.cap_mode.endswith("state") and states is not None
     capped = materialise(measures.cap_neighbors(with_state.select("row_idx", "neighbor", "distance", "weight", *(["state"] if by_state else [])), config.radius, config.max_neighbors, config.radial_shells, config.seed, by_state), "capped")
-    support = measures.assemble(cells, capped, config.include_anchor, config.isolated)
+    support = measures.assemble(cells, capped, config.include_anchor, config.isolated, uniform_fallback)
     token_rows = materialise(measures.tokens(support, cells, vectors, config.radius), "tokens")
     scales = dict(scales or {"components": measures.component_scales(token_rows, config.scales, config.scale_pairs, config.seed)})
     fgw = canonical(config.distance, DISTANCES, "distance") == "fgw"
@@ -66,14 +67,15 @@ def _kernel(config: NicheConfig) -> dict:
     return {"epsilon": config.epsilon, "sweeps": config.sweeps, "alpha": config.fgw_alpha, "rounds": config.fgw_rounds}
 
 
-def exact_distance(packed: DataFrame, vectors: DataFrame, config: NicheConfig) -> DataFrame:
-    """(i, j, cost) of all pairs i < j, after the guards."""
+def exact_distance(packed: DataFrame, vectors: DataFrame, config: NicheConfig, store: str | None = None) -> DataFrame:
+    """(i, j, cost) of all pairs i < j, after the guards; with a folder ``store`` a run that was broken off continues (``plans.restart``)."""
     size = packed.agg(F.count("*").alias("n"), F.max("m").alias("m")).first()
     fgw = canonical(config.distance, DISTANCES, "distance") == "fgw"
     work = transport.pairwise_work(size["n"], size["m"] or 1, config.sweeps, config.fgw_rounds if fgw else 0)
     transport.admit(work, config.max_fgw_work if fgw else config.max_ot_work, size["n"], config.max_exact_cells, config.force)
     block = transport.block_size(size["m"] or 1, config.block, config.target_block_memory_gib, fgw)
-    costs = transport.distances(packed, mode=config.distance, block=block, **_kernel(config))
+    made = restart.stored_costs(packed, store, "fgw" if fgw else "sinkhorn", block=block, **_kernel(config)) if store else None
+    costs = transport.distances(packed, mode=config.distance, costs=made, block=block, **_kernel(config))
     return materialise(transport.anchor_penalty(costs, vectors, config.anchor_weight), "distance")
 
 
@@ -112,11 +114,14 @@ def feasibility(cells: int, config: NicheConfig, pairs_per_second: float | None
     return found | {"cells": cells, "status": "admitted", "reason": None}
 
 
-def fit(cells: DataFrame, vectors: DataFrame, config: NicheConfig, states: DataFrame | None = None) -> Run:
-    """Niches of a cohort small enough for all pairs: labels, scores, instances, affinities, medoids and a summary."""
+def fit(cells: DataFrame, vectors: DataFrame, config: NicheConfig, states: DataFrame | None = None, store: str | None = None) -> Run:
+    """Niches of a cohort small enough for all pairs: labels, scores, instances, affinities, medoids and a summary.
+
+    With a folder ``store`` the distances are kept there share by share, and a run that was broken off takes them up.
+    """
     began = time.time()
     packed, counts, scales = local_measures(cells, vectors, config, states)
-    distance = exact_distance(packed, vectors, config)
+    distance = exact_distance(packed, vectors, config, store)
     labels, selection = cluster(distance, cells, config)
     both = materialise(transport.mirrored(distance), "distance")
     labels = materialise(labels, "labels")
@@ -135,9 +140,10 @@ def fit(cells: DataFrame, vectors: DataFrame, config: NicheConfig, states: DataF
     return run
 
 
-def assign(cells: DataFrame, vectors: DataFrame, config: NicheConfig, reference: DataFrame, medoids: DataFrame, scales: dict, threshold: float = 0.0, states: DataFrame | None = None, reference_vectors: DataFrame | None = None) -> DataFrame:
+def assign(cells: DataFrame, vectors: DataFrame, config: NicheConfig, reference: DataFrame, medoids: DataFrame, scales: dict, threshold: float = 0.0, states: DataFrame | None = None, reference_vectors: DataFrame | None = None, reference_own: DataFrame | None = None) -> DataFrame:
     """(row_idx, nearest, niche, cost, score): new cells against the medoids of an earlier run.
 
+    ``reference_own`` are the medoids' self costs, if that run stored them; they are checked and save computing them again.
     ``reference`` holds the medoids' packed measures, ``medoids`` is (niche, medoid), and ``config`` and ``scales`` are that run's.  Only
     pairs of a cell and a medoid are computed, after the guard on their work.
     """
@@ -146,7 +152,7 @@ def assign(cells: DataFrame, vectors: DataFrame, config: NicheConfig, reference:
     size = {n: df.agg(F.count("*").alias("n"), F.max("m").alias("m")).first() for n, df in (("new", packed), ("old", reference))}
     work = transport.cross_work(size["new"]["n"], size["old"]["n"], size["new"]["m"] or 1, size["old"]["m"] or 1, config.sweeps, config.fgw_rounds if fgw else 0)
     transport.admit(work, config.max_fgw_work if fgw else config.max_ot_work, force=config.force)
-    costs = transport.distances(packed, reference, mode=config.distance, block=config.block, **_kernel(config))
+    costs = transport.distances(packed, reference, mode=config.distance, other_own=reference_own, block=config.block, **_kernel(config))
     if config.anchor_weight and reference_vectors is not None:
         costs = transport.anchor_penalty(costs, vectors, config.anchor_weight, reference_vectors)
     return assignment.assign_by_medoids(costs, medoids, threshold)
@@ -223,9 +229,10 @@ def candidate_costs(packed: DataFrame, reference: DataFrame, candidates: DataFra
 
 
 def fit_by_landmarks(cells: DataFrame, vectors: DataFrame, config: NicheConfig, n_landmarks: int = 1000, candidates: int = 100, states: DataFrame | None = None) -> Run:
-    """Niches of landmarks, spread over the cohort: every cell takes the niche of the nearest of its candidate landmarks."""
-    packed, counts, scales = local_measures(cells, vectors, config, states)
-    landmarks = materialise(assignment.sample_landmarks(cells, n_landmarks, config.seed), "landmarks")
+    """Niches of landmarks, the cells nearest to k-means centres of each sample: every cell takes the niche of the nearest of its
+    candidate landmarks."""
+    packed, counts, scales = local_measures(cells, vectors, config, states, uniform_fallback=True)
+    landmarks = materialise(assignment.kmeans_landmarks(cells, vectors, n_landmarks, seed=config.seed), "landmarks")
     reference = materialise(packed.join(landmarks.select("row_idx"), "row_idx", "left_semi"), "reference")
     distance = exact_distance(reference, vectors, config)
     labels, selection = cluster(distance, landmarks, config)
@@ -240,7 +247,7 @@ def fit_by_landmarks(cells: DataFrame, vectors: DataFrame, config: NicheConfig,
 
 def fit_rough_then_fine(cells: DataFrame, vectors: DataFrame, config: NicheConfig, rough: int = 20, representative_only: bool = False, states: DataFrame | None = None) -> Run:
     """k-means within each sample, then niches of the representatives, which their members take over."""
-    packed, counts, scales = local_measures(cells, vectors, config, states)
+    packed, counts, scales = local_measures(cells, vectors, config, states, uniform_fallback=True)
     full = cells.join(vectors, "row_idx").join(counts.select("row_idx", F.col("n_full").alias("n_neighbors")), "row_idx")
     members = materialise(assignment.rough_clusters(full, rough, seed=config.seed), "rough")
     ids = members.select(F.col("representative").alias("row_idx")).distinct()

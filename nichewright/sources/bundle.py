@@ -124,6 +124,26 @@ def save_reference(path: str, labels: DataFrame, medoids: DataFrame, names: Data
     write_json(labels.sparkSession, f"{path}/cluster_medoids.json", {r.niche: r.medoid for r in medoids.collect()})  # a row a niche
 
 
+def save_self_costs(path: str, reference: DataFrame, epsilon: float, sweeps: int) -> None:
+    """The self costs of a model's ``reference_measures``, with the kernel and the measures that they belong to."""
+    from nichewright.operators import transport
+
+    write_table(transport.self_costs(reference, epsilon, sweeps), f"{path}/reference_self_costs")
+    write_json(reference.sparkSession, f"{path}/self_costs.json", {"epsilon": epsilon, "sweeps": sweeps, "measures": transport.fingerprint(reference)})
+
+
+def load_self_costs(spark: SparkSession, path: str, reference: DataFrame, epsilon: float, sweeps: int) -> DataFrame | None:
+    """The stored self costs, None where a model has none; ValueError if they belong to another kernel or other measures."""
+    from nichewright.operators import transport
+
+    if not exists(spark, f"{path}/self_costs.json"):
+        return None
+    held, wanted = read_json(spark, f"{path}/self_costs.json"), {"epsilon": epsilon, "sweeps": sweeps, "measures": transport.fingerprint(reference)}
+    if held != wanted:
+        raise ValueError(f"the self costs in {path} are of {held}, not of {wanted}")
+    return spark.read.parquet(f"{path}/reference_self_costs")
+
+
 def load_reference(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     found = read_bundle(spark, path, ("reference_labels", "reference_medoids"))
     return found["reference_labels"], found["reference_medoids"]
