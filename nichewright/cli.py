@@ -162,7 +162,10 @@ def _prepare(spark: SparkSession, args) -> dict:
         k = min(request["components"], rows.count() - 1, len(genes) - 1)
         if not request["use_svd"] or k < 2:
             return features.dense_rows(rows, len(genes))
-        return features.sparse_project(rows, features.sparse_svd(rows, len(genes), k, request["n_iter"], request["random_state"]))
+        axes = features.sparse_svd(rows, len(genes), k, request["n_iter"], request["random_state"])
+        variance, share = features.sparse_variance(rows, axes)
+        bundle.write_json(spark, f"{args.output}/explained_variance.json", {"variance": variance, "ratio": share})
+        return features.sparse_project(rows, axes)
 
     table, reused = bundle.cached(spark, f"{args.output}/features", request, make, args.overwrite)
     return {"rows": table.count(), "reused": reused}

@@ -183,9 +183,7 @@ def sparse_svd(rows: DataFrame, width: int, components: int, n_iter: int = 7, se
             for at, w, start in _slices(batches):
                 y = _product(q, at, w, start)
                 if back:
-                    for n, own in enumerate(y):
-                        one = slice(start[n], start[n + 1])
-                        np.add.at(out, at[one], w[one, None] * own)
+                    _back(y, at, w, start, out)
                 else:
                     out += y.T @ y
             for b in range(0, len(out), 16):
@@ -246,12 +244,98 @@ def _slices(batches):
             yield at.flatten().to_numpy(zero_copy_only=False), w.flatten().to_numpy(zero_copy_only=False).astype(float), np.concatenate([[0], np.cumsum(lengths)]).astype(int)
 
 
+#: Numbers that are gathered at once where sparse rows meet a block of directions.
+GATHERED = 2_000_000
+
+
+def _segments(key: np.ndarray, values, size: int, out: np.ndarray) -> np.ndarray:
+    """``out`` plus the rows ``values(a, b)`` of a sorted ``key``, added up by key, ``GATHERED`` numbers at a time."""
+    step = max(1, GATHERED // max(size, 1))
+    for a in range(0, len(key), step):
+        own = key[a : a + step]
+        edge = np.concatenate([[0], np.flatnonzero(own[1:] != own[:-1]) + 1])
+        out[own[edge]] += np.add.reduceat(values(a, a + step), edge)
+    return out
+
+
 def _product(q: np.ndarray, at: np.ndarray, w: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Sparse rows times ``q``, one row at a time, so that no more than a row's directions are gathered."""
-    out = np.zeros((len(start) - 1, q.shape[1]))
-    for n in range(len(out)):
-        a, b = start[n], start[n + 1]
-        out[n] = w[a:b] @ q[at[a:b]]
+    """Sparse rows times ``q``: at once where a twentieth of the places is held, else a row at a time."""
+    out, width = np.zeros((len(start) - 1, q.shape[1])), len(q)
+    for a, b in _dense_parts(start, width):
+        x = _dense(at, w, start, a, b, width)
+        if x is not None:
+            out[a:b] = x @ q
+            continue
+        for n in range(a, b):
+            own = slice(start[n], start[n + 1])
+            out[n] = w[own] @ q[at[own]]
+    return out
+
+
+def _dense_parts(start: np.ndarray, width: int):
+    """Ranges of rows that have ``GATHERED`` places at most, one row at least."""
+    step = max(1, GATHERED // max(width, 1))
+    return [(a, min(a + step, len(start) - 1)) for a in range(0, len(start) - 1, step)]
+
+
+def _dense(at: np.ndarray, w: np.ndarray, start: np.ndarray, a: int, b: int, width: int) -> np.ndarray | None:
+    """Rows a to b with all their places, or None where they hold under a twentieth of them."""
+    own = slice(start[a], start[b])
+    if 20 * (own.stop - own.start) < (b - a) * width:
+        return None
+    row = np.repeat(np.arange(b - a), np.diff(start[a : b + 1]))
+    return np.bincount(row * width + at[own], weights=w[own], minlength=(b - a) * width).reshape(b - a, width)
+
+
+def _back(y: np.ndarray, at: np.ndarray, w: np.ndarray, start: np.ndarray, out: np.ndarray) -> np.ndarray:
+    """``out`` plus the transposed sparse rows times ``y``: at once where rows are dense enough, else in runs of sorted places."""
+    for a, b in _dense_parts(start, len(out)):
+        x = _dense(at, w, start, a, b, len(out))
+        if x is not None:
+            out += x.T @ y[a:b]
+            continue
+        own = slice(start[a], start[b])
+        row, order = np.repeat(np.arange(a, b), np.diff(start[a : b + 1])), np.argsort(at[own], kind="stable")
+        place, weight, source = at[own][order], w[own][order], row[order]
+        _segments(place, lambda i, j: weight[i:j, None] * y[source[i:j]], y.shape[1], out)  # noqa: B023
+    return out
+
+
+def sparse_variance(rows: DataFrame, axes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(variance, share of all variance) of sparse rows (row_idx, at, w) along each of the ``axes``; shares are 0 without any variance.
+
+    One pass: every task sends the sums of its places and of its squares, and those of the projections.
+    """
+    width, k = axes.shape
+    sent = rows.sparkSession.sparkContext.broadcast(axes)
+
+    def part(batches):
+        places, rest = np.zeros((width, 1)), np.zeros(2 * k + 2)
+        for at, w, start in _slices(batches):
+            z = _product(sent.value, at, w, start)
+            _back(np.ones((len(z), 1)), at, w, start, places)
+            rest += np.concatenate([z.sum(0), (z * z).sum(0), [(_merged(at, w, start) ** 2).sum(), len(z)]])
+        for b in range(0, width, 4096):
+            if places[b : b + 4096].any():
+                yield pa.RecordBatch.from_pydict({"block": pa.array([b // 4096], pa.int32()), "v": pa.array([places[b : b + 4096, 0]], pa.list_(pa.float64()))})
+        if rest[-1]:
+            yield pa.RecordBatch.from_pydict({"block": pa.array([-1], pa.int32()), "v": pa.array([rest], pa.list_(pa.float64()))})
+
+    sums = _summed(_narrowed(rows.select("at", "w")).mapInArrow(part, "block int, v array<double>"))
+    rest = sums.pop(-1, np.zeros(2 * k + 2))
+    n = max(rest[-1], 1.0)
+    total = rest[-2] / n - sum(float(((v / n) ** 2).sum()) for v in sums.values())
+    variance = np.maximum(rest[k : 2 * k] / n - (rest[:k] / n) ** 2, 0.0)
+    return variance, variance / total if total > 1e-12 else np.zeros(k)
+
+
+def _merged(at: np.ndarray, w: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """The values with entries of one place in a row added to its first one, the others being 0."""
+    row = np.repeat(np.arange(len(start) - 1), np.diff(start))
+    order = np.lexsort((at, row))
+    first = np.concatenate([[True], (np.diff(row[order]) != 0) | (np.diff(at[order]) != 0)])[: len(order)]
+    out = np.zeros(len(w))
+    np.add.at(out, order[np.flatnonzero(first)[np.cumsum(first) - 1]], w[order])
     return out
 
 

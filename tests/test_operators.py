@@ -478,11 +478,29 @@ def test_sparse_svd_equals_the_dense_one(spark):
     want = np.linalg.svd(x)[2][:4].T
     assert np.allclose(np.abs((axes * want).sum(0)), 1, atol=1e-5)
     assert np.allclose(of(features.sparse_project(rows, axes)), x[kept] @ axes)
-    assert features.sparse_svd(rows.limit(0), 40, 2).shape == (40, 2)
+    variance, share = features.sparse_variance(rows, axes)
+    assert np.allclose(variance, (x[kept] @ axes).var(0)) and np.allclose(share, (x[kept] @ axes).var(0) / x[kept].var(0).sum())
+    assert features.sparse_svd(rows.limit(0), 40, 2).shape == (40, 2) and features.sparse_variance(rows.limit(0), axes)[1].tolist() == [0.0] * 4
     with pytest.raises(ValueError, match="numbers"):
         features.sparse_svd(rows, features.MOST_NUMBERS, 4)
 
 
+@pytest.mark.parametrize("gathered", [1, 37, 10**6])
+def test_sparse_products_equal_dense_ones(monkeypatch, gathered):
+    """However few numbers are gathered at once; empty rows, places that repeat in a row, and rows longer than a step."""
+    monkeypatch.setattr(features, "GATHERED", gathered)
+    rng = np.random.default_rng(4)
+    lengths = np.array([0, 3, 0, 0, 11, 1, 25, 0])
+    start = np.concatenate([[0], np.cumsum(lengths)])
+    at, w, q = rng.integers(0, 9, start[-1]), rng.normal(size=start[-1]), rng.normal(size=(9, 3))
+    x = np.zeros((8, 9))
+    np.add.at(x, (np.repeat(np.arange(8), lengths), at), w)
+    assert np.allclose(features._product(q, at, w, start), x @ q)
+    y = rng.normal(size=(8, 3))
+    assert np.allclose(features._back(y, at, w, start, np.zeros((9, 3))), x.T @ y)
+    assert np.isclose((features._merged(at, w, start) ** 2).sum(), (x**2).sum())
+
+
 def test_embedding_of_nothing_and_of_nulls(spark):
     rows = spark.createDataFrame([(0, [1.0, 2.0]), (1, None), (2, [3.0, 1.0]), (3, [0.0, 5.0])], "row_idx long, z array<double>")
     state = features.fit_embedding(rows, method="pca", dimensions=2)
