@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from nichewright import views
 from nichewright.functions.portable import uniform_sql
-from nichewright.operators import assignment, clustering, features, graphs, measures, metrics, neighbors, pooling, structures, transport
+from nichewright.operators import assignment, clustering, features, graphs, measures, metrics, neighbors, plots, pooling, structures, transport
 from nichewright.plans.storage import materialise
 from nichewright.views import POINT_RADIUS, RADIUS, TRANSPORT_RADIUS, Z, cells, counts, labels, points, table, vectors, with_views
 
@@ -783,4 +783,12 @@ def niche_colors(spark, d):
     return spark.createDataFrame(list(assignment.label_colors([*names, "ON12"]).items()), "niche string, color string")
 
 
+GRID, GRID_LEVELS = 4.0, 5
+
+
+@query(with_views("cells labels_") + " UNION ALL ".join(f"SELECT {n} AS level, sample_id, CAST(floor(x / {GRID}::DOUBLE) AS BIGINT) >> {n} AS tx, CAST(floor(y / {GRID}::DOUBLE) AS BIGINT) >> {n} AS ty, niche, COUNT(*) AS cells FROM cells JOIN labels_ USING (row_idx) GROUP BY ALL" for n in range(GRID_LEVELS)))
+def niche_grid(spark, d):
+    return plots.niche_grid(cells(spark, d).join(labels(spark, d), "row_idx"), GRID, GRID_LEVELS)
+
+
 __all__ = ["ORACLE_SQL", "QUERIES", "views"]

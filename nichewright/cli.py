@@ -1,4 +1,4 @@
-"""Command line: ``python -m nichewright fit | landmark | rough-fine | assign | pool-inputs | prepare-inputs | distribute-prepared-inputs``."""
+"""Command line: ``python -m nichewright fit | landmark | rough-fine | assign | pool-inputs | prepare-inputs | distribute-prepared-inputs | align-external``."""
 
 from __future__ import annotations
 
@@ -58,11 +58,13 @@ def build_parser() -> argparse.ArgumentParser:
     pool = commands.add_parser("pool-inputs")
     prepare = commands.add_parser("prepare-inputs")
     distribute = commands.add_parser("distribute-prepared-inputs")
-    for p in (pool, prepare, distribute):
+    align = commands.add_parser("align-external", help="features of a bundle from a table (source_file, cell_id, z)")
+    for p in (pool, prepare, distribute, align):
         p.add_argument("--input", required=True)
         p.add_argument("--output", required=True)
     for flag, default in (("--glob", "*.parquet"), ("--prefix", ""), ("--suffix", ""), ("--case", "preserve")):
         pool.add_argument(flag, default=default)
+    pool.add_argument("--key", default="cell_id", help="the column that names a cell within its sample")
     pool.add_argument("--layout-columns", type=int)
     pool.add_argument("--layout-gap", type=float)
     prepare.add_argument("--overwrite", action="store_true")
@@ -71,6 +73,8 @@ def build_parser() -> argparse.ArgumentParser:
     distribute.add_argument("--sources", help="directory of the source files; without it rows are matched by row_idx")
     distribute.add_argument("--glob", default="*.parquet")
     distribute.add_argument("--overwrite", action="store_true")
+    align.add_argument("--external", required=True)
+    align.add_argument("--dimensions", type=int, help="the length that every vector must have")
     return parser
 
 
@@ -144,11 +148,22 @@ def _pool(spark: SparkSession, args) -> dict:
     rows = pooling.read_samples(spark, args.input, args.glob, args.prefix, args.suffix, args.case)
     if args.genes:
         pooling.check_genes(pooling.read_samples(spark, args.genes))
+    rows = pooling.tagged(rows, F.col("sample_id"), key=args.key)
+    if (twice := pooling.repeated_ids(rows).first()) is not None:
+        raise ValueError(f"{twice['count']} rows are called {twice['pooled_id']}")
     layout = pooling.tile_layout(pooling.sample_summary(rows), columns=args.layout_columns, gap=args.layout_gap)
     bundle.write_bundle({"cells": pooling.translate(rows, layout), "samples": layout}, args.output)
     return {"samples": layout.count()}
 
 
+def _align(spark: SparkSession, args) -> dict:
+    """The table features (row_idx, z) of a bundle from vectors that another program made, by file and cell."""
+    cells = bundle.read_bundle(spark, args.input, ("cells",), {"cells": ("row_idx", "source_file", "cell_id")})["cells"]
+    aligned = bundle.align_external(cells, spark.read.parquet(args.external), dimensions=args.dimensions)
+    bundle.write_table(aligned.select("row_idx", "z"), f"{args.output}/features")
+    return {"rows": spark.read.parquet(f"{args.output}/features").count()}
+
+
 def _prepare(spark: SparkSession, args) -> dict:
     """Features (row_idx, z) of the table counts (row_idx, gene, value); reused while the request stays the same."""
     request = features.svd_request()
@@ -189,7 +204,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     args = build_parser().parse_args(argv)
     logging.basicConfig(level=logging.INFO, format="%(asctime)s %(name)s %(message)s")
     spark = spark or SparkSession.builder.appName("nichewright").getOrCreate()
-    step = {"pool-inputs": _pool, "prepare-inputs": _prepare, "distribute-prepared-inputs": _distribute, "assign": _assign}.get(args.command, _fit)
+    step = {"pool-inputs": _pool, "prepare-inputs": _prepare, "distribute-prepared-inputs": _distribute, "align-external": _align, "assign": _assign}.get(args.command, _fit)
     print(json.dumps(bundle.plain(step(spark, args)), sort_keys=True))
     return 0
 

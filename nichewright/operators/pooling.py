@@ -36,11 +36,26 @@ def pool(samples: list[tuple[str, DataFrame]], x: str = "x", y: str = "y", key:
     """All rows of named samples under one schema, with sample_id, the original coordinates and a unique ``{sample}:{key}``."""
     if not samples:
         raise ValueError("nothing to pool")
+    parts = []
     for name, rows in samples:
-        if lacking := [c for c in (x, y, key, *required) if c not in rows.columns]:
-            raise KeyError(f"sample {name} lacks {', '.join(lacking)}")
-    tagged = [rows.withColumns({"sample_id": F.lit(name), f"original_{x}": F.col(x), f"original_{y}": F.col(y), "pooled_id": F.concat(F.lit(f"{name}:"), F.col(key).cast("string"))}) for name, rows in samples]
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
+        try:
+            parts.append(tagged(rows, F.lit(name), x, y, key, required))
+        except KeyError as error:
+            raise KeyError(f"sample {name}: {error.args[0]}") from error
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def tagged(rows: DataFrame, sample: Column, x: str = "x", y: str = "y", key: str = "cell_id", required: tuple[str, ...] = ()) -> DataFrame:
+    """The rows with sample_id, their coordinates as they came, and a unique ``{sample}:{key}``; a column that lacks raises KeyError."""
+    if lacking := [c for c in (x, y, key, *required) if c not in rows.columns]:
+        raise KeyError(f"the rows lack {', '.join(lacking)}")
+    pooled = F.concat(sample.cast("string"), F.lit(":"), F.col(key).cast("string"))
+    return rows.withColumns({"sample_id": sample, f"original_{x}": F.col(x), f"original_{y}": F.col(y), "pooled_id": pooled})
+
+
+def repeated_ids(rows: DataFrame) -> DataFrame:
+    """(pooled_id, count) of ids that more than one row has, or that are null."""
+    return rows.groupBy("pooled_id").count().where("count > 1 OR pooled_id IS NULL")
 
 
 def check_genes(genes: DataFrame) -> DataFrame:
@@ -128,8 +143,3 @@ def violations(pooled: DataFrame, sources: DataFrame, keys: tuple[str, ...]) ->
     missing = sources.join(pooled, list(keys), "left_anti").select(*keys, F.lit("missing").alias("problem"))
     twice = [df.groupBy(*keys).count().where("count > 1").select(*keys, F.lit(f"repeated in {name}").alias("problem")) for name, df in (("pooled", pooled), ("source", sources))]
     return reduce(DataFrame.unionByName, twice, missing)
-
-
-def reusable(request: dict, stored: dict | None) -> bool:
-    """Whether a cached result answers a request: every value that was asked for is the stored one."""
-    return stored is not None and all(stored.get(k) == v for k, v in request.items())

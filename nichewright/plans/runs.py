@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from nichewright.config import DISTANCES, KERNELS, METHODS, NicheConfig, canonical
 from nichewright.functions import kernels
-from nichewright.operators import assignment, clustering, graphs, measures, metrics, neighbors, structures, transport
+from nichewright.operators import assignment, clustering, graphs, measures, metrics, neighbors, plots, structures, transport
 from nichewright.plans import restart
 from nichewright.plans.storage import materialise
 
@@ -133,6 +133,7 @@ def fit(cells: DataFrame, vectors: DataFrame, config: NicheConfig, states: DataF
     out = out.withColumn("ot_niche", F.concat(F.lit("ON"), F.col("ot_niche_int").cast("string")))
     medoids = metrics.medoids(both, labels)
     run = Run({"cells": materialise(out, "cells"), "distance": distance, "affinity": graphs.knn_affinity(both, config.knn, config.affinity), "labels": labels, "medoids": medoids, "measures": packed})
+    run.tables["plot_grid"] = plots.niche_grid(run.tables["cells"], config.radius, niche="ot_niche_int")
     if selection is not None:
         run.tables["selection"] = selection
     sizes = metrics.size_summary(labels).first().asDict()
