@@ -495,16 +495,27 @@ def medoid_assignment_unknown(spark, d):
     return rounded(assignment.assign_by_medoids(*_cross(spark, d), threshold=0.2))
 
 
-@query("SELECT * FROM (VALUES (6, 21::BIGINT, 945::BIGINT, 1134::BIGINT, 1890::BIGINT, 200::BIGINT, 24000::BIGINT)) t(n, pairs, work, structure_work, sinkhorn_work, cross_pairs, cross_work)")
+SIZES = f"sizes AS (SELECT sample_id, COUNT(*) AS n, max(support) AS support FROM (SELECT row_idx, sample_id, COUNT(neighbor) + 1 AS support FROM cells LEFT JOIN edges USING (row_idx) GROUP BY 1, 2) GROUP BY 1)"
+
+
+def _sizes(spark, d) -> DataFrame:
+    """Cells and the largest support of each sample."""
+    own = cells(spark, d)
+    full = neighbors.neighbor_counts(own, neighbors.radius_edges(own, RADIUS))
+    return own.join(full, "row_idx").groupBy("sample_id").agg(F.count("*").alias("n"), (F.max("n_neighbors") + 1).alias("support"))
+
+
+@query(with_views("edges", SIZES) + "SELECT sample_id, n, support, n * (n + 1) // 2 AS pairs, n * (n + 1) // 2 * support * support * support * 2 AS structure_work, n * (n + 1) // 2 * support * support * 10 AS sinkhorn_work, n * (n + 1) // 2 * (support * support * support * 2 + support * support * 10) AS work FROM sizes")
 def work_estimates(spark, d):
-    own, fgw, cross = transport.pairwise_work(6, 3, 5), transport.pairwise_work(6, 3, 5, 2), transport.cross_work(10, 20, 4, 5, 6)
-    return spark.createDataFrame([(6, own["pairs"], own["work"], fgw["structure_work"], fgw["sinkhorn_work"], cross["pairs"], cross["work"])], "n int, pairs long, work long, structure_work long, sinkhorn_work long, cross_pairs long, cross_work long")
+    """What fused distances of five sweeps and two rounds would take in each sample."""
+    return transport.planned(_sizes(spark, d), sweeps=5, rounds=2).drop("block")
 
 
-@query("SELECT s AS support, r AS requested, CAST(CASE WHEN r <= 0 THEN m ELSE greatest(1, least(r, m)) END AS INTEGER) AS block FROM (SELECT s, r, CAST(floor(sqrt(1073741824.0::DOUBLE / (4 * s * s * 4))) AS BIGINT) AS m FROM (VALUES (9), (33), (101)) a(s) CROSS JOIN (VALUES (0), (64), (100000)) b(r))")
+@query(with_views("edges", SIZES) + "SELECT sample_id, support, least(r, greatest(1, CAST(floor(sqrt(1073741824.0::DOUBLE / (4 * support * support * 4))) AS BIGINT))) AS block, r::INTEGER AS requested FROM sizes CROSS JOIN (VALUES (64), (100000)) b(r)")
 def block_size_choice(spark, d):
-    rows = [(s, r, transport.block_size(s, r, 1.0)) for s in (9, 33, 101) for r in (0, 64, 100000)]
-    return spark.createDataFrame(rows, "support int, requested int, block int")
+    sizes = _sizes(spark, d)
+    made = [transport.planned(sizes, 5, block=r).select("sample_id", "support", "block", F.lit(r).alias("requested")) for r in (64, 100_000)]
+    return made[0].unionByName(made[1])
 
 
 # Graphs and metrics over squared distances of the whole table --------------------------------------------------------------

@@ -51,6 +51,17 @@ def block_size(support: int, requested: int, memory_gib: float | None = None, fg
     return most if requested <= 0 else max(1, min(requested, most))
 
 
+def planned(sizes: DataFrame, sweeps: int, rounds: int = 0, block: int = 0, memory_gib: float = 1.0) -> DataFrame:
+    """The rows (sample_id, n, support) with what all pairs of each sample would take: pairs, work (as ``pairwise_work``) and block size."""
+    n, m = F.col("n").cast("long"), F.col("support").cast("long")
+    pairs = F.floor(n * (n + 1) / 2)
+    sinkhorn = pairs * m * m * (sweeps * max(rounds, 1))
+    structure = pairs * m * m * m * rounds
+    most = F.greatest(F.lit(1), F.floor(F.sqrt(F.lit(memory_gib * 1024**3) / ((12 if rounds else 4) * m * m * 4))))
+    held = most if block <= 0 else F.least(F.lit(block).cast("long"), most)
+    return sizes.select("sample_id", n.alias("n"), m.alias("support"), pairs.alias("pairs"), structure.alias("structure_work"), sinkhorn.alias("sinkhorn_work"), (structure + sinkhorn).alias("work"), held.alias("block"))
+
+
 def feasibility(n: int, support: int, sweeps: int, rounds: int, pairs_per_second: float) -> dict[str, float]:
     """What an exact run would take: work, size of the dense result and days at a given rate."""
     work = pairwise_work(n, support, sweeps, rounds)

@@ -212,6 +212,14 @@ def test_guards_and_estimates():
         NicheConfig(radius=0)
 
 
+def test_work_by_sample_equals_the_estimates(spark):
+    sizes = spark.createDataFrame([("a", 7, 3), ("b", 1, 1), (None, 40, 9)], "sample_id string, n long, support long")
+    for rounds in (0, 4):
+        for r in transport.planned(sizes, 6, rounds, block=500, memory_gib=0.001).collect():
+            want = transport.pairwise_work(r.n, r.support, 6, rounds)
+            assert (r.pairs, r.work) == (want["pairs"], want["work"]) and r.block == transport.block_size(r.support, 500, 0.001, rounds > 0)
+
+
 def test_integer_lists():
     assert parse_int_list("2:4") == (2, 3, 4) and parse_int_list("12-9") == (12, 11, 10, 9) and parse_int_list("3,11:12") == (3, 11, 12) and parse_int_list("7") == (7,)
 
