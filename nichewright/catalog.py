@@ -436,7 +436,20 @@ def transport_knn(spark, d):
     return graphs.knn(transport.mirrored(rounded(transport.distances(_measures(spark, d), mode="debiased", **KERNEL))), 3)
 
 
-@query()
+def _convergence_sql(sweeps: int, rows: int = 32) -> str:
+    """Marginal errors among the rows with the least hash; every sweep is a table of its own."""
+    pairs = "SELECT a.row_idx AS p, b.row_idx AS q FROM drawn a JOIN drawn b ON a.row_idx < b.row_idx"
+    steps = [s if " AS MATERIALIZED " in s else s.replace(" AS (", " AS MATERIALIZED (", 1) for s in _sinkhorn_sql(pairs, sweeps)]
+    return with_views(
+        "near zs",
+        f"drawn AS MATERIALIZED (SELECT row_idx FROM cells ORDER BY {uniform_sql(1337, 'row_idx')}, row_idx LIMIT {rows})",
+        *steps,
+        "sides AS (SELECT p, q, abs(SUM(mass) - max(ma)) AS e FROM plan GROUP BY p, q, l UNION ALL SELECT p, q, abs(SUM(mass) - max(mb)) FROM plan GROUP BY p, q, r)",
+        "worst AS (SELECT p, q, max(e) AS e FROM sides GROUP BY p, q)",
+    ) + f"SELECT COUNT(*) AS pairs, {s6('avg(e)')} AS mean_error, {s6('max(e)')} AS max_error FROM worst"
+
+
+@query(_convergence_sql(120))
 def convergence_sample(spark, d):
     return rounded(transport.convergence_sample(_measures(spark, d), epsilon=EPSILON, sweeps=120))
 
@@ -704,7 +717,33 @@ def agglomerative_labels(spark, d):
     return clustering.agglomerate(transport.squared_euclidean(vectors(spark, d)), labels(spark, d), (6, 10))
 
 
-@query()
+def _selection_sql() -> str:
+    """The four default scores of every labelling in ``fits``, and their ranks."""
+    names = ("silhouette", "calinski_harabasz", "davies_bouldin", "percentile_dunn")
+    ranks = ", ".join(f"CAST(row_number() OVER (ORDER BY CASE WHEN isnan({n}) THEN NULL ELSE {n} END DESC NULLS LAST, k) AS INTEGER) AS rank_{n}" for n in names)
+    return with_views(
+        "dist",
+        *_linkage_sql((4, 6, 8, 10, 12)),
+        "pk AS MATERIALIZED (SELECT a.k, d.i, d.j, d.cost, a.niche AS li, b.niche AS lj FROM dist d JOIN fits a ON a.row_idx = d.i JOIN fits b ON b.row_idx = d.j AND b.k = a.k)",
+        "sz AS MATERIALIZED (SELECT k, niche, COUNT(*) AS size FROM fits GROUP BY 1, 2)",
+        "tt AS (SELECT k, i, li, lj, avg(cost) AS mean FROM pk GROUP BY 1, 2, 3, 4)",
+        "means AS (SELECT k, i, max(CASE WHEN li = lj THEN mean END) AS own, min(CASE WHEN li <> lj THEN mean END) AS other FROM tt GROUP BY 1, 2)",
+        "m1 AS (SELECT k, avg(CASE WHEN own IS NULL OR greatest(own, other) = 0 THEN 0 ELSE (other - own) / greatest(own, other) END) AS silhouette FROM means GROUP BY k)",
+        "ins AS (SELECT k, li AS niche, SUM(cost * cost) AS s FROM pk WHERE li = lj GROUP BY 1, 2)",
+        "w2 AS (SELECT k, SUM(COALESCE(s, 0) / (2 * size)) AS within, SUM(size) AS n, COUNT(*) AS q FROM sz LEFT JOIN ins USING (k, niche) GROUP BY k)",
+        "m2 AS (SELECT k, (greatest(a / (2 * n) - within, 0) / (q - 1)) / greatest(within / (n - q), 1e-12) AS calinski_harabasz FROM w2 JOIN (SELECT k, SUM(cost * cost) AS a FROM pk GROUP BY k) USING (k))",
+        "inn AS (SELECT k, i, SUM(cost) AS total FROM pk WHERE li = lj GROUP BY 1, 2)",
+        "med AS MATERIALIZED (SELECT f.k, f.niche, arg_min(f.row_idx, (COALESCE(total, 0), f.row_idx)) AS medoid FROM fits f LEFT JOIN inn ON inn.k = f.k AND i = f.row_idx GROUP BY 1, 2)",
+        "sp AS (SELECT f.k, f.niche, max(medoid) AS medoid, SUM(COALESCE(cost, 0)) / COUNT(*) AS s FROM fits f JOIN med m ON m.k = f.k AND m.niche = f.niche LEFT JOIN dist ON i = f.row_idx AND j = medoid GROUP BY 1, 2)",
+        "ra AS (SELECT x.k, x.niche, max(CASE WHEN cost <= 1e-12 THEN 'inf'::DOUBLE ELSE (x.s + y.s) / cost END) AS worst FROM sp x JOIN sp y ON x.k = y.k AND x.niche <> y.niche JOIN dist ON i = x.medoid AND j = y.medoid GROUP BY 1, 2)",
+        "m3 AS (SELECT k, -avg(worst) AS davies_bouldin FROM ra GROUP BY k)",
+        "m4 AS (SELECT k, quantile_cont(cost, 0.05) FILTER (li <> lj) / greatest(quantile_cont(cost, 0.95) FILTER (li = lj), 1e-12) AS percentile_dunn FROM pk WHERE i < j GROUP BY k)",
+        f"scored AS (SELECT *, {ranks} FROM m1 JOIN m2 USING (k) JOIN m3 USING (k) JOIN m4 USING (k))",
+        f"ranked AS (SELECT *, ({' + '.join(f'rank_{n}' for n in names)}) / 4.0::DOUBLE AS mean_rank FROM scored)",
+    ) + f"SELECT k, {', '.join(f'{s6(n)} AS {n}' for n in names)}, {', '.join(f'rank_{n}' for n in names)}, {s6('mean_rank')} AS mean_rank, row_number() OVER (ORDER BY mean_rank, k) = 1 AS best FROM ranked"
+
+
+@query(_selection_sql())
 def model_selection(spark, d):
     return rounded(clustering.select_model(_distance(spark, d), labels(spark, d), (4, 6, 8, 10, 12))[0])
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from nichewright.config import DISTANCES, canonical
 from nichewright.functions import kernels
-from nichewright.functions.portable import least_drawn, squared_distance
+from nichewright.functions.portable import least_drawn, squared_distance, uniform
 
 #: Elements of the largest array a task makes at once.
 BATCH = 1 << 18
@@ -262,9 +262,9 @@ def squared_euclidean(vectors: DataFrame, block: int = 512) -> DataFrame:
     return _pairs(rows, rows, n, n, True).mapInArrow(run, "i long, j long, cost double")
 
 
-def convergence_sample(packed: DataFrame, epsilon: float = 0.05, sweeps: int = 50, rows: int = 32) -> DataFrame:
+def convergence_sample(packed: DataFrame, epsilon: float = 0.05, sweeps: int = 50, rows: int = 32, seed: int = 1337) -> DataFrame:
     """One row (pairs, mean_error, max_error): marginal errors among the ``rows`` measures with the least hash of their id."""
-    drawn = packed.withColumn("u", F.xxhash64("row_idx") / F.lit(2.0**64) + 0.5)
+    drawn = packed.withColumn("u", uniform(seed, F.col("row_idx")))
     chosen = least_drawn(drawn, "u", ["row_idx"], rows).drop("u")
     errors = pair_costs(chosen, measure="error", epsilon=epsilon, sweeps=sweeps)
     return errors.agg(F.count("*").alias("pairs"), F.avg("cost").alias("mean_error"), F.max("cost").alias("max_error"))
