@@ -806,7 +806,29 @@ def state_labels(spark, d):
     return measures.state_labels(vectors(spark, d), 6)
 
 
-@query()
+def _rough_sql(k: int, rounds: int = 10) -> str:
+    """k-means within each sample from its rows of the least hash, the rounds unrolled over one row for each cell and dimension."""
+    columns = [*((f"z{z}", 1.0) for z in Z), ("x", 0.25**0.5), ("y", 0.25**0.5), ("ln(1.0::DOUBLE + n)", 0.1**0.5)]
+    long = " UNION ALL ".join(f"SELECT row_idx, sample_id, {i} AS i, {c} AS v, {w!r}::DOUBLE AS w FROM full_" for i, (c, w) in enumerate(columns))
+    out = [
+        "full_ AS MATERIALIZED (SELECT c.*, z.* EXCLUDE (row_idx), n FROM cells c JOIN zs z USING (row_idx) JOIN (SELECT row_idx, COUNT(neighbor) AS n FROM cells LEFT JOIN edges USING (row_idx) GROUP BY 1) USING (row_idx))",
+        f"raw AS MATERIALIZED ({long})",
+        "stats AS (SELECT sample_id, i, avg(v) AS mean, stddev_pop(v) AS sd FROM raw GROUP BY 1, 2)",
+        "f AS MATERIALIZED (SELECT row_idx, sample_id, i, (v - mean) * (w / CASE WHEN sd > 1e-8 THEN sd ELSE 1 END) AS v FROM raw JOIN stats USING (sample_id, i))",
+        f"h AS (SELECT row_idx, row_number() OVER (PARTITION BY sample_id ORDER BY {uniform_sql(1337, 'row_idx')}, row_idx) - 1 AS c FROM cells)",
+        f"c0 AS MATERIALIZED (SELECT sample_id, c, i, v FROM f JOIN h USING (row_idx) WHERE c < {k})",
+    ]
+    for n in range(rounds + 1):
+        out.append(f"d{n} AS (SELECT row_idx, f.sample_id, c, SUM((f.v - c.v) * (f.v - c.v)) AS d FROM f JOIN c{n} c USING (sample_id, i) GROUP BY 1, 2, 3)")
+        out.append(f"a{n} AS MATERIALIZED (SELECT row_idx, sample_id, arg_min(c, (d, c)) AS c, min(d) AS d FROM d{n} GROUP BY 1, 2)")
+        if n < rounds:
+            out.append(f"m{n} AS (SELECT sample_id, c, i, avg(v) AS v FROM f JOIN a{n} USING (row_idx, sample_id) GROUP BY 1, 2, 3)")
+            out.append(f"c{n + 1} AS MATERIALIZED (SELECT o.sample_id, o.c, o.i, COALESCE(m.v, o.v) AS v FROM c{n} o LEFT JOIN m{n} m USING (sample_id, c, i))")
+    out.append(f"rep AS (SELECT sample_id, c, arg_min(row_idx, (round(d, 9), row_idx)) AS representative FROM a{rounds} GROUP BY 1, 2)")
+    return with_views("edges zs", *out) + f"SELECT row_idx, sample_id, CAST(c AS INTEGER) AS rough, representative FROM a{rounds} JOIN rep USING (sample_id, c)"
+
+
+@query(_rough_sql(5))
 def rough_representatives(spark, d):
     own = cells(spark, d)
     full = own.join(vectors(spark, d), "row_idx").join(neighbors.neighbor_counts(own, neighbors.radius_edges(own, RADIUS)), "row_idx")
