@@ -13,6 +13,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from nichewright.plans.storage import discard
+
 log = logging.getLogger("jobs")
 
 
@@ -64,4 +66,5 @@ def main(run: Callable[..., dict], kind: type, argv: list[str] | None, **options
         own = settings(spark, kind, args.pop("config"))
         log.info("done: %s", json.dumps(run(spark, args.pop("input"), args.pop("output"), own, **args)))
     finally:
+        log.info("%d work folders removed", discard(spark))
         spark.stop()

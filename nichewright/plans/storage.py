@@ -10,10 +10,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: The work folders of this process.
+_made: list[str] = []
+
+
 def work_dir(spark: SparkSession, label: str) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``, which driver and executors share.
+    """A fresh folder below ``spark.checkpoint.dir``, which driver and executors share; ``discard`` removes it.
 
-    Where the setting is missing a folder of this machine is set in local mode (tests, a laptop); a cluster's executors don't share
+    Where the setting is missing a folder of this machine is taken in local mode (tests, a laptop); a cluster's executors don't share
     one, so there it is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -21,8 +25,21 @@ def work_dir(spark: SparkSession, label: str) -> str:
         if not spark.conf.get("spark.master", "local").startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = f"file://{os.path.join(tempfile.gettempdir(), 'checkpoints', 'nichewright')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _made.append(f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def discard(spark: SparkSession) -> int:
+    """Removes the work folders that this process has made so far, and returns how many there were.
+
+    Tables that are still read from them are lost, so it's for the end of a command, when its output is written.
+    """
+    gone = 0
+    for path in _made:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        gone += place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    _made.clear()
+    return gone
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:

@@ -1,7 +1,9 @@
 import random
+from pathlib import Path
 
 import pytest
 from nichewright.operators.components import connected_components
+from nichewright.plans import storage
 
 
 def brute(edges):
@@ -23,3 +25,11 @@ def brute(edges):
 def test_components(spark, edges):
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == brute(edges)
+
+
+def test_work_folders_go_when_a_command_ends(spark, monkeypatch):
+    monkeypatch.setattr(storage, "_made", [])
+    table = storage.materialise(spark.range(3), "gone")
+    place = Path(storage._made[0].removeprefix("file://"))
+    assert table.count() == 3 and place.exists() and place.parent == Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    assert storage.discard(spark) == 1 and not place.exists() and storage.discard(spark) == 0
