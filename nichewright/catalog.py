@@ -255,7 +255,7 @@ def component_scales_dimension(spark, d):
         f"placed AS (SELECT at_ // 2 AS pair, at_ % 2 AS side, dx / {RADIUS} AS rx, dy / {RADIUS} AS ry, distance / {RADIUS} AS rr, z.* FROM chosen c JOIN zs z ON z.row_idx = c.neighbor WHERE at_ < 2000)",
         "costs AS (SELECT " + " + ".join(f"(a.z{k} - b.z{k}) * (a.z{k} - b.z{k})" for k in Z) + " AS zc, (a.rx - b.rx) * (a.rx - b.rx) + (a.ry - b.ry) * (a.ry - b.ry) AS xc, (a.rr - b.rr) * (a.rr - b.rr) AS rc FROM placed a JOIN placed b ON a.pair = b.pair AND a.side = 0 AND b.side = 1)",
     )
-    + "SELECT " + ", ".join(f"{s6(f'COALESCE(greatest(median({c}) FILTER ({c} > 0), 1e-8), 1.0::DOUBLE)')} AS {n}" for c, n in (("zc", "z_scale"), ("xc", "xy_scale"), ("rc", "r_scale"))) + " FROM costs"
+    + "SELECT " + ", ".join(f"{s6(f'greatest(COALESCE(median({c}) FILTER ({c} > 0), 1.0::DOUBLE), 1e-8)')} AS {n}" for c, n in (("zc", "z_scale"), ("xc", "xy_scale"), ("rc", "r_scale"))) + " FROM costs"
 )
 def component_scales_sampled_median(spark, d):
     return rounded(measures.sampled_scales(_tokens(spark, d), pairs=1000, seed=1337))
@@ -354,7 +354,7 @@ def structure_diagnostics(spark, d):
         f"c AS (SELECT *, row_number() OVER (ORDER BY {uniform_sql(1337, 'row_idx', '(i * 4096 + j)')}, row_idx, i, j) - 1 AS place FROM v)",
         "g AS (SELECT place // 2 AS pair, COUNT(*) AS n, max(value) - min(value) AS gap FROM c WHERE place < 2000 GROUP BY 1)",
     )
-    + f"SELECT {s6('COALESCE(greatest(median(gap * gap) FILTER (n = 2 AND gap > 0), 1e-8), 1.0::DOUBLE)')} AS scale FROM g"
+    + f"SELECT {s6('greatest(COALESCE(median(gap * gap) FILTER (n = 2 AND gap > 0), 1.0::DOUBLE), 1e-8)')} AS scale FROM g"
 )
 def structure_cost_scale(spark, d):
     return rounded(structures.structure_scale(structures.packed_structures(_packed(spark, d), "complete_euclidean"), pairs=1000))

@@ -1,4 +1,8 @@
-"""kNN graphs over a distance relation, their affinities, and connected instances of labels."""
+"""kNN graphs over a distance relation, their affinities, and connected instances of labels.
+
+Cases: ties go by id; rows with fewer than k neighbors keep them all; distances of 0 don't make a scale; a null label joins no instance
+with another row; an empty table gives an empty result; further columns are ignored.
+"""
 
 from __future__ import annotations
 

@@ -133,7 +133,7 @@ def sampled_scales(token_rows: DataFrame, pairs: int, seed: int) -> DataFrame:
     both = side(0, "a").join(side(1, "b"), "pair")
     sq = lambda c: (F.col(f"{c}a") - F.col(f"{c}b")) * (F.col(f"{c}a") - F.col(f"{c}b"))
     costs = {"z_scale": squared_distance(F.col("za"), F.col("zb")), "xy_scale": sq("rx") + sq("ry"), "r_scale": sq("rr")}
-    return both.select(*(c.alias(n) for n, c in costs.items())).agg(*(F.coalesce(F.greatest(F.median(F.when(F.col(n) > 0, F.col(n))), F.lit(1e-8)), F.lit(1.0)).alias(n) for n in costs))
+    return both.select(*(c.alias(n) for n, c in costs.items())).agg(*(F.greatest(F.coalesce(F.median(F.when(F.col(n) > 0, F.col(n))), F.lit(1.0)), F.lit(1e-8)).alias(n) for n in costs))
 
 
 #: What a token holds for the distance kernels.

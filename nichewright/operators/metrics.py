@@ -2,6 +2,9 @@
 
 ``distance`` is (i, j, cost) in both directions without the diagonal; ``labels`` is (row_idx, niche).  Several labellings can be scored in
 one job by columns ``by`` that both relations of a call share through ``labels``.  Scores that the labelling doesn't allow are null.
+
+Cases: ids are unique within a labelling; distances of rows without a label are left out; singletons score 0; ties go by id; an empty
+table gives no row, or nulls where a score is one row; further columns are ignored.
 """
 
 from __future__ import annotations

@@ -3,6 +3,9 @@
 Rows are grouped into blocks by a hash of their id.  A block meets another in an equi-join on the pair of block numbers, and a task
 computes the pairs of two blocks in NumPy.  A pair is computed once, from the smaller id to the larger, since a fixed number of sweeps
 isn't symmetric; results so don't depend on blocks or partitions.
+
+Cases: a measure has one token at least, and its masses and tokens hold no nulls; equal measures have the costs that their plans
+have; ids are taken to be unique; fewer than two rows give no pairs, an empty table none; further columns are ignored.
 """
 
 from __future__ import annotations

@@ -1,7 +1,9 @@
 """Empty tables give empty results, whose columns stay, and nulls take no part."""
 
 import pytest
-from nichewright.operators import assignment, clustering, components, features, graphs, measures, metrics, neighbors, pooling, structures, transport
+from nichewright.config import NicheConfig
+from nichewright.operators import assignment, clustering, components, features, graphs, measures, metrics, neighbors, plots, pooling, structures, transport
+from nichewright.plans import runs
 from pyspark.sql import functions as F
 
 CELLS = "row_idx long, sample_id string, x double, y double"
@@ -10,6 +12,8 @@ EDGES = "row_idx long, neighbor long, distance double, weight double, state int"
 LABELS = "row_idx long, niche int"
 PACKED = "row_idx long, m int, masses array<double>, tokens array<double>, structure array<double>"
 VECTORS = "row_idx long, z array<double>"
+SUPPORT = "row_idx long, neighbor long, distance double, weight double, mass double"
+TOKENS = f"{SUPPORT}, z array<double>, rx double, ry double, rr double"
 
 EMPTY = {
     "radius_edges": lambda t: neighbors.radius_edges(t(CELLS), 3.0),
@@ -41,6 +45,17 @@ EMPTY = {
     "assign_by_medoids": lambda t: assignment.assign_by_medoids(t(RELATION), t("medoid long, niche int")),
     "landmark_margin": lambda t: assignment.landmark_margin(t(RELATION)),
     "landmark_candidates": lambda t: assignment.landmark_candidates(t(VECTORS), t(VECTORS), 3),
+    "tokens": lambda t: measures.tokens(t(SUPPORT), t(CELLS), t(VECTORS), 3.0),
+    "scaled_tokens": lambda t: measures.scaled_tokens(t(TOKENS), (1.0, 1.0, 1.0), (1.0, 1.0, 1.0)),
+    "packed": lambda t: measures.packed(t("row_idx long, neighbor long, mass double, rx double, ry double, token array<double>")),
+    "kmedoids": lambda t: clustering.kmedoids(t(RELATION), t(LABELS).select("row_idx"), 3)[0],
+    "average_merges": lambda t: clustering.average_merges(t(RELATION), t(LABELS).select("row_idx")),
+    "community_edges": lambda t: clustering.community_edges(t("i long, j long, affinity double"), t(LABELS).select("row_idx")),
+    "distribute": lambda t: pooling.distribute(t("k long, f double"), t("k long"), ("k",)),
+    "tagged": lambda t: pooling.tagged(t("cell_id string, x double, y double"), F.lit("s")),
+    "planned": lambda t: transport.planned(t("sample_id string, n long, support long"), 5, 2),
+    "niche_grid": lambda t: plots.niche_grid(t("sample_id string, x double, y double, niche int"), 1.0, 2),
+    "sparse_column_stats": lambda t: features.sparse_column_stats(t("gene string, normalised double"), 0),
     "propagate": lambda t: assignment.propagate(t("row_idx long, representative long"), t(LABELS)),
 }
 
@@ -66,3 +81,13 @@ def test_null_vectors_take_no_part(spark):
     assert {(r.i, r.j) for r in transport.squared_euclidean(rows).collect()} == {(0, 2)}
     assert {r.row_idx for r in measures.state_labels(rows, 2).collect()} == {0, 2}
     assert features.column_stats(rows).where(F.col("mean").isNull()).count() == 0
+
+
+def test_scales_and_medoids_of_nothing(spark):
+    none = lambda schema: spark.createDataFrame([], schema)
+    assert tuple(measures.sampled_scales(none(TOKENS), 10, 1).first()) == (1.0, 1.0, 1.0)
+    assert structures.structure_scale(none("row_idx long, m int, structure array<double>"), 10).first()["scale"] == 1.0
+    assert clustering.farthest_first(none(RELATION), none("row_idx long"), 3) == []
+    for plan in (runs.fit, runs.fit_by_landmarks, runs.fit_rough_then_fine):
+        with pytest.raises(ValueError, match="no vectors"):
+            plan(none(CELLS), none(VECTORS), NicheConfig())
