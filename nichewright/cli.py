@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from nichewright.config import DISTANCES, OPTION_NAMES, NicheConfig, canonical, parse_float_list, parse_int_list, parse_string_list
 from nichewright.operators import features, pooling
 from nichewright.plans import runs
-from nichewright.plans.storage import discard, materialise
+from nichewright.plans.storage import discard, made, materialise
 from nichewright.sources import bundle
 
 _LISTS = {"candidates": parse_int_list, "weights": parse_float_list, "model_selection_metrics": parse_string_list, "candidate_resolutions": parse_float_list}
@@ -203,10 +203,10 @@ def _distribute(spark: SparkSession, args) -> dict:
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     args = build_parser().parse_args(argv)
     logging.basicConfig(level=logging.INFO, format="%(asctime)s %(name)s %(message)s")
-    spark = spark or SparkSession.builder.appName("nichewright").getOrCreate()
+    spark, earlier = spark or SparkSession.builder.appName("nichewright").getOrCreate(), made()
     step = {"pool-inputs": _pool, "prepare-inputs": _prepare, "distribute-prepared-inputs": _distribute, "align-external": _align, "assign": _assign}.get(args.command, _fit)
     print(json.dumps(bundle.plain(step(spark, args)), sort_keys=True))
-    _log.info("%d work folders removed", discard(spark))
+    _log.info("%d work folders removed", discard(spark, earlier))
     return 0
 
 

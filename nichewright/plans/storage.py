@@ -29,16 +29,21 @@ def work_dir(spark: SparkSession, label: str) -> str:
     return _made[-1]
 
 
-def discard(spark: SparkSession) -> int:
-    """Removes the work folders that this process has made so far, and returns how many there were.
+def made() -> int:
+    """How many work folders this process has made and not removed."""
+    return len(_made)
+
+
+def discard(spark: SparkSession, keep: int = 0) -> int:
+    """Removes the work folders that this process has made, but for the first ``keep``, and returns how many there were.
 
     Tables that are still read from them are lost, so it's for the end of a command, when its output is written.
     """
     gone = 0
-    for path in _made:
+    for path in _made[keep:]:
         place = spark._jvm.org.apache.hadoop.fs.Path(path)
         gone += place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-    _made.clear()
+    del _made[keep:]
     return gone
 
 

@@ -32,4 +32,5 @@ def test_work_folders_go_when_a_command_ends(spark, monkeypatch):
     table = storage.materialise(spark.range(3), "gone")
     place = Path(storage._made[0].removeprefix("file://"))
     assert table.count() == 3 and place.exists() and place.parent == Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    assert storage.discard(spark, keep=storage.made()) == 0 and place.exists()
     assert storage.discard(spark) == 1 and not place.exists() and storage.discard(spark) == 0
