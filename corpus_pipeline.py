@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nichewright.llm.dedup import drop_near_copies
@@ -44,13 +44,25 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixed_documents(docs, weights=(5, 2, 1), share=1.5, most_repeats=2)
 
 
-def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    try:  # the number of the file, which is that of the mixing stage's range partition, and the row in it
-        part = F.regexp_extract(docs["_metadata.file_name"], r"^part-(\d+)", 1).cast("long")
-        place = F.shiftleft(part, 40) + docs["_metadata.row_index"]
+def _training_place(docs: DataFrame) -> Column:
+    """A number that ascends in the order of the files that ``docs`` was read from, and of the rows in them.
+
+    A task of the mixing stage, which is a range of its order, writes ``part-<task>-<id>-c<file>``; 20, 12 and 31 bits hold the task,
+    its file and the row, and more of any is an error.  Files of other names come in the order of a hash of their names, and
+    rows that aren't read from files in that of the DataFrame's partitions.
+    """
+    try:
+        name, row = docs["_metadata.file_name"], docs["_metadata.row_index"]
     except AnalysisException:
-        place = F.monotonically_increasing_id()
-    placed = docs.withColumn("training_place", place)
+        return F.monotonically_increasing_id()
+    number = lambda group: F.regexp_extract(name, r"^part-(\d+)(?:.*-c(\d+))?", group).try_cast("long")
+    task, file = F.coalesce(number(1), F.crc32(name.cast("binary")) % (1 << 20)), F.coalesce(number(2), F.lit(0))
+    place = F.shiftleft(task, 43) + F.shiftleft(file, 31) + row
+    return F.when((task < 1 << 20) & (file < 1 << 12) & (row < 1 << 31), place).otherwise(F.raise_error(F.lit("too many files or rows for training places")))
+
+
+def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    placed = docs.withColumn("training_place", _training_place(docs))
     return encode_documents(placed, public_tokenizers.path("piece_bpe_32k.model"), dropout=0.1, copy=placed["training_place"])
 
 
