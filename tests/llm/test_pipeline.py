@@ -101,6 +101,21 @@ def test_training_order_stays(spark, folder, tmp_path):
     assert [r.doc_id for r in out.orderBy("training_place").collect()] == want and len(want) > 400
 
 
+def test_training_places_differ_where_a_task_writes_several_files(spark, folder, tmp_path):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    mixed = corpus_pipeline.mixing(spark, docs, folder)
+    mixed.write.option("maxRecordsPerFile", 20).parquet(f"{tmp_path}/mixed")
+    out = corpus_pipeline.pieces(spark, spark.read.parquet(f"{tmp_path}/mixed"), folder).orderBy("training_place").collect()
+    assert [r.doc_id for r in out] == [r.doc_id for r in mixed.collect()] and len({r.training_place for r in out}) == len(out)
+
+
+def test_pieces_of_files_of_any_name(spark, folder, tmp_path):
+    spark.read.parquet(f"{folder}/documents.parquet").coalesce(1).write.parquet(f"{tmp_path}/one")
+    file = next(tmp_path.glob("one/part-*.parquet"))
+    out = corpus_pipeline.pieces(spark, spark.read.parquet(f"file://{file.rename(tmp_path / 'documents.parquet')}"), folder).collect()
+    assert len({r.training_place for r in out}) == len(out) > 400
+
+
 def test_run_applies_all_stages(spark, folder):
     rows = corpus_pipeline.run(spark, folder).collect()
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "quality", "near_copies", "mixing", "pieces"]
