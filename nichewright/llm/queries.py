@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nichewright.llm import centroids, close_vectors, licenses, mixing, url_filter
+from nichewright.llm import ann, centroids, close_vectors, licenses, mixing, url_filter
 from nichewright.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,9 +41,7 @@ def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
-    from nichewright.llm.ann import nearest
-
-    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, F.col("embedding"), k=5)
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, F.col("embedding"), k=5)
 
 
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,4 +83,4 @@ def op12_close_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_files, op2_url_filter, op3_simhash, op4_pieces, op5_nearest, op6_licenses, op7_toxicity, op8_quality, op9_mixing, op10_minhash, op11_exponion, op12_close_vectors)}
-ORACLE_SQL: dict[str, str] = {"op2_url_filter": url_filter.oracle_sql(), "op6_licenses": licenses.oracle_sql(), "op9_mixing": mixing.oracle_sql(), "op11_exponion": centroids.oracle_sql(), "op12_close_vectors": close_vectors.oracle_sql()}
+ORACLE_SQL: dict[str, str] = {"op2_url_filter": url_filter.oracle_sql(), "op5_nearest": ann.oracle_sql(), "op6_licenses": licenses.oracle_sql(), "op9_mixing": mixing.oracle_sql(), "op11_exponion": centroids.oracle_sql(), "op12_close_vectors": close_vectors.oracle_sql()}

@@ -1,5 +1,6 @@
 import math
 
+import duckdb
 import numpy as np
 from nichewright.llm import ann
 from nichewright.llm.shared import table
@@ -47,10 +48,33 @@ def test_few_candidates_and_none(spark):
     assert check(spark, [(0, [1.0, 0.0])]) == {} and check(spark, []) == {} and check(spark, [(1, [1.0])] * 3) == {}
 
 
-def test_rows_that_share_an_id(spark):
+def test_rows_that_share_an_id_are_candidates_but_for_the_own_row(spark):
     rows = [(50, [1.0, 0.0]), (50, [0.0, 1.0]), (50, [0.0, 1.0]), (1, [1.0, 0.1]), (1, [0.1, 1.0]), (2, [1.0, 1.0])]
     got = sorted((i, round(s, 6)) for i, s in check(spark, rows, rerank=1, k=1)[50])
-    assert got == [(1, round(1 / 1.01**0.5, 6))] * 3
+    assert got == [(1, round(1 / 1.01**0.5, 6)), (50, 1.0), (50, 1.0)]
+
+
+def test_later_chunks_send_back_what_reaches_the_bound_only(spark):
+    rng = np.random.default_rng(8)
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(rng.normal(size=(3200, 8)).tolist())], "vec_id long, embedding array<double>")
+    index, model = ann.build_index(ann.usable(rows, F.col("embedding")), train_rows=500, books=4, size=16)
+    queries = index.where("vec_id % 100 = 0").select("row", "vec_id", "v")
+    whole, cut = (ann.candidates(index, queries, model, 20, chunk) for chunk in (1 << 20, 50))
+    assert sorted(whole.collect()) == sorted(cut.collect()) and whole.count() == 20 * 32
+    sent = {n: ann._searched(index, queries.withColumn("bound", F.lit(n)), model, 20, 64, range(8, 64)).count() for n in (float("-inf"), 2.0)}
+    assert sent == {float("-inf"): 20 * 32 * 56, 2.0: 0}
+    ahead = ann._searched(index, queries.withColumn("bound", F.lit(float("-inf"))), model, 20, 64, range(8))
+    bound = ahead.groupBy("asked").agg(F.sort_array(F.collect_list("approx"), False)[19].alias("bound"))
+    bounded = queries.join(bound.withColumnRenamed("asked", "row"), "row")
+    assert ann._searched(index, bounded, model, 20, 64, range(8, 64)).count() < 2 * 20 * 32 * 8
+
+
+def test_equals_its_sql(spark):
+    con = duckdb.connect()
+    con.execute("CREATE VIEW embeddings AS SELECT * FROM '/root/testdata/sf0.01/embeddings.parquet'")
+    want = con.execute(ann.oracle_sql()).fetchall()
+    got = ann.nearest(table(spark, "/root/testdata/sf0.01", "embeddings"), F.col("vec_id") % 50 == 0, F.col("embedding")).collect()
+    assert sorted(map(tuple, got)) == sorted(want) and len(want) == 50
 
 
 def test_components_of_any_size(spark):
