@@ -23,16 +23,35 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def _aside(spark: SparkSession, path: str) -> list:
+    """Tables that were moved aside from ``path`` and not deleted, the newest first."""
+    fs, p = _fs(spark, path)
+    if not fs.exists(p.getParent()):
+        return []
+    found = [f for f in fs.listStatus(p.getParent()) if f.getPath().getName().startswith(f"{p.getName()}.old-")]
+    return [f.getPath() for f in sorted(found, key=lambda f: -f.getModificationTime())]
+
+
+def table_path(spark: SparkSession, path: str) -> str | None:
+    """Where the table of ``path`` is: there, or aside if a writer stopped between its two renames; None if there is none."""
+    if exists(spark, path):
+        return path
+    return next((str(p.toString()) for p in _aside(spark, path)), None)
+
+
 def write_table(df: DataFrame, path: str, partition_by: tuple[str, ...] = (), compression: str = "zstd") -> None:
     """Replaces a table as a whole, which may be made from itself.
 
     It is written beside its place; the old table is moved aside, the new one takes its place, and only then the old one goes.  A
-    crash in between leaves the old table under ``<path>.old-...``; a failed rename puts it back.
+    crash in between leaves the old table under ``<path>.old-...``, where ``table_path`` finds it and from where the next writer puts
+    it back; a failed rename puts it back at once.  A table has one writer at a time.
     """
     spark, tag = df.sparkSession, uuid.uuid4().hex
-    df.write.option("compression", compression).partitionBy(*partition_by).parquet(f"{path}.new-{tag}")
     fs, place = _fs(spark, path)
+    df.write.option("compression", compression).partitionBy(*partition_by).parquet(f"{path}.new-{tag}")
     new, old = (spark._jvm.org.apache.hadoop.fs.Path(f"{path}.{kind}-{tag}") for kind in ("new", "old"))
+    if not fs.exists(place) and (aside := _aside(spark, path)):
+        fs.rename(aside[0], place)
     had = fs.exists(place)
     if had and not fs.rename(place, old):
         raise OSError(f"{path} can't be moved aside")
@@ -40,8 +59,8 @@ def write_table(df: DataFrame, path: str, partition_by: tuple[str, ...] = (), co
         if had:
             fs.rename(old, place)
         raise OSError(f"{path}.new-{tag} can't be renamed to {path}")
-    if had:
-        fs.delete(old, True)
+    for gone in _aside(spark, path):
+        fs.delete(gone, True)
 
 
 def write_bundle(tables: dict[str, DataFrame], path: str) -> None:
@@ -53,9 +72,9 @@ def read_bundle(spark: SparkSession, path: str, names: tuple[str, ...], required
     """The named tables; one that is missing, or lacks a required column, raises KeyError."""
     out = {}
     for name in names:
-        if not exists(spark, f"{path}/{name}"):
+        if (place := table_path(spark, f"{path}/{name}")) is None:
             raise KeyError(f"{path} has no table {name}")
-        out[name] = spark.read.parquet(f"{path}/{name}")
+        out[name] = spark.read.parquet(place)
         if lacking := set((required or {}).get(name, ())) - set(out[name].columns):
             raise KeyError(f"{name} lacks {', '.join(sorted(lacking))}")
     return out
