@@ -2,15 +2,18 @@
 
 A vector, scaled to length 1, is written as the sum of one word from each of several codebooks of full dimension.  Each codebook is
 fitted to what the ones before leave over, by k-means; encoding keeps the best ``beam`` partial sums from book to book.  The index
-holds a byte for each book and the length of the sum.  A search looks up the query's products with all words once, adds them by a
-row's bytes and divides by the stored length.  The ``rerank`` best rows of the whole index then get their exact cosine.
+holds a byte for each book, the length of the sum and the cosine of the vector and its sum.  A search looks up the query's products
+with all words once, adds them by a row's bytes and divides by the stored length.  The ``rerank`` best rows of the whole index then get
+their exact cosine.  The ``k``-th of these is a query's bound: a second pass over the codes lets go of each row that can't reach it, since
+the angle of query and vector differs from that of query and sum by that of vector and sum at most, and gives the others their
+exact cosine.  So the result is that of brute force for any data; how well words fit it decides how many rows are let go only.
 
 Scale: the codebooks are fitted to a sample of at most ``train_rows`` vectors; every vector is indexed and every row is scored for
 every query.  The index is a table in the shared folder, dealt into chunks of at most ``chunk`` rows; the queries go to every chunk,
 are scored there in small blocks, and send back at most ``rerank`` approximate scores a chunk.  With n chunks the first sqrt(n) are
 searched ahead of the others, which then send back only scores that are not below a query's ``rerank``-th best so far: about
-2 sqrt(n) times ``rerank`` candidates a query instead of n times, and the same result.  Neither rows nor queries pass the
-driver, and results depend on neither chunks, partitions nor batches.
+2 sqrt(n) times ``rerank`` candidates a query instead of n times, and the same result.  The second pass holds the vectors of a chunk
+too, 64 MB at most, and sends back ``k`` rows a query and chunk at most.  Neither rows nor queries pass the driver, and results depend on neither chunks, partitions nor batches.
 
 Cases: vectors that are null, zero, or hold null or non-finite components take no part, nor do rows with a null id or of another
 length than most; rows that share an id are indexed and asked each, and are each other's candidates; equal scores go by the smaller
@@ -95,9 +98,13 @@ def _matrix(column: pa.Array | pa.ChunkedArray, d: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, d).astype(np.float64)
 
 
-def _unit(x: np.ndarray) -> np.ndarray:
+def _unit64(x: np.ndarray) -> np.ndarray:
     x = x / np.abs(x).max(1, keepdims=True)
-    return (x / np.sqrt((x * x).sum(1, keepdims=True))).astype(np.float32)
+    return x / np.sqrt((x * x).sum(1, keepdims=True))
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    return _unit64(x).astype(np.float32)
 
 
 def cosine(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -121,7 +128,10 @@ def usable(vectors: DataFrame, vector: Column) -> DataFrame:
 
 
 def build_index(vectors: DataFrame, books: int = 16, size: int = 256, beam: int = 4, train_rows: int = 10_000) -> tuple[DataFrame, Codebooks | None]:
-    """The index (row, vec_id, v, codes, length) of usable rows, written to the shared folder, and its codebooks."""
+    """The index (row, vec_id, v, codes, length, fit) of usable rows, written to the shared folder, and its codebooks.
+
+    ``fit`` is the cosine of a vector and the sum of its words, -1 where that sum is too short to have a direction.
+    """
     draw = F.xxhash64("vec_id", "v")
     sample = vectors.where(draw < draw_edge(vectors.count(), train_rows)).orderBy(draw, "vec_id").limit(train_rows).select("v").toArrow()
     if not sample.num_rows:
@@ -133,11 +143,15 @@ def build_index(vectors: DataFrame, books: int = 16, size: int = 256, beam: int
         for batch in batches:
             for start in range(0, batch.num_rows, 1000):
                 piece = batch.slice(start, 1000)
-                codes, length = model.encode(_unit(_matrix(piece.column("v"), d)), beam)
-                yield pa.RecordBatch.from_arrays([piece.column("row"), piece.column("vec_id"), piece.column("v"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(length.astype(np.float64))], ["row", "vec_id", "v", "codes", "length"])
+                v = _matrix(piece.column("v"), d)
+                codes, length = model.encode(_unit(v), beam)
+                total = sum(model.words[m][codes[:, m]].astype(np.float64) for m in range(books))
+                length = np.where(length > 1e-3, np.sqrt((total * total).sum(1)), length)
+                fit = np.where(length > 1e-3, (_unit64(v) * total).sum(1) / length, -1.0)
+                yield pa.RecordBatch.from_arrays([piece.column("row"), piece.column("vec_id"), piece.column("v"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(length), pa.array(fit)], ["row", "vec_id", "v", "codes", "length", "fit"])
 
     numbered = vectors.select(F.monotonically_increasing_id().alias("row"), "vec_id", "v")
-    return materialise(numbered.mapInArrow(encode, "row long, vec_id long, v array<double>, codes binary, length double"), "ann-index"), model
+    return materialise(numbered.mapInArrow(encode, "row long, vec_id long, v array<double>, codes binary, length double, fit double"), "ann-index"), model
 
 
 def _best(approx: np.ndarray, keep: int) -> np.ndarray:
@@ -183,7 +197,63 @@ class _Chunk:
         return place, score
 
 
+    def answer(self, piece: pa.RecordBatch, keep: int) -> pa.RecordBatch:
+        """CANDIDATE for a batch of queries."""
+        asking, ids = piece.column("row").to_numpy(), piece.column("vec_id").to_numpy()
+        place, score = self.best(asking, _matrix(piece.column("v"), self.words.shape[2]), keep)
+        i, j = np.nonzero(np.isfinite(score) & (score >= piece.column("bound").to_numpy()[:, None]))
+        found = place[i, j]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (asking[i], ids[i], self.row[found], score[i, j].astype(np.float64), self.vec_id[found])], ["asked", "query_id", "row", "approx", "vec_id"])
+
+
+#: More than rounding adds to a bound or to an inner product of unit vectors in double precision.
+SLACK = 1e-9
+
+
+class _ExactChunk(_Chunk):
+    """A chunk that holds its vectors as well, and gives those rows their exact cosine that can reach a query's bound."""
+
+    def __init__(self, model: Codebooks, parts: list[pa.RecordBatch]):
+        super().__init__(model, parts)
+        rows = pa.Table.from_batches(parts)
+        self.length = rows["length"].to_numpy()
+        self.fit = np.maximum(rows["fit"].to_numpy() - SLACK, -1.0)
+        self.apart = np.sqrt(np.maximum(1 - self.fit * self.fit, 0))
+        self.v = _matrix(rows["v"], self.words.shape[2])
+        self.unit = _unit64(self.v)
+
+    def reach(self, table: np.ndarray, span: slice) -> np.ndarray:
+        """The largest cosine that each row of ``span`` can have to each query: that of the angle to its sum less that of its sum."""
+        approx = sum(table[m][:, self.codes[m, span]] for m in range(len(table))) / self.length[span]
+        approx = np.clip(approx + SLACK, -1.0, 1.0)
+        return np.where(approx >= self.fit[span], 1.0, approx * self.fit[span] + np.sqrt(1 - approx * approx) * self.apart[span]) + SLACK
+
+    def answer(self, piece: pa.RecordBatch, keep: int) -> pa.RecordBatch:
+        """FOUND for a batch of queries: of this chunk the ``keep`` nearest rows that reach the bound; ties go to smaller ids."""
+        asked, ids, bound = (piece.column(c).to_numpy(zero_copy_only=False).copy() for c in ("row", "vec_id", "bound"))
+        q = _matrix(piece.column("v"), self.words.shape[2])
+        unit = _unit64(q)
+        table = np.einsum("qd,mkd->mqk", unit, self.words.astype(np.float64), optimize=True)
+        at, place, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        for start in range(0, len(self.row), 4096):
+            span = slice(start, start + 4096)
+            may = (self.reach(table, span) >= bound[:, None]) & (asked[:, None] != self.row[None, span])
+            some = np.flatnonzero(may.any(0))
+            i, j = np.nonzero(may[:, some] & (unit @ self.unit[span][some].T >= bound[:, None] - SLACK))
+            j = some[j] + start
+            exact = np.concatenate([np.zeros(0), *(cosine(q[i[n : n + 8192]], self.v[j[n : n + 8192]]) for n in range(0, len(i), 8192))])
+            at, place, score = np.concatenate([at, i]), np.concatenate([place, j]), np.concatenate([score, exact])
+            # Places go by (vec_id, row), so equal scores keep the smaller ids.
+            order = np.lexsort((place, -score, at))
+            at, place, score = at[order], place[order], score[order]
+            rank = np.arange(len(at)) - np.searchsorted(at, at)
+            bound[at[rank == keep - 1]] = np.maximum(bound[at[rank == keep - 1]], score[rank == keep - 1])
+            at, place, score = at[rank < keep], place[rank < keep], score[rank < keep]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (asked[at], ids[at], self.row[place], score, self.vec_id[place])], ["asked", "query_id", "row", "score", "vec_id"])
+
+
 CANDIDATE = "asked long, query_id long, row long, approx double, vec_id long"
+FOUND = "asked long, query_id long, row long, score double, vec_id long"
 
 
 def candidates(index: DataFrame, queries: DataFrame, model: Codebooks, rerank: int, chunk: int) -> DataFrame:
@@ -205,16 +275,30 @@ def candidates(index: DataFrame, queries: DataFrame, model: Codebooks, rerank: i
 
 def _searched(index: DataFrame, queries: DataFrame, model: Codebooks, rerank: int, n: int, chunks: range) -> DataFrame:
     """CANDIDATE: each query's ``rerank`` best rows of each of the given chunks (of n), as far as they reach its ``bound``."""
-    spark = index.sparkSession
     # Where chunks leave tasks without work, a chunk's codes go to several tasks, and each of them takes a share of the queries.
-    shares = max(partitions(spark) // len(chunks), 1)
+    shares = max(partitions(index.sparkSession) // len(chunks), 1)
+    return _met(index.withColumn("v", F.lit(None).cast("array<double>")), queries, model, rerank, n, chunks, shares, _Chunk, CANDIDATE)
+
+
+def reached(index: DataFrame, queries: DataFrame, model: Codebooks, k: int, chunk: int) -> DataFrame:
+    """FOUND: of each chunk the ``k`` nearest rows of a query whose exact cosine reaches its ``bound``.
+
+    There are as many chunks as tasks at least, since vectors are longer than codes: here queries are copied rather than a chunk.
+    """
+    chunk = max(min(chunk, (64 << 20) // (8 * model.words.shape[2])), 1)
+    n = max(-(-index.count() // chunk), partitions(index.sparkSession))
+    return _met(index, queries, model, k, n, range(n), 1, _ExactChunk, FOUND)
+
+
+def _met(index: DataFrame, queries: DataFrame, model: Codebooks, keep: int, n: int, chunks: range, shares: int, kind_of: type[_Chunk], schema: str) -> DataFrame:
+    """What chunks (of n), each held by ``shares`` tasks, answer to the queries (row, vec_id, v, bound)."""
     upto = lambda low, k: F.explode(F.sequence(F.lit(low).cast("long"), F.lit(k - 1).cast("long")))
     no = lambda kind: F.lit(None).cast(kind)
     coded = index.withColumn("c", F.pmod(F.xxhash64("row"), F.lit(n))).where(F.col("c").between(chunks.start, chunks.stop - 1))
-    coded = coded.select("c", upto(0, shares).alias("s"), F.lit(0).alias("kind"), "row", "vec_id", "codes", "length", no("array<double>").alias("v"), no("double").alias("bound"))
-    asked = queries.select(upto(chunks.start, chunks.stop).alias("c"), F.pmod(F.xxhash64("row", F.lit(n)), F.lit(shares)).alias("s"), F.lit(1).alias("kind"), "row", "vec_id", no("binary").alias("codes"), no("double").alias("length"), "v", "bound")
+    coded = coded.select("c", upto(0, shares).alias("s"), F.lit(0).alias("kind"), "row", "vec_id", "codes", "length", "fit", "v", no("double").alias("bound"))
+    asked = queries.select(upto(chunks.start, chunks.stop).alias("c"), F.pmod(F.xxhash64("row", F.lit(n)), F.lit(shares)).alias("s"), F.lit(1).alias("kind"), "row", "vec_id", no("binary").alias("codes"), no("double").alias("length"), no("double").alias("fit"), "v", "bound")
     dealt = coded.unionByName(asked).withColumn("chunk", F.col("c") * shares + F.col("s")).drop("c", "s")
-    met = dealt.select("chunk", *dealt.columns[:-1]).repartition(partitions(spark), "chunk").sortWithinPartitions("chunk", "kind", "vec_id", "row")
+    met = dealt.select("chunk", *dealt.columns[:-1]).repartition(partitions(index.sparkSession), "chunk").sortWithinPartitions("chunk", "kind", "vec_id", "row")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, parts, own = None, [], None
@@ -231,16 +315,11 @@ def _searched(index: DataFrame, queries: DataFrame, model: Codebooks, rerank: in
                     continue
                 if not parts:
                     continue
-                own = own or _Chunk(model, parts)
+                own = own or kind_of(model, parts)
                 for start in range(0, piece.num_rows, 256):
-                    some = piece.slice(start, 256)
-                    asking, ids = some.column("row").to_numpy(), some.column("vec_id").to_numpy()
-                    place, score = own.best(asking, _matrix(some.column("v"), model.words.shape[2]), rerank)
-                    i, j = np.nonzero(np.isfinite(score) & (score >= some.column("bound").to_numpy()[:, None]))
-                    found = place[i, j]
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (asking[i], ids[i], own.row[found], score[i, j].astype(np.float64), own.vec_id[found])], ["asked", "query_id", "row", "approx", "vec_id"])
+                    yield own.answer(piece.slice(start, 256), keep)
 
-    return met.mapInArrow(search, CANDIDATE)
+    return met.mapInArrow(search, schema)
 
 
 def nearest(vectors: DataFrame, is_query: Column, vector: Column, k: int = 5, rerank: int = 200, chunk: int = 1 << 20, **index_options) -> DataFrame:
@@ -253,18 +332,21 @@ def nearest(vectors: DataFrame, is_query: Column, vector: Column, k: int = 5, re
     found = materialise(candidates(index, queries, model, max(rerank, k), chunk), "ann-candidates")
     # A table of vectors is broadcast up to 64 MB.
     asked = few(queries.select(F.col("row").alias("asked"), F.col("v").alias("q")), (64 << 20) // (8 * d))
-    pairs = index.select("row", "v").join(few(found), "row").join(asked, "asked").select("asked", "query_id", "vec_id", "q", "v")
+    pairs = index.select("row", "v").join(few(found), "row").join(asked, "asked").select("asked", "q", "v")
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 2000):
                 some = batch.slice(start, 2000)
                 score = cosine(_matrix(some.column("q"), d), _matrix(some.column("v"), d))
-                yield pa.RecordBatch.from_arrays([some.column("asked"), some.column("query_id"), some.column("vec_id"), pa.array(score)], ["asked", "query_id", "vec_id", "score"])
-
-    scored = pairs.mapInArrow(exact, "asked long, query_id long, vec_id long, score double")
-    order = Window.partitionBy("asked").orderBy(F.desc("score"), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+                yield pa.RecordBatch.from_arrays([some.column("asked"), pa.array(score)], ["asked", "score"])
+
+    scored = pairs.mapInArrow(exact, "asked long, score double")
+    kth = scored.withColumn("rank", F.row_number().over(Window.partitionBy("asked").orderBy(F.desc("score")))).where(F.col("rank") == k)
+    bounds = kth.select(F.col("asked").alias("row"), F.col("score").alias("bound"))
+    bounded = materialise(queries.join(bounds, "row", "left").withColumn("bound", F.coalesce("bound", F.lit(float("-inf")))), "ann-reached")
+    order = Window.partitionBy("asked").orderBy(F.desc("score"), "vec_id", "row")
+    return reached(index, bounded, model, k, chunk).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def oracle_sql(every: int = 50, k: int = 5) -> str:
