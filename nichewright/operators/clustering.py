@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from nichewright.operators import metrics
+from nichewright.operators import metrics, tiles
 from nichewright.operators.components import connected_components
 from nichewright.operators.graphs import knn_affinity
 from nichewright.plans.storage import materialise
@@ -219,6 +219,41 @@ def kmedoids(distance: DataFrame, ids: DataFrame, k: int, most_rounds: int = 50)
     return labels, chosen
 
 
+def farthest_vectors(vectors: DataFrame, ids: DataFrame, k: int) -> list[int]:
+    """``farthest_first`` of the squared distances of (row_idx, z): sums by tiles, then the distances to the rows chosen."""
+    total = ids.join(tiles.totals(vectors), ids.row_idx == F.col("i"), "left")
+    first = total.agg(F.min(F.struct(F.coalesce("total", F.lit(0.0)).alias("t"), "row_idx"))["row_idx"].alias("m")).first()["m"]
+    chosen = [first] if first is not None and k >= 1 else []
+    while chosen and len(chosen) < k:
+        few = vectors.sparkSession.createDataFrame([(c,) for c in chosen], "row_idx long")
+        near = tiles.to_few(vectors, few).where(~F.col("i").isin(chosen)).groupBy("i").agg(F.min("cost").alias("cost"))
+        found = near.agg(F.max(F.struct("cost", (-F.col("i")).alias("i")))["i"].alias("i")).first()["i"]
+        if found is None:
+            break
+        chosen.append(-found)
+    return chosen
+
+
+def kmedoids_of_vectors(vectors: DataFrame, ids: DataFrame, k: int, most_rounds: int = 50) -> tuple[DataFrame, list[int]]:
+    """``kmedoids`` of the squared distances of (row_idx, z), of which none are stored: a round makes those to the medoids, and by tiles
+    the sums within the niches that gained or lost a row."""
+    chosen, labels = farthest_vectors(vectors, ids, k), None
+    for _ in range(most_rounds):
+        few = vectors.sparkSession.createDataFrame([(m,) for m in chosen], "row_idx long")
+        before, labels = labels, materialise(nearest_medoid(tiles.to_few(vectors, few), ids, chosen), "kmedoids")
+        moved_rows = labels
+        if before is not None:
+            other = labels.join(before.withColumnRenamed("niche", "was"), "row_idx").where("niche <> was")
+            touched = [r.n for r in other.select(F.explode(F.array("niche", "was")).alias("n")).distinct().collect()]  # k at most
+            moved_rows = labels.where(F.col("niche").isin(touched))
+        found = {r.niche: r.medoid for r in metrics.medoids(None, moved_rows, sums=tiles.niche_sums(vectors, moved_rows, within=True)).collect()}  # k rows
+        moved = [found.get(n, m) for n, m in enumerate(chosen)]
+        if moved == chosen:
+            break
+        chosen = moved
+    return labels, chosen
+
+
 def communities(affinity: np.ndarray, resolution: float = 1.0, seed: int = 1337, most_passes: int = 50, loops: bool = False) -> np.ndarray:
     """Labels of a small weighted graph by local moving, refinement into connected parts, and aggregation, for the modularity.
 
@@ -377,14 +412,14 @@ def modularity(edges: DataFrame, labels: DataFrame, resolution: float = 1.0) ->
     return by_niche.agg((F.sum("inner") / total - resolution * F.sum(F.col("volume") * F.col("volume")) / (total * total)).alias("modularity"))
 
 
-def community_labels(distance: DataFrame, ids: DataFrame, k: int = 15, scaling: str = "local", resolution: float = 1.0, seed: int = 1337) -> DataFrame:
-    """(row_idx, niche) from the kNN affinity graph; ``distance`` holds both directions."""
-    return communities_by_resolution(distance, ids, (resolution,), k, scaling, seed).drop("resolution")
+def community_labels(distance: DataFrame, ids: DataFrame, k: int = 15, scaling: str = "local", resolution: float = 1.0, seed: int = 1337, near: DataFrame | None = None) -> DataFrame:
+    """(row_idx, niche) from the kNN affinity graph; ``distance`` holds both directions, or what the scale needs if ``near`` is given."""
+    return communities_by_resolution(distance, ids, (resolution,), k, scaling, seed, near).drop("resolution")
 
 
-def communities_by_resolution(distance: DataFrame, ids: DataFrame, resolutions: tuple[float, ...], k: int = 30, scaling: str = "local", seed: int = 1337) -> DataFrame:
+def communities_by_resolution(distance: DataFrame, ids: DataFrame, resolutions: tuple[float, ...], k: int = 30, scaling: str = "local", seed: int = 1337, near: DataFrame | None = None) -> DataFrame:
     """(resolution, row_idx, niche) for every resolution, from one graph; an empty table gives an empty result."""
-    edges = materialise(knn_affinity(distance, k, scaling, ids.count()), "affinity")
+    edges = materialise(knn_affinity(distance, k, scaling, ids.count(), near), "affinity")
     made = [community_edges(edges, ids, float(r), seed).select(F.lit(float(r)).alias("resolution"), "row_idx", "niche") for r in resolutions]
     return reduce(DataFrame.unionByName, made)
 

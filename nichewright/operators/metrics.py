@@ -25,14 +25,18 @@ def labelled(distance: DataFrame, labels: DataFrame, by: tuple[str, ...] = ()) -
 
 def _means(pairs: DataFrame, by: tuple[str, ...]) -> DataFrame:
     """(by, i, li, own, other): mean distance to the own niche (null for a singleton) and the least one to another."""
-    to = pairs.groupBy(*by, "i", "li", "lj").agg(F.avg("cost").alias("mean"))
+    # Sums by niche (i, li, lj, total, n) can be given in place of pairs.
+    to = pairs.withColumn("mean", F.col("total") / F.col("n")) if "total" in pairs.columns else pairs.groupBy(*by, "i", "li", "lj").agg(F.avg("cost").alias("mean"))
     return to.groupBy(*by, "i", "li").agg(F.max(F.when(F.col("li") == F.col("lj"), F.col("mean"))).alias("own"), F.min(F.when(F.col("li") != F.col("lj"), F.col("mean"))).alias("other"))
 
 
-def assignment_score(distance: DataFrame, labels: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """(by, row_idx, niche, score): (other - own) / other within [0, 1]; 0 for a singleton, 1 if there is one niche only."""
+def assignment_score(distance: DataFrame | None, labels: DataFrame, by: tuple[str, ...] = (), sums: DataFrame | None = None) -> DataFrame:
+    """(by, row_idx, niche, score): (other - own) / other within [0, 1]; 0 for a singleton, 1 if there is one niche only.
+
+    ``sums`` (by, i, li, lj, total, n), as ``tiles.niche_sums`` makes them, take the place of ``distance``.
+    """
     score = F.when(F.col("other").isNull(), F.lit(1.0)).when(F.col("own").isNull(), F.lit(0.0)).otherwise(F.least(F.greatest((F.col("other") - F.col("own")) / F.greatest("other", F.lit(1e-8)), F.lit(0.0)), F.lit(1.0)))
-    scored = _means(labelled(distance, labels, by), by).select(*by, F.col("i").alias("row_idx"), score.alias("score"))
+    scored = _means(labelled(distance, labels, by) if sums is None else sums, by).select(*by, F.col("i").alias("row_idx"), score.alias("score"))
     return labels.join(scored, [*by, "row_idx"], "left").select(*by, "row_idx", "niche", F.coalesce("score", F.lit(1.0)).alias("score"))
 
 
@@ -42,9 +46,15 @@ def silhouette(pairs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return _means(pairs, by).groupBy(*by).agg(F.avg(F.when(F.col("other").isNotNull(), value)).alias("silhouette"))
 
 
-def medoids(distance: DataFrame, labels: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """(by, niche, medoid, size): the member with the least sum of distances within its niche; ties go by id."""
-    inner = labelled(distance, labels, by).where("li = lj").groupBy(*by, "i").agg(F.sum("cost").alias("total"))
+def medoids(distance: DataFrame | None, labels: DataFrame, by: tuple[str, ...] = (), sums: DataFrame | None = None) -> DataFrame:
+    """(by, niche, medoid, size): the member with the least sum of distances within its niche; ties go by id.
+
+    ``sums`` (by, i, li, lj, total, n), as ``tiles.niche_sums`` makes them, take the place of ``distance``.
+    """
+    if sums is None:
+        inner = labelled(distance, labels, by).where("li = lj").groupBy(*by, "i").agg(F.sum("cost").alias("total"))
+    else:
+        inner = sums.where("li = lj").select(*by, "i", "total")
     rows = labels.join(inner.withColumnRenamed("i", "row_idx"), [*by, "row_idx"], "left")
     return rows.groupBy(*by, "niche").agg(F.min(F.struct(F.coalesce("total", F.lit(0.0)).alias("total"), "row_idx"))["row_idx"].alias("medoid"), F.count("*").alias("size"))
 
@@ -65,12 +75,13 @@ def calinski_harabasz(pairs: DataFrame, labels: DataFrame, by: tuple[str, ...] =
     return both.select(*by, F.when((F.col("_k") > 1) & (F.col("_k") < F.col("_n")), score).alias("calinski_harabasz"))
 
 
-def davies_bouldin(distance: DataFrame, labels: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+def davies_bouldin(distance: DataFrame, labels: DataFrame, by: tuple[str, ...] = (), centre: DataFrame | None = None) -> DataFrame:
     """(by, davies_bouldin): minus the mean over niches of the worst (s_a + s_b) / d(medoids), s the mean distance to the medoid.
 
-    Medoids that coincide make the ratio infinite and so the score minus infinity.
+    Medoids that coincide make the ratio infinite and so the score minus infinity.  Where ``medoids`` are given as ``centre``, only the
+    distances to them are asked for.
     """
-    centre = medoids(distance, labels, by)
+    centre = medoids(distance, labels, by) if centre is None else centre
     to = labels.join(centre, [*by, "niche"]).select(*by, "niche", "size", F.col("row_idx").alias("i"), F.col("medoid").alias("j"))
     spread = to.join(distance, ["i", "j"], "left").groupBy(*by, "niche").agg((F.sum(F.coalesce("cost", F.lit(0.0))) / F.max("size")).alias("s"))
     at = centre.join(spread, [*by, "niche"])
