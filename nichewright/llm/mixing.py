@@ -131,21 +131,32 @@ def _sized(documents: DataFrame, seed: int) -> DataFrame:
     return documents.withColumns({f"{P}source": documents["source"], f"{P}size": words_in(documents["text"]), f"{P}order": _order(documents["doc_id"], documents["text"], seed)})
 
 
+def _ordered(placed: DataFrame, curriculum: tuple[Schedule, ...], columns: list[str]) -> DataFrame:
+    """The copies of the placed rows in training order by range partition."""
+    copies = placed.withColumn(f"{P}copy", F.explode(F.sequence(F.lit(0), F.col(f"{P}copies") - 1)))
+    by = [f"{P}position", f"{P}order"]
+    ordered = copies.withColumn(f"{P}position", _position(F.col(f"{P}copy"), curriculum)).select(*dict.fromkeys([*columns, *by]))
+    return ordered.repartitionByRange(partitions(placed.sparkSession), *by).sortWithinPartitions(*by).select(*columns)
+
+
 def mix_plan(documents: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most_repeats: float = 2, curriculum: tuple[Schedule, ...] = CURRICULUM, seed: int = 17, bucket: int = 4_000) -> DataFrame:
     """(doc_id, size, source_size, target, taken, copies, first_position) for every document; no text is shuffled.
 
-    ``first_position`` is the training time of the first copy in billionths, -1 for a document that isn't taken.
+    The mix is made as ``mixed_documents`` makes it, with numbers of rows for texts, and written in training order; what a document gives
+    it is counted there.  ``first_position`` is the training time of the first copy in billionths, -1 for a document that isn't taken.
     """
-    sized = materialise(_sized(documents.select("doc_id", "source", "text"), seed).select("doc_id", f"{P}source", f"{P}size", f"{P}order"), "mix-sizes")
-    placed = _placed(sized, sized, weights, share, most_repeats, bucket)
-    return placed.select(
+    sized = materialise(_sized(documents.select("doc_id", "source", "text"), seed).select(F.monotonically_increasing_id().alias(f"{P}row"), "doc_id", f"{P}source", f"{P}size", f"{P}order"), "mix-sizes")
+    placed = materialise(_placed(sized, sized, weights, share, most_repeats, bucket), "mix-placed")
+    mix = materialise(_ordered(placed.where(F.col(f"{P}copies") > 0), curriculum, [f"{P}row", f"{P}size", f"{P}position"]), "mix-order")
+    given = mix.groupBy(f"{P}row").agg(F.sum(f"{P}size").alias(f"{P}taken"), F.count("*").cast("int").alias(f"{P}given"), F.min(f"{P}position").alias(f"{P}first"))
+    return placed.join(given, f"{P}row", "left").select(
         "doc_id",
         F.col(f"{P}size").alias("size"),
         F.col(f"{P}source_size").alias("source_size"),
         F.col(f"{P}target").alias("target"),
-        (F.col(f"{P}size") * F.col(f"{P}copies")).alias("taken"),
-        F.col(f"{P}copies").alias("copies"),
-        F.when(F.col(f"{P}copies") > 0, _position(F.lit(0), curriculum)).otherwise(F.lit(-1)).alias("first_position"),
+        F.coalesce(f"{P}taken", F.lit(0)).alias("taken"),
+        F.coalesce(f"{P}given", F.lit(0)).alias("copies"),
+        F.coalesce(f"{P}first", F.lit(-1)).alias("first_position"),
     )
 
 
@@ -154,10 +165,7 @@ def mixed_documents(documents: DataFrame, weights: tuple[float, ...] = (5, 2, 1)
     keyed = _sized(documents, seed)
     sized = materialise(keyed.select(f"{P}source", f"{P}size", f"{P}order"), "mix-sizes")
     placed = _placed(keyed, sized, weights, share, most_repeats, bucket).where(F.col(f"{P}copies") > 0)
-    copies = placed.withColumn(f"{P}copy", F.explode(F.sequence(F.lit(0), F.col(f"{P}copies") - 1)))
-    ordered = copies.withColumn(f"{P}position", _position(F.col(f"{P}copy"), curriculum)).select(*documents.columns, f"{P}position", f"{P}order")
-    by = [f"{P}position", f"{P}order"]
-    return ordered.repartitionByRange(partitions(documents.sparkSession), *by).sortWithinPartitions(*by).select(*documents.columns)
+    return _ordered(placed, curriculum, documents.columns)
 
 
 def oracle_sql(weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most_repeats: float = 2, seed: int = 17) -> str:
