@@ -14,12 +14,15 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from nichewright.functions.portable import squared_distance
 from nichewright.operators import metrics, tiles
 from nichewright.operators.components import connected_components
 from nichewright.operators.graphs import knn_affinity
 from nichewright.plans.storage import materialise
 
 
+#: The columns of a dendrogram.
+MERGES = "turn int, a long, b long, height double"
 #: Names of clusters or nodes that are broadcast; for more of them joins shuffle.
 MOST_NAMES = 500_000
 
@@ -62,19 +65,64 @@ def average_merges(distance: DataFrame, ids: DataFrame, tail: int = 64) -> DataF
         moved = moved.groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.sum("total").alias("total"))
         sums = materialise(moved.select(F.col("x.name").alias("a"), F.col("y.name").alias("b"), "total", F.col("x.size").alias("sa"), F.col("y.size").alias("sb"), F.col("x.height").alias("ha"), F.col("y.height").alias("hb")), "linkage")
         left, turn = left - both.count(), turn + 1
-    last = spark.createDataFrame(_finish(sums.collect(), turn), "turn int, a long, b long, height double")  # at most ``tail`` clusters
-    return reduce(DataFrame.unionByName, merges, last)
-
-
-def _finish(sums: list, turn: int) -> list[tuple[int, int, int, float]]:
-    """The merges of a few clusters with the sums ``total`` of the distances between them, their sizes and heights."""
-    size = {r.a: r.sa for r in sums} | {r.b: r.sb for r in sums}
-    height = {r.a: r.ha for r in sums} | {r.b: r.hb for r in sums}
+    last = sums.collect()  # at most ``tail`` clusters
+    size = {r.a: r.sa for r in last} | {r.b: r.sb for r in last}
+    height = {r.a: r.ha for r in last} | {r.b: r.hb for r in last}
     names = sorted(size)
-    at = {c: n for n, c in enumerate(names)}
+    place = {c: n for n, c in enumerate(names)}
     matrix = np.zeros((len(names), len(names)))
-    for r in sums:
-        matrix[at[r.a], at[r.b]] = matrix[at[r.b], at[r.a]] = r.total / (r.sa * r.sb)
+    for r in last:
+        matrix[place[r.a], place[r.b]] = matrix[place[r.b], place[r.a]] = r.total / (r.sa * r.sb)
+    return reduce(DataFrame.unionByName, merges, spark.createDataFrame(_finish(names, size, height, matrix, turn), MERGES))
+
+
+def average_merges_of_vectors(vectors: DataFrame, ids: DataFrame, tail: int = 2048) -> DataFrame:
+    """``average_merges`` of the squared distances of (row_idx, z), of which none are stored.
+
+    The mean squared distance between the members of two clusters is that of their centres plus both clusters' mean squared distances
+    to their own, so a cluster is a row: its centre, spread, size and height.  A round finds each one's nearest by tiles.  Equal vectors
+    are united beforehand, at height 0.  A row without a vector, or with one that isn't finite, raises ValueError.
+    """
+    spark = vectors.sparkSession
+    own = materialise(ids.select("row_idx").join(vectors.where(F.col("z").isNotNull() & ~F.exists("z", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))), "row_idx").select("row_idx", "z"), "linkage")
+    if own.count() != ids.count():
+        raise ValueError("a row has no finite vector")
+    copies = own.groupBy("z").agg(F.min("row_idx").alias("a"), F.count("*").cast("double").alias("size"))
+    zero = F.lit(0.0)
+    state = materialise(copies.select(F.col("a").alias("row_idx"), "z", zero.alias("spread"), "size", zero.alias("height")), "linkage")
+    again = own.join(copies.where("size > 1"), "z").where("row_idx <> a")
+    equal = materialise(again.select((F.row_number().over(Window.partitionBy("a").orderBy("row_idx")) - 1).alias("turn"), "a", F.col("row_idx").alias("b"), zero.alias("height")), "linkage")
+    left, merges, turn = state.count(), [equal], equal.agg(F.max("turn")).first()[0]
+    turn = 0 if turn is None else turn + 1
+    while left > tail:
+        rows = state.select("row_idx", F.array_append("z", F.col("spread")).alias("z"), F.lit(0).cast("long").alias("niche"))
+        nearest = tiles.folded(rows, tiles.NearestCluster, tiles.NearestCluster.schema)
+        both = nearest.groupBy(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).agg(F.max("cost").alias("cost"), F.count("*").alias("n")).where("n = 2")
+        end = lambda c, state=state: state.select(F.col("row_idx").alias(c), *(F.col(v).alias(v + c) for v in ("z", "spread", "size", "height")))
+        n, share = F.col("sizea") + F.col("sizeb"), F.col("sizea") * F.col("sizeb")
+        centre = F.zip_with("za", "zb", lambda x, y: (x * F.col("sizea") + y * F.col("sizeb")) / (F.col("sizea") + F.col("sizeb")))
+        spread = (F.col("spreada") * F.col("sizea") + F.col("spreadb") * F.col("sizeb")) / n + share / (n * n) * squared_distance(F.col("za"), F.col("zb"))
+        joined = both.join(end("a"), "a").join(end("b"), "b")
+        made = materialise(joined.select("a", "b", centre.alias("z"), spread.alias("spread"), n.alias("size"), F.greatest("cost", "heighta", "heightb").alias("height")), "linkage")
+        found = made.count()
+        if not found:
+            raise ValueError("distances beyond double precision")
+        merges.append(made.select(F.lit(turn).alias("turn"), "a", "b", "height"))
+        alone = state.join(made.select(F.explode(F.array("a", "b")).alias("row_idx")), "row_idx", "left_anti")
+        state = materialise(alone.unionByName(made.select(F.col("a").alias("row_idx"), "z", "spread", "size", "height")), "linkage")
+        left, turn = left - found, turn + 1
+    last = state.orderBy("row_idx").collect()  # at most ``tail`` clusters
+    z, spread = np.array([r.z for r in last]).reshape(len(last), len(last[0].z) if last else 0), np.array([r.spread for r in last])
+    matrix = spread[:, None] + spread[None]
+    for c in z.T:
+        matrix += (c[:, None] - c[None]) ** 2
+    names = [r.row_idx for r in last]
+    done = _finish(names, {r.row_idx: r.size for r in last}, {r.row_idx: r.height for r in last}, matrix, turn)
+    return reduce(DataFrame.unionByName, merges, spark.createDataFrame(done, MERGES))
+
+
+def _finish(names: list, size: dict, height: dict, matrix: np.ndarray, turn: int) -> list[tuple[int, int, int, float]]:
+    """The merges of a few clusters with the ``matrix`` of their mean distances, their sizes and heights."""
     out = []
     for i, j, h in linkage(matrix, np.array([size[c] for c in names])):
         a, b = names[i], names[j]
@@ -157,6 +205,11 @@ def agglomerate(distance: DataFrame, ids: DataFrame, ks: tuple[int, ...], tail:
     return cut(average_merges(distance, ids, tail), ids, ks)
 
 
+def agglomerate_vectors(vectors: DataFrame, ids: DataFrame, ks: tuple[int, ...], tail: int = 2048) -> DataFrame:
+    """``agglomerate`` of the squared distances of (row_idx, z)."""
+    return cut(average_merges_of_vectors(vectors, ids, tail), ids, ks)
+
+
 def by_column(distance: DataFrame) -> DataFrame:
     """The relation, written in the order of ``j``, so that the distances to one row are read without the others."""
     return materialise(distance.select("i", "j", "cost").repartitionByRange("j", "i").sortWithinPartitions("j", "i"), "columns")
