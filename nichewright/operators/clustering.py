@@ -506,3 +506,41 @@ def select_model(distance: DataFrame, ids: DataFrame, candidates: tuple[int, ...
     else:
         raise ValueError(f"unknown method {method!r}")
     return _best(distance, fits, names, "k")
+
+
+def select_model_of_vectors(vectors: DataFrame, ids: DataFrame, candidates: tuple[int, ...], names: tuple[str, ...] = metrics.METRICS[:4]) -> tuple[DataFrame, DataFrame]:
+    """``select_model`` by average linkage of the squared distances of (row_idx, z), of which none are stored: every candidate is scored by
+    passes over tiles."""
+    ks, names = candidate_counts(candidates, ids.count()), metrics.metric_names(names)
+    fits = materialise(agglomerate_vectors(vectors, ids, ks), "fits")
+    rows = [(k, *_scores_of_vectors(vectors, fits.where(F.col("k") == k).select("row_idx", "niche"), names)) for k in ks]
+    scored = vectors.sparkSession.createDataFrame(rows, ", ".join(["k int", *(f"{n} double" for n in names)]))
+    table = materialise(metrics.rank_ensemble(scored, names, "k"), "selection")
+    return table, fits.where(F.col("k") == table.where("best").first()["k"]).select("row_idx", "niche")
+
+
+def _scores_of_vectors(vectors: DataFrame, labels: DataFrame, names: tuple[str, ...]) -> list[float | None]:
+    """The scores ``names`` of one labelling (row_idx, niche) over the squared distances of (row_idx, z)."""
+    summed = {"silhouette", "calinski_harabasz", "davies_bouldin"} & set(names)
+    sums = materialise(tiles.niche_sums(vectors, labels, squares=True), "niche-sums") if summed else None
+
+    def davies_bouldin() -> DataFrame:
+        centre = materialise(metrics.medoids(None, labels, sums=sums), "medoids")
+        return metrics.davies_bouldin(tiles.to_few(vectors, centre.select(F.col("medoid").alias("row_idx"))), labels, centre=centre)
+
+    def percentile_dunn() -> float | None:
+        found = tiles.percentiles(vectors, labels, {0: 0.05, 1: 0.95})
+        return None if found[0] is None else float(found[0] / max(found[1] or 0.0, 1e-12))
+
+    def minimum_dunn() -> float | None:
+        row = tiles.extremes(vectors, labels).agg(F.min("between").alias("b"), F.max("within").alias("w")).first()
+        return None if row.b is None or row.b == float("inf") else row.b / max(row.w, 1e-12)
+
+    make = {
+        "silhouette": lambda: metrics.silhouette(sums).first()[0],
+        "calinski_harabasz": lambda: metrics.calinski_harabasz(sums, labels).first()[0],
+        "davies_bouldin": lambda: davies_bouldin().first()[0],
+        "percentile_dunn": percentile_dunn,
+        "minimum_dunn": minimum_dunn,
+    }
+    return [make[n]() for n in names]

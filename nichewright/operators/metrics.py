@@ -64,11 +64,15 @@ def _sizes(labels: DataFrame, by: tuple[str, ...]) -> DataFrame:
 
 
 def calinski_harabasz(pairs: DataFrame, labels: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """(by, calinski_harabasz) from squared distances: total / 2n against the sum over niches of inner / 2n_c."""
+    """(by, calinski_harabasz) from squared distances: total / 2n against the sum over niches of inner / 2n_c.
+
+    Sums by niche (i, li, lj, squares), as ``tiles.niche_sums`` makes them, can be given in place of pairs.
+    """
+    square = F.col("squares") if "squares" in pairs.columns else F.col("cost") * F.col("cost")
     sizes = _sizes(labels, by)
-    inner = pairs.where("li = lj").groupBy(*by, F.col("li").alias("niche")).agg(F.sum(F.col("cost") * F.col("cost")).alias("inner"))
+    inner = pairs.where("li = lj").groupBy(*by, F.col("li").alias("niche")).agg(F.sum(square).alias("inner"))
     per = sizes.join(inner, [*by, "niche"], "left").groupBy(*by).agg(F.sum(F.coalesce("inner", F.lit(0.0)) / (2 * F.col("size"))).alias("within"), F.sum("size").alias("_n"), F.count("*").alias("_k"))
-    total = pairs.groupBy(*by).agg(F.sum(F.col("cost") * F.col("cost")).alias("all"))
+    total = pairs.groupBy(*by).agg(F.sum(square).alias("all"))
     both = per.join(total, list(by)) if by else per.join(total)
     between = F.greatest(F.col("all") / (2 * F.col("_n")) - F.col("within"), F.lit(0.0))
     score = (between / (F.col("_k") - 1)) / F.greatest(F.col("within") / (F.col("_n") - F.col("_k")), F.lit(1e-12))
