@@ -1,0 +1,24 @@
+import random
+
+import pytest
+from nichewright import catalog
+from nichewright.operators import graphs, neighbors
+
+
+@pytest.mark.parametrize("radius", [1.0, 3.0, 5.0])
+def test_instances_by_squares_equal_those_by_edges(spark, radius):
+    rng = random.Random(5)
+    rows = [(i, rng.choice([0, 1, None]), rng.choice(["a", None]), float(rng.randrange(-40, 40)), float(rng.randrange(60))) for i in range(900)]
+    rows += [(1000 + i, 2, "c", 3.0, 4.0) for i in range(50)] + [(2000, 2, "c", None, 1.0), (2001, 2, "c", float("nan"), 1.0), (2002, 2, "c", 3.0 + radius, 4.0), (2003, 2, "c", 3.0, 4.0 - radius - 1e-9)]
+    cells = spark.createDataFrame(rows, "row_idx long, niche int, sample_id string, x double, y double").repartition(3)
+    want = graphs.instances(cells.select("row_idx", "niche"), neighbors.radius_edges(cells, radius))
+    assert sorted(graphs.instances_within(cells, radius).collect()) == sorted(want.collect())
+    assert graphs.instances_within(cells.limit(0), radius).count() == 0
+
+
+def test_query_makes_no_edges(spark, monkeypatch):
+    def none(*_, **__):
+        raise AssertionError("a table of edges")
+
+    monkeypatch.setattr(neighbors, "radius_edges", none)
+    assert catalog.QUERIES["niche_instances"](spark, "/root/testdata/sf0.001").count() > 0
