@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from nichewright import catalog
 from nichewright.operators import transport
 
 KERNEL = {"epsilon": 0.5, "sweeps": 3}
@@ -43,3 +44,10 @@ def test_anchors_equal_a_join_of_vectors(spark, packed, mode):
         want = {(r.i, r.j): r.cost for r in transport.anchor_penalty(plain, vectors, 0.3, other_vectors).collect()}
         got = {(r.i, r.j): r.cost for r in transport.distances(packed, other, mode, block=16, anchors=(0.3, vectors, other_vectors), **KERNEL).collect()}
         assert got.keys() == want.keys() and all(v is got[k] is None or got[k] == pytest.approx(v, abs=1e-12) for k, v in want.items())
+
+def test_query_joins_no_table_of_pairs(spark, monkeypatch):
+    def none(*_, **__):
+        raise AssertionError("a table of all pairs")
+
+    monkeypatch.setattr(transport, "anchor_penalty", none)
+    assert catalog.QUERIES["anchor_penalty"](spark, "/root/testdata/sf0.001").count() > 0
