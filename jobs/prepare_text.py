@@ -10,9 +10,10 @@ over the whole cohort, absent words counting as zeros.  Two tables are written:
   in ``files_per_sample`` files a sample at most;
 * ``samples`` (sample_id, cells, words, panel_words, distinct_genes).
 
-Scale: texts are read twice, once for the panel and once for the counts; nothing but words with their counts is shuffled, combined
-before, and the second time panel words and a document's number of words only.  The panel is a table of at most ``panel_size`` rows, which may not exceed 20,000, and
-is broadcast.  A sample of any size is spread over its files.
+Scale: texts are read twice, once for the panel and once for the counts.  The first time words are combined before they are shuffled;
+the second time a document's panel words go as numbers in arrays, a row for each document, and become rows where they are written.
+Ids that several rows share are added up word by word.  The panel is a table of at most ``panel_size`` rows, which may not exceed
+20,000, and is sent to every task.  A sample of any size is spread over its files.
 
 A rerun replaces what it writes by the same rows.  With ``--samples`` only the partitions of these samples are replaced (panel and
 scales still come from the whole cohort) and ``samples`` is left alone.
@@ -24,8 +25,11 @@ document; a null source is the sample ``__none__``; an empty table gives empty t
 from __future__ import annotations
 
 import sys
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +42,8 @@ NO_SAMPLE = "__none__"
 #: Words are runs of anything but ASCII white space, with A-Z lower-cased.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Different words that a task holds before it hands on what it has counted.
+MOST_WORDS = 200_000
 FEATURES = "row_idx long, gene string, value double, normalised double, scaled double, sample_id string"
 
 
@@ -58,41 +64,90 @@ class Settings:
 
 
 def cells_of(spark: SparkSession, path: str, s: Settings) -> DataFrame:
-    """(row_idx, sample_id, words) of the table's rows."""
-    words = F.regexp_extract_all(F.translate(F.coalesce(F.col(s.text), F.lit("")), UPPER, LOWER), F.lit(f"({WORD})"), F.lit(1))
+    """(row_idx, sample_id, text) of the table's rows."""
     rows = spark.read.parquet(f"{path.rstrip('/')}/{s.table}.parquet")
-    return rows.select(F.col(s.row).cast("long").alias("row_idx"), F.coalesce(F.col(s.sample).cast("string"), F.lit(NO_SAMPLE)).alias("sample_id"), words.alias("words"))
+    return rows.select(F.col(s.row).cast("long").alias("row_idx"), F.coalesce(F.col(s.sample).cast("string"), F.lit(NO_SAMPLE)).alias("sample_id"), F.coalesce(F.col(s.text), F.lit("")).cast("binary").alias("text"))
+
+
+def _split(batch: pa.RecordBatch) -> Iterator[list[bytes]]:
+    """The words of each text: of bytes, only A-Z are lower-cased and only ASCII white space splits, as ``WORD`` has it."""
+    return (text.as_py().lower().split() for text in batch.column("text"))
 
 
 def panel_of(cells: DataFrame, s: Settings) -> DataFrame:
     """(gene, documents): the words that most rows have, ties to the smaller word."""
-    seen = cells.select(F.explode(F.array_distinct("words")).alias("gene")).groupBy("gene").agg(F.count("*").alias("documents"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = lambda c: pa.RecordBatch.from_pydict({"gene": pa.array(list(c), pa.binary()).cast(pa.string()), "n": pa.array(list(c.values()), pa.int64())})
+        seen: Counter = Counter()
+        for batch in batches:
+            for words in _split(batch):
+                seen.update(set(words))
+                if len(seen) >= MOST_WORDS:
+                    yield made(seen)
+                    seen = Counter()
+        yield made(seen)
+
+    seen = cells.select("text").mapInArrow(run, "gene string, n long").groupBy("gene").agg(F.sum("n").alias("documents"))
     return seen.where(F.col("documents") >= s.least_documents).orderBy(F.desc("documents"), "gene").limit(s.panel_size)
 
 
+def counts_of(cells: DataFrame, panel: list[str]) -> DataFrame:
+    """(row_idx, sample_id, total, genes, ns): the number of words of each row, the places in ``panel`` of its words there and how often it has each."""
+    place = {gene.encode(): n for n, gene in enumerate(panel)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            totals, ends, genes, ns = [], [0], [], []
+            for words in _split(batch):
+                totals.append(len(words))
+                for word, n in Counter(words).items():
+                    if (at := place.get(word)) is not None:
+                        genes.append(at)
+                        ns.append(n)
+                ends.append(len(genes))
+            lists = (pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(v, kind)) for v, kind in ((genes, pa.int32()), (ns, pa.int64())))
+            yield pa.RecordBatch.from_arrays([batch.column("row_idx"), batch.column("sample_id"), pa.array(totals, pa.int64()), *lists], ["row_idx", "sample_id", "total", "genes", "ns"])
+
+    return cells.mapInArrow(run, "row_idx long, sample_id string, total long, genes array<int>, ns array<long>")
+
+
+def documents_of(counts: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(sample_id, row_idx, total, genes, ns) of documents, whose ``rows`` in ``sizes`` are added up where they are several."""
+    by = ["sample_id", "row_idx"]
+    joined = counts.drop("total").join(sizes, by)
+    columns = [*by, "total", "genes", "ns"]
+    several = joined.where("rows > 1").select(*by, "total", F.explode(F.arrays_zip("genes", "ns")).alias("w"))
+    added = several.groupBy(*by, "total", F.col("w.genes").alias("gene")).agg(F.sum("w.ns").alias("n")).groupBy(*by, "total").agg(F.collect_list(F.struct("gene", "n")).alias("w"))
+    return joined.where("rows = 1").select(columns).unionByName(added.select(*by, "total", F.col("w.gene").alias("genes"), F.col("w.n").alias("ns")))
+
+
 def prepare(spark: SparkSession, path: str, output: str, settings: Settings | None = None, samples: str | None = None) -> dict:
     """Writes the tables ``features`` and ``samples`` of the documents below ``path``; returns what was read and written."""
     s, output = settings or Settings(), output.rstrip("/")
     raw, read = counted(cells_of(spark, path, s), "read", without_id=F.count_if(F.col("row_idx").isNull()))
-    panel = spark.createDataFrame(panel_of(raw.where("row_idx IS NOT NULL"), s).collect(), "gene string, documents long")  # panel_size rows
-    cells = cells_of(spark, path, s).where("row_idx IS NOT NULL")
-    # A document's row with gene null carries its number of words, so that the texts are read once for both.
-    found = F.array_append(F.transform("words", lambda w: F.struct(w.alias("gene"), F.lit(1).alias("n"))), F.struct(F.lit(None).cast("string").alias("gene"), F.size("words").alias("n")))
-    counted_words = cells.select("sample_id", "row_idx", F.explode(found).alias("w")).select("sample_id", "row_idx", "w.gene", "w.n").join(F.broadcast(panel.select(F.col("gene").alias("known"))), F.col("gene") == F.col("known"), "left")
-    kept = counted_words.where("gene IS NULL OR known IS NOT NULL").groupBy("sample_id", "row_idx", "gene").agg(F.sum("n").alias("n"))
-    kept = materialise(kept, "text-counts")
-    sizes = kept.where("gene IS NULL").select("sample_id", "row_idx", F.col("n").alias("total"))
-    values = kept.where("gene IS NOT NULL").select("sample_id", "row_idx", "gene", F.col("n").cast("double").alias("value")).join(sizes, ["sample_id", "row_idx"])
-    normalised = materialise(values.withColumn("normalised", features.log_normalised(F.col("value"), F.col("total"), s.target_sum)), "text-normalised")
-    stats = features.sparse_column_stats(normalised, sizes.count())  # a row for each panel word
-    scaled = normalised.join(F.broadcast(stats), "gene").withColumn("scaled", (F.col("normalised") - F.col("mean")) / F.col("scale"))
-    made = scaled.select("row_idx", "gene", "value", "normalised", "scaled", "sample_id")
+    genes = [r.gene for r in panel_of(raw.where("row_idx IS NOT NULL"), s).collect()]  # panel_size rows
+    panel = spark.createDataFrame(list(enumerate(genes)), "at int, gene string")
+    counts = materialise(counts_of(cells_of(spark, path, s).where("row_idx IS NOT NULL"), genes), "text-words")
+    sizes = materialise(counts.groupBy("sample_id", "row_idx").agg(F.sum("total").alias("total"), F.count("*").alias("rows")), "text-sizes")
+    cells = materialise(documents_of(counts, sizes), "text-counts")
+
+    def valued(own: DataFrame) -> DataFrame:
+        entries = own.select("sample_id", "row_idx", "total", F.explode(F.arrays_zip("genes", "ns")).alias("w"))
+        values = entries.select("sample_id", "row_idx", "total", F.col("w.genes").alias("at"), F.col("w.ns").cast("double").alias("value"))
+        return values.withColumn("normalised", features.log_normalised(F.col("value"), F.col("total"), s.target_sum))
+
+    stats = materialise(features.sparse_column_stats(valued(cells), sizes.count(), "at").join(panel, "at"), "text-stats")  # a row for each panel word
     if samples:
-        made = made.where(F.col("sample_id").isin(samples.split(",")))
-    made, wrote = counted(made.repartition("sample_id", F.pmod(F.xxhash64("row_idx"), F.lit(s.files_per_sample))), "features")
+        cells = cells.where(F.col("sample_id").isin(samples.split(",")))
+    # Documents go to their files as arrays, and become rows there.
+    dealt = cells.repartition("sample_id", F.pmod(F.xxhash64("row_idx"), F.lit(s.files_per_sample)))
+    scaled = valued(dealt).join(F.broadcast(stats), "at").withColumn("scaled", (F.col("normalised") - F.col("mean")) / F.col("scale"))
+    made = scaled.select("row_idx", "gene", "value", "normalised", "scaled", "sample_id")
+    made, wrote = counted(made, "features")
     writer = made.write.mode("overwrite").partitionBy("sample_id").option("compression", "zstd")
     writer.option("partitionOverwriteMode", "dynamic" if samples else "static").parquet(f"{output}/features")
-    done = {"read": read(), "panel": panel.count(), "features": wrote()["rows"]}
+    done = {"read": read(), "panel": len(genes), "features": wrote()["rows"]}
     log.info("read %(rows)s rows of %(table)s, %(without_id)s without an id", done["read"] | {"table": f"{path}/{s.table}"})
     log.info("wrote %s features of %s panel words to %s/features", done["features"], done["panel"], output)
     if not samples:

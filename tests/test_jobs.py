@@ -3,6 +3,7 @@
 import json
 import logging
 import math
+import re
 import shutil
 from collections import Counter
 from pathlib import Path
@@ -112,6 +113,26 @@ def test_settings(spark, tmp_path):
         path = Path(pt.__file__).with_name(f"{job}.json")
         assert common.settings(spark, kind, str(path)) == kind()
 
+def test_words_of_odd_texts_and_ids_of_several_rows(spark, tmp_path):
+    space = "a\x1cb a\x85b a b a b\x0bA\x0cB\rİI ıi \x00 a\x00"
+    rows = [(1, space, "x"), (2, "\U0001f600 Σς ΣΣ é É", "x"), (3, space + " " + space, "y"), *((7, f"a b w{n} é", "y") for n in range(40)), (7, "a", "x"), (8, " \t\n", "x")]
+    documents(spark, tmp_path, rows)
+    s, out = pt.Settings(panel_size=12), str(tmp_path / "out")
+    pt.prepare(spark, str(tmp_path), out, s)
+    split = lambda t: [w for w in re.split("[\x20\x09-\x0d]+", t) if w]
+    lower = str.maketrans(pt.UPPER, pt.LOWER)
+    plain = [(i, " ".join(split(t.translate(lower))), source) for i, t, source in rows]
+    assert same(features_of(spark, out), brute_features(plain, 12))
+
+
+def test_texts_become_no_row_for_each_word(spark, tmp_path, monkeypatch):
+    documents(spark, tmp_path, TEXTS)
+    plans, made = [], pt.materialise
+    monkeypatch.setattr(pt, "materialise", lambda df, label: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or made(df, label))
+    pt.prepare(spark, str(tmp_path), str(tmp_path / "out"), pt.Settings(panel_size=4))
+    reads = [p for p in plans if "documents.parquet" in p or "text#" in p]
+    assert reads and not any("Generate" in p or "regexp" in p for p in reads)
+
 
 # Arrivals -----------------------------------------------------------------------------------------------------------------
 
