@@ -1,0 +1,92 @@
+"""Costs to a few references equal those of packed measures, without a table of tokens."""
+
+import math
+
+import numpy as np
+import pytest
+from nichewright import catalog
+from nichewright.functions import kernels
+from nichewright.operators import measures, neighborhoods, references, transport
+from pyspark.sql import functions as F
+
+KERNEL = {"epsilon": 0.5, "sweeps": 3}
+WEIGHTS = (10.0, 0.25, 0.1)
+
+
+def tables(spark, rows):
+    made = spark.createDataFrame(rows, "row_idx long, sample_id int, x double, y double, z array<double>")
+    return made.drop("z"), made.select("row_idx", "z")
+
+
+def crowd(n=160, wide=9.0, seed=5):
+    rng = np.random.default_rng(seed)
+    return [(i, int(i % 3) if i % 7 else None, float(rng.normal() * wide), float(rng.normal() * wide), (rng.normal(size=2) * 0.125).tolist()) for i in range(n)]
+
+
+def of(frame):
+    return {(r.i, r.j): r.cost for r in frame.collect()}
+
+
+def plain(own, z, few, radius=5.0, weights=WEIGHTS, kernel="gaussian", **options):
+    tokens = measures.tokens(neighborhoods.supports(own, radius, kernel), own, z, radius)
+    packed = measures.packed(measures.scaled_tokens(tokens, weights, (1.0, 1.0, 1.0)))
+    return of(transport.distances(packed, packed.join(few, "row_idx", "left_semi"), mode="debiased", **(KERNEL | options)))
+
+
+@pytest.mark.parametrize("kernel,weights,epsilon", [("gaussian", WEIGHTS, 0.5), ("uniform", (1.0, 0.0, 0.0), 0.05), ("inverse", (0.5, 2.0, 3.0), 0.2), ("gaussian", (10.0, 1.0, 1.0), 0.001)])
+def test_costs_equal_those_of_packed_measures(spark, kernel, weights, epsilon):
+    rows = crowd() + [(200 + i, 1, 40.0, 40.0, [0.1, 0.01 * i]) for i in range(5)]  # some in one place, far away
+    own, z = tables(spark, rows)
+    few = own.where("row_idx in (0, 1, 2, 9, 203)").select("row_idx")
+    got = of(references.to_references(own, z, few, 5.0, weights, kernel, epsilon, 3))
+    want = plain(own, z, few, weights=weights, kernel=kernel, epsilon=epsilon)
+    assert got.keys() == want.keys() and len(got) == 165 * 5 and max(abs(got[k] - want[k]) for k in want) < 1e-11
+
+
+@pytest.mark.parametrize("most,mean", [(3, 0.01), (7, 1), (256, 1e9)])
+def test_parts_and_grids_change_nothing(spark, monkeypatch, most, mean):
+    own, z = tables(spark, crowd(wide=4.0))
+    few = own.where("row_idx < 3").select("row_idx")
+    want = plain(own, z, few)
+    monkeypatch.setattr(references, "MOST_ANCHORS", most)
+    monkeypatch.setattr(references, "FEW_ANCHORS", mean)
+    got = of(references.to_references(own, z, few, 5.0, WEIGHTS, **KERNEL))
+    assert got.keys() == want.keys() and max(abs(got[k] - want[k]) for k in want) < 1e-11
+
+
+@pytest.mark.parametrize("name,value", [("MOST_NUMBERS", 5), ("TABLE", 9), ("MOST_NODES", 1)])
+def test_bounds_change_the_way_and_not_the_costs(spark, monkeypatch, name, value):
+    own, z = tables(spark, crowd(60))
+    few = own.where("row_idx < 3").select("row_idx")
+    want = plain(own, z, few)
+    monkeypatch.setattr(references, name, value)
+    got = of(references.to_references(own, z, few, 5.0, WEIGHTS, **KERNEL))
+    assert got.keys() == want.keys() and max(abs(got[k] - want[k]) for k in want) < 1e-11
+
+
+def test_odd_rows(spark):
+    rows = [(0, 1, 0.0, 0.0, [0.1, 0.2]), (1, 1, 3.0, 0.0, [0.0, None]), (2, 1, 50.0, 0.0, [0.3, 0.1]), (3, 1, None, 0.0, [0.1, 0.1]), (4, 1, float("inf"), 1.0, [0.1, 0.1]), (5, None, 0.0, 0.0, [0.2, 0.2]), (6, 1, 54.0, 3.0, [0.3, 0.2])]
+    own, z = tables(spark, rows)
+    got = of(references.to_references(own, z, own.where("row_idx in (2, 3, 5)").select("row_idx"), 5.0, WEIGHTS, **KERNEL))
+    assert len(got) == 7 * 3 and all(math.isnan(got[i, j]) == (i in (0, 1)) for i, j in got)
+    assert got[3, 3] == got[4, 3] == pytest.approx(0, abs=1e-12) and got[2, 2] == pytest.approx(0, abs=1e-12)
+    assert references.to_references(own.limit(0), z, own.select("row_idx"), 5.0, WEIGHTS, **KERNEL).count() == 0
+    assert references.to_references(own, z, own.limit(0).select("row_idx"), 5.0, WEIGHTS, **KERNEL).count() == 0
+
+
+def test_a_pair_by_its_tokens():
+    rng = np.random.default_rng(2)
+    for n, m, far in ((1, 1, 1.0), (300, 400, 1.0), (7, 5, 40.0)):
+        a, b, p, q = rng.normal(size=(n, 5)) * far, rng.normal(size=(m, 5)) * far, rng.random(n), rng.random(m)
+        want = float(kernels.sinkhorn_cost(kernels.cost_matrix(a, b), p, q, 0.5, 3))
+        assert kernels.sinkhorn_cost_of_tokens(a, p, b, q, 0.5, 3) == pytest.approx(want, rel=1e-12)
+
+
+@pytest.mark.parametrize("name", ["cross_transport", "medoid_assignment", "medoid_assignment_unknown"])
+def test_queries_write_no_table_of_tokens(spark, monkeypatch, name):
+    def none(*_, **__):
+        raise AssertionError("a table of tokens")
+
+    monkeypatch.setattr(measures, "packed", none)
+    monkeypatch.setattr(neighborhoods, "supports", none)
+    assert catalog.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
