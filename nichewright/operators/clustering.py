@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nichewright.functions.portable import squared_distance
-from nichewright.operators import metrics, tiles
+from nichewright.operators import metrics, orders, tiles
 from nichewright.operators.components import connected_components
 from nichewright.operators.graphs import knn_affinity
 from nichewright.plans.storage import materialise
@@ -80,7 +80,7 @@ def average_merges_of_vectors(vectors: DataFrame, ids: DataFrame, tail: int = 20
     """``average_merges`` of the squared distances of (row_idx, z), of which none are stored.
 
     The mean squared distance between the members of two clusters is that of their centres plus both clusters' mean squared distances
-    to their own, so a cluster is a row: its centre, spread, size and height.  A round finds each one's nearest by tiles.  Equal vectors
+    to their own, so a cluster is a row: its centre, spread, size and height.  A round finds each one's nearest by pairs of blocks.  Equal vectors
     are united beforehand, at height 0.  A row without a vector, or with one that isn't finite, raises ValueError.
     """
     spark = vectors.sparkSession
@@ -94,9 +94,9 @@ def average_merges_of_vectors(vectors: DataFrame, ids: DataFrame, tail: int = 20
     equal = materialise(again.select((F.row_number().over(Window.partitionBy("a").orderBy("row_idx")) - 1).alias("turn"), "a", F.col("row_idx").alias("b"), zero.alias("height")), "linkage")
     left, merges, turn = state.count(), [equal], equal.agg(F.max("turn")).first()[0]
     turn = 0 if turn is None else turn + 1
+    middle = orders.centre_of(state) if left > tail else None
     while left > tail:
-        rows = state.select("row_idx", F.array_append("z", F.col("spread")).alias("z"), F.lit(0).cast("long").alias("niche"))
-        nearest = tiles.folded(rows, tiles.NearestCluster, tiles.NearestCluster.schema)
+        nearest = orders.nearest_clusters(state, left, middle)
         both = nearest.groupBy(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).agg(F.max("cost").alias("cost"), F.count("*").alias("n")).where("n = 2")
         end = lambda c, state=state: state.select(F.col("row_idx").alias(c), *(F.col(v).alias(v + c) for v in ("z", "spread", "size", "height")))
         n, share = F.col("sizea") + F.col("sizeb"), F.col("sizea") * F.col("sizeb")

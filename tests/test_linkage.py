@@ -37,3 +37,11 @@ def test_query_makes_no_table_of_pairs(spark, monkeypatch):
 
     monkeypatch.setattr(transport, "squared_euclidean", none)
     assert catalog.QUERIES["agglomerative_labels"](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_rounds_meet_each_pair_of_clusters_once(spark, monkeypatch):
+    from nichewright.operators import tiles
+
+    monkeypatch.setattr(tiles, "folded", None)
+    vectors = spark.createDataFrame([(i, [float(i * i), 1.0]) for i in range(40)], "row_idx long, z array<double>")
+    assert clustering.average_merges_of_vectors(vectors, vectors.select("row_idx"), tail=4).count() == 39
