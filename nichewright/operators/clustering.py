@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nichewright.functions.portable import squared_distance
-from nichewright.operators import metrics, orders, tiles
+from nichewright.operators import metrics, moments, orders, tiles
 from nichewright.operators.components import connected_components
 from nichewright.operators.graphs import knn_affinity
 from nichewright.plans.storage import materialise
@@ -509,28 +509,38 @@ def select_model(distance: DataFrame, ids: DataFrame, candidates: tuple[int, ...
 
 
 def select_model_of_vectors(vectors: DataFrame, ids: DataFrame, candidates: tuple[int, ...], names: tuple[str, ...] = metrics.METRICS[:4]) -> tuple[DataFrame, DataFrame]:
-    """``select_model`` by average linkage of the squared distances of (row_idx, z), of which none are stored: every candidate is scored by
-    passes over tiles."""
+    """``select_model`` by average linkage of the squared distances of (row_idx, z), of which none are stored: candidates are
+    scored by the moments of their niches, and the percentiles of all candidates by the same passes over pairs of blocks."""
     ks, names = candidate_counts(candidates, ids.count()), metrics.metric_names(names)
     fits = materialise(agglomerate_vectors(vectors, ids, ks), "fits")
-    rows = [(k, *_scores_of_vectors(vectors, fits.where(F.col("k") == k).select("row_idx", "niche"), names)) for k in ks]
+    found: list[dict[int, float | None]] = [{}] * len(ks)
+    if "percentile_dunn" in names:
+        wide = fits.groupBy("row_idx").agg(*(F.max(F.when(F.col("k") == k, F.col("niche"))).alias(f"k{k}") for k in ks))
+        found = orders.percentiles(vectors, wide, {0: 0.05, 1: 0.95}, tuple(f"k{k}" for k in ks))
+    rows = [(k, *_scores_of_vectors(vectors, fits.where(F.col("k") == k).select("row_idx", "niche"), names, own)) for k, own in zip(ks, found, strict=True)]
     scored = vectors.sparkSession.createDataFrame(rows, ", ".join(["k int", *(f"{n} double" for n in names)]))
     table = materialise(metrics.rank_ensemble(scored, names, "k"), "selection")
     return table, fits.where(F.col("k") == table.where("best").first()["k"]).select("row_idx", "niche")
 
 
-def _scores_of_vectors(vectors: DataFrame, labels: DataFrame, names: tuple[str, ...]) -> list[float | None]:
-    """The scores ``names`` of one labelling (row_idx, niche) over the squared distances of (row_idx, z)."""
+def _scores_of_vectors(vectors: DataFrame, labels: DataFrame, names: tuple[str, ...], percentiles: dict[int, float | None]) -> list[float | None]:
+    """The scores ``names`` of one labelling (row_idx, niche) over the squared distances of (row_idx, z), of which ``percentiles`` are known."""
     summed = {"silhouette", "calinski_harabasz", "davies_bouldin"} & set(names)
-    sums = materialise(tiles.niche_sums(vectors, labels, squares=True), "niche-sums") if summed else None
+    held = moments.rows_of(vectors, labels)
+    known = moments.gathered(held) if summed else None
+    sums = None
+    if summed and (known is None or summed != {"calinski_harabasz"}):
+        sums = materialise(tiles.niche_sums(vectors, labels, squares=True) if known is None else moments.niche_sums(held, known), "niche-sums")
+
+    def calinski_harabasz() -> float | None:
+        return metrics.calinski_harabasz(sums, labels).first()[0] if known is None else moments.calinski_harabasz(known)
 
     def davies_bouldin() -> DataFrame:
         centre = materialise(metrics.medoids(None, labels, sums=sums), "medoids")
         return metrics.davies_bouldin(tiles.to_few(vectors, centre.select(F.col("medoid").alias("row_idx"))), labels, centre=centre)
 
     def percentile_dunn() -> float | None:
-        found = tiles.percentiles(vectors, labels, {0: 0.05, 1: 0.95})
-        return None if found[0] is None else float(found[0] / max(found[1] or 0.0, 1e-12))
+        return None if percentiles[0] is None else float(percentiles[0] / max(percentiles[1] or 0.0, 1e-12))
 
     def minimum_dunn() -> float | None:
         row = tiles.extremes(vectors, labels).agg(F.min("between").alias("b"), F.max("within").alias("w")).first()
@@ -538,7 +548,7 @@ def _scores_of_vectors(vectors: DataFrame, labels: DataFrame, names: tuple[str,
 
     make = {
         "silhouette": lambda: metrics.silhouette(sums).first()[0],
-        "calinski_harabasz": lambda: metrics.calinski_harabasz(sums, labels).first()[0],
+        "calinski_harabasz": calinski_harabasz,
         "davies_bouldin": lambda: davies_bouldin().first()[0],
         "percentile_dunn": percentile_dunn,
         "minimum_dunn": minimum_dunn,

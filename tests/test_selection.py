@@ -22,3 +22,10 @@ def test_queries_make_no_table_of_pairs(spark, monkeypatch, name):
 
     monkeypatch.setattr(transport, "squared_euclidean", none)
     assert catalog.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_candidates_are_scored_without_a_pass_each(spark, monkeypatch):
+    from nichewright.operators import tiles
+
+    monkeypatch.setattr(tiles, "folded", None)
+    assert catalog.QUERIES["model_selection"](spark, "/root/testdata/sf0.001").count() == 5
