@@ -1,0 +1,68 @@
+import numpy as np
+import pytest
+from nichewright import catalog
+from nichewright.functions import portable
+from nichewright.operators import measures, neighborhoods, structures
+from pyspark.sql import functions as F
+
+RADIUS = 8.0
+
+
+def _cells(spark, n=300):
+    x, y = np.random.default_rng(1).normal(size=(2, n)) * 9
+    rows = [(5 * i, i % 2, float(a), float(b)) for i, (a, b) in enumerate(zip(x, y, strict=True))] + [(7, None, None, 1.0)]
+    return spark.createDataFrame(rows, "row_idx long, sample_id int, x double, y double")
+
+
+def test_numbers_of_small_hashes_are_solved_for():
+    h = np.arange(portable.PRIME - 3_000_000, portable.PRIME + 3_000_000) % portable.PRIME
+    u = h.copy()
+    for _ in range(2):
+        u = (u * u + 16807 * u + 1) % portable.PRIME
+    want = set(h[(u + 0.5) / portable.PRIME < 2e-5].tolist())
+    assert want and want == set(portable.hashed_below(2e-5)) & set(h.tolist())
+
+
+def test_places_are_solved_for():
+    for row, m, i, j in ((0, 2, 0, 1), (12345, 4000, 17, 3999), (99, 9000, 2, 8999), (2**31 - 1, 9000, 4500, 8500)):
+        number = (row * 48271 + (i * 4096 + j) * 69621 + 1337) % portable.PRIME
+        found = neighborhoods.solved(np.array([5, number]), row, m, 1337)
+        assert (i, j) in set(zip(*(v.tolist() for v in found), strict=True))
+        assert all((row * 48271 + (int(p) * 4096 + int(q)) * 69621 + 1337) % portable.PRIME in (5, number) and p < q < m for p, q in zip(*found, strict=True))
+
+
+def test_drawn_pairs_are_those_of_the_least_hash(spark):
+    cells = _cells(spark)
+    vectors = cells.select("row_idx", F.array(F.lit(0.0)).alias("z"))
+    tokens = measures.tokens(neighborhoods.supports(cells, RADIUS, "gaussian"), cells, vectors, RADIUS)
+    packed = structures.packed_structures(measures.packed(measures.scaled_tokens(tokens, (1.0, 1.0, 1.0), (1.0, 1.0, 1.0))), "complete")
+    values = structures.unpacked(packed).where("i < j").withColumn("u", portable.uniform(1337, F.col("row_idx"), F.col("i") * 4096 + F.col("j")))
+    got = {(r.row_idx, r.i, r.j): (r.value, r.u) for r in neighborhoods.drawn_pairs(cells, RADIUS, 400).collect()}
+    want = {(r.row_idx, r.i, r.j): (r.value, r.u) for r in values.orderBy("u", "row_idx", "i", "j").limit(400).collect()}
+    assert len(want) == 400 and all(got[k] == pytest.approx(v, abs=1e-14) for k, v in want.items())
+
+
+def test_drawn_pairs_of_many_are_solved_for(spark):
+    n = 300
+    cells = spark.range(n).select(F.col("id").alias("row_idx"), F.lit(0).alias("sample_id"), (F.col("id") / n).alias("x"), F.lit(0.0).alias("y"))
+    i, j = np.triu_indices(n, 1)
+    u = np.stack([portable.uniform_array(1337, np.array(r), i * 4096 + j) for r in range(n)])
+    share = (1 + 6 + 50) / u.size
+    assert share * portable.PRIME < 50_000 and len(portable.hashed_below(share)) < n * n
+    row, at = np.nonzero(u < share)
+    got = {(r.row_idx, r.i, r.j) for r in neighborhoods.drawn_pairs(cells, RADIUS, 1).collect()}
+    assert got == set(zip(row.tolist(), i[at].tolist(), j[at].tolist(), strict=True)) and len(got) > 20
+
+
+def test_rows_around_a_few_give_their_neighborhoods(spark):
+    cells = _cells(spark)
+    few = spark.createDataFrame([(0,), (35,), (7,)], "row_idx long")
+    near = neighborhoods.around(cells, few, RADIUS)
+    want = neighborhoods.supports(cells, RADIUS, "gaussian").join(few, "row_idx", "left_semi").collect()
+    assert sorted(map(tuple, neighborhoods.supports(near, RADIUS, "gaussian").collect())) == sorted(map(tuple, want)) and near.count() < 200
+
+
+@pytest.mark.parametrize("name", ["structure_cost_scale", "convergence_sample"])
+def test_queries_make_no_measures_of_all_rows(spark, monkeypatch, name):
+    monkeypatch.setattr(catalog, "_packed", None)
+    assert catalog.QUERIES[name](spark, "/root/testdata/sf0.001").count() == 1
